@@ -23,8 +23,11 @@ PLUS = "+"
 DEFAULT_CURRENCY = "EUR"
 
 
-def currency_code(c: Column) -> Column:
-    """Null currency means EUR; codes compare upper-cased."""
+def currency_code(c: Column, empty_is_missing: bool = False) -> Column:
+    """Null currency means EUR; codes compare upper-cased.  Conversion also
+    treats an empty code as missing (``||``), display does not (``??``)."""
+    if empty_is_missing:
+        c = F.nullif(c, F.lit(""))
     return F.upper(F.coalesce(c, F.lit(DEFAULT_CURRENCY)))
 
 
