@@ -324,3 +324,23 @@ def q_activity_feed(spark, sf_dir):
     L = bind_events(spark, sf_dir)
     recent = history.recent_activity(L.transactions, L.user_boxes)
     return feed.activity_feed(recent, L.user_boxes, L.profiles, as_of=L.as_of)
+
+
+# ------------------------------------------------------------ streaming
+
+@register("stream_balance_fold")
+def q_stream_balance_fold(spark, sf_dir):
+    from jarledger.streaming.ledger_streams import run_stream_balance_fold
+    return run_stream_balance_fold(spark, sf_dir)
+
+
+@register("stream_ordered_replay")
+def q_stream_ordered_replay(spark, sf_dir):
+    from jarledger.streaming.ledger_streams import run_stream_ordered_replay
+    return run_stream_ordered_replay(spark, sf_dir)
+
+
+@register("stream_daily_net")
+def q_stream_daily_net(spark, sf_dir):
+    from jarledger.streaming.ledger_streams import run_stream_daily_net
+    return run_stream_daily_net(spark, sf_dir)

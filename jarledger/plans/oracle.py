@@ -569,7 +569,22 @@ LEFT JOIN profiles p ON p.id = b.user_id LEFT JOIN labels_dict d ON d.language =
 """
 
 
-RECURSIVE = {"ordered_replay", "tx_delete_apply"}
+Q["stream_balance_fold"] = """
+SELECT box_id, CAST(sum(amount) AS DECIMAL(20,2)) AS balance, max(date) AS updated_at, count(*) AS n_tx
+FROM transactions GROUP BY box_id
+"""
+
+Q["stream_ordered_replay"] = Q["ordered_replay"]
+
+# A day is emitted once the watermark (newest event time - 1 hour) passes its end.
+Q["stream_daily_net"] = """
+SELECT box_id, CAST(date AS DATE) AS day, CAST(sum(amount) AS DECIMAL(20,2)) AS net
+FROM transactions
+WHERE CAST(date AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+GROUP BY box_id, CAST(date AS DATE)
+"""
+
+RECURSIVE = {"ordered_replay", "tx_delete_apply", "stream_ordered_replay"}
 
 
 def oracle_sql() -> dict[str, str]:
