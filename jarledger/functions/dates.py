@@ -8,6 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The chart's English weekday and month abbreviations.
+WEEKDAYS = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def _names(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
 
 def day_key(ts: Column | str) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
@@ -15,8 +23,8 @@ def day_key(ts: Column | str) -> Column:
 
 
 def weekday_label(day: Column) -> Column:
-    """'Mon', 'Tue', ... (English short weekday)."""
-    return F.date_format(day, "EEE")
+    """'Mon', 'Tue', ... (English short weekday; dayofweek is 1 for Sunday)."""
+    return F.element_at(_names(WEEKDAYS), F.dayofweek(day))
 
 
 def month_day_label(day: Column) -> Column:
@@ -26,7 +34,7 @@ def month_day_label(day: Column) -> Column:
 
 def day_month_label(day: Column) -> Column:
     """'5 Jan'."""
-    return F.date_format(day, "d MMM")
+    return F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.element_at(_names(MONTHS), F.month(day)))
 
 
 def time_text_en(ts: Column, is_today: Column, today_label: str | Column | None = "Today") -> Column:

@@ -3,10 +3,14 @@
 Plan shape, for every box at once:
   1. one partial+final aggregate of transactions to (box, day) -- this bounds
      a hot box to one row per day before anything else is shuffled;
-  2. the per-box day spine (``explode(sequence)``, no join) is unioned with
-     those daily rows;
-  3. one window exchange on ``box_id`` computes the running sum, the period
-     total and the box's current balance in a single Window operator.
+  2. week / month: a second aggregate folds each box's in-period days into a
+     short list (at most 7 or 30 entries, one per calendar day of the period)
+     plus the period total; after the join to the boxes, each box's points
+     are generated in place (``explode(sequence)``), so the boxes x days spine
+     is never shuffled -- only one row per box and per active box-day is;
+  3. 'all': box rows and daily rows meet in one window exchange on
+     ``box_id`` that computes the running sum, the last day and the box's
+     current balance in a single Window operator.
 """
 
 from __future__ import annotations
@@ -54,30 +58,27 @@ def balance_period(tx: DataFrame, boxes: DataFrame, *, as_of: dt.date | str, day
     as_of = _as_date(as_of)
     first = as_of - dt.timedelta(days=days - 1)
     daily = daily_net(tx, since=first)
-    spine = boxes.select(
-        F.col("id").alias("box_id"),
-        F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day"),
-        F.col("current_amount").alias("current"),
-        F.lit(None).cast("decimal(22,2)").alias("net"),
-        F.lit(True).alias("is_point"),
-    )
-    days_rows = daily.select(
-        "box_id", "day", F.lit(None).cast("decimal(12,2)").alias("current"), "net",
-        F.lit(False).alias("is_point"),
-    )
-    whole, upto = _ordered()
-    rows = spine.unionByName(days_rows).select(
-        "box_id", "day", "is_point",
-        F.max("current").over(whole).alias("cur"),
-        F.sum("net").over(whole).alias("period_sum"),
-        F.sum("net").over(upto).alias("run"),
+    # One row per box: the period total (future days too) and the in-period
+    # days -- a list bounded by the period length, whatever the box's volume.
+    per_box = daily.groupBy("box_id").agg(
+        F.sum("net").alias("period_sum"),
+        F.collect_list(F.when(F.col("day") <= F.lit(as_of), F.struct("day", "net"))).alias("entries"),
     )
+    b = boxes.select(F.col("id").alias("box_id"), F.col("current_amount").alias("cur"))
     opening = F.greatest(F.lit(0), F.col("cur") - F.coalesce(F.col("period_sum"), F.lit(0)))
-    balance = F.when(F.col("day") == F.lit(as_of), F.col("cur")).otherwise(
-        opening + F.coalesce(F.col("run"), F.lit(0))
+    pts = b.join(per_box, "box_id", "left").select(
+        "box_id", "cur", "entries", opening.alias("opening"),
+        F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day"),
+    )
+    acc_t = "decimal(22,2)"
+    run = F.aggregate(
+        F.filter(F.coalesce(F.col("entries"), F.array().cast(f"array<struct<day:date,net:{acc_t}>>")),
+                 lambda e: e["day"] <= F.col("day")),
+        F.lit(0).cast(acc_t), lambda acc, e: (acc + e["net"]).cast(acc_t),
     )
+    balance = F.when(F.col("day") == F.lit(as_of), F.col("cur")).otherwise(F.col("opening") + run)
     label = label if label is not None else weekday_label(F.col("day"))
-    return rows.where("is_point").select(
+    return pts.select(
         "box_id",
         F.datediff(F.col("day"), F.lit(first)).cast("bigint").alias("point"),
         "day",

@@ -248,3 +248,15 @@ def bind_lineitem(spark: SparkSession, sf_dir: str) -> Ledger:
         op_log=op_log,
         as_of=AS_OF_L,
     )
+
+
+def materialize(ledger: Ledger, root: str) -> Ledger:
+    """Write the bound tables once under a shared folder and read them back:
+    later plans start from stored tables (as a production ledger would), not
+    from the binding's joins and aggregates."""
+    spark = ledger.transactions.sparkSession
+    out = {}
+    for name in ("profiles", "box_templates", "user_boxes", "transactions", "rates", "op_log"):
+        getattr(ledger, name).write.mode("overwrite").parquet(f"{root}/{name}")
+        out[name] = spark.read.parquet(f"{root}/{name}")
+    return Ledger(as_of=ledger.as_of, **out)
