@@ -40,16 +40,17 @@ def rates_load(uah_feed: DataFrame, cross_feed: DataFrame) -> DataFrame:
     spark = uah_feed.sparkSession
     uah = clean_uah_feed(uah_feed)
 
-    # Base UAH: all-or-nothing over the three foreign codes.
+    # Base UAH: all-or-nothing over the three foreign codes.  One bounded
+    # aggregate (at most three entries) decides and emits the base's rows.
     foreign = uah.where(F.col("cc").isin(*CROSS_BASES)).select(
-        F.lit("UAH").alias("base"), F.col("cc").alias("quote"), (F.lit(1.0) / F.col("rate")).alias("rate")
+        F.lit("UAH").alias("base"), F.struct(F.col("cc").alias("quote"), (F.lit(1.0) / F.col("rate")).alias("rate"))
+        .alias("r"))
+    self_uah = F.array(F.struct(F.lit("UAH").alias("quote"), F.lit(1.0).alias("rate")))
+    uah_base = (
+        foreign.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.collect_list("r").alias("rows"))
+        .where(F.col("n") == len(CROSS_BASES))
+        .select("base", F.inline(F.concat(F.col("rows"), self_uah)))
     )
-    complete = (
-        foreign.groupBy("base").agg(F.count("*").alias("n"))
-        .where(F.col("n") == len(CROSS_BASES)).select("base")
-    )
-    uah_self = spark.createDataFrame([("UAH", "UAH", 1.0)], "base STRING, quote STRING, rate DOUBLE")
-    uah_base = foreign.unionByName(uah_self).join(complete, "base", "left_semi")
 
     # Cross bases: self = 1 beats the UAH-feed rate, which beats the cross feed.
     bases = spark.createDataFrame([(b,) for b in CROSS_BASES], "base STRING")
