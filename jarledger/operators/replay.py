@@ -11,13 +11,15 @@ Order-dependent folds are done without gathering a box's operations anywhere:
   batch fold that keeps only the running state -- memory stays one batch
   however many operations a box has;
 * the clamped delete fold (O41) has a closed form (a Lindley recursion), so it
-  runs as a two-level prefix scan: per (box, day) chunk, then over the chunks.
+  runs as a two-level prefix scan: per contiguous range of the global
+  (box, ts, req_id) order, then over a box's ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -262,7 +264,43 @@ def crossout_apply(boxes: DataFrame, templates: DataFrame, requests: DataFrame
 
 # ---------------------------------------------------------------- O41
 
-def tx_delete_apply(boxes: DataFrame, tx: DataFrame, deletions: DataFrame
+CHUNK_OUT = "box_id BIGINT, chunk INT, t BIGINT, m BIGINT, k BIGINT"
+
+
+def _chunk_summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per box within one range partition: total t, minimum prefix sum m and
+    row count k of the (sorted) steps x, vectorised per Arrow batch; a box
+    that straddles batches carries (t, m, k) into the next one."""
+    carry = None  # (box, chunk, t, m, k)
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        box = pdf["box_id"].to_numpy()
+        x = pdf["x"].to_numpy(dtype=np.int64)
+        chunk = int(pdf["chunk"].iat[0])
+        starts = np.flatnonzero(np.r_[True, box[1:] != box[:-1]])
+        ends = np.r_[starts[1:], len(x)]
+        cs = np.cumsum(x)
+        before = np.r_[0, cs[starts[1:] - 1]] if len(starts) > 1 else np.zeros(1, dtype=np.int64)
+        run = cs - np.repeat(before, ends - starts)
+        t = run[ends - 1].copy()
+        m = np.minimum.reduceat(run, starts)
+        k = (ends - starts).astype(np.int64)
+        b = box[starts]
+        if carry is not None and carry[0] == b[0]:
+            m[0] = min(carry[3], carry[2] + m[0])
+            t[0] += carry[2]
+            k[0] += carry[4]
+        elif carry is not None:
+            yield pd.DataFrame([carry], columns=["box_id", "chunk", "t", "m", "k"])
+        carry = (int(b[-1]), chunk, int(t[-1]), int(m[-1]), int(k[-1]))
+        if len(b) > 1:
+            yield pd.DataFrame({"box_id": b[:-1], "chunk": chunk, "t": t[:-1], "m": m[:-1], "k": k[:-1]})
+    if carry is not None:
+        yield pd.DataFrame([carry], columns=["box_id", "chunk", "t", "m", "k"])
+
+
+def tx_delete_apply(boxes: DataFrame, tx: DataFrame, deletions: DataFrame, chunks: int | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """``deletions(req_id, ts, tx_id)`` -> (new box balances, remaining tx).
 
@@ -271,29 +309,35 @@ def tx_delete_apply(boxes: DataFrame, tx: DataFrame, deletions: DataFrame
     unknown transactions or boxes do nothing.
 
     The clamp b_k = max(0, b_{k-1} + x_k) with x = -amount has the closed form
-    b_n = S_n - min(-b_0, 0, min_k S_k) over prefix sums S_k.  Prefix minima
-    compose over chunks ((t1, m1) then (t2, m2) -> (t1 + t2, min(m1, t1 + m2))),
-    so it is computed per (box, day) chunk and then across a box's chunks:
-    no window ever spans a whole hot box.
+    b_n = S_n - min(-b_0, 0, min_k S_k) over prefix sums S_k, and (total,
+    minimum prefix) pairs compose over consecutive pieces:
+    (t1, m1) then (t2, m2) -> (t1 + t2, min(m1, t1 + m2)).  So the steps are
+    range-partitioned on (box, ts, req_id) -- a hot box spreads over many
+    contiguous ranges -- each range is summarised per box in one vectorised
+    pass, and only the per-range summaries (at most one per range) are
+    composed per box.  Exact in integer cents.
     """
     d = deletions.groupBy("tx_id").agg(F.min(F.struct("ts", "req_id")).alias("first"))
     t = tx.select(F.col("id").alias("tx_id"), "box_id", "amount")
     known = boxes.select(F.col("id").alias("box_id"), F.col("current_amount").alias("b0"))
     hits = d.join(t, "tx_id").join(known.select("box_id"), "box_id", "left_semi").select(
         "box_id", "tx_id", F.col("first.ts").alias("ts"), F.col("first.req_id").alias("req_id"),
-        (-F.col("amount")).alias("x"), F.to_date(F.col("first.ts")).alias("chunk"),
+        (-(F.col("amount").cast("decimal(14,2)") * 100)).cast("bigint").alias("x"),
     )
-    w_in = Window.partitionBy("box_id", "chunk").orderBy("ts", "req_id") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks = hits.withColumn("p", F.sum("x").over(w_in)).groupBy("box_id", "chunk").agg(
-        F.sum("x").alias("t"), F.min("p").alias("m"), F.count(F.lit(1)).alias("k"))
+    keys = ["box_id", "ts", "req_id"]
+    ranged = (hits.repartitionByRange(chunks, *keys) if chunks else hits.repartitionByRange(*keys)) \
+        .sortWithinPartitions(*keys)
+    summaries = ranged.select("box_id", F.spark_partition_id().alias("chunk"), "x") \
+        .mapInPandas(_chunk_summaries, CHUNK_OUT)
     w_c = Window.partitionBy("box_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("before", F.coalesce(F.sum("t").over(w_c), F.lit(0)))
-    per_box = chunks.groupBy("box_id").agg(
+    composed = summaries.withColumn("before", F.coalesce(F.sum("t").over(w_c), F.lit(0)))
+    per_box = composed.groupBy("box_id").agg(
         F.sum("t").alias("s"), F.min(F.col("before") + F.col("m")).alias("mn"), F.sum("k").alias("n"))
+    b0 = (F.col("b0").cast("decimal(14,2)") * 100).cast("bigint")
+    final_cents = F.col("s") - F.least(-b0, F.lit(0), F.col("mn"))
     bal = per_box.join(known, "box_id").select(
         "box_id",
-        money_out(F.col("s") - F.least(-F.col("b0"), F.lit(0), F.col("mn"))).alias("balance"),
+        money_out(final_cents.cast("decimal(20,0)") / 100).alias("balance"),
         F.col("n").cast("bigint").alias("n_deleted"),
     )
     remaining = tx.join(hits.select(F.col("tx_id").alias("id")), "id", "left_anti")

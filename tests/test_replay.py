@@ -132,3 +132,30 @@ def test_box_from_template_defaults(spark):
                                 "request_id BIGINT, user_id BIGINT, template_id BIGINT, name STRING")
     got = {r["request_id"]: (r["name"], r["currency"]) for r in replay.box_from_template(req, t).collect()}
     assert got == {1: ("Jar", "EUR"), 2: ("  ", "EUR"), 4: ("Jar", "EUR")}
+
+
+def test_delete_apply_hot_box_spans_many_ranges(spark):
+    """One box holds most deletions, many at the same instant: the range
+    chunks split it and the composed result equals the sequential clamp."""
+    rnd = random.Random(5)
+    tx_rows, del_rows, seq = [], [], []
+    for tid in range(1, 1501):
+        box = 1 if tid % 10 else 2
+        amt = D(rnd.randint(-5000, 5000)) / 100 or D(1)
+        tx_rows.append((tid, box, amt, None, ts(-40)))
+        when = ts(0, 12) if tid % 3 else ts(0, 12, 1)
+        del_rows.append((tid, when, tid))
+        seq.append((box, when, tid, amt))
+    b0 = {1: D("25.00"), 2: D("0.00")}
+    expect = dict(b0)
+    for box, _, _, amt in sorted(seq):
+        expect[box] = max(D(0), expect[box] - amt)
+    deletions = spark.createDataFrame(del_rows, "req_id BIGINT, ts TIMESTAMP_NTZ, tx_id BIGINT")
+    b = boxes(spark, [{"id": k, "current_amount": v} for k, v in b0.items()])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        bal, _ = replay.tx_delete_apply(b, tx(spark, tx_rows), deletions, chunks=16)
+        got = {r["box_id"]: (r["balance"], r["n_deleted"]) for r in bal.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1: (expect[1], 1350), 2: (expect[2], 150)}
