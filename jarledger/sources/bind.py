@@ -250,13 +250,35 @@ def bind_lineitem(spark: SparkSession, sf_dir: str) -> Ledger:
     )
 
 
-def materialize(ledger: Ledger, root: str) -> Ledger:
+# Per-box operators key on these columns; bucketing the stored tables on them
+# co-locates a box's rows, so per-box aggregates, the box joins and the box
+# windows need no exchange at all.
+BUCKET_KEYS = {"user_boxes": ("id",), "transactions": ("box_id", "date"), "op_log": ("box_id", "ts")}
+TABLES = ("profiles", "box_templates", "user_boxes", "transactions", "rates", "op_log")
+
+
+def materialize(ledger: Ledger, root: str, buckets: int | None = None, prefix: str | None = None) -> Ledger:
     """Write the bound tables once under a shared folder and read them back:
     later plans start from stored tables (as a production ledger would), not
-    from the binding's joins and aggregates."""
+    from the binding's joins and aggregates.
+
+    With ``buckets``, boxes, transactions and the op log are stored as
+    external tables bucketed on the box id (and sorted by time inside each
+    bucket); the same bucket count on both sides lets box joins run without
+    a shuffle.
+    """
     spark = ledger.transactions.sparkSession
     out = {}
-    for name in ("profiles", "box_templates", "user_boxes", "transactions", "rates", "op_log"):
-        getattr(ledger, name).write.mode("overwrite").parquet(f"{root}/{name}")
-        out[name] = spark.read.parquet(f"{root}/{name}")
+    for name in TABLES:
+        df = getattr(ledger, name)
+        path = f"{root}/{name}"
+        if buckets and name in BUCKET_KEYS:
+            key, *order = BUCKET_KEYS[name]
+            table = f"{prefix or 'ledger'}_{name}"
+            (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order)
+             .option("path", path).saveAsTable(table))
+            out[name] = spark.table(table)
+        else:
+            df.write.mode("overwrite").parquet(path)
+            out[name] = spark.read.parquet(path)
     return Ledger(as_of=ledger.as_of, **out)
