@@ -584,6 +584,60 @@ WHERE CAST(date AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTE
 GROUP BY box_id, CAST(date AS DATE)
 """
 
+Q["home_cards"] = WEEK + RECENT + f"""
+, gp AS (
+  SELECT b.id AS box_id, b.current_amount,
+         CAST(coalesce(b.target_amount, CAST(t.total_amount AS DECIMAL(12,2)), 0) AS DECIMAL(20,2)) AS target
+  FROM user_boxes b LEFT JOIN box_templates t ON t.id = b.template_id
+),
+hb AS (
+  SELECT b.id AS box_id, upper(coalesce(nullif(b.currency, ''), 'EUR')) AS code,
+         upper(coalesce(b.currency, 'EUR')) AS shown_code, p.home_currency, CAST(b.current_amount AS DOUBLE) AS bal
+  FROM user_boxes b LEFT JOIN profiles p ON p.id = b.user_id
+),
+he AS (
+  SELECT hb.*, CASE WHEN home_currency IS NULL THEN NULL WHEN code = home_currency THEN bal
+                    WHEN r.rate IS NULL OR r.rate = 0 THEN NULL ELSE bal / r.rate END AS home_equivalent
+  FROM hb LEFT JOIN rates r ON r.base = hb.home_currency AND r.quote = hb.code
+)
+SELECT b.id AS box_id, b.name,
+       CASE upper(coalesce(b.currency, 'EUR')) WHEN 'EUR' THEN '€' WHEN 'USD' THEN '$' WHEN 'UAH' THEN '₴'
+            WHEN 'GBP' THEN '£' ELSE upper(coalesce(b.currency, 'EUR')) END AS symbol,
+       CAST(b.current_amount AS DECIMAL(20,2)) AS balance,
+       gp.target,
+       CASE WHEN CAST(gp.target AS DOUBLE) > 0
+            THEN least(CAST(gp.current_amount AS DOUBLE) / CAST(gp.target AS DOUBLE), CAST(1 AS DOUBLE))
+            ELSE CAST(0 AS DOUBLE) END AS progress,
+       CAST(CASE WHEN CAST(gp.target AS DOUBLE) > 0
+                 THEN floor(least(CAST(gp.current_amount AS DOUBLE) / CAST(gp.target AS DOUBLE) * CAST(100 AS DOUBLE),
+                                  CAST(100 AS DOUBLE)) + CAST(0.5 AS DOUBLE))
+                 ELSE 0 END AS BIGINT) AS percent,
+       CAST(gp.target AS DOUBLE) > 0 AND gp.current_amount >= gp.target AS is_full,
+       he.home_equivalent,
+       he.home_currency IS NOT NULL AND he.shown_code <> he.home_currency AND he.home_equivalent IS NOT NULL AS shown,
+       (SELECT max(CAST(w.balance AS DOUBLE)) FROM wk w WHERE w.box_id = b.id) AS week_peak,
+       (SELECT count(*) FROM recent r WHERE r.box_id = b.id) AS n_recent,
+       (SELECT max(r.date) FROM recent r WHERE r.box_id = b.id) AS last_activity
+FROM user_boxes b JOIN gp ON gp.box_id = b.id JOIN he ON he.box_id = b.id
+WHERE NOT coalesce(b.is_archived, false)
+"""
+
+Q["drain_and_fold"] = """
+, q AS (SELECT *, coalesce(failed OR amount IS NULL OR amount = 0, true) AS bad
+        FROM op_log WHERE op IN ('add', 'withdraw')),
+st AS (
+  SELECT q.*, EXISTS (SELECT 1 FROM q f WHERE f.bad AND f.device = q.device
+                      AND (f.ts < q.ts OR (f.ts = q.ts AND f.op_id <= q.op_id))) AS blocked
+  FROM q
+)
+SELECT box_id,
+       CAST(coalesce(sum(CASE WHEN NOT blocked THEN CASE WHEN op = 'withdraw' THEN -abs(amount) ELSE abs(amount) END END), 0)
+            AS DECIMAL(20,2)) AS posted_sum,
+       count(*) FILTER (WHERE NOT blocked) AS n_posted,
+       count(*) FILTER (WHERE blocked) AS n_kept
+FROM st GROUP BY box_id
+"""
+
 RECURSIVE = {"ordered_replay", "tx_delete_apply", "stream_ordered_replay"}
 
 
