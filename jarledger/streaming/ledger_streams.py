@@ -39,14 +39,19 @@ def stream_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream over one driver table (the folder holds all tables, so a
-    glob filter picks the table's file)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
+def file_stream(spark: SparkSession, folder: str, table: str = "events", files_per_trigger: int = 1,
+                glob: str | None = None) -> DataFrame:
+    """A parquet file stream over ``folder``.  The driver folder holds all
+    tables as ``<table>.parquet``, so by default a glob picks the table's
+    file; a landing folder of many files takes ``glob='*.parquet'``.  The
+    schema is declared from the table (no inference on a stream)."""
+    folder = folder.rstrip("/")
+    glob = glob or f"{table}.parquet"
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
     return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet")
+            .option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(sf_dir))
+            .parquet(folder))
 
 
 # ------------------------------------------------------------------ O43
@@ -151,37 +156,48 @@ def run_append_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 # ------------------------------------------------------------------ runners
+#
+# Each runner takes the events folder and, optionally, fixed output and
+# checkpoint folders: running again with the same ones resumes the query
+# from its checkpoint and processes only files it has not seen.
 
-def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
+
+def _dirs(spark: SparkSession, name: str, out: str | None, checkpoint: str | None) -> tuple[str, str]:
+    if out and checkpoint:
+        return out, checkpoint
     base = shared_dir(spark, "streams", name)
-    return f"{base}/out", f"{base}/checkpoint"
+    return out or f"{base}/out", checkpoint or f"{base}/checkpoint"
 
 
-def run_stream_balance_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_stream_balance_fold(spark: SparkSession, folder: str, out: str | None = None,
+                            checkpoint: str | None = None, glob: str | None = None) -> DataFrame:
     from jarledger.sources.bind import transactions_from_events
     stream_conf(spark)
-    out, ckpt = _dirs(spark, "balance_fold")
-    run_complete_to_table(stream_balance_fold(transactions_from_events(file_stream(spark, sf_dir, "events"))),
-                          out, ckpt)
+    out, ckpt = _dirs(spark, "balance_fold", out, checkpoint)
+    src = file_stream(spark, folder, "events", glob=glob)
+    run_complete_to_table(stream_balance_fold(transactions_from_events(src)), out, ckpt)
     return spark.read.parquet(out)
 
 
-def run_stream_ordered_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_stream_ordered_replay(spark: SparkSession, folder: str, out: str | None = None,
+                              checkpoint: str | None = None, glob: str | None = None) -> DataFrame:
     from jarledger.sources.bind import op_log_from_events
     stream_conf(spark)
-    out, ckpt = _dirs(spark, "ordered_replay")
-    run_update_to_log(stream_ordered_replay(op_log_from_events(file_stream(spark, sf_dir, "events"))), out, ckpt)
+    out, ckpt = _dirs(spark, "ordered_replay", out, checkpoint)
+    src = file_stream(spark, folder, "events", glob=glob)
+    run_update_to_log(stream_ordered_replay(op_log_from_events(src)), out, ckpt)
     latest = latest_per_key(spark.read.parquet(out))
     return latest.select("box_id", money_out(F.col("balance_cents").cast("decimal(20,0)") / 100)
                          .alias("final_balance"), "n_ops", "n_applied", "n_rejected")
 
 
-def run_stream_daily_net(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
+def run_stream_daily_net(spark: SparkSession, folder: str, delay: str = "1 hour", out: str | None = None,
+                         checkpoint: str | None = None, glob: str | None = None) -> DataFrame:
     from jarledger.sources.bind import transactions_from_events
     stream_conf(spark)
-    out, ckpt = _dirs(spark, "daily_net")
+    out, ckpt = _dirs(spark, "daily_net", out, checkpoint)
     # The device re-sends: the same rows arrive twice (at-least-once delivery).
-    first = transactions_from_events(file_stream(spark, sf_dir, "events"))
-    again = transactions_from_events(file_stream(spark, sf_dir, "events"))
+    first = transactions_from_events(file_stream(spark, folder, "events", glob=glob))
+    again = transactions_from_events(file_stream(spark, folder, "events", glob=glob))
     run_append_to_files(stream_daily_net(first.unionByName(again), delay), out, ckpt)
     return spark.read.parquet(out)
