@@ -420,7 +420,8 @@ FROM op_log WHERE op IN ('add', 'withdraw')
 Q["drain_until_failure"] = f"SELECT op_id, device, NOT {BLOCKED} AS posted FROM op_log o"
 
 Q["ordered_replay"] = """
-, ops AS (SELECT box_id, op, amount, row_number() OVER (PARTITION BY box_id ORDER BY ts, op_id) AS rn FROM op_log),
+, op_once AS (SELECT * FROM op_log QUALIFY row_number() OVER (PARTITION BY op_id ORDER BY ts) = 1),
+ops AS (SELECT box_id, op, amount, row_number() OVER (PARTITION BY box_id ORDER BY ts, op_id) AS rn FROM op_once),
 walk AS (
   SELECT box_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DECIMAL(20,2)) AS bal, CAST(0 AS BIGINT) AS applied
   FROM (SELECT DISTINCT box_id FROM ops)

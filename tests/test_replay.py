@@ -159,3 +159,13 @@ def test_delete_apply_hot_box_spans_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {1: (expect[1], 1350), 2: (expect[2], 150)}
+
+
+def test_replay_applies_a_resent_item_once(spark):
+    rows = [(1, ts(0, 1), "d", 1, "add", 10, False), (2, ts(0, 2), "d", 1, "withdraw", 4, False),
+            (3, ts(0, 3), "d", 1, "add", 1, False)]
+    once = ops(spark, rows)
+    twice = ops(spark, rows + rows[:2])
+    a = replay.ordered_replay(once).first()
+    b = replay.ordered_replay(twice, partitions=2).first()
+    assert (a["final_balance"], a["n_ops"]) == (b["final_balance"], b["n_ops"]) == (D(7), 3)
