@@ -5,7 +5,7 @@ import random
 from decimal import Decimal as D
 
 from jarledger.operators import replay
-from tests.frames import AS_OF, boxes, ops, templates, ts, tx
+from tests.frames import boxes, ops, templates, ts, tx
 
 
 def test_g11_drain_stops_at_first_failure(spark):

@@ -2,7 +2,6 @@
 
 import os
 import tempfile
-from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
