@@ -143,7 +143,7 @@ def _sorted_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | Non
 
 
 def _cents_to_money(c: str):
-    return money_out(F.col(c).cast("decimal(20,0)") / 100)
+    return money_out(F.col(c).cast("decimal(18,0)") / 100)
 
 
 def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
@@ -343,7 +343,7 @@ def tx_delete_apply(boxes: DataFrame, tx: DataFrame, deletions: DataFrame, chunk
     final_cents = F.col("s") - F.least(-b0, F.lit(0), F.col("mn"))
     bal = per_box.join(known, "box_id").select(
         "box_id",
-        money_out(final_cents.cast("decimal(20,0)") / 100).alias("balance"),
+        money_out(final_cents.cast("decimal(18,0)") / 100).alias("balance"),
         F.col("n").cast("bigint").alias("n_deleted"),
     )
     remaining = tx.join(hits.select(F.col("tx_id").alias("id")), "id", "left_anti")

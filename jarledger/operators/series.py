@@ -76,7 +76,10 @@ def balance_period(tx: DataFrame, boxes: DataFrame, *, as_of: dt.date | str, day
                  lambda e: e["day"] <= F.col("day")),
         F.lit(0).cast(acc_t), lambda acc, e: (acc + e["net"]).cast(acc_t),
     )
-    balance = F.when(F.col("day") == F.lit(as_of), F.col("cur")).otherwise(F.col("opening") + run)
+    # Most boxes have no in-period day: skip the per-point list scan for them.
+    balance = (F.when(F.col("day") == F.lit(as_of), F.col("cur"))
+               .when(F.col("entries").isNull() | (F.size("entries") == 0), F.col("opening"))
+               .otherwise(F.col("opening") + run))
     label = label if label is not None else weekday_label(F.col("day"))
     return pts.select(
         "box_id",

@@ -98,7 +98,7 @@ wk AS (
                    + coalesce((SELECT sum(t.amount) FROM transactions t
                                WHERE t.box_id = sp.box_id AND CAST(t.date AS DATE) >= {AS_OF} - 6
                                  AND CAST(t.date AS DATE) <= sp.day), 0)
-              END AS DECIMAL(20,2)) AS balance
+              END AS DECIMAL(18,2)) AS balance
   FROM wk_spine sp
 )
 """
@@ -119,7 +119,7 @@ mo AS (
                    + coalesce((SELECT sum(t.amount) FROM transactions t
                                WHERE t.box_id = sp.box_id AND CAST(t.date AS DATE) >= {AS_OF} - 29
                                  AND CAST(t.date AS DATE) <= sp.day), 0)
-              END AS DECIMAL(20,2)) AS balance
+              END AS DECIMAL(18,2)) AS balance
   FROM mo_spine sp
 )
 """
@@ -135,11 +135,11 @@ al_pts AS (
 ),
 al AS (
   SELECT box_id, CAST(point AS BIGINT) AS point, day, strftime(day, '%-d %b') AS label,
-         CAST(CASE WHEN day = last_day AND day = {AS_OF} THEN cur ELSE run END AS DECIMAL(20,2)) AS balance
+         CAST(CASE WHEN day = last_day AND day = {AS_OF} THEN cur ELSE run END AS DECIMAL(18,2)) AS balance
   FROM al_pts
   UNION ALL
   SELECT b.id, CAST(p.point AS BIGINT), {AS_OF}, p.label,
-         CAST(CASE WHEN p.point = 0 THEN 0 ELSE b.current_amount END AS DECIMAL(20,2))
+         CAST(CASE WHEN p.point = 0 THEN 0 ELSE b.current_amount END AS DECIMAL(18,2))
   FROM user_boxes b, (VALUES (0, 'Start'), (1, 'Now')) p(point, label)
   WHERE b.current_amount <> 0 AND NOT EXISTS (SELECT 1 FROM transactions t WHERE t.box_id = b.id)
 )
@@ -287,7 +287,7 @@ WHERE NOT EXISTS (SELECT 1 FROM transactions t WHERE t.box_id = b.id)
 """
 
 Q["balance_fold"] = f"""
-SELECT b.id, CAST(b.current_amount + coalesce(s.s, 0) AS DECIMAL(20,2)) AS current_amount,
+SELECT b.id, CAST(b.current_amount + coalesce(s.s, 0) AS DECIMAL(18,2)) AS current_amount,
        coalesce(s.last, b.created_at) AS updated_at, CAST(coalesce(s.n, 0) AS BIGINT) AS n_inserted
 FROM user_boxes b LEFT JOIN (
   SELECT box_id, sum(amount) AS s, max(date) AS last, count(*) AS n FROM transactions
@@ -297,7 +297,7 @@ FROM user_boxes b LEFT JOIN (
 Q["goal_progress"] = """
 , g AS (
   SELECT b.id AS box_id, b.current_amount,
-         CAST(coalesce(b.target_amount, CAST(t.total_amount AS DECIMAL(12,2)), 0) AS DECIMAL(20,2)) AS target
+         CAST(coalesce(b.target_amount, CAST(t.total_amount AS DECIMAL(12,2)), 0) AS DECIMAL(18,2)) AS target
   FROM user_boxes b LEFT JOIN box_templates t ON t.id = b.template_id
 )
 SELECT box_id, target,
@@ -332,25 +332,25 @@ FROM gs
 """
 
 Q["net_saved_month"] = """
-SELECT b.user_id, CAST(coalesce(sum(t.amount), 0) AS DECIMAL(20,2)) AS net_saved
+SELECT b.user_id, CAST(coalesce(sum(t.amount), 0) AS DECIMAL(18,2)) AS net_saved
 FROM user_boxes b LEFT JOIN transactions t ON t.box_id = b.id AND CAST(t.date AS DATE) >= DATE '2024-01-01'
 GROUP BY b.user_id
 """
 
 Q["net_saved_month_by_currency"] = """
 SELECT b.user_id, upper(coalesce(b.currency, 'EUR')) AS currency,
-       CAST(coalesce(sum(t.amount), 0) AS DECIMAL(20,2)) AS net_saved
+       CAST(coalesce(sum(t.amount), 0) AS DECIMAL(18,2)) AS net_saved
 FROM user_boxes b LEFT JOIN transactions t ON t.box_id = b.id AND CAST(t.date AS DATE) >= DATE '2024-01-01'
 GROUP BY b.user_id, upper(coalesce(b.currency, 'EUR'))
 """
 
 Q["ledger_reconcile"] = """
 SELECT coalesce(b.id, s.box_id) AS box_id,
-       CAST(b.current_amount AS DECIMAL(20,2)) AS stored,
-       CAST(coalesce(s.s, 0) AS DECIMAL(20,2)) AS tx_sum,
-       CAST(b.current_amount - coalesce(s.s, 0) AS DECIMAL(20,2)) AS drift,
+       CAST(b.current_amount AS DECIMAL(18,2)) AS stored,
+       CAST(coalesce(s.s, 0) AS DECIMAL(18,2)) AS tx_sum,
+       CAST(b.current_amount - coalesce(s.s, 0) AS DECIMAL(18,2)) AS drift,
        CAST(CASE WHEN b.current_amount - coalesce(s.s, 0) > 0 THEN b.current_amount - coalesce(s.s, 0) ELSE 0 END
-            AS DECIMAL(20,2)) AS opening
+            AS DECIMAL(18,2)) AS opening
 FROM user_boxes b FULL JOIN (SELECT box_id, sum(amount) AS s FROM transactions GROUP BY box_id) s ON s.box_id = b.id
 """
 
@@ -423,7 +423,7 @@ Q["ordered_replay"] = """
 , op_once AS (SELECT * FROM op_log QUALIFY row_number() OVER (PARTITION BY op_id ORDER BY ts) = 1),
 ops AS (SELECT box_id, op, amount, row_number() OVER (PARTITION BY box_id ORDER BY ts, op_id) AS rn FROM op_once),
 walk AS (
-  SELECT box_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DECIMAL(20,2)) AS bal, CAST(0 AS BIGINT) AS applied
+  SELECT box_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DECIMAL(18,2)) AS bal, CAST(0 AS BIGINT) AS applied
   FROM (SELECT DISTINCT box_id FROM ops)
   UNION ALL
   SELECT w.box_id, o.rn,
@@ -432,7 +432,7 @@ walk AS (
                    WHEN o.op = 'add' AND o.amount <> 0 THEN w.bal + abs(o.amount)
                    WHEN o.op = 'withdraw' AND o.amount <> 0 AND w.bal >= abs(o.amount) THEN w.bal - abs(o.amount)
                    WHEN o.op = 'delete_tx' THEN greatest(0, w.bal - o.amount)
-                   ELSE w.bal END AS DECIMAL(20,2)),
+                   ELSE w.bal END AS DECIMAL(18,2)),
          w.applied + CASE WHEN o.op = 'reset'
                             OR (o.amount IS NOT NULL AND ((o.op = 'add' AND o.amount <> 0)
                                 OR (o.op = 'withdraw' AND o.amount <> 0 AND w.bal >= abs(o.amount))
@@ -542,10 +542,10 @@ hits AS (
 ),
 seq AS (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY ts, req_id) AS rn FROM hits),
 walk AS (
-  SELECT b.id AS box_id, CAST(0 AS BIGINT) AS rn, CAST(b.current_amount AS DECIMAL(20,2)) AS bal
+  SELECT b.id AS box_id, CAST(0 AS BIGINT) AS rn, CAST(b.current_amount AS DECIMAL(18,2)) AS bal
   FROM user_boxes b WHERE b.id IN (SELECT box_id FROM hits)
   UNION ALL
-  SELECT w.box_id, s.rn, CAST(greatest(0, w.bal - s.amount) AS DECIMAL(20,2))
+  SELECT w.box_id, s.rn, CAST(greatest(0, w.bal - s.amount) AS DECIMAL(18,2))
   FROM walk w JOIN seq s ON s.box_id = w.box_id AND s.rn = w.rn + 1
 )
 SELECT box_id, bal AS balance, rn AS n_deleted FROM walk w
@@ -571,7 +571,7 @@ LEFT JOIN profiles p ON p.id = b.user_id LEFT JOIN labels_dict d ON d.language =
 
 
 Q["stream_balance_fold"] = """
-SELECT box_id, CAST(sum(amount) AS DECIMAL(20,2)) AS balance, max(date) AS updated_at, count(*) AS n_tx
+SELECT box_id, CAST(sum(amount) AS DECIMAL(18,2)) AS balance, max(date) AS updated_at, count(*) AS n_tx
 FROM transactions GROUP BY box_id
 """
 
@@ -579,7 +579,7 @@ Q["stream_ordered_replay"] = Q["ordered_replay"]
 
 # A day is emitted once the watermark (newest event time - 1 hour) passes its end.
 Q["stream_daily_net"] = """
-SELECT box_id, CAST(date AS DATE) AS day, CAST(sum(amount) AS DECIMAL(20,2)) AS net
+SELECT box_id, CAST(date AS DATE) AS day, CAST(sum(amount) AS DECIMAL(18,2)) AS net
 FROM transactions
 WHERE CAST(date AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY box_id, CAST(date AS DATE)
@@ -588,7 +588,7 @@ GROUP BY box_id, CAST(date AS DATE)
 Q["home_cards"] = WEEK + RECENT + f"""
 , gp AS (
   SELECT b.id AS box_id, b.current_amount,
-         CAST(coalesce(b.target_amount, CAST(t.total_amount AS DECIMAL(12,2)), 0) AS DECIMAL(20,2)) AS target
+         CAST(coalesce(b.target_amount, CAST(t.total_amount AS DECIMAL(12,2)), 0) AS DECIMAL(18,2)) AS target
   FROM user_boxes b LEFT JOIN box_templates t ON t.id = b.template_id
 ),
 hb AS (
@@ -604,7 +604,7 @@ he AS (
 SELECT b.id AS box_id, b.name,
        CASE upper(coalesce(b.currency, 'EUR')) WHEN 'EUR' THEN '€' WHEN 'USD' THEN '$' WHEN 'UAH' THEN '₴'
             WHEN 'GBP' THEN '£' ELSE upper(coalesce(b.currency, 'EUR')) END AS symbol,
-       CAST(b.current_amount AS DECIMAL(20,2)) AS balance,
+       CAST(b.current_amount AS DECIMAL(18,2)) AS balance,
        gp.target,
        CASE WHEN CAST(gp.target AS DOUBLE) > 0
             THEN least(CAST(gp.current_amount AS DOUBLE) / CAST(gp.target AS DOUBLE), CAST(1 AS DOUBLE))
@@ -633,7 +633,7 @@ st AS (
 )
 SELECT box_id,
        CAST(coalesce(sum(CASE WHEN NOT blocked THEN CASE WHEN op = 'withdraw' THEN -abs(amount) ELSE abs(amount) END END), 0)
-            AS DECIMAL(20,2)) AS posted_sum,
+            AS DECIMAL(18,2)) AS posted_sum,
        count(*) FILTER (WHERE NOT blocked) AS n_posted,
        count(*) FILTER (WHERE blocked) AS n_kept
 FROM st GROUP BY box_id

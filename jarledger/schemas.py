@@ -17,5 +17,7 @@ OP_LOG = (
 QUEUE_ITEM = "action STRING, boxId BIGINT, amount DECIMAL(12,2), note STRING, date STRING"
 
 MONEY = "DECIMAL(12,2)"
-# Sums and balances widen to this type in every output.
-MONEY_OUT = "DECIMAL(20,2)"
+# Sums and balances are output in this type: 16 integer digits, and at most
+# 18 digits keeps a DECIMAL long-backed in Spark's row format (wider ones are
+# BigDecimal objects per value, markedly slower in every projection).
+MONEY_OUT = "DECIMAL(18,2)"

@@ -197,7 +197,7 @@ def run_stream_ordered_replay(spark: SparkSession, folder: str, out: str | None
     again = op_log_from_events(file_stream(spark, folder, "events", glob=glob))
     run_update_to_log(stream_ordered_replay(first.unionByName(again)), out, ckpt)
     latest = latest_per_key(spark.read.parquet(out))
-    return latest.select("box_id", money_out(F.col("balance_cents").cast("decimal(20,0)") / 100)
+    return latest.select("box_id", money_out(F.col("balance_cents").cast("decimal(18,0)") / 100)
                          .alias("final_balance"), "n_ops", "n_applied", "n_rejected")
 
 
