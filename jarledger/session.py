@@ -37,6 +37,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
+    # Stage and task times without the UI: JARLEDGER_EVENT_LOG=<scratch dir>
+    # writes Spark's event log there (one JSON line per event).
+    event_log = os.environ.get("JARLEDGER_EVENT_LOG")
+    if event_log:
+        os.makedirs(event_log, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
