@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jarledger.functions.money import money, money_out, signed_amount
+from jarledger.session import shared_dir
 
 # ---------------------------------------------------------------- O35, O36
 
@@ -146,6 +147,187 @@ def _cents_to_money(c: str):
     return money_out(F.col(c).cast("decimal(18,0)") / 100)
 
 
+def _step(op: str, amt) -> tuple[int, bool]:
+    """Effect of one non-reset op on a balance large enough to cover it:
+    (delta, applied).  On such a balance no withdrawal is refused and no
+    delete clamps, so the step is a plain addition."""
+    if amt is None:
+        return 0, False
+    if op == "add":
+        return (abs(amt), True) if amt != 0 else (0, False)
+    if op == "withdraw":
+        return (-abs(amt), True) if amt != 0 else (0, False)
+    if op == "delete_tx":
+        return -amt, True
+    return 0, False
+
+
+PIECE_OUT = ("box_id BIGINT, chunk INT, n BIGINT, bal0 BIGINT, app0 BIGINT, n_a BIGINT, t_a BIGINT, "
+             "m_a BIGINT, v_a BIGINT, has_reset BOOLEAN, bal_b BIGINT, app_b BIGINT, cut_t BIGINT, cut_op BIGINT")
+PIECE_COLS = [c.split()[0] for c in PIECE_OUT.split(", ")]
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One range of the global (box, ts, op_id) order -> one summary per box
+    piece in it.  Segment A is the piece up to its first reset, segment B the
+    rest (which starts from 0, so its result does not depend on the entry).
+
+    * bal0, app0: exact result from entry 0 (or from the box's opening row);
+    * t_a, m_a, v_a, n_a: total, minimum prefix, applied and op count of A
+      when the entry covers A's drawdown (entry + m_a >= 0);
+    * bal_b, app_b: exact result of B; cut_t, cut_op: key of the first reset.
+    """
+    out: list[list] = []
+    cur = None
+    for pdf in batches:
+        cols = [pdf[c].tolist() for c in ("box_id", "chunk", "tkey", "op_id", "op", "cents", "has_amount")]
+        for box, chunk, tk, oid, op, amt, has in zip(*cols):
+            if cur is None or box != cur[0]:
+                if cur is not None:
+                    out.append(cur[:14])
+                # box chunk n bal0 app0 n_a t_a m_a v_a reset bal_b app_b cut_t cut_op | last key
+                cur = [box, chunk, 0, 0, 0, 0, 0, 0, 0, False, 0, 0, 0, 0, None]
+            elif (tk, oid) == cur[14]:
+                continue  # a re-sent item (same op_id and ts): applied once
+            cur[14] = (tk, oid)
+            a = int(amt) if has else None
+            if op == "open":
+                cur[3] = a
+                continue
+            cur[2] += 1
+            cur[3], ok = _apply(op, a, cur[3])
+            cur[4] += ok
+            if cur[9]:
+                cur[10], ok = _apply(op, a, cur[10])
+                cur[11] += ok
+            elif op == "reset":
+                cur[9], cur[10], cur[11], cur[12], cur[13] = True, 0, 1, tk, oid
+            else:
+                d, ok = _step(op, a)
+                cur[5] += 1
+                cur[6] += d
+                cur[7] = min(cur[7], cur[6])
+                cur[8] += ok
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=PIECE_COLS)
+            out = []
+    if cur is not None:
+        out.append(cur[:14])
+    if out:
+        yield pd.DataFrame(out, columns=PIECE_COLS)
+
+
+WALK_OUT = ("kind STRING, box_id BIGINT, chunk INT, sid INT, entry BIGINT, cut BOOLEAN, cut_t BIGINT, "
+            "cut_op BIGINT, n BIGINT, applied BIGINT, has_bal BOOLEAN, bal BIGINT")
+WALK_COLS = [c.split()[0] for c in WALK_OUT.split(", ")]
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compose a box's pieces in range order (rows sorted by box, chunk).
+
+    The first piece starts at the box's opening, so its exact result holds.
+    A later piece whose entry covers its drawdown adds its total; an entry
+    of 0 takes the exact result; a reset makes the rest of the piece
+    independent of the entry.  Otherwise the entry is known but the piece is
+    *dry* (a withdrawal may be refused, a delete may clamp): it starts a
+    stretch that is folded row by row, and the stretch runs up to the next
+    reset.  Emits one 'box' row per box and one 'piece' row per piece that
+    belongs to a stretch (cut at its reset when it has one).
+    """
+    out: list[tuple] = []
+    box = None
+    st = None  # [n, applied, bal or None (inside a stretch), sid, entry]
+
+    def close():
+        if box is not None:
+            known = st[2] is not None
+            out.append(("box", box, 0, 0, 0, False, 0, 0, st[0], st[1], known, st[2] if known else 0))
+
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if r.box_id != box:
+                close()
+                box = r.box_id
+                st = [r.n, r.app0, r.bal0, 0, None]
+                continue
+            st[0] += r.n
+            b = st[2]
+            if b is not None and (r.n_a == 0 or b + r.m_a >= 0):
+                st[1] += r.v_a + r.app_b
+                st[2] = r.bal_b if r.has_reset else b + r.t_a
+                continue
+            if b == 0:
+                st[1] += r.app0
+                st[2] = r.bal0
+                continue
+            if b is not None:  # a dry piece: open a stretch at the known entry
+                st[3] += 1
+                st[4] = b
+            out.append(("piece", box, r.chunk, st[3], st[4], r.has_reset, r.cut_t, r.cut_op, 0, 0, False, 0))
+            if r.has_reset:
+                st[1] += r.app_b
+                st[2] = r.bal_b
+            else:
+                st[2] = None
+        if len(out) >= 10_000:
+            yield pd.DataFrame.from_records(out, columns=WALK_COLS)
+            out = []
+    close()
+    if out:
+        yield pd.DataFrame.from_records(out, columns=WALK_COLS)
+
+
+STRETCH_OUT = "box_id BIGINT, sid INT, bal BIGINT, applied BIGINT"
+
+
+def _stretch_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold each stretch's rows (sorted by box, sid, chunk, ts, op_id) from
+    its entry balance; a stretch is carried across Arrow batches."""
+    out: list[tuple] = []
+    key = last = None
+    bal = ok = 0
+    for pdf in batches:
+        cols = [pdf[c].tolist() for c in ("box_id", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount")]
+        for box, sid, entry, tk, oid, op, amt, has in zip(*cols):
+            if (box, sid) != key:
+                if key is not None:
+                    out.append((*key, bal, ok))
+                key, bal, ok, last = (box, sid), int(entry), 0, None
+            elif (tk, oid) == last:
+                continue
+            last = (tk, oid)
+            bal, applied = _apply(op, int(amt) if has else None, bal)
+            ok += applied
+        if len(out) >= 10_000:
+            yield pd.DataFrame.from_records(out, columns=["box_id", "sid", "bal", "applied"])
+            out = []
+    if key is not None:
+        out.append((*key, bal, ok))
+    if out:
+        yield pd.DataFrame.from_records(out, columns=["box_id", "sid", "bal", "applied"])
+
+
+def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
+    """Ops (and opening rows) range-partitioned on (box, ts, op_id), sorted in
+    each range, tagged with the range number and written once to the shared
+    checkpoint folder, so both passes below read the same ranges."""
+    cents = (F.col("amount").cast("decimal(14,2)") * 100).cast("bigint")
+    first = F.lit(-(2 ** 63)).cast("bigint")
+    tkey = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), first)
+    o = ops.select("box_id", tkey.alias("tkey"), "op_id", "op", F.coalesce(cents, F.lit(0)).alias("cents"),
+                   F.col("amount").isNotNull().alias("has_amount"))
+    if opening is not None:
+        o = o.unionByName(opening.select(
+            "box_id", first.alias("tkey"), first.alias("op_id"), F.lit("open").alias("op"),
+            F.coalesce((F.col("balance").cast("decimal(22,2)") * 100).cast("bigint"), F.lit(0)).alias("cents"),
+            F.lit(True).alias("has_amount")))
+    keys = ["box_id", "tkey", "op_id"]
+    o = o.repartitionByRange(partitions, *keys) if partitions else o.repartitionByRange(*keys)
+    staged = o.sortWithinPartitions(*keys).withColumn("chunk", F.spark_partition_id())
+    shared_dir(ops.sparkSession, "replay")  # makes sure a checkpoint folder is set
+    return staged.checkpoint(eager=True)
+
+
 def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
                    partitions: int | None = None) -> DataFrame:
     """Replay each box's operations in ``(ts, op_id)`` order.
@@ -154,14 +336,53 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
     withdraw: -|a|, rejected when |a| = 0 or the balance is below |a|;
     reset: 0; delete_tx: max(0, balance - a).  Boxes start at 0 or at
     ``opening(box_id, balance)``.  Output per box: final balance and counts.
-    Devices deliver at least once: an op_id seen again is skipped (repeats
-    sort next to each other inside the box's stream, so no extra shuffle).
+    Devices deliver at least once: an item seen again (same op_id and ts)
+    is applied once.
+
+    No box is gathered into one task.  The ops are range-partitioned on
+    (box, ts, op_id), so a hot box spans many ranges; each range summarises
+    its piece of each box in one pass (exact result from 0, plus total and
+    minimum prefix before its first reset).  A walk over each box's pieces
+    (at most one per range) composes them: a piece whose entry balance covers
+    its drawdown behaves as a plain sum, and a reset cuts the dependency on
+    the entry.  Only where a box's balance runs dry inside a later piece is
+    the order truly sequential; those stretches, from the dry piece to the
+    next reset, are folded row by row from their known entry, each stretch
+    in its own task and stretches of one box in parallel.  Exact in integer
+    cents.
     """
-    srt = _sorted_ops(ops, opening, partitions)
-    folded = srt.mapInPandas(lambda it: _fold(it, steps=False), REPLAY_OUT)
-    return folded.select(
-        "box_id", _cents_to_money("balance_cents").alias("final_balance"),
-        "n_ops", "n_applied", "n_rejected",
+    spark = ops.sparkSession
+    staged = _staged_ops(ops, opening, partitions)
+    pieces = staged.mapInPandas(_pieces, PIECE_OUT)
+    # One row per box plus one per dry piece: written once, read three times.
+    walked = (pieces.repartition("box_id").sortWithinPartitions("box_id", "chunk")
+              .mapInPandas(_walk, WALK_OUT).checkpoint(eager=True))
+    per_box = walked.where(F.col("kind") == "box").select(
+        "box_id", "n", "applied", F.when(F.col("has_bal"), F.col("bal")).alias("bal"))
+    dry = walked.where(F.col("kind") == "piece").select("box_id", "chunk", "sid", "entry", "cut", "cut_t", "cut_op")
+    n_dry = dry.count()
+    if n_dry == 0:
+        res = per_box.select("*", F.lit(None).cast("bigint").alias("fb_applied"),
+                             F.lit(None).cast("bigint").alias("fb_bal"))
+    else:
+        # Only the rows of dry pieces leave their range.  The dry-piece list
+        # is broadcast when its counted size is small; otherwise both sides
+        # shuffle on (box, range), a key no box can skew.
+        lim = int(spark.conf.get("jarledger.replay.broadcastPieces", "2000000"))
+        side = F.broadcast(dry) if n_dry <= lim else dry
+        rows = staged.join(side, ["box_id", "chunk"]).where(
+            ~F.col("cut") | (F.struct("tkey", "op_id") < F.struct("cut_t", "cut_op")))
+        folded = (rows.repartition("box_id", "sid").sortWithinPartitions("box_id", "sid", "chunk", "tkey", "op_id")
+                  .select("box_id", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount")
+                  .mapInPandas(_stretch_fold, STRETCH_OUT))
+        fb = folded.groupBy("box_id").agg(F.sum("applied").alias("fb_applied"),
+                                          F.max_by("bal", "sid").alias("fb_bal"))
+        res = per_box.join(fb, "box_id", "left")
+    applied = F.col("applied") + F.coalesce(F.col("fb_applied"), F.lit(0))
+    return res.select(
+        "box_id",
+        money_out(F.coalesce(F.col("bal"), F.col("fb_bal")).cast("decimal(18,0)") / 100).alias("final_balance"),
+        F.col("n").alias("n_ops"), applied.alias("n_applied"), (F.col("n") - applied).alias("n_rejected"),
     )
 
 
