@@ -55,11 +55,6 @@ def drain_until_failure(queue: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O37
 
-REPLAY_OUT = ("box_id BIGINT, balance_cents BIGINT, n_ops BIGINT, n_applied BIGINT, "
-              "n_rejected BIGINT")
-STEPS_OUT = "op_id BIGINT, box_id BIGINT, balance_cents BIGINT, applied BOOLEAN"
-
-
 def _apply(op: str, amt, bal: int) -> tuple[int, bool]:
     """One guarded step on integer cents; returns (new balance, applied)."""
     if op == "open":
@@ -79,70 +74,6 @@ def _apply(op: str, amt, bal: int) -> tuple[int, bool]:
     return bal, False
 
 
-def _fold(batches: Iterator[pd.DataFrame], steps: bool) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (box_id, ts, op_id); carry one box's state across
-    batch boundaries and emit it when the box changes."""
-    cur = None
-    last_id = None
-    bal = n = ok = 0
-    out: list[tuple] = []
-
-    def flush():
-        if cur is not None and not steps:
-            out.append((cur, bal, n, ok, n - ok))
-
-    for pdf in batches:
-        boxes = pdf["box_id"].tolist()
-        opl = pdf["op"].tolist()
-        cents = pdf["cents"].tolist()
-        known = pdf["has_amount"].tolist()
-        ids = pdf["op_id"].tolist()
-        for box, op, amt, has, oid in zip(boxes, opl, cents, known, ids):
-            if box != cur:
-                flush()
-                cur, bal, n, ok, last_id = box, 0, 0, 0, None
-            elif oid == last_id:
-                continue  # a re-sent item (at-least-once delivery): same op_id, applied once
-            last_id = oid
-            bal, applied = _apply(op, int(amt) if has else None, bal)
-            if op != "open":
-                n += 1
-                ok += applied
-                if steps:
-                    out.append((oid, box, bal, applied))
-        if len(out) >= 10_000:
-            yield _frame(out, steps)
-            out = []
-    flush()
-    if out:
-        yield _frame(out, steps)
-
-
-def _frame(rows: list[tuple], steps: bool) -> pd.DataFrame:
-    cols = ["op_id", "box_id", "balance_cents", "applied"] if steps else \
-        ["box_id", "balance_cents", "n_ops", "n_applied", "n_rejected"]
-    return pd.DataFrame.from_records(rows, columns=cols)
-
-
-def _sorted_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
-    # Integer cents keep the fold exact; nulls travel as a flag so the Arrow
-    # batch stays int64 (a null would turn the column into float64).
-    cents = (F.col("amount").cast("decimal(14,2)") * 100).cast("bigint")
-    o = ops.select("box_id", "ts", "op_id", "op", F.coalesce(cents, F.lit(0)).alias("cents"),
-                   F.col("amount").isNotNull().alias("has_amount"))
-    if opening is not None:
-        o = o.unionByName(opening.select(
-            "box_id", F.lit(None).cast(o.schema["ts"].dataType).alias("ts"),
-            F.lit(-(2 ** 63)).cast("bigint").alias("op_id"), F.lit("open").alias("op"),
-            F.coalesce((F.col("balance").cast("decimal(22,2)") * 100).cast("bigint"), F.lit(0)).alias("cents"),
-            F.lit(True).alias("has_amount")))
-    o = o.repartition(partitions, "box_id") if partitions else o.repartition("box_id")
-    # Secondary sort: nulls first puts the opening row before the box's ops.
-    # Only the fold's inputs cross into Python (the projection keeps the order).
-    return o.sortWithinPartitions("box_id", F.col("ts").asc_nulls_first(), F.col("op_id")) \
-        .select("box_id", "op_id", "op", "cents", "has_amount")
-
-
 def _cents_to_money(c: str):
     return money_out(F.col(c).cast("decimal(18,0)") / 100)
 
@@ -222,7 +153,7 @@ WALK_OUT = ("kind STRING, box_id BIGINT, chunk INT, sid INT, entry BIGINT, cut B
 WALK_COLS = [c.split()[0] for c in WALK_OUT.split(", ")]
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk(batches: Iterator[pd.DataFrame], entries: bool = False) -> Iterator[pd.DataFrame]:
     """Compose a box's pieces in range order (rows sorted by box, chunk).
 
     The first piece starts at the box's opening, so its exact result holds.
@@ -232,7 +163,9 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     *dry* (a withdrawal may be refused, a delete may clamp): it starts a
     stretch that is folded row by row, and the stretch runs up to the next
     reset.  Emits one 'box' row per box and one 'piece' row per piece that
-    belongs to a stretch (cut at its reset when it has one).
+    belongs to a stretch (cut at its reset when it has one).  With
+    ``entries``, also one 'entry' row per resolved piece with its entry
+    balance (for a cut piece: 0 from its reset on), for per-op output.
     """
     out: list[tuple] = []
     box = None
@@ -249,9 +182,13 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 close()
                 box = r.box_id
                 st = [r.n, r.app0, r.bal0, 0, None]
+                if entries:
+                    out.append(("entry", box, r.chunk, 0, 0, False, 0, 0, 0, 0, False, 0))
                 continue
             st[0] += r.n
             b = st[2]
+            if entries and b is not None and (r.n_a == 0 or b + r.m_a >= 0 or b == 0):
+                out.append(("entry", box, r.chunk, 0, b, False, 0, 0, 0, 0, False, 0))
             if b is not None and (r.n_a == 0 or b + r.m_a >= 0):
                 st[1] += r.v_a + r.app_b
                 st[2] = r.bal_b if r.has_reset else b + r.t_a
@@ -267,6 +204,8 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if r.has_reset:
                 st[1] += r.app_b
                 st[2] = r.bal_b
+                if entries:
+                    out.append(("entry", box, r.chunk, 0, 0, True, r.cut_t, r.cut_op, 0, 0, False, 0))
             else:
                 st[2] = None
         if len(out) >= 10_000:
@@ -278,33 +217,40 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 STRETCH_OUT = "box_id BIGINT, sid INT, bal BIGINT, applied BIGINT"
+STEPS_OUT = "op_id BIGINT, box_id BIGINT, balance_cents BIGINT, applied BOOLEAN"
 
 
-def _stretch_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold each stretch's rows (sorted by box, sid, chunk, ts, op_id) from
-    its entry balance; a stretch is carried across Arrow batches."""
+def _group_fold(batches: Iterator[pd.DataFrame], g: str, steps: bool) -> Iterator[pd.DataFrame]:
+    """Fold each (box, g) group's rows, sorted by (box, g, chunk, ts, op_id),
+    from the group's entry balance; a group is carried across Arrow batches.
+    Emits (box, g, balance, applied) per group, or one row per op."""
+    cols_out = ["op_id", "box_id", "balance_cents", "applied"] if steps else ["box_id", g, "bal", "applied"]
     out: list[tuple] = []
     key = last = None
     bal = ok = 0
     for pdf in batches:
-        cols = [pdf[c].tolist() for c in ("box_id", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount")]
-        for box, sid, entry, tk, oid, op, amt, has in zip(*cols):
-            if (box, sid) != key:
-                if key is not None:
+        cols = [pdf[c].tolist() for c in ("box_id", g, "entry", "tkey", "op_id", "op", "cents", "has_amount")]
+        for box, grp, entry, tk, oid, op, amt, has in zip(*cols):
+            if (box, grp) != key:
+                if key is not None and not steps:
                     out.append((*key, bal, ok))
-                key, bal, ok, last = (box, sid), int(entry), 0, None
+                key, bal, ok, last = (box, grp), int(entry), 0, None
             elif (tk, oid) == last:
-                continue
+                continue  # a re-sent item (same op_id and ts): applied once
             last = (tk, oid)
             bal, applied = _apply(op, int(amt) if has else None, bal)
+            if op == "open":
+                continue
             ok += applied
+            if steps:
+                out.append((oid, box, bal, applied))
         if len(out) >= 10_000:
-            yield pd.DataFrame.from_records(out, columns=["box_id", "sid", "bal", "applied"])
+            yield pd.DataFrame.from_records(out, columns=cols_out)
             out = []
-    if key is not None:
+    if key is not None and not steps:
         out.append((*key, bal, ok))
     if out:
-        yield pd.DataFrame.from_records(out, columns=["box_id", "sid", "bal", "applied"])
+        yield pd.DataFrame.from_records(out, columns=cols_out)
 
 
 def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
@@ -328,6 +274,21 @@ def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | Non
     return staged.checkpoint(eager=True)
 
 
+def _walked(staged: DataFrame, entries: bool) -> DataFrame:
+    """Piece summaries composed per box.  One row per box plus one per dry
+    (or resolved) piece: written once to the shared folder, read several times."""
+    pieces = staged.mapInPandas(_pieces, PIECE_OUT)
+    return (pieces.repartition("box_id").sortWithinPartitions("box_id", "chunk")
+            .mapInPandas(lambda it: _walk(it, entries), WALK_OUT).checkpoint(eager=True))
+
+
+def _broadcast_if_small(df: DataFrame, n: int) -> DataFrame:
+    """Broadcast a piece list whose row count was measured and is small;
+    beyond that both sides shuffle on (box, range), a key no box can skew."""
+    lim = int(df.sparkSession.conf.get("jarledger.replay.broadcastPieces", "2000000"))
+    return F.broadcast(df) if n <= lim else df
+
+
 def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
                    partitions: int | None = None) -> DataFrame:
     """Replay each box's operations in ``(ts, op_id)`` order.
@@ -351,12 +312,8 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
     in its own task and stretches of one box in parallel.  Exact in integer
     cents.
     """
-    spark = ops.sparkSession
     staged = _staged_ops(ops, opening, partitions)
-    pieces = staged.mapInPandas(_pieces, PIECE_OUT)
-    # One row per box plus one per dry piece: written once, read three times.
-    walked = (pieces.repartition("box_id").sortWithinPartitions("box_id", "chunk")
-              .mapInPandas(_walk, WALK_OUT).checkpoint(eager=True))
+    walked = _walked(staged, entries=False)
     per_box = walked.where(F.col("kind") == "box").select(
         "box_id", "n", "applied", F.when(F.col("has_bal"), F.col("bal")).alias("bal"))
     dry = walked.where(F.col("kind") == "piece").select("box_id", "chunk", "sid", "entry", "cut", "cut_t", "cut_op")
@@ -365,16 +322,12 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
         res = per_box.select("*", F.lit(None).cast("bigint").alias("fb_applied"),
                              F.lit(None).cast("bigint").alias("fb_bal"))
     else:
-        # Only the rows of dry pieces leave their range.  The dry-piece list
-        # is broadcast when its counted size is small; otherwise both sides
-        # shuffle on (box, range), a key no box can skew.
-        lim = int(spark.conf.get("jarledger.replay.broadcastPieces", "2000000"))
-        side = F.broadcast(dry) if n_dry <= lim else dry
-        rows = staged.join(side, ["box_id", "chunk"]).where(
+        # Only the rows of dry pieces leave their range.
+        rows = staged.join(_broadcast_if_small(dry, n_dry), ["box_id", "chunk"]).where(
             ~F.col("cut") | (F.struct("tkey", "op_id") < F.struct("cut_t", "cut_op")))
         folded = (rows.repartition("box_id", "sid").sortWithinPartitions("box_id", "sid", "chunk", "tkey", "op_id")
                   .select("box_id", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount")
-                  .mapInPandas(_stretch_fold, STRETCH_OUT))
+                  .mapInPandas(lambda it: _group_fold(it, "sid", False), STRETCH_OUT))
         fb = folded.groupBy("box_id").agg(F.sum("applied").alias("fb_applied"),
                                           F.max_by("bal", "sid").alias("fb_bal"))
         res = per_box.join(fb, "box_id", "left")
@@ -388,10 +341,26 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
 
 def replay_steps(ops: DataFrame, opening: DataFrame | None = None,
                  partitions: int | None = None) -> DataFrame:
-    """O37 per operation: balance after each op and whether it applied."""
-    srt = _sorted_ops(ops, opening, partitions)
-    folded = srt.mapInPandas(lambda it: _fold(it, steps=True), STEPS_OUT)
-    return folded.select("op_id", "box_id", _cents_to_money("balance_cents").alias("balance"), "applied")
+    """O37 per operation: balance after each op and whether it applied.
+
+    Same pieces and walk as ``ordered_replay``; each resolved piece is then
+    folded inside its own range from its entry balance, and only the rows of
+    dry stretches move (one task per stretch)."""
+    staged = _staged_ops(ops, opening, partitions)
+    walked = _walked(staged, entries=True)
+    assign = walked.where(F.col("kind").isin("entry", "piece")).select(
+        "kind", "box_id", "chunk", "sid", "entry", "cut", "cut_t", "cut_op")
+    rows = staged.join(_broadcast_if_small(assign, assign.count()), ["box_id", "chunk"])
+    before_cut = F.struct("tkey", "op_id") < F.struct("cut_t", "cut_op")
+    cols = ["box_id", "chunk", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount"]
+    resolved = (rows.where((F.col("kind") == "entry") & (~F.col("cut") | ~before_cut)).select(*cols)
+                .sortWithinPartitions("box_id", "chunk", "tkey", "op_id")
+                .mapInPandas(lambda it: _group_fold(it, "chunk", True), STEPS_OUT))
+    dry = (rows.where((F.col("kind") == "piece") & (~F.col("cut") | before_cut)).select(*cols)
+           .repartition("box_id", "sid").sortWithinPartitions("box_id", "sid", "chunk", "tkey", "op_id")
+           .mapInPandas(lambda it: _group_fold(it, "sid", True), STEPS_OUT))
+    return resolved.unionByName(dry).select(
+        "op_id", "box_id", _cents_to_money("balance_cents").alias("balance"), "applied")
 
 
 # ---------------------------------------------------------------- O38

@@ -243,3 +243,21 @@ def test_replay_hot_box_spans_ranges_and_matches_plain_loop(spark):
                 bal, n, ok = _loop_once(start, s)
                 expect[b] = (bal, n, ok, n - ok)
             assert got == expect, (seed, op_df is not None)
+
+
+def test_replay_steps_hot_box_matches_plain_loop(spark):
+    """Per-op balances: resolved pieces fold in their own range, dry
+    stretches in their own task; every op's balance equals the plain loop."""
+    for seed, add_hi, wd_hi, reset_p in [(3, 3000, 3500, 0.01), (5, 9000, 3000, 0.0)]:
+        rows, seqs = _random_log(random.Random(seed), 900, add_hi, wd_hi, reset_p)
+        expect = {}
+        for b, s in seqs.items():
+            bal, last = D(0), None
+            for when, oid, op, a in s:
+                if (when, oid) == last:
+                    continue
+                last = (when, oid)
+                bal, _, _ = _loop_once(bal, [(when, oid, op, a)])
+                expect[oid] = bal
+        got = {r["op_id"]: r["balance"] for r in replay.replay_steps(ops(spark, rows), partitions=20).collect()}
+        assert got == expect, seed
