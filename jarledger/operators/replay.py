@@ -6,10 +6,11 @@ boxes at once.
 
 Order-dependent folds are done without gathering a box's operations anywhere:
 
-* the guarded replay (O37) streams each box's operations, sorted by
-  ``(ts, op_id)`` inside hash partitions on ``box_id``, through an Arrow
-  batch fold that keeps only the running state -- memory stays one batch
-  however many operations a box has;
+* the guarded replay (O37) range-partitions the ops on (box, ts, op_id), so
+  a hot box spans many ranges; each range summarises its piece of each box,
+  a walk over each box's pieces composes them, and only stretches where the
+  balance runs dry inside a later piece are folded row by row (each stretch
+  in its own task, from its known entry balance);
 * the clamped delete fold (O41) has a closed form (a Lindley recursion), so it
   runs as a two-level prefix scan: per contiguous range of the global
   (box, ts, req_id) order, then over a box's ranges.

@@ -286,6 +286,11 @@ def q_ordered_replay(spark, sf_dir):
     return replay.ordered_replay(bind_events(spark, sf_dir).op_log)
 
 
+@register("replay_steps")
+def q_replay_steps(spark, sf_dir):
+    return replay.replay_steps(bind_events(spark, sf_dir).op_log)
+
+
 @register("box_attribute_merge")
 def q_box_attribute_merge(spark, sf_dir):
     L = bind_events(spark, sf_dir)

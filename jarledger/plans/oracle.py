@@ -443,6 +443,30 @@ SELECT box_id, bal AS final_balance, rn AS n_ops, applied AS n_applied, rn - app
 FROM walk w WHERE rn = (SELECT max(rn) FROM ops o WHERE o.box_id = w.box_id)
 """
 
+Q["replay_steps"] = """
+, op_once AS (SELECT * FROM op_log QUALIFY row_number() OVER (PARTITION BY op_id ORDER BY ts) = 1),
+ops AS (SELECT box_id, op_id, op, amount, row_number() OVER (PARTITION BY box_id ORDER BY ts, op_id) AS rn
+        FROM op_once),
+walk AS (
+  SELECT box_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS op_id, CAST(0 AS DECIMAL(18,2)) AS bal,
+         CAST(NULL AS BOOLEAN) AS applied
+  FROM (SELECT DISTINCT box_id FROM ops)
+  UNION ALL
+  SELECT w.box_id, o.rn, o.op_id,
+         CAST(CASE WHEN o.op = 'reset' THEN 0
+                   WHEN o.amount IS NULL THEN w.bal
+                   WHEN o.op = 'add' AND o.amount <> 0 THEN w.bal + abs(o.amount)
+                   WHEN o.op = 'withdraw' AND o.amount <> 0 AND w.bal >= abs(o.amount) THEN w.bal - abs(o.amount)
+                   WHEN o.op = 'delete_tx' THEN greatest(0, w.bal - o.amount)
+                   ELSE w.bal END AS DECIMAL(18,2)),
+         o.op = 'reset' OR (o.amount IS NOT NULL AND ((o.op = 'add' AND o.amount <> 0)
+             OR (o.op = 'withdraw' AND o.amount <> 0 AND w.bal >= abs(o.amount))
+             OR o.op = 'delete_tx'))
+  FROM walk w JOIN ops o ON o.box_id = w.box_id AND o.rn = w.rn + 1
+)
+SELECT op_id, box_id, bal AS balance, applied FROM walk WHERE rn > 0
+"""
+
 Q["box_attribute_merge"] = """
 , aops AS (
   SELECT event_id AS op_id, ts, user_id * 10 + event_id % 5 AS box_id,
@@ -639,7 +663,7 @@ SELECT box_id,
 FROM st GROUP BY box_id
 """
 
-RECURSIVE = {"ordered_replay", "tx_delete_apply", "stream_ordered_replay"}
+RECURSIVE = {"ordered_replay", "replay_steps", "tx_delete_apply", "stream_ordered_replay"}
 
 
 def oracle_sql() -> dict[str, str]:
