@@ -38,7 +38,7 @@ def headline(spark, sf_dir, buckets):
     E = materialize(bind_events(spark, sf_dir), shared_dir(spark, "bench", "ledger_e"), buckets, f"e_{tag}")
     load_s = round(time.perf_counter() - t0, 3)
     tx, boxes = L.transactions, L.user_boxes
-    return load_s, {
+    return load_s, (L, E), {
         "balance_week": lambda: series.balance_week(tx, boxes, as_of=L.as_of),
         "balance_month": lambda: series.balance_month(tx, boxes, as_of=L.as_of),
         "balance_all": lambda: series.balance_all(tx, boxes, as_of=L.as_of),
@@ -67,7 +67,7 @@ def main() -> None:
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts, app_name="jarledger-bench")
     buckets = int(os.environ.get("BENCH_BUCKETS", str(parts * 2)))
-    load_s, qs = headline(spark, sf_dir, buckets)
+    load_s, _, qs = headline(spark, sf_dir, buckets)
     # The first (cold) run of each query pays JVM JIT and codegen warm-up;
     # the reported time is the median of the next warm runs.  Both printed.
     reps = int(os.environ.get("BENCH_WARM_RUNS", "3"))

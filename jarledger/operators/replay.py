@@ -254,10 +254,9 @@ def _group_fold(batches: Iterator[pd.DataFrame], g: str, steps: bool) -> Iterato
         yield pd.DataFrame.from_records(out, columns=cols_out)
 
 
-def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
+def _ranged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
     """Ops (and opening rows) range-partitioned on (box, ts, op_id), sorted in
-    each range, tagged with the range number and written once to the shared
-    checkpoint folder, so both passes below read the same ranges."""
+    each range and tagged with the range number."""
     cents = (F.col("amount").cast("decimal(14,2)") * 100).cast("bigint")
     first = F.lit(-(2 ** 63)).cast("bigint")
     tkey = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), first)
@@ -270,9 +269,15 @@ def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | Non
             F.lit(True).alias("has_amount")))
     keys = ["box_id", "tkey", "op_id"]
     o = o.repartitionByRange(partitions, *keys) if partitions else o.repartitionByRange(*keys)
-    staged = o.sortWithinPartitions(*keys).withColumn("chunk", F.spark_partition_id())
+    return o.sortWithinPartitions(*keys).withColumn("chunk", F.spark_partition_id())
+
+
+def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
+    """The ranged ops written once to the shared checkpoint folder, so every
+    pass below reads the same ranges (and a lost executor costs a re-read,
+    not a re-sort)."""
     shared_dir(ops.sparkSession, "replay")  # makes sure a checkpoint folder is set
-    return staged.checkpoint(eager=True)
+    return _ranged_ops(ops, opening, partitions).checkpoint(eager=True)
 
 
 def _walked(staged: DataFrame, entries: bool) -> DataFrame:
