@@ -23,8 +23,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     """Local session for tests and the bench (UI off, UTC, AQE on)."""
     master = master or os.environ.get("JARLEDGER_MASTER", "local[8]")
     # Table metadata of a local session goes to a scratch warehouse (tables
-    # we save name their own path under the shared folder).
-    warehouse = os.environ.get("JARLEDGER_WAREHOUSE") or tempfile.mkdtemp(prefix="jarledger-wh-")
+    # we save name their own path under the shared folder); on a cluster the
+    # cluster's own warehouse setting stands.
+    warehouse = os.environ.get("JARLEDGER_WAREHOUSE")
+    if not warehouse and master.startswith("local"):
+        warehouse = tempfile.mkdtemp(prefix="jarledger-wh-")
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
@@ -33,8 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("JARLEDGER_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.warehouse.dir", warehouse)
     )
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     # Stage and task times without the UI: JARLEDGER_EVENT_LOG=<scratch dir>
