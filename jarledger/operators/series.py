@@ -125,26 +125,19 @@ def balance_all(tx: DataFrame, boxes: DataFrame, *, as_of) -> DataFrame:
         (F.count("day").over(upto) - 1).alias("point"),
     ).where(F.col("has_box") > 0)
 
+    # Active days give one point each, an idle box with a balance gives the
+    # (Start, Now) pair: one Generate over the single window pass.
     last_is_today = (F.col("day") == F.col("last_day")) & (F.col("day") == F.lit(as_of))
-    active = rows.where(F.col("day").isNotNull()).select(
-        "box_id",
-        F.col("point").cast("bigint").alias("point"),
-        "day",
-        day_month_label(F.col("day")).alias("label"),
-        money_out(F.when(last_is_today, F.col("cur")).otherwise(F.col("run"))).alias("balance"),
-    )
-    pair = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("point"), F.lit("Start").alias("label"),
-                 money_out(F.lit(0)).alias("balance")),
-        F.struct(F.lit(1).cast("bigint").alias("point"), F.lit("Now").alias("label"),
-                 money_out(F.col("cur")).alias("balance")),
-    )
-    idle = (
-        rows.where(F.col("day").isNull() & (F.col("n_days") == 0) & (F.col("cur") != 0))
-        .select("box_id", F.inline(pair))
-        .select("box_id", "point", F.lit(as_of).alias("day"), "label", "balance")
-    )
-    return active.unionByName(idle)
+    def point(p, d, label, bal):
+        return F.struct(p.cast("bigint").alias("point"), d.alias("day"), label.alias("label"),
+                        money_out(bal).alias("balance"))
+    one = F.array(point(F.col("point"), F.col("day"), day_month_label(F.col("day")),
+                        F.when(last_is_today, F.col("cur")).otherwise(F.col("run"))))
+    pair = F.array(point(F.lit(0), F.lit(as_of), F.lit("Start"), F.lit(0)),
+                   point(F.lit(1), F.lit(as_of), F.lit("Now"), F.col("cur")))
+    idle = F.col("day").isNull() & (F.col("n_days") == 0) & (F.col("cur") != 0)
+    return rows.where(F.col("day").isNotNull() | idle).select(
+        "box_id", F.inline(F.when(F.col("day").isNotNull(), one).otherwise(pair)))
 
 
 def chart_scale(series: DataFrame, boxes: DataFrame) -> DataFrame:
