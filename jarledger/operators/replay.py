@@ -99,54 +99,179 @@ PIECE_OUT = ("box_id BIGINT, chunk INT, n BIGINT, bal0 BIGINT, app0 BIGINT, n_a
 PIECE_COLS = [c.split()[0] for c in PIECE_OUT.split(", ")]
 
 
+# Fixed op codes of the vectorised pass (anything else is an unknown op).
+OP_CODES = {"open": 0, "reset": 1, "add": 2, "withdraw": 3, "delete_tx": 4}
+CODE_OPS = {v: k for k, v in OP_CODES.items()}
+# Refusals fixed per vectorised round; a stretch between resets needing more
+# is folded by the plain loop (exact either way).
+FIX_ROUNDS = 16
+
+
+def _seg_cumsum(x: np.ndarray, seg: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Cumulative sum of ``x`` restarting at each segment start."""
+    c = np.cumsum(x)
+    base = np.r_[0, c[starts[1:] - 1]] if len(starts) > 1 else np.zeros(1, dtype=c.dtype)
+    return c - base[seg]
+
+
+def _guarded_fold(code, amt, has, delta, guarded, wd_ok, sub, sub_starts, start_val):
+    """Exact guarded fold of every stretch between state-setting rows (piece
+    start, open, reset), all at once: the balance is the plain running sum
+    until a guarded step would go below 0; a refused withdrawal drops its
+    step and a clamped delete lifts the sum to 0, and either only raises the
+    rest of the stretch -- so each round fixes the first such step of every
+    stretch.  Returns (balance after each row, refused flag per row)."""
+    n = len(code)
+    bal = start_val[sub] + _seg_cumsum(delta, sub, sub_starts)
+    refused = np.zeros(n, dtype=bool)
+    sub_end = np.r_[sub_starts[1:], n]
+    for _ in range(FIX_ROUNDS):
+        vi = np.flatnonzero(guarded & (bal < 0))
+        if len(vi) == 0:
+            return bal, refused
+        fi = vi[np.r_[True, sub[vi][1:] != sub[vi][:-1]]]  # first per stretch
+        wd = wd_ok[fi]
+        lift = np.where(wd, -delta[fi], -bal[fi])
+        refused[fi[wd]] = True
+        diff = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(diff, fi, lift)
+        np.add.at(diff, sub_end[sub[fi]], -lift)
+        bal += np.cumsum(diff[:-1])
+    for k in np.unique(sub[guarded & (bal < 0)]):
+        b = int(start_val[k])
+        for i in range(sub_starts[k], sub_end[k]):
+            if code[i] in (0, 1):
+                b = int(amt[i]) if code[i] == 0 else 0
+                refused[i] = False
+            else:
+                b, ok = _apply(CODE_OPS.get(int(code[i]), "?"), int(amt[i]) if has[i] else None, b)
+                refused[i] = bool(wd_ok[i] and not ok)
+            bal[i] = b
+    return bal, refused
+
+
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One range of the global (box, ts, op_id) order -> one summary per box
-    piece in it.  Segment A is the piece up to its first reset, segment B the
-    rest (which starts from 0, so its result does not depend on the entry).
+    piece in it, vectorised per Arrow batch.  Segment A is the piece up to
+    its first reset, segment B the rest (it starts from 0, so its result does
+    not depend on the entry).
 
     * bal0, app0: exact result from entry 0 (or from the box's opening row);
     * t_a, m_a, v_a, n_a: total, minimum prefix, applied and op count of A
       when the entry covers A's drawdown (entry + m_a >= 0);
     * bal_b, app_b: exact result of B; cut_t, cut_op: key of the first reset.
+
+    A piece that continues into the next batch is carried as its state.
     """
-    out: list[list] = []
-    cur = None
+    carry = None  # [box, n, bal0, app0, n_a, t_a, m_a, v_a, seen_reset, app_b, cut_t, cut_op, last key]
+    out: list[pd.DataFrame] = []
+    chunk = 0
     for pdf in batches:
-        cols = [pdf[c].tolist() for c in ("box_id", "chunk", "tkey", "op_id", "op", "cents", "has_amount")]
-        for box, chunk, tk, oid, op, amt, has in zip(*cols):
-            if cur is None or box != cur[0]:
-                if cur is not None:
-                    out.append(cur[:14])
-                # box chunk n bal0 app0 n_a t_a m_a v_a reset bal_b app_b cut_t cut_op | last key
-                cur = [box, chunk, 0, 0, 0, 0, 0, 0, 0, False, 0, 0, 0, 0, None]
-            elif (tk, oid) == cur[14]:
-                continue  # a re-sent item (same op_id and ts): applied once
-            cur[14] = (tk, oid)
-            a = int(amt) if has else None
-            if op == "open":
-                cur[3] = a
-                continue
-            cur[2] += 1
-            cur[3], ok = _apply(op, a, cur[3])
-            cur[4] += ok
-            if cur[9]:
-                cur[10], ok = _apply(op, a, cur[10])
-                cur[11] += ok
-            elif op == "reset":
-                cur[9], cur[10], cur[11], cur[12], cur[13] = True, 0, 1, tk, oid
+        if pdf.empty:
+            continue
+        chunk = int(pdf["chunk"].iat[0])
+        box = pdf["box_id"].to_numpy(np.int64)
+        tk = pdf["tkey"].to_numpy(np.int64)
+        oid = pdf["op_id"].to_numpy(np.int64)
+        code = pdf["op"].map(OP_CODES).fillna(5).to_numpy(np.int8)
+        amt = pdf["cents"].to_numpy(np.int64)
+        has = pdf["has_amount"].to_numpy(bool)
+        # A re-sent item (same box, ts and op_id as the row before) is applied once.
+        same = np.r_[False, (box[1:] == box[:-1]) & (tk[1:] == tk[:-1]) & (oid[1:] == oid[:-1])]
+        if carry is not None and carry[0] == box[0] and carry[12] == (tk[0], oid[0]):
+            same[0] = True
+        last_key = (int(tk[-1]), int(oid[-1]))
+        if same.any():
+            keep = ~same
+            box, tk, oid, code, amt, has = box[keep], tk[keep], oid[keep], code[keep], amt[keep], has[keep]
+        if len(box) == 0:
+            continue
+        n = len(box)
+        cont = carry is not None and carry[0] == box[0]
+        if carry is not None and not cont:
+            out.append(_carry_frame(carry, chunk))
+            carry = None
+        bstart = np.r_[True, box[1:] != box[:-1]]
+        bstarts = np.flatnonzero(bstart)
+        bseg = np.cumsum(bstart) - 1
+        is_reset, is_open = code == 1, code == 0
+        add_ok = (code == 2) & has & (amt != 0)
+        wd_ok = (code == 3) & has & (amt != 0)
+        del_ok = (code == 4) & has
+        delta = np.where(add_ok, np.abs(amt), 0) - np.where(wd_ok, np.abs(amt), 0) - np.where(del_ok, amt, 0)
+        valid = add_ok | wd_ok | del_ok
+        counted = ~is_open
+        # exact fold: stretches start at a piece start, an open row or a reset
+        sstart = bstart | is_reset | is_open
+        sub_starts = np.flatnonzero(sstart)
+        sub = np.cumsum(sstart) - 1
+        start_val = np.where(is_open[sub_starts], amt[sub_starts], 0)
+        if cont and not (is_open[0] or is_reset[0]):
+            start_val[0] = carry[2]
+        bal, refused = _guarded_fold(code, amt, has, delta, wd_ok | del_ok, wd_ok, sub, sub_starts, start_val)
+        applied = (is_reset | add_ok | del_ok | (wd_ok & ~refused)).astype(np.int64)
+        # segment A: rows before the piece's first reset
+        resets_upto = _seg_cumsum(is_reset.astype(np.int64), bseg, bstarts)
+        in_a = resets_upto == 0
+        if cont and carry[8]:
+            in_a &= bseg != 0
+        da = np.where(in_a, delta, 0)
+        pa = _seg_cumsum(da, bseg, bstarts)
+        ends = np.r_[bstarts[1:], n] - 1
+
+        def seg_sum(x):
+            return np.add.reduceat(x.astype(np.int64), bstarts)
+
+        k = len(bstarts)
+        n_ops = seg_sum(counted)
+        app0 = seg_sum(applied)
+        n_a = seg_sum(in_a & counted)
+        t_a = pa[ends].copy()
+        m_a = np.minimum(np.minimum.reduceat(pa, bstarts), 0)
+        v_a = seg_sum(valid & in_a)
+        app_b = seg_sum(applied.astype(bool) & ~in_a & counted)
+        has_reset = seg_sum(is_reset) > 0
+        first_reset = np.flatnonzero(is_reset & (resets_upto == 1))
+        cut_t = np.zeros(k, dtype=np.int64)
+        cut_op = np.zeros(k, dtype=np.int64)
+        cut_t[bseg[first_reset]] = tk[first_reset]
+        cut_op[bseg[first_reset]] = oid[first_reset]
+        bal0 = bal[ends]
+        if cont:
+            if carry[8]:
+                has_reset[0], cut_t[0], cut_op[0] = True, carry[10], carry[11]
+                t_a[0], m_a[0] = carry[5], carry[6]
             else:
-                d, ok = _step(op, a)
-                cur[5] += 1
-                cur[6] += d
-                cur[7] = min(cur[7], cur[6])
-                cur[8] += ok
-        if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=PIECE_COLS)
+                m_a[0] = min(carry[6], carry[5] + m_a[0])
+                t_a[0] += carry[5]
+            n_ops[0] += carry[1]
+            app0[0] += carry[3]
+            n_a[0] += carry[4]
+            v_a[0] += carry[7]
+            app_b[0] += carry[9]
+        j = k - 1
+        carry = [int(box[bstarts[j]]), int(n_ops[j]), int(bal0[j]), int(app0[j]), int(n_a[j]), int(t_a[j]),
+                 int(m_a[j]), int(v_a[j]), bool(has_reset[j]), int(app_b[j]), int(cut_t[j]), int(cut_op[j]),
+                 last_key]
+        if k > 1:
+            sl = slice(0, k - 1)
+            out.append(pd.DataFrame({
+                "box_id": box[bstarts[sl]], "chunk": np.int32(chunk), "n": n_ops[sl], "bal0": bal0[sl],
+                "app0": app0[sl], "n_a": n_a[sl], "t_a": t_a[sl], "m_a": m_a[sl], "v_a": v_a[sl],
+                "has_reset": has_reset[sl], "bal_b": np.where(has_reset[sl], bal0[sl], 0), "app_b": app_b[sl],
+                "cut_t": cut_t[sl], "cut_op": cut_op[sl]}))
+        if sum(len(f) for f in out) >= 10_000:
+            yield pd.concat(out, ignore_index=True)
             out = []
-    if cur is not None:
-        out.append(cur[:14])
+    if carry is not None:
+        out.append(_carry_frame(carry, chunk))
     if out:
-        yield pd.DataFrame(out, columns=PIECE_COLS)
+        yield pd.concat(out, ignore_index=True)
+
+
+def _carry_frame(c: list, chunk: int) -> pd.DataFrame:
+    return pd.DataFrame([[c[0], chunk, c[1], c[2], c[3], c[4], c[5], c[6], c[7], c[8], c[2] if c[8] else 0,
+                          c[9], c[10], c[11]]], columns=PIECE_COLS)
 
 
 WALK_OUT = ("kind STRING, box_id BIGINT, chunk INT, sid INT, entry BIGINT, cut BOOLEAN, cut_t BIGINT, "

@@ -261,3 +261,96 @@ def test_replay_steps_hot_box_matches_plain_loop(spark):
                 expect[oid] = bal
         got = {r["op_id"]: r["balance"] for r in replay.replay_steps(ops(spark, rows), partitions=20).collect()}
         assert got == expect, seed
+
+
+# ---- the range summary pass, restated as a plain per-row loop -------------
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+
+
+def _pieces_loop(batches: object) -> object:
+    """One range of the global (box, ts, op_id) order -> one summary per box
+    piece in it.  Segment A is the piece up to its first reset, segment B the
+    rest (which starts from 0, so its result does not depend on the entry).
+
+    * bal0, app0: exact result from entry 0 (or from the box's opening row);
+    * t_a, m_a, v_a, n_a: total, minimum prefix, applied and op count of A
+      when the entry covers A's drawdown (entry + m_a >= 0);
+    * bal_b, app_b: exact result of B; cut_t, cut_op: key of the first reset.
+    """
+    out: list[list] = []
+    cur = None
+    for pdf in batches:
+        cols = [pdf[c].tolist() for c in ("box_id", "chunk", "tkey", "op_id", "op", "cents", "has_amount")]
+        for box, chunk, tk, oid, op, amt, has in zip(*cols):
+            if cur is None or box != cur[0]:
+                if cur is not None:
+                    out.append(cur[:14])
+                # box chunk n bal0 app0 n_a t_a m_a v_a reset bal_b app_b cut_t cut_op | last key
+                cur = [box, chunk, 0, 0, 0, 0, 0, 0, 0, False, 0, 0, 0, 0, None]
+            elif (tk, oid) == cur[14]:
+                continue  # a re-sent item (same op_id and ts): applied once
+            cur[14] = (tk, oid)
+            a = int(amt) if has else None
+            if op == "open":
+                cur[3] = a
+                continue
+            cur[2] += 1
+            cur[3], ok = replay._apply(op, a, cur[3])
+            cur[4] += ok
+            if cur[9]:
+                cur[10], ok = replay._apply(op, a, cur[10])
+                cur[11] += ok
+            elif op == "reset":
+                cur[9], cur[10], cur[11], cur[12], cur[13] = True, 0, 1, tk, oid
+            else:
+                d, ok = replay._step(op, a)
+                cur[5] += 1
+                cur[6] += d
+                cur[7] = min(cur[7], cur[6])
+                cur[8] += ok
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=replay.PIECE_COLS)
+            out = []
+    if cur is not None:
+        out.append(cur[:14])
+    if out:
+        yield pd.DataFrame(out, columns=replay.PIECE_COLS)
+
+
+
+
+def test_vectorised_pieces_equal_plain_loop_over_random_batches():
+    """Many boxes, opens, resets, zero and null amounts, re-sent rows and
+    long refusal runs; random Arrow batch sizes so pieces straddle batches."""
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n = int(rng.integers(1, 400))
+        box = np.sort(rng.integers(0, int(rng.integers(1, 30)), n))
+        op = rng.choice(["add", "withdraw", "delete_tx", "reset", "recolor"], n,
+                        p=[.35, .45, .12, .05, .03]).astype(object)
+        cents = rng.integers(-2000, 6000, n) * (rng.random(n) > 0.05)
+        has = rng.random(n) > 0.03
+        tk = np.arange(n) * 10
+        oid = np.arange(n) + 100
+        starts = np.r_[True, box[1:] != box[:-1]]
+        opened = starts & (rng.random(n) < 0.5)
+        df = pd.DataFrame({"box_id": box, "chunk": 3, "tkey": tk, "op_id": oid, "op": op,
+                           "cents": cents, "has_amount": has})
+        df = pd.concat([df, df[opened].assign(op="open", tkey=-2**63, op_id=-2**63,
+                                              cents=rng.integers(0, 5000, int(opened.sum())), has_amount=True)])
+        dup = df.sample(frac=0.05, random_state=trial)
+        df = pd.concat([df, dup]).sort_values(["box_id", "tkey", "op_id"], kind="stable").reset_index(drop=True)
+        cuts = np.sort(rng.choice(np.arange(1, len(df)), size=min(len(df) - 1, int(rng.integers(0, 8))),
+                                  replace=False)) if len(df) > 1 else []
+        parts = np.split(np.arange(len(df)), cuts)
+        batches = [df.iloc[p].reset_index(drop=True) for p in parts]
+        want = pd.concat(list(_pieces_loop(iter(batches))), ignore_index=True)
+        got = pd.concat(list(replay._pieces(iter(batches))), ignore_index=True)
+        cols = replay.PIECE_COLS
+        want = want[cols].astype({"has_reset": bool}).reset_index(drop=True)
+        got = got[cols].astype({"has_reset": bool}).reset_index(drop=True)
+        for c in cols:
+            assert [int(v) if c != "has_reset" else bool(v) for v in got[c]] == \
+                   [int(v) if c != "has_reset" else bool(v) for v in want[c]], (trial, c)
