@@ -348,35 +348,75 @@ STEPS_OUT = "op_id BIGINT, box_id BIGINT, balance_cents BIGINT, applied BOOLEAN"
 
 def _group_fold(batches: Iterator[pd.DataFrame], g: str, steps: bool) -> Iterator[pd.DataFrame]:
     """Fold each (box, g) group's rows, sorted by (box, g, chunk, ts, op_id),
-    from the group's entry balance; a group is carried across Arrow batches.
-    Emits (box, g, balance, applied) per group, or one row per op."""
+    from the group's entry balance, vectorised per Arrow batch (see
+    ``_guarded_fold``); a group that continues into the next batch is
+    carried as (balance, applied count).  Emits (box, g, balance, applied)
+    per group, or one row per op."""
     cols_out = ["op_id", "box_id", "balance_cents", "applied"] if steps else ["box_id", g, "bal", "applied"]
-    out: list[tuple] = []
-    key = last = None
-    bal = ok = 0
+    carry = None  # [box, grp, bal, applied, last key]
+    out: list[pd.DataFrame] = []
     for pdf in batches:
-        cols = [pdf[c].tolist() for c in ("box_id", g, "entry", "tkey", "op_id", "op", "cents", "has_amount")]
-        for box, grp, entry, tk, oid, op, amt, has in zip(*cols):
-            if (box, grp) != key:
-                if key is not None and not steps:
-                    out.append((*key, bal, ok))
-                key, bal, ok, last = (box, grp), int(entry), 0, None
-            elif (tk, oid) == last:
-                continue  # a re-sent item (same op_id and ts): applied once
-            last = (tk, oid)
-            bal, applied = _apply(op, int(amt) if has else None, bal)
-            if op == "open":
+        if pdf.empty:
+            continue
+        box = pdf["box_id"].to_numpy(np.int64)
+        grp = pdf[g].to_numpy(np.int64)
+        entry = pdf["entry"].to_numpy(np.int64)
+        tk = pdf["tkey"].to_numpy(np.int64)
+        oid = pdf["op_id"].to_numpy(np.int64)
+        code = pdf["op"].map(OP_CODES).fillna(5).to_numpy(np.int8)
+        amt = pdf["cents"].to_numpy(np.int64)
+        has = pdf["has_amount"].to_numpy(bool)
+        new_grp = np.r_[True, (box[1:] != box[:-1]) | (grp[1:] != grp[:-1])]
+        same = ~new_grp & np.r_[False, (tk[1:] == tk[:-1]) & (oid[1:] == oid[:-1])]
+        cont = carry is not None and (carry[0], carry[1]) == (box[0], grp[0])
+        if cont and carry[4] == (tk[0], oid[0]):
+            same[0] = True
+        last_key = (int(tk[-1]), int(oid[-1]))
+        if same.any():
+            keep = ~same
+            box, grp, entry, tk, oid, code, amt, has, new_grp = (
+                x[keep] for x in (box, grp, entry, tk, oid, code, amt, has, new_grp))
+            if len(box) == 0:
                 continue
-            ok += applied
-            if steps:
-                out.append((oid, box, bal, applied))
-        if len(out) >= 10_000:
-            yield pd.DataFrame.from_records(out, columns=cols_out)
+            new_grp[0] = True
+            cont = carry is not None and (carry[0], carry[1]) == (box[0], grp[0])
+        if carry is not None and not cont and not steps:
+            out.append(pd.DataFrame([carry[:4]], columns=cols_out))
+        n = len(box)
+        gstarts = np.flatnonzero(new_grp)
+        is_reset, is_open = code == 1, code == 0
+        add_ok = (code == 2) & has & (amt != 0)
+        wd_ok = (code == 3) & has & (amt != 0)
+        del_ok = (code == 4) & has
+        delta = np.where(add_ok, np.abs(amt), 0) - np.where(wd_ok, np.abs(amt), 0) - np.where(del_ok, amt, 0)
+        sstart = new_grp | is_reset | is_open
+        sub_starts = np.flatnonzero(sstart)
+        sub = np.cumsum(sstart) - 1
+        start_val = np.where(is_open[sub_starts], amt[sub_starts], np.where(is_reset[sub_starts], 0, entry[sub_starts]))
+        if cont and not (is_open[0] or is_reset[0]):
+            start_val[0] = carry[2]
+        bal, refused = _guarded_fold(code, amt, has, delta, wd_ok | del_ok, wd_ok, sub, sub_starts, start_val)
+        applied = is_reset | add_ok | del_ok | (wd_ok & ~refused)
+        if steps:
+            rows = ~is_open
+            out.append(pd.DataFrame({"op_id": oid[rows], "box_id": box[rows], "balance_cents": bal[rows],
+                                     "applied": applied[rows]}))
+        ends = np.r_[gstarts[1:], n] - 1
+        ok = np.add.reduceat(applied.astype(np.int64), gstarts)
+        if cont:
+            ok[0] += carry[3]
+        k = len(gstarts)
+        carry = [int(box[ends[-1]]), int(grp[ends[-1]]), int(bal[ends[-1]]), int(ok[-1]), last_key]
+        if not steps and k > 1:
+            out.append(pd.DataFrame({"box_id": box[gstarts[:-1]], g: grp[gstarts[:-1]].astype(np.int32),
+                                     "bal": bal[ends[:-1]], "applied": ok[:-1]}))
+        if sum(len(f) for f in out) >= 10_000:
+            yield pd.concat(out, ignore_index=True)
             out = []
-    if key is not None and not steps:
-        out.append((*key, bal, ok))
+    if carry is not None and not steps:
+        out.append(pd.DataFrame([carry[:4]], columns=cols_out))
     if out:
-        yield pd.DataFrame.from_records(out, columns=cols_out)
+        yield pd.concat(out, ignore_index=True)
 
 
 def _ranged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | None) -> DataFrame:
