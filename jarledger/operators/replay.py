@@ -105,6 +105,9 @@ CODE_OPS = {v: k for k, v in OP_CODES.items()}
 # Refusals fixed per vectorised round; a stretch between resets needing more
 # is folded by the plain loop (exact either way).
 FIX_ROUNDS = 16
+# Below this many rows a single box's fold is cheaper as a plain loop than as
+# array operations (fixed per-call cost of the vectorised form).
+SMALL_GROUP = 1024
 
 
 def _seg_cumsum(x: np.ndarray, seg: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,12 +137,19 @@ def _guarded_fold(code, amt, has, delta, guarded, wd_ok, sub, sub_starts, start_
         lift = np.where(wd, -delta[fi], -bal[fi])
         refused[fi[wd]] = True
         diff = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(diff, fi, lift)
-        np.add.at(diff, sub_end[sub[fi]], -lift)
+        diff[fi] += lift  # one index per stretch, so plain indexing adds once
+        diff[sub_end[sub[fi]]] -= lift
         bal += np.cumsum(diff[:-1])
-    for k in np.unique(sub[guarded & (bal < 0)]):
-        b = int(start_val[k])
-        for i in range(sub_starts[k], sub_end[k]):
+    vi = np.flatnonzero(guarded & (bal < 0))
+    if len(vi) == 0:
+        return bal, refused
+    # Stretches still refusing: the plain loop from their first open step on
+    # (everything before it is already exact).
+    fi = vi[np.r_[True, sub[vi][1:] != sub[vi][:-1]]]
+    for i0 in fi:
+        k = sub[i0]
+        b = int(bal[i0 - 1]) if i0 > sub_starts[k] else int(start_val[k])
+        for i in range(i0, sub_end[k]):
             if code[i] in (0, 1):
                 b = int(amt[i]) if code[i] == 0 else 0
                 refused[i] = False
@@ -150,6 +160,35 @@ def _guarded_fold(code, amt, has, delta, guarded, wd_ok, sub, sub_starts, start_
     return bal, refused
 
 
+def fold_sorted(op: pd.Series, cents: pd.Series, has_amount: pd.Series, start: int) -> tuple[int, int]:
+    """Guarded fold of one box's sorted rows from balance ``start``, vectorised:
+    returns (final balance, applied count).  Used by the streaming replay."""
+    if len(op) < SMALL_GROUP:
+        bal, ok = start, 0
+        for o, a, h in zip(op.tolist(), cents.tolist(), has_amount.tolist()):
+            bal, applied = _apply(o, int(a) if h else None, bal)
+            ok += applied
+        return bal, ok
+    code = op.map(OP_CODES).fillna(5).to_numpy(np.int8)
+    amt = cents.to_numpy(np.int64)
+    has = has_amount.to_numpy(bool)
+    is_reset = code == 1
+    add_ok = (code == 2) & has & (amt != 0)
+    wd_ok = (code == 3) & has & (amt != 0)
+    del_ok = (code == 4) & has
+    delta = np.where(add_ok, np.abs(amt), 0) - np.where(wd_ok, np.abs(amt), 0) - np.where(del_ok, amt, 0)
+    sstart = is_reset.copy()
+    sstart[0] = True
+    sub_starts = np.flatnonzero(sstart)
+    sub = np.cumsum(sstart) - 1
+    start_val = np.zeros(len(sub_starts), dtype=np.int64)
+    if not is_reset[0]:
+        start_val[0] = start
+    bal, refused = _guarded_fold(code, amt, has, delta, wd_ok | del_ok, wd_ok, sub, sub_starts, start_val)
+    applied = is_reset | add_ok | del_ok | (wd_ok & ~refused)
+    return int(bal[-1]), int(applied.sum())
+
+
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One range of the global (box, ts, op_id) order -> one summary per box
     piece in it, vectorised per Arrow batch.  Segment A is the piece up to

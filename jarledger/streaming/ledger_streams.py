@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jarledger.functions.money import money_out
-from jarledger.operators.replay import _apply
+from jarledger.operators.replay import fold_sorted
 from jarledger.session import ensure_conf, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -88,10 +88,9 @@ def _replay_state_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
     else:
         bal, n, ok = 0, 0, 0
     batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "op_id"], kind="stable")
-    for op, amt, has in zip(batch["op"].tolist(), batch["cents"].tolist(), batch["has_amount"].tolist()):
-        bal, applied = _apply(op, int(amt) if has else None, bal)
-        n += 1
-        ok += applied
+    bal, applied = fold_sorted(batch["op"], batch["cents"], batch["has_amount"], int(bal))
+    n += len(batch)
+    ok += applied
     state.update((bal, n, ok))
     yield pd.DataFrame({"box_id": [key[0]], "balance_cents": [bal], "n_ops": [n],
                         "n_applied": [ok], "n_rejected": [n - ok]})
