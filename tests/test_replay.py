@@ -401,3 +401,20 @@ def test_vectorised_group_fold_equals_plain_loop_over_random_batches():
         assert {(int(r.box_id), int(r.sid)): (int(r.bal), int(r.applied)) for r in got.itertuples()} == want_groups
         st = pd.concat(list(replay._group_fold(iter(batches), "sid", True)), ignore_index=True)
         assert {int(r.op_id): (int(r.balance_cents), bool(r.applied)) for r in st.itertuples()} == want_steps
+
+
+def test_fold_sorted_equals_plain_loop_on_both_sides_of_the_cutoff():
+    """Short groups take the loop, long ones the vectorised fold with its
+    fix rounds and its loop for stretches that keep refusing."""
+    rng = np.random.default_rng(21)
+    for size in [1, 5, 300, replay.SMALL_GROUP + 1, 4000]:
+        for p_wd in (0.2, 0.5):
+            op = rng.choice(["add", "withdraw", "delete_tx", "reset", "recolor"], size,
+                            p=[0.75 - p_wd, p_wd, 0.2, 0.02, 0.03])
+            df = pd.DataFrame({"op": op, "cents": rng.integers(-3000, 30000, size), "has_amount": rng.random(size) > 0.02})
+            start = int(rng.integers(0, 10000))
+            bal, ok = start, 0
+            for o, a, h in zip(df["op"], df["cents"], df["has_amount"]):
+                bal, applied = replay._apply(o, int(a) if h else None, bal)
+                ok += applied
+            assert replay.fold_sorted(df["op"], df["cents"], df["has_amount"], start) == (bal, ok), (size, p_wd)
