@@ -493,9 +493,10 @@ def _walked(staged: DataFrame, entries: bool) -> DataFrame:
 
 
 def _broadcast_if_small(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast a piece list whose row count was measured and is small;
-    beyond that both sides shuffle on (box, range), a key no box can skew."""
-    lim = int(df.sparkSession.conf.get("jarledger.replay.broadcastPieces", "2000000"))
+    """Broadcast a piece list whose row count was measured and is small
+    (default 500k rows of 8 narrow columns, about 30 MB); beyond that both
+    sides shuffle on (box, range), a key no box can skew."""
+    lim = int(df.sparkSession.conf.get("jarledger.replay.broadcastPieces", "500000"))
     return F.broadcast(df) if n <= lim else df
 
 
@@ -518,8 +519,8 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
     its drawdown behaves as a plain sum, and a reset cuts the dependency on
     the entry.  Only where a box's balance runs dry inside a later piece is
     the order truly sequential; those stretches, from the dry piece to the
-    next reset, are folded row by row from their known entry, each stretch
-    in its own task and stretches of one box in parallel.  Exact in integer
+    next reset, are folded in order from their known entry, each stretch in
+    its own task and stretches of one box in parallel.  Exact in integer
     cents.
     """
     staged = _staged_ops(ops, opening, partitions)
