@@ -418,3 +418,22 @@ def test_fold_sorted_equals_plain_loop_on_both_sides_of_the_cutoff():
                 bal, applied = replay._apply(o, int(a) if h else None, bal)
                 ok += applied
             assert replay.fold_sorted(df["op"], df["cents"], df["has_amount"], start) == (bal, ok), (size, p_wd)
+
+
+def test_replay_dry_pieces_beyond_the_broadcast_bound(spark):
+    """With the broadcast bound at 0 the dry-piece list is joined by shuffle
+    on (box, range); the result is the same."""
+    rows, seqs = _random_log(random.Random(2), 1200, 3000, 4000, 0.0)
+    spark.conf.set("jarledger.replay.broadcastPieces", "0")
+    try:
+        got = {r["box_id"]: (r["final_balance"], r["n_applied"])
+               for r in replay.ordered_replay(ops(spark, rows), partitions=24).collect()}
+        steps = {r["op_id"]: r["balance"] for r in replay.replay_steps(ops(spark, rows), partitions=24).collect()}
+    finally:
+        spark.conf.unset("jarledger.replay.broadcastPieces")
+    expect = {}
+    for b, s in seqs.items():
+        bal, n, ok = _loop_once(D(0), s)
+        expect[b] = (bal, ok)
+    assert got == expect
+    assert len(steps) == sum(len({(w, o) for w, o, _, _ in s}) for s in seqs.values())
