@@ -1,9 +1,10 @@
 """Joins (O13-O18).
 
-Dimension sides are not broadcast by hint unless their size is bounded by
-construction (the rate table: at most supported-currencies^2 rows).  Templates
-and profiles grow with the data, so the choice is left to Catalyst statistics
-and AQE, which switches a sort-merge join to a broadcast at runtime when the
+Dimension sides are not broadcast by hint unless their row count was measured
+and is under a bound (the rate table: 4 bases x the quote codes of the feeds,
+a few hundred rows in practice, counted before the join).  Templates and
+profiles grow with the data, so the choice is left to Catalyst statistics and
+AQE, which switches a sort-merge join to a broadcast at runtime when the
 measured side is under ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
@@ -15,6 +16,13 @@ from pyspark.sql import functions as F
 from jarledger.functions.display import currency_code
 
 
+def _broadcast_if_counted_small(df: DataFrame, conf_key: str, default_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when its measured row count is within the bound
+    (``conf_key``); beyond it the join falls back to a shuffle join."""
+    lim = int(df.sparkSession.conf.get(conf_key, str(default_rows)))
+    return F.broadcast(df) if df.count() <= lim else df
+
+
 def boxes_with_template(boxes: DataFrame, templates: DataFrame, ordered: bool = True) -> DataFrame:
     """Box left-join template (name, total, grid, currency), created_at asc."""
     t = templates.select(
@@ -43,8 +51,9 @@ def box_home_equivalent(boxes: DataFrame, profiles: DataFrame, rates: DataFrame)
     mirrors the card: home set, codes differ, value known.
     """
     home = profiles.select(F.col("id").alias("user_id"), "home_currency")
-    # The rate table is bounded (supported currencies squared): broadcast it.
-    r = F.broadcast(rates.select(F.col("base").alias("home_currency"), F.col("quote").alias("code"), "rate"))
+    r = _broadcast_if_counted_small(
+        rates.select(F.col("base").alias("home_currency"), F.col("quote").alias("code"), "rate"),
+        "jarledger.rates.broadcastRows", 100_000)
     code = currency_code(F.col("currency"), empty_is_missing=True)
     b = boxes.join(home, "user_id", "left").select(
         F.col("id").alias("box_id"), "user_id", "home_currency", "current_amount",

@@ -13,8 +13,8 @@ Result per base:
   * base EUR / USD / GBP: the cross rows, the base itself = 1, and UAH = the
     UAH-feed rate of the base when present (it overrides a cross UAH row).
 
-The result is bounded by (#supported currencies)^2 rows, so operators may
-broadcast it.
+The result has at most 4 bases x (the cross feed's distinct quote codes + 2)
+rows; operators that join it count it and broadcast it under a bound.
 """
 
 from __future__ import annotations

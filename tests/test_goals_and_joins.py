@@ -72,6 +72,23 @@ def test_g15_home_currency_conversion(spark):
     assert got[30] == (None, False)
 
 
+
+def test_g15_rates_beyond_the_broadcast_bound(spark):
+    """With the row bound at 0 the rate table is joined by shuffle; same answer."""
+    rates = _feeds(spark, [(0, "EUR", 45.0), (1, "USD", 41.5), (2, "GBP", 52.5)],
+                   [("EUR", "USD", 1.08)])
+    p = profiles(spark, [(1, "a", "a@x", "UAH", "en"), (2, "b", "b@x", "EUR", "en")])
+    b = boxes(spark, [{"id": 10, "user_id": 1, "currency": "EUR", "current_amount": 2},
+                      {"id": 20, "user_id": 2, "currency": "usd", "current_amount": 108}])
+    spark.conf.set("jarledger.rates.broadcastRows", "0")
+    try:
+        j = joins.box_home_equivalent(b, p, rates)
+        assert "BroadcastExchange" not in j._jdf.queryExecution().executedPlan().toString()
+        got = {r["box_id"]: r["home_equivalent"] for r in j.collect()}
+    finally:
+        spark.conf.unset("jarledger.rates.broadcastRows")
+    assert abs(got[10] - 90.0) < 1e-9 and abs(got[20] - 100.0) < 1e-9
+
 def test_g15_uah_feed_without_eur_drops_uah_rates(spark):
     rates = _feeds(spark, [(0, "USD", 41.5), (1, "GBP", 52.5), (2, "", 9.0), (3, "XXX", -1.0)],
                    [("EUR", "USD", 1.08), ("EUR", "GBP", 0.86)])
