@@ -164,6 +164,8 @@ SELECT t.id, t.box_id, t.amount, t.note, t.date FROM transactions t
 WHERE EXISTS (SELECT 1 FROM user_boxes b WHERE b.id = t.box_id)
 """
 
+# The binding writes every 50th queue dump as malformed JSON (the bad-payload
+# case of O03); such dumps yield no rows, so the oracle leaves them out.
 Q["op_log_ingest"] = """
 SELECT 'd' || CAST(user_id % 8 AS VARCHAR) AS device, event_id AS dump_id, CAST(0 AS BIGINT) AS seq,
        CASE WHEN event_type = 'purchase' THEN 'withdraw' ELSE 'add' END AS action,
