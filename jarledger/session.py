@@ -79,8 +79,13 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         if not str(master).startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="jarledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # spark.checkpoint.dir is fixed when the context starts; register the
+        # scratch folder on the context, where later calls find it.
         if sc is not None:
             sc.setCheckpointDir(root)
+    elif sc is not None and not sc.getCheckpointDir():
+        # Named in the session conf but not registered: DataFrame.checkpoint()
+        # needs the context's directory, so point it at the same shared folder.
+        sc.setCheckpointDir(root)
     path = "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])
     return path

@@ -84,3 +84,30 @@ def test_snapshot_falls_back_to_last_complete(spark):
     v3 = snapshot.ledger_snapshot(b, t2, root)
     assert v3 > v1
     assert sorted(r["id"] for r in snapshot.read_snapshot(spark, root, "transactions").collect()) == [2, 3]
+
+
+def test_shared_dir_without_a_configured_checkpoint_dir(tmp_path):
+    """A local session whose spark.checkpoint.dir is unset (a core setting
+    that cannot be changed at runtime) still gets a registered scratch folder,
+    so DataFrame.checkpoint() works.  Runs in its own process: the shared test
+    session already has a context."""
+    import os
+    import subprocess
+    import sys
+    conf_dir = tmp_path / "conf"
+    conf_dir.mkdir()
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "from jarledger.session import shared_dir\n"
+        "shared_dir(s, 'a'); shared_dir(s, 'b')\n"
+        "assert s.sparkContext.getCheckpointDir()\n"
+        "print(s.range(7).checkpoint().count())\n"
+        "s.stop()\n"
+    ) % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, SPARK_CONF_DIR=str(conf_dir))
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip().splitlines()[-1] == "7"
