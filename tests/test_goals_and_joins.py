@@ -74,12 +74,15 @@ def test_g15_home_currency_conversion(spark):
 
 
 def test_g15_rates_beyond_the_broadcast_bound(spark):
-    """With the row bound at 0 the rate table is joined by shuffle; same answer."""
+    """Under the default row bound the counted rate table is broadcast; with
+    the bound at 0 it is joined by shuffle, with the same answer."""
     rates = _feeds(spark, [(0, "EUR", 45.0), (1, "USD", 41.5), (2, "GBP", 52.5)],
                    [("EUR", "USD", 1.08)])
     p = profiles(spark, [(1, "a", "a@x", "UAH", "en"), (2, "b", "b@x", "EUR", "en")])
     b = boxes(spark, [{"id": 10, "user_id": 1, "currency": "EUR", "current_amount": 2},
                       {"id": 20, "user_id": 2, "currency": "usd", "current_amount": 108}])
+    under = joins.box_home_equivalent(b, p, rates)
+    assert "BroadcastExchange" in under._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("jarledger.rates.broadcastRows", "0")
     try:
         j = joins.box_home_equivalent(b, p, rates)
