@@ -30,7 +30,7 @@ def summarise(df) -> dict:
     plan = df._jdf.queryExecution().executedPlan().toString()
     counts = {op: len(re.findall(re.escape(op) + r"\b", plan)) for op in OPS}
     pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan)) - {""})
-    reads = sorted(set(re.findall(r"ReadSchema: (\S+)", plan)))
+    reads = sorted({r.rstrip(",") for r in re.findall(r"ReadSchema: (\S+)", plan)})
     return {"ops": {k: v for k, v in counts.items() if v}, "pushed": pushed, "reads": reads}
 
 
