@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Settings the ledger semantics depend on (UTC day keys) plus AQE, which
@@ -52,8 +54,18 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def ship_package() -> None:
+    """Send this package's functions to the workers by value.
+
+    Workers then need no copy of the package on their path: what a Python
+    operator uses travels with its task.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
 def ensure_conf(spark: SparkSession) -> None:
     """Apply the runtime SQL settings the operators assume."""
+    ship_package()
     for k, v in REQUIRED_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
