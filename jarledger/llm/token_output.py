@@ -51,7 +51,7 @@ from jarledger.session import shared_dir
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 LEVEL = 3
-CACHE_WORDS = 500_000   # pieces a worker remembers
+CACHE_WORDS = 1_000_000 # words a worker remembers, about 200 MB
 CACHED_LENGTH = 64
 MARKS = ".,;:!?|$%&*#"    # no white space, letter, digit or apostrophe
 ODD_SPACE = re.compile(r" \s|\s | \Z")
@@ -99,16 +99,15 @@ class Tokens:
         return np.array([t.id for t in self.merges.tokenize(signs)], self.type).tobytes()
 
     def word(self, piece: str) -> bytes:
-        """Ids of a space and ``piece``."""
+        """Ids of a space and ``piece``; marks are remembered apart from the letters before them."""
         body = piece.rstrip(MARKS)
-        if body.isalpha():
-            ids = self.words.get(body) or self.merged(" " + body)
-            marks = piece[len(body):]
-            if marks:
-                ids += self.words.get(" " + marks) or self.keep(" " + marks, self.merged(marks))
-        else:
-            ids = self.whole(" " + piece)
-        return self.keep(piece, ids)
+        if not body.isalpha():
+            return self.keep(piece, self.whole(" " + piece))
+        ids = self.words.get(body) or self.keep(body, self.merged(" " + body))
+        marks = piece[len(body):]
+        if marks:
+            ids += self.words.get(" " + marks) or self.keep(" " + marks, self.merged(marks))
+        return ids
 
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= CACHED_LENGTH and len(self.words) < CACHE_WORDS:
@@ -125,10 +124,7 @@ class Tokens:
         first, *rest = text.split(" ")
         words = self.words
         head = self.whole(first) if first else b""
-        try:
-            return head + b"".join([words[p] for p in rest])
-        except KeyError:
-            return head + b"".join([words.get(p) or self.word(p) for p in rest])
+        return head + b"".join([words.get(p) or self.word(p) for p in rest])
 
     @staticmethod
     def safe_pieces(text: str) -> list[str]:
@@ -245,7 +241,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     [pa.array(shard.doc_ids, pa.int64()), pa.array(start + ends - np.array(count, np.int64)), pa.array(count, pa.int64()),
                      pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_output(spark, sf_dir: str) -> DataFrame:
