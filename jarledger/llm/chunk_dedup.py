@@ -77,7 +77,8 @@ def recipes(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CH
 def groups(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row."""
     rows = recipes(docs, min_chunk, max_chunk)
-    best = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count("*").alias("group_size"))
+    # written down, so the join has an exchange on either side and AQE can split a hot recipe's copies
+    best = settle(rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count("*").alias("group_size")), "best")
     return rows.join(best, "recipe").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256")

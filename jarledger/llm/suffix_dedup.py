@@ -14,14 +14,17 @@ digit.  The digits of a suffix are, in turn,
 3. the window itself, only in groups with several contexts.
 
 Groups that are equal after the last digit are exactly the repeated windows;
-each is reduced to its smallest document.  Digits are 64-bit hashes (48 bits of
-the first go to the shuffle); a wrong decision takes a collision of
-two digits at once, beyond 2^-100 for each pair.
-
-Documents are dealt into buckets by doc_id, and a pass sends requests from
-document buckets and replies back to them: each bucket sends a digit
-once, with its smallest document, so a digit that a third of all documents
-hold is one record for each bucket, never one group of all of them.
+each is reduced to its smallest document.  Digits are hashes of 48 bits (64 for
+the window); a wrong decision takes equal hashes of different anchors and of
+different contexts or windows at once, below 2^-90 for each pair.
+
+Texts are packed once into blocks of ``block_bytes``, a table bucketed by block
+whose text no later pass shuffles.  In each pass a block asks: it sends its
+digits, each once, in order, to the slot that owns their range, and the slot
+answers with one value for each, in the same order.  So a digit that a third of all
+documents hold is one record for each block, never one group of all of them.
+Rows are at most as many as digits, and at least ``n / blocks`` digits share
+one.
 
 Defined cases: null is the empty text; texts below ``window`` bytes lose
 nothing; documents with equal doc_ids are not smaller than each other; a null
@@ -33,19 +36,24 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from jarledger.llm.common import byte_view, table
+from jarledger.llm.common import byte_view, settle, table
+from jarledger.session import shared_dir
 
 WINDOW, GRAM = 50, 22
 PIECE = 1 << 20             # bytes of text turned into arrays at a time
-BUCKET_BYTES = 6 << 20      # text of a document bucket
-BLOCK_BYTES = 24 << 20      # text whose anchors a task gathers before it sends them
+BLOCK_BYTES = 6 << 20       # text of a block; a longer text is a block by itself
+BLOCKS_A_BUCKET, MOST_BUCKETS = 4, 50_000
 NO_ID = (1 << 63) - 1
+OPEN = -(1 << 63)           # answer: this context's group has others, ask window by window
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -109,248 +117,264 @@ class Piece:
         return start, run, scramble(self.digest(start, self.window) ^ self.anchor[run] * np.uint64(3))
 
 
-class Texts:
-    """The texts of a bucket or batch, read piece by piece."""
-
-    def __init__(self, texts: pa.Array, doc_ids: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-        self.buf, self.offsets = byte_view(texts)
-        self.docs, self.window, self.gram = doc_ids, window, gram
-        self.up, self.down = powers(BASE, PIECE + window), powers(INVERSE, PIECE + window + 1)
+class Block:
+    """The runs of windows of a block's texts, and its questions."""
 
-    def pieces(self) -> Iterator[tuple[Piece, int, np.ndarray]]:
-        """Each piece, where it begins, and the document of each of its runs."""
-        n, at = len(self.buf), 0
-        while at < n:
-            # whole texts up to PIECE bytes, or part of a longer one
+    def __init__(self, buf: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int, gram: int):
+        self.buf, self.docs = buf, docs
+        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
+        self.window = window
+        up, down = powers(BASE, PIECE + window), powers(INVERSE, PIECE + window + 1)
+        self.pieces: list[tuple[Piece, int]] = []
+        found, at = [], 0
+        while at < len(buf):
+            # whole texts up to PIECE bytes, or part of a longer one, which overlaps the next by a window
             row = int(np.searchsorted(self.offsets, at, side="right")) - 1
             stop = int(self.offsets[int(np.searchsorted(self.offsets, at + PIECE, side="right")) - 1])
-            whole = stop > at
-            end = stop if whole else min(at + PIECE + self.window - 1, int(self.offsets[row + 1]))
-            edge = self.offsets[np.searchsorted(self.offsets, np.arange(at, end), side="right")] - at
-            piece = Piece(self.buf[at:end], np.minimum(edge, end - at), self.up, self.down, self.window, self.gram)
+            end = stop if stop > at else min(at + PIECE + window - 1, int(self.offsets[row + 1]))
+            edges = np.minimum(self.offsets[1:][row:] - at, end - at)
+            inside = np.diff(np.concatenate(([0], edges[: int(np.searchsorted(edges, end - at)) + 1])))
+            piece = Piece(buf[at:end], np.repeat(edges[: len(inside)], inside), up, down, window, gram)
+            n = len(piece.anchor)
             rows = np.searchsorted(self.offsets, at + piece.first, side="right") - 1
-            yield piece, at, rows
-            at = end if whole or end == self.offsets[row + 1] else end - self.window + 1
-
-
-def least_by(keys: list[np.ndarray], docs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct keys, with the smallest and the largest document of each."""
-    if not len(docs):
-        return keys, docs, docs
-    order = np.lexsort((docs, *keys))
-    keys, docs = [k[order] for k in keys], docs[order]
-    new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-    return [k[new] for k in keys], docs[new], docs[np.append(new[1:], len(docs)) - 1]
-
-
-def pack(digits: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """Records by digit bucket: 48 bits of each digit, and its smallest and largest document bucket-wise coded."""
-    bucket = (digits % np.uint64(blocks)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(blocks + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        some = order[cuts[b]: cuts[b + 1]]
-        some = some[np.argsort(digits[some])]
-        d, base = digits[some] >> np.uint64(16), int(low[some].min())
-        shift = low[some] - base
-        kind = np.uint32 if int(shift.max()) < 1 << 32 else np.uint64
-        many = high[some] != low[some]
-        head = np.array([len(some), base, np.dtype(kind).itemsize], np.int64).tobytes()
-        yield int(b), head + (d >> np.uint64(16)).astype(np.uint32).tobytes() + d.astype(np.uint16).tobytes() + shift.astype(kind).tobytes() + np.packbits(many).tobytes()
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digits (48 bits), documents, and whether the sender has others too."""
-    n, base, size = np.frombuffer(blob, np.int64, 3).tolist()
-    at = 24
-    high = np.frombuffer(blob, np.uint32, n, at).astype(np.uint64)
-    low = np.frombuffer(blob, np.uint16, n, at + 4 * n)
-    at += 6 * n
-    docs = np.frombuffer(blob, np.uint32 if size == 4 else np.uint64, n, at).astype(np.int64) + base
-    many = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at + size * n), count=n).astype(bool)
-    return high << np.uint64(16) | low, docs, many
-
-
-def bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
-    """The document bucket of each doc_id; the same as ``bucket_column``."""
-    return docs % buckets
-
-
-def send_anchors(texts: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """First digit: ``(slot, blob)``; anchors by digit bucket.
-
-    Slots from ``buckets`` on go straight back to a document bucket: anchors
-    that several documents of one block share need no other witness.
-    """
+            found.append((piece.anchor >> np.uint64(16), piece.contexts(np.arange(n)) >> np.uint64(16), piece.first, piece.last, docs[rows],
+                          np.full(n, len(self.pieces))) if n else None)
+            self.pieces.append((piece, at))
+            at = end if stop > at or end == self.offsets[row + 1] else end - window + 1
+        found = [f for f in found if f]
+        empty = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
+        self.anchor, self.context, self.first, self.last, self.doc, self.piece = (
+            [np.concatenate(x) for x in zip(*found)] if found else empty)
+
+    def ask_anchors(self):
+        """First pass: distinct anchors, and whether several documents of the block have it."""
+        (digit,), low, high, self.which_anchor = distinct([self.anchor], self.doc)
+        return digit, [(low != high).astype(np.uint64)]
+
+    def hear_anchors(self, shared: np.ndarray) -> None:
+        self.shared = np.flatnonzero(shared[self.which_anchor] > 0)
+
+    def ask_contexts(self):
+        """Second pass: distinct (anchor, context) of runs that share their anchor, with the smallest document."""
+        some = self.shared
+        (anchor, context), low, _, self.which_context = distinct([self.anchor[some], self.context[some]], self.doc[some])
+        return anchor, [context, low.view(np.uint64)]
+
+    def hear_contexts(self, first: np.ndarray) -> None:
+        first = first.view(np.int64)[self.which_context]
+        self.decided = self.shared[first != OPEN], first[first != OPEN]
+        self.open = self.shared[first == OPEN]
+
+    def windows(self):
+        """Start, document and digest of all windows of the open runs."""
+        out = [], [], []
+        for k, (piece, at) in enumerate(self.pieces):
+            base = int(np.searchsorted(self.piece, k))
+            some = self.open[self.piece[self.open] == k] - base
+            if len(some):
+                start, run, digest = piece.windows(some)
+                for x, y in zip(out, (start + at, self.doc[base + run], digest)):
+                    x.append(y)
+        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64)))
+
+    def ask_windows(self):
+        """Third pass: distinct windows of the open runs, with the smallest document."""
+        self.start, self.owner, digest = self.windows()
+        (digit,), low, _, self.which_window = distinct([digest], self.owner)
+        return digit, [low.view(np.uint64)]
+
+    def hear_windows(self, first: np.ndarray) -> None:
+        self.first_of_window = first.view(np.int64)[self.which_window]
+
+    def removed(self) -> np.ndarray:
+        """Which bytes go."""
+        edge = np.zeros(len(self.buf) + 1, np.int32)
+        runs, first = self.decided
+        runs = runs[first < self.doc[runs]]
+        base = np.array([at for _, at in self.pieces], np.int64)
+        one = self.start[self.first_of_window < self.owner]
+        for begin, end in ((base[self.piece[runs]] + self.first[runs], base[self.piece[runs]] + self.last[runs] + self.window),
+                           (one, one + self.window)):
+            edge += np.bincount(begin, minlength=len(edge)).astype(np.int32)
+            edge -= np.bincount(end, minlength=len(edge)).astype(np.int32)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def distinct(keys: list[np.ndarray], docs: np.ndarray):
+    """Distinct keys in order, the smallest and largest document of each, and which of them each record is."""
+    order = np.lexsort((docs, *reversed(keys)))
+    sorted_, docs = [k[order] for k in keys], docs[order]
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for k in sorted_:
+        fresh[1:] |= k[1:] != k[:-1]
+    new = np.flatnonzero(fresh)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return [k[new] for k in sorted_], docs[new], docs[np.append(new[1:], len(docs)) - 1] if len(new) else docs, which
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, byte plane by byte plane, compressed."""
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+
+
+def questions(block_id: int, digit: np.ndarray, columns: list[np.ndarray], slots: int, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """``(slot, block, payload)``: the ordered digits cut by range; differences and offsets, as these are small."""
+    share = max(1, (1 << bits) // slots)
+    slot = np.minimum(digit // np.uint64(share), np.uint64(slots - 1)).astype(np.int64) if slots > 1 else np.zeros(len(digit), np.int64)
+    cuts = np.searchsorted(slot, np.arange(slots + 1)) if len(digit) > slots else None
+    owners = np.flatnonzero(np.diff(cuts)) if cuts is not None else np.unique(slot)
+    for s in owners.tolist():
+        a, b = (cuts[s], cuts[s + 1]) if cuts is not None else np.searchsorted(slot, [s, s + 1])
+        yield s, block_id, pack(np.diff(digit[a:b], prepend=np.uint64(0)), *[c[a:b] for c in columns])
+
+
+def answers(group: pa.Table, columns: int, decide) -> pa.Table:
+    """All questions of a slot answered: ``decide(digit, columns)`` gives a value for each record of the ordered whole."""
+    parts = [unpack(p.as_py(), columns + 1) for p in group["payload"]]
+    digit = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    value = decide(digit, [np.concatenate([p[i + 1] for p in parts]) for i in range(columns)])
+    cuts = np.cumsum([0] + [len(p[0]) for p in parts])
+    return pa.table({"block": group["block"], "slot": group["slot"], "payload": pa.array(
+        [pack(value[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+
+def decide_anchors(digit, columns):
+    """1 if another block or another document of the block has the anchor."""
+    _, which, count = np.unique(digit, return_inverse=True, return_counts=True)
+    return ((count > 1) | (np.bincount(which, weights=columns[0].astype(float)) > 0)).astype(np.uint64)[which]
+
+
+def decide_contexts(anchor, columns):
+    """The smallest document with the anchor if all its contexts are the same one, else OPEN."""
+    context, doc = columns[0], columns[1].view(np.int64)
+    (_, _), low, _, pair = distinct([anchor, context], doc)
+    _, which = np.unique(anchor, return_inverse=True)
+    owner = np.zeros(len(low), np.int64)
+    owner[pair] = which                                   # the anchor of each distinct pair
+    several = np.bincount(owner) > 1
+    return np.where(several[which], np.int64(OPEN), low[pair]).view(np.uint64)
+
+
+def decide_windows(digit, columns):
+    """The smallest document with the window."""
+    _, low, _, which = distinct([digit], columns[0].view(np.int64))
+    return low[which].view(np.uint64)
+
+
+def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """``(block, docs, sizes, text)``: texts in blocks, a table bucketed by block in the shared folder."""
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
     def run(batches):
-        kept, size = [], 0
-
-        def send():
-            anchors = np.concatenate([a for a, _ in kept])
-            docs = np.concatenate([d for _, d in kept])
-            (digits,), low, high = least_by([anchors], docs)
-            found = list(pack(digits, low, high, buckets))
-            shared = digits[low != high]
-            if len(shared):
-                many = np.isin(anchors, shared)
-                pair = np.unique(np.stack([bucket_of(docs[many], buckets).astype(np.uint64), anchors[many] >> np.uint64(16)]), axis=1)
-                cuts = np.searchsorted(pair[0], np.arange(buckets + 1, dtype=np.uint64))
-                found += [(buckets + int(b), pair[1][cuts[b]: cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts))]
-            for at in range(0, len(found), 64):
-                some = found[at: at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], ["slot", "blob"])
+        task, count, kept, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def block():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task + count], pa.int64()), *(pa.array([b"".join(k[i] for k in kept)], pa.large_binary()).cast(pa.binary()) for i in range(3))],
+                ["block", "docs", "sizes", "text"])
 
         for batch in batches:
-            docs = batch["doc_id"].to_numpy()
-            for piece, _, rows in Texts(batch["text"], docs, window, gram).pieces():
-                kept.append((piece.anchor, docs[rows]))
-                size += len(piece.sums)
-                if size >= BLOCK_BYTES:
-                    yield from send()
-                    kept, size = [], 0
+            ids = batch["doc_id"].to_numpy()
+            buf, offsets = byte_view(batch["text"])
+            at = 0
+            while at < len(ids):
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes - size, side="right")) - 1)
+                if kept and offsets[end] - offsets[at] + size > block_bytes:
+                    end = at    # the next text doesn't fit
+                else:
+                    kept.append((ids[at:end].tobytes(), np.diff(offsets[at: end + 1]).tobytes(), buf[offsets[at]: offsets[end]].tobytes()))
+                    size += int(offsets[end] - offsets[at])
+                if size >= block_bytes or end == at or end < len(ids):
+                    yield block()
+                    count, kept, size = count + 1, [], 0
+                at = end
         if kept:
-            yield from send()
-
-    return texts.select("doc_id", "text").mapInArrow(run, "slot int, blob binary")
-
-
-def repeated_anchors(sent: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, blob)``: for each document bucket, the anchors (48 bits) it shares with another document."""
-    def run(group):
-        slot = group["slot"][0].as_py()
-        if slot >= buckets:
-            blobs = [b.as_py() for b in group["blob"]]
-            return pa.table({"bucket": pa.array([slot - buckets] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-        parts = [unpack(b.as_py()) for b in group["blob"]]
-        digits, docs, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((docs, digits))
-        digits, docs, many = digits[order], docs[order], many[order]
-        new = np.flatnonzero(np.concatenate(([True], digits[1:] != digits[:-1])))
-        size = np.diff(np.append(new, len(digits)))
-        last = np.append(new[1:], len(digits)) - 1
-        shared = (docs[new] != docs[last]) | np.logical_or.reduceat(many, new)
-        tell = np.repeat(shared, size) & ~many     # senders with several documents have told their buckets already
-        pair = np.unique(np.stack([bucket_of(docs[tell], buckets).astype(np.uint64), digits[tell]]), axis=1)
-        cuts = np.searchsorted(pair[0], np.arange(buckets + 1, dtype=np.uint64))
-        some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"bucket": pa.array(some, pa.int32()), "blob": pa.array([pair[1][cuts[b]: cuts[b + 1]].tobytes() for b in some], pa.binary())})
-
-    return sent.groupBy("slot").applyInArrow(run, "bucket int, blob binary")
-
-
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+            yield block()
+
+    name = f"jarledger_blocks_{uuid.uuid4().hex}"
+    buckets = min(MOST_BUCKETS, max(1, total // (block_bytes * BLOCKS_A_BUCKET)))
+    (texts.mapInArrow(run, "block long, docs binary, sizes binary, text binary").write.bucketBy(buckets, "block")
+     .option("path", shared_dir(spark, "llm", "blocks")).option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
+
+
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; kept is what is left, as bytes."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    dealt = texts.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
-    by_bucket = dealt.groupBy("bucket")
-
-    anchors = repeated_anchors(send_anchors(texts, buckets, window, gram), buckets)
-
-    def texts_of(group) -> Texts:
-        group = group.combine_chunks()
-        text = group["text"]
-        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-        return Texts(text, group["doc_id"].to_numpy(), window, gram)
-
-    def shared_runs(piece: Piece, anchors_: np.ndarray) -> np.ndarray:
-        """Runs whose anchor is among sorted ``anchors_``."""
-        if not len(anchors_) or not len(piece.anchor):
-            return np.zeros(0, np.int64)
-        digit = piece.anchor >> np.uint64(16)
-        at = np.minimum(np.searchsorted(anchors_, digit), len(anchors_) - 1)
-        return np.flatnonzero(anchors_[at] == digit)
-
-    def ask(group, told, windows: bool):
-        """Requests of a document bucket: its digits, each with its smallest document."""
-        if not len(group) or not len(told):
-            return request([np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64), 0)
-        have = texts_of(group)
-        if windows:
-            wanted = np.unique(told["anchor"].to_numpy().view(np.uint64) >> np.uint64(16))
-        else:
-            wanted = np.unique(np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in told["blob"]]))
-        keys, docs_ = [[], []], []
-        for piece, _, rows in have.pieces():
-            some = shared_runs(piece, wanted)
-            if windows:
-                _, run, digit = piece.windows(some)
-            else:
-                run, digit = some, piece.contexts(some)
-            keys[0].append(piece.anchor[run])
-            keys[1].append(digit)
-            docs_.append(have.docs[rows[run]])
-        keys, low, _ = least_by([np.concatenate(k) for k in keys] if docs_ else [np.zeros(0, np.uint64)] * 2,
-                                np.concatenate(docs_) if docs_ else np.zeros(0, np.int64))
-        return request(keys, low, group["bucket"][0].as_py())
-
-    def request(keys, low, bucket):
-        return pa.table({"bucket": pa.array(np.full(len(low), bucket, np.int32)), "anchor": pa.array(keys[0].view(np.int64)),
-                         "digit": pa.array(keys[1].view(np.int64)), "least": pa.array(low)})
-
-    schema = "bucket int, anchor long, digit long, least long"
-    asked = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(lambda a, b: ask(a, b, False), schema)
-    contexts = asked.groupBy("anchor", "digit").agg(F.min("least").alias("first"))
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("more"))
-    known = contexts.join(several, "anchor", "left").select("anchor", "digit", "first", F.coalesce("more", F.lit(False)).alias("more"))
-    told = asked.select("bucket", "anchor", "digit").join(known, ["anchor", "digit"])
-    decided = told.where("not more").select("bucket", "anchor", "digit", "first", F.lit(False).alias("single"))
-
-    open_ = told.where("more").select("bucket", "anchor").distinct()
-    asked_windows = by_bucket.cogroup(open_.groupBy("bucket")).applyInArrow(lambda a, b: ask(a, b, True), schema)
-    firsts = asked_windows.groupBy("anchor", "digit").agg(F.min("least").alias("first"))
-    told_windows = asked_windows.select("bucket", "anchor", "digit").join(firsts, ["anchor", "digit"]).select(
-        "bucket", "anchor", "digit", "first", F.lit(True).alias("single"))
-
-    def cut(group, told):
-        """Take the repeated windows out of a bucket's texts."""
-        if not len(group):
-            return result([], [], [], [], [], [])
-        have = texts_of(group)
-        gone = np.zeros(len(have.buf) + 1, np.int32)
-        if len(told):
-            single = told["single"].to_numpy(zero_copy_only=False)
-            replies = []
-            for kind in (False, True):
-                some = single == kind
-                a, d = (told[c].to_numpy().view(np.uint64)[some] for c in ("anchor", "digit"))
-                key = scramble(a * np.uint64(5)) ^ d
-                order = np.argsort(key)
-                replies.append((key[order], told["first"].to_numpy()[some][order], np.unique(a >> np.uint64(16))))
-            for piece, at, rows in have.pieces():
-                for kind, (key, first, wanted) in enumerate(replies):
-                    some = shared_runs(piece, wanted)
-                    if not len(some):
-                        continue
-                    if kind:
-                        begin, run, digit = piece.windows(some)
-                        end = begin + window
-                    else:
-                        run, digit = some, piece.contexts(some)
-                        begin, end = piece.first[run], piece.last[run] + window
-                    mine = scramble(piece.anchor[run] * np.uint64(5)) ^ digit
-                    spot = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-                    hit = (key[spot] == mine) & (first[spot] < have.docs[rows[run]])
-                    np.add.at(gone, at + begin[hit], 1)
-                    np.add.at(gone, at + end[hit], -1)
-        out = np.cumsum(gone[:-1]) > 0
-        n, lost, spans, kept = [], [], [], []
-        for a, b in zip(have.offsets[:-1].tolist(), have.offsets[1:].tolist()):
-            o = out[a:b]
-            n.append(b - a)
-            lost.append(int(o.sum()))
-            spans.append(int((o[1:] & ~o[:-1]).sum() + o[0]) if b > a else 0)
-            kept.append(have.buf[a:b][~o].tobytes() if lost[-1] else have.buf[a:b].tobytes())
-        return result(have.docs, n, lost, spans, [hashlib.sha256(k).hexdigest() for k in kept], kept)
-
-    def result(docs_, n, lost, spans, digest, kept):
-        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(lost, pa.int64()),
-                         "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
-
-    replies = decided.unionByName(told_windows)
-    done = by_bucket.cogroup(replies.groupBy("bucket")).applyInArrow(
+    blocks = pack_blocks(docs, block_bytes)
+    slots = max(1, blocks.count())
+    asks = [("ask_anchors", "hear_anchors", 48, 1, decide_anchors), ("ask_contexts", "hear_contexts", 48, 2, decide_contexts),
+            ("ask_windows", "hear_windows", 64, 1, decide_windows)]
+
+    def opened(row, told: pa.Table | None, rounds: int) -> Block:
+        """A block that has heard the answers of the first ``rounds`` passes."""
+        docs_, sizes = (np.frombuffer(row[c].as_py(), np.int64) for c in ("docs", "sizes"))
+        block = Block(np.frombuffer(row["text"].as_py(), np.uint8), sizes, docs_, window, gram)
+        for k in range(rounds):
+            n = len(getattr(block, asks[k][0])()[0])
+            some = sorted((s, p) for r, s, p in zip(*(told[c].to_pylist() for c in ("round", "slot", "payload"))) if r == k) if n else []
+            heard = np.concatenate([unpack(p, 1)[0] for _, p in some]) if some else np.zeros(0, np.uint64)
+            getattr(block, asks[k][1])(heard)
+        return block
+
+    def asked(block: Block, k: int, block_id: int) -> pa.Table:
+        digit, columns = getattr(block, asks[k][0])()
+        rows = list(questions(block_id, digit, columns, slots, asks[k][2]))
+        return pa.table({"slot": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()),
+                         "payload": pa.array([r[2] for r in rows], pa.binary())})
+
+    def rows_of(batch):
+        for i in range(len(batch)):
+            yield {c: batch[c][i] for c in ("block", "docs", "sizes", "text")}
+
+    def steps(k: int):
+        """The functions of pass ``k``."""
+        def first(batches):
+            for batch in batches:
+                for row in rows_of(batch):
+                    yield from asked(opened(row, None, 0), k, row["block"].as_py()).to_batches()
+
+        def later(some, told):
+            return pa.concat_tables([asked(opened(row, told, k), k, row["block"].as_py()) for row in rows_of(some)])
+
+        return first, later, lambda group: answers(group, asks[k][3], asks[k][4])
+
+    told, shape = None, "slot long, block long, payload binary"
+    for k in range(len(asks)):
+        first, later, answer = steps(k)
+        posed = blocks.mapInArrow(first, shape) if told is None else blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(later, shape)
+        heard = posed.groupBy("slot").applyInArrow(answer, "block long, slot long, payload binary").withColumn("round", F.lit(k))
+        heard = settle(heard, f"answers_{k}")
+        told = heard if told is None else told.unionByName(heard)
+
+    def cut(some, told_):
+        out = [pa.table({c: pa.array([], t) for c, t in kinds})]
+        for row in rows_of(some):
+            block = opened(row, told_, len(asks))
+            gone = block.removed()
+            n, lost, spans, kept = [], [], [], []
+            for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
+                o = gone[a:b]
+                n.append(b - a)
+                lost.append(int(o.sum()))
+                spans.append(int((o[1:] & ~o[:-1]).sum() + o[0]) if b > a else 0)
+                kept.append((block.buf[a:b][~o] if lost[-1] else block.buf[a:b]).tobytes())
+            values = (block.docs, n, lost, spans, [hashlib.sha256(x).hexdigest() for x in kept], kept)
+            out.append(pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds, values)}))
+        return pa.concat_tables(out)
+
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+    done = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 

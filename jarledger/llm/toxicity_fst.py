@@ -38,7 +38,7 @@ from jarledger.llm.common import bounded_sample, crc_mod, settle, table
 
 SAMPLE_ROWS = 8000      # rows of either label that are learned from
 THRESHOLD = 0.7
-MIN_SHARE = 0.005       # of the toxic sample that a term must occur in
+MIN_SHARE, MIN_ROWS = 0.015, 8   # of the toxic sample that a term must occur in
 MIN_PRECISION = 0.9     # of a term's texts that must be toxic
 STEM_LENGTHS = (4, 5, 6)
 STEM_GAIN = 1.5         # a word beginning must cover so many times its best word
@@ -222,12 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     for mark in (0, 1):
         part = bounded_sample(marks.where(F.col("toxic") == mark), F.col("doc_id"), sample_rows, total.get(mark, 0))
         some = part if some is None else some.unionByName(part)
-    sample = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(some, "doc_id"), "tox_sample")
+    sample = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(some, "doc_id")
+                    .dropDuplicates(["toxic", "text"]), "tox_sample")  # copies are one witness
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not seen.get(1):
         return Model([], [], [0.0] * (len(READINGS) + 1), -30.0)
     # a term needs MIN_SHARE of the sample: at most (terms a text) / MIN_SHARE terms come to the driver
-    toxic = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 1")).where(F.col("n") >= max(3, MIN_SHARE * seen[1])).collect()}
+    toxic = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 1")).where(F.col("n") >= max(MIN_ROWS, MIN_SHARE * seen[1])).collect()}
     clean = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 0"), set(toxic)).collect()}
     weight = {m: total.get(m, 0) / seen[m] for m in seen}
     words, stems = choose_terms(toxic, clean, weight.get(0, 1.0) / weight[1])
