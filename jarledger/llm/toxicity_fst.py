@@ -186,9 +186,31 @@ def term_counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
     return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], ratio: float) -> tuple[list[str], list[str]]:
+def precise_terms(toxic: dict[str, int], clean: dict[str, int], ratio: float) -> dict[str, int]:
     """Terms whose texts are toxic but for few; ``ratio`` brings the clean counts to the toxic sample's weight."""
-    good = {t: n for t, n in toxic.items() if n >= MIN_PRECISION * (n + ratio * clean.get(t, 0))}
+    return {t: n for t, n in toxic.items() if n >= MIN_PRECISION * (n + ratio * clean.get(t, 0))}
+
+
+def context_counts(texts: DataFrame, terms: set[str]) -> DataFrame:
+    """``(term, n)``: after how many different words a term occurs; near copies of one text add none."""
+    def run(batches):
+        seen: set[tuple[str, str]] = set()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                before = ""
+                for word in WORD.findall((text or "").lower()):
+                    for term in ("=" + word, *("^" + word[:n] for n in STEM_LENGTHS if len(word) > n)):
+                        if term in terms:
+                            seen.add((term, before))
+                    before = word
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string())], ["term", "before"])
+
+    return (texts.select("text").mapInArrow(run, "term string, before string").distinct()
+            .groupBy("term").agg(F.count("*").alias("n")))
+
+
+def choose_terms(good: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Whole words and word beginnings; a beginning must cover clearly more texts than its best word."""
     words = {t[1:]: n for t, n in good.items() if t[0] == "="}
     stems: list[str] = []
     for stem in sorted((t[1:] for t in good if t[0] == "^"), key=lambda s: (len(s), s)):
@@ -231,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     toxic = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 1")).where(F.col("n") >= max(MIN_ROWS, MIN_SHARE * seen[1])).collect()}
     clean = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 0"), set(toxic)).collect()}
     weight = {m: total.get(m, 0) / seen[m] for m in seen}
-    words, stems = choose_terms(toxic, clean, weight.get(0, 1.0) / weight[1])
+    good = precise_terms(toxic, clean, weight.get(0, 1.0) / weight[1])
+    contexts = {r["term"]: r["n"] for r in context_counts(sample.where("toxic = 1"), set(good)).collect()}
+    words, stems = choose_terms({t: n for t, n in good.items() if contexts.get(t, 0) >= max(MIN_ROWS, n / 2)})
 
     def run(batches):
         reader = Reader(words, stems)
