@@ -37,17 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from jarledger.llm.common import process_store, table
+from jarledger.llm.common import process_store, slices, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN_COST = 10.0
-CACHE_WORDS = 400_000   # words a worker remembers
-CACHE_PAIRS = 400_000   # pairs of pieces a worker remembers
+CACHE_WORDS = 600_000   # words a worker remembers, about 130 MB
+CACHE_PAIRS = 2_000     # right neighbours of a piece that a worker remembers
 CACHED_LENGTH = 64      # longer words are never remembered
+MARKS = ".,;:!?|$%&*#"
 UNITS = re.compile(r" +[^ ]*")
 
 
@@ -100,13 +102,20 @@ class Encoder:
         self.pieces: dict[str, tuple[int, float]] = {}
         for i, piece in vocabulary["pieces"].items():
             self.pieces.setdefault(piece, (i, vocabulary["scores"][i]))
-        self.heads = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self.trie: dict = {}        # character: the node below; None: the id and score of a piece that ends here
+        for piece, hit in self.pieces.items():
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[None] = hit
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_COST
         self.by_word = not any(re.search(r"[^ ] ", p) for p in self.pieces)
+        beside = {p[i: i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.marks = "".join(m for m in MARKS if not any(b[1] == m and b[0].isalpha() for b in beside))
         store = process_store("pieces_" + vocabulary["name"]).__dict__
         self.cache: dict[str, bytes] = store.setdefault("words", {})
-        self.pairs: dict[tuple[int, int], bool] = store.setdefault("pairs", {})  # at most CACHE_PAIRS
+        self.pairs: dict[int, dict[int, bool]] = store.setdefault("pairs", {})  # by the left piece; vocabulary squared at most
         self.text_of = vocabulary["pieces"]
         self.bytes_of = [b""] * vocabulary["size"]
         for i, piece in vocabulary["pieces"].items():
@@ -118,12 +127,13 @@ class Encoder:
         """Whether two pieces can stand side by side (always, unless the model is one of merges)."""
         if left < 0 or right < 0 or not self.merges:
             return True
-        known = self.pairs.get((left, right))
+        row = self.pairs.setdefault(left, {})
+        known = row.get(right)
         if known is None:
             a, b = self.text_of[left], self.text_of[right]
             known = self.merged(a + b) == [a, b]
-            if len(self.pairs) < CACHE_PAIRS:
-                self.pairs[left, right] = known
+            if len(row) < CACHE_PAIRS:
+                row[right] = known
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -139,7 +149,7 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """The ids of ``text``, committed part by part."""
-        pieces, heads, unknown, n, merges, pairs = self.pieces, self.heads, self.unknown, len(text), self.merges, self.pairs
+        trie, unknown, n, merges, pairs, none = self.trie, self.unknown, len(text), self.merges, self.pairs, {}
         best: dict[int, float] = {0: 0.0}      # live boundaries
         back: dict[int, tuple[int, int]] = {}  # boundary: where its best path's last piece starts, its id (-1: bytes)
         base, check, before = 0, 2 * self.longest, -1
@@ -158,17 +168,21 @@ class Encoder:
                     check += self.longest  # paths still differ: ask again a window later
             here, single = best.pop(at), False
             last = back[at][1] if at > base else before
-            for end in range(at + 1, n + 1):
-                piece = text[at:end]
-                if piece not in heads:
+            node, row, end = trie, pairs.get(last, none), at
+            while end < n:
+                node = node.get(text[end])
+                if node is None:
                     break
-                hit = pieces.get(piece)
+                end += 1
+                hit = node.get(None)
                 if hit is None:
                     continue
                 single = single or end == at + 1
                 if merges:
-                    if end not in best and (pairs.get((last, hit[0])) or self.admits(last, hit[0])):
-                        best[end], back[end] = 0.0, (at, hit[0])
+                    if end not in best:
+                        fits = row.get(hit[0])
+                        if fits or (fits is None and self.admits(last, hit[0])):
+                            best[end], back[end] = 0.0, (at, hit[0])
                 elif end not in best or here + hit[1] > best[end]:
                     best[end], back[end] = here + hit[1], (at, hit[0])
             if not single and (at + 1 not in best or here + unknown > best[at + 1]):
@@ -201,27 +215,39 @@ class Encoder:
         """Ids of one unit, as 32-bit integers."""
         return np.array([i for part in self.stream(text) for i in part], np.int32).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def word(self, word: str) -> bytes:
+        """Ids of a space and ``word``; marks that no piece joins to a letter before them are remembered apart."""
+        body = word.rstrip(self.marks)
+        if not body or not body[-1].isalpha():
+            body = word
+        ids = self.cache.get(body)
+        if ids is None:
+            ids = self.keep(body, self.unit(" " + body))
+        marks = word[len(body):]
+        if marks:
+            ids += self.cache.get(" " + marks) or self.keep(" " + marks, self.unit(marks))
+        return ids
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= CACHED_LENGTH and len(self.cache) < CACHE_WORDS:
+            self.cache[word] = ids
+        return ids
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
         if not text:
-            return np.zeros(0, np.int32)
+            return b""
         if not self.by_word:
-            return np.frombuffer(self.unit(" " + text), np.int32)
-        cache = self.cache
+            return self.unit(" " + text)
         words = text.split(" ")
         if "" in words:  # runs of spaces: a unit is a run with the word that follows
-            words = [u[1:] for u in UNITS.findall(" " + text)]
-        try:
-            return np.frombuffer(b"".join([cache[w] for w in words]), np.int32)
-        except KeyError:
-            out = []
-            for w in words:
-                ids = cache.get(w)
-                if ids is None:
-                    ids = self.unit(" " + w)
-                    if len(w) <= CACHED_LENGTH and len(cache) < CACHE_WORDS:
-                        cache[w] = ids
-                out.append(ids)
-            return np.frombuffer(b"".join(out), np.int32)
+            return b"".join([self.cache.get(u[1:]) or self.word(u[1:]) if u[1:2] not in ("", " ") else self.unit(u)
+                             for u in UNITS.findall(" " + text)])
+        cache = self.cache
+        return b"".join([cache.get(w) or self.word(w) for w in words])
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), np.int32)
 
     def decode(self, ids) -> str:
         table_, n = self.bytes_of, len(self.bytes_of)
@@ -234,17 +260,9 @@ class Encoder:
         return raw.decode("utf-8", "replace")[1:]
 
 
-def encode_column(spark, text: Column, path: str = MODEL) -> Column:
-    """The ids of each text, an array of integers."""
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
-
-    @F.pandas_udf("array<int>")
-    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value)
-        for texts in series:
-            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
-
-    return encode(F.coalesce(text.cast("string"), F.lit("")))
+def id_arrays(raw: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(r) // 4 for r in raw])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
 def decode_column(spark, ids: Column, path: str = MODEL) -> Column:
@@ -260,15 +278,29 @@ def decode_column(spark, ids: Column, path: str = MODEL) -> Column:
     return decode(ids)
 
 
-def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``docs`` with the columns ``ids`` and ``n_tokens``."""
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
-    out = docs.select(*kept, encode_column(docs.sparkSession, F.col("text"), path).alias("ids"))
-    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+def encode_texts(docs: DataFrame, path: str = MODEL, check: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` and ``n_tokens``, and with ``check`` whether decoding gives the text back (``round_trip``)."""
+    added = ["ids", "n_tokens", *["round_trip"] * check]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        encoder = Encoder(shared.value)
+        for whole in batches:
+            for part in slices(whole, column=whole.schema.names[at], most=2 << 20):
+                texts = [t or "" for t in part.column(at).cast(pa.string()).to_pylist()]
+                raw = [encoder.encode_bytes(t) for t in texts]
+                out = [id_arrays(raw), pa.array([len(r) // 4 for r in raw], pa.int64())]
+                if check:
+                    out.append(pa.array([encoder.decode(np.frombuffer(r, np.int32).tolist()) == t for r, t in zip(raw, texts)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *added])
+
+    kinds = T.StructType(docs.schema.fields + [T.StructField(c, t) for c, t in zip(added, (T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType()))])
+    return docs.mapInArrow(run, kinds)
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
-    coded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    same = decode_column(spark, F.col("ids")) == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+    coded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return coded.select("doc_id", "n_tokens", "ids", "round_trip")
