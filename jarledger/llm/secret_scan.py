@@ -54,13 +54,15 @@ ALPHABETS = [
 ]
 # Shares of the letters a to z in ordinary prose, in per mille.
 LETTER_SHARES = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
-DIGIT_SHARE = 0.15      # of the characters of an ordinary mixed run
+DIGIT_SHARE, UPPER_SHARE = 0.12, 0.08      # of the characters of an ordinary mixed run
 
 
 def prose_shares(alphabet: str) -> np.ndarray:
     """How often an ordinary run uses each character of the alphabet."""
     share = np.array([LETTER_SHARES[ord(c.lower()) - 97] if c.isalpha() else 0 for c in alphabet], float)
-    digit = np.array([c.isdigit() for c in alphabet])
+    digit, upper = (np.array([f(c) for c in alphabet]) for f in (str.isdigit, str.isupper))
+    if 0 < share[upper].sum() < share.sum():
+        share[upper] *= UPPER_SHARE / (1 - UPPER_SHARE)
     share *= (1 - DIGIT_SHARE) / share.sum()
     share[digit] = DIGIT_SHARE / digit.sum()
     return (share + 1e-4) / (share + 1e-4).sum()
