@@ -2,7 +2,8 @@
 
 ``row_number() <= k`` over (box, date desc, id desc) lets Spark plan a
 WindowGroupLimit: each map task keeps at most k rows per box *before* the
-shuffle, so a hot box ships k rows per task, not all of its rows.
+shuffle, so a hot box ships k rows per task, not all of its rows.  The limit
+comes before the semi join on the boxes, which then sees k rows a box.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ def newest_per_box(tx: DataFrame, k: int) -> DataFrame:
 def recent_activity(tx: DataFrame, boxes: DataFrame, k: int = RECENT_ACTIVE) -> DataFrame:
     """Newest ``k`` transactions of every active box."""
     ids = active_boxes(boxes).select(F.col("id").alias("box_id"))
-    return newest_per_box(tx.join(ids, "box_id", "left_semi"), k)
+    return newest_per_box(tx, k).join(ids, "box_id", "left_semi")
 
 
 def archive_history(tx: DataFrame, boxes: DataFrame, k: int = RECENT_ARCHIVED) -> DataFrame:
     """Newest ``k`` transactions of every archived box."""
     ids = boxes.where(F.coalesce(F.col("is_archived"), F.lit(False))).select(F.col("id").alias("box_id"))
-    return newest_per_box(tx.join(ids, "box_id", "left_semi"), k)
+    return newest_per_box(tx, k).join(ids, "box_id", "left_semi")

@@ -112,5 +112,5 @@ def fk_violations(profiles: DataFrame, templates: DataFrame, boxes: DataFrame, t
 
 def boxes_without_activity(boxes: DataFrame, tx: DataFrame) -> DataFrame:
     """Boxes with no transaction at all."""
-    used = tx.select(F.col("box_id").alias("id"))
+    used = tx.select(F.col("box_id").alias("id")).distinct()
     return boxes.join(used, "id", "left_anti").select("id", "user_id", "name", "current_amount")

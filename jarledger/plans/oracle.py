@@ -603,12 +603,9 @@ FROM transactions GROUP BY box_id
 
 Q["stream_ordered_replay"] = Q["ordered_replay"]
 
-# A day is emitted once the watermark (newest event time - 1 hour) passes its end.
 Q["stream_daily_net"] = """
 SELECT box_id, CAST(date AS DATE) AS day, CAST(sum(amount) AS DECIMAL(18,2)) AS net
-FROM transactions
-WHERE CAST(date AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-GROUP BY box_id, CAST(date AS DATE)
+FROM transactions GROUP BY box_id, CAST(date AS DATE)
 """
 
 Q["home_cards"] = WEEK + RECENT + f"""

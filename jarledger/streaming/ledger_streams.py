@@ -3,13 +3,17 @@
 * O43 ``stream_balance_fold``: running balance per box as transactions
   arrive -- the insert trigger as a stateful streaming aggregate, emitted in
   update mode (only changed boxes per batch).
-* O44 ``stream_ordered_replay``: the guarded replay (O37) with its state per
-  box kept by ``applyInPandasWithState``.
-* O45 ``stream_daily_net``: daily net per box from device rows that arrive
-  late and may repeat; ``dropDuplicatesWithinWatermark`` removes repeats and
-  a tumbling one-day event-time window sums the rest.  Rows later than the
-  watermark are dropped, and a day is only emitted once the watermark has
-  passed its end (append mode).
+* O44 ``stream_ordered_replay``: the guarded replay (O37) of every box that a
+  micro-batch touches.
+* O45 ``stream_daily_net``: daily net of every box and day that a micro-batch
+  touches, open days included.
+
+Device rows arrive late, out of order and more than once, and the ledger drops
+none of them.  O44 and O45 therefore keep no watermark: each micro-batch lands
+its rows in a log, and the answers of the keys it touches are computed again
+from the whole log, repeats removed by id.  A batch reads the log once, and
+costs as much as the history of what it touches; ``files_per_trigger`` sets
+how many files share that cost.
 
 Sources are file streams; checkpoints and outputs go under the cluster's
 shared folder (``spark.checkpoint.dir``), so a restarted query resumes
@@ -21,18 +25,18 @@ rather than duplicates its rows).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from jarledger.functions.dates import day_key
 from jarledger.functions.money import money_out
-from jarledger.operators.replay import fold_sorted
+from jarledger.operators.replay import ordered_replay
 from jarledger.session import ensure_conf, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILES_PER_TRIGGER = 64      # files that share a micro-batch
 
 
 def stream_conf(spark: SparkSession) -> None:
@@ -42,7 +46,7 @@ def stream_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def file_stream(spark: SparkSession, folder: str, table: str = "events", files_per_trigger: int = 1,
+def file_stream(spark: SparkSession, folder: str, table: str = "events", files_per_trigger: int = FILES_PER_TRIGGER,
                 glob: str | None = None) -> DataFrame:
     """A parquet file stream over ``folder``.  The driver folder holds all
     tables as ``<table>.parquet``, so by default a glob picks the table's
@@ -71,46 +75,29 @@ def stream_balance_fold(tx_stream: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ O44
 
-REPLAY_STATE = "balance_cents LONG, n_ops LONG, n_applied LONG"
-REPLAY_OUT = "box_id LONG, balance_cents LONG, n_ops LONG, n_applied LONG, n_rejected LONG"
+def stream_ordered_replay(ops: DataFrame) -> DataFrame:
+    """The batch replay (O37) of landed rows; re-sent items (same op_id) apply once."""
+    return ordered_replay(ops.dropDuplicates(["op_id"]))
 
 
-def _replay_state_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one box's rows of this micro-batch onto its stored state.
+def run_touched_keys(stream: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], landed: str,
+                     out: str, checkpoint: str) -> None:
+    """Land each micro-batch, and write the answers of the keys it touches, from all rows landed so far.
 
-    Rows of one micro-batch arrive in no particular order, so they are sorted
-    here; the buffer is bounded by the trigger size (maxFilesPerTrigger), not
-    by the box's history, which lives in the state.  A row older than rows
-    of an earlier batch is applied when it arrives.
+    Both writes replace their own ``batch_id=`` folder, and a batch reads no
+    later ones, so a retried batch leaves the same files.
     """
-    if state.exists:
-        bal, n, ok = state.get
-    else:
-        bal, n, ok = 0, 0, 0
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "op_id"], kind="stable")
-    bal, applied = fold_sorted(batch["op"], batch["cents"], batch["has_amount"], int(bal))
-    n += len(batch)
-    ok += applied
-    state.update((bal, n, ok))
-    yield pd.DataFrame({"box_id": [key[0]], "balance_cents": [bal], "n_ops": [n],
-                        "n_applied": [ok], "n_rejected": [n - ok]})
-
-
-def stream_ordered_replay(op_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Replay state per box; emits the box's state after each batch.
-
-    Re-sent items (same op_id) are dropped within the watermark before they
-    reach the state, so at-least-once delivery applies each op once.  Items
-    arriving more than ``delay`` behind the newest event time are dropped by
-    the watermark (the batch replay, O37, has no such cut-off).
-    """
-    cents = (F.col("amount").cast("decimal(14,2)") * 100).cast("bigint")
-    deduped = (op_stream.withColumn("event_time", F.col("ts").cast("timestamp"))
-               .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["op_id"]))
-    prepared = deduped.select("box_id", "ts", "op_id", "op", F.coalesce(cents, F.lit(0)).alias("cents"),
-                              F.col("amount").isNotNull().alias("has_amount"))
-    return prepared.groupBy("box_id").applyInPandasWithState(
-        _replay_state_fn, REPLAY_OUT, REPLAY_STATE, "update", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{landed}/batch_id={batch_id}")
+        mine = spark.read.parquet(f"{landed}/batch_id={batch_id}").select(*keys).distinct()
+        log = spark.read.option("basePath", landed).parquet(landed).where(F.col("batch_id") <= batch_id).drop("batch_id")
+        (compute(log.join(mine, keys, "left_semi")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def run_update_to_log(updates: DataFrame, out: str, checkpoint: str) -> None:
@@ -125,34 +112,17 @@ def run_update_to_log(updates: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def latest_per_key(log: DataFrame, key: str = "box_id") -> DataFrame:
-    cols = [c for c in log.columns if c not in (key, "batch_id")]
-    best = log.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
-    return best.select(key, *[F.col(f"s.{c}").alias(c) for c in cols])
+def latest_per_key(log: DataFrame, *keys: str) -> DataFrame:
+    cols = [c for c in log.columns if c not in (*keys, "batch_id")]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
+    return best.select(*keys, *[F.col(f"s.{c}").alias(c) for c in cols])
 
 
 # ------------------------------------------------------------------ O45
 
-def stream_daily_net(tx_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Σ amount per box and UTC day from a stream that may repeat rows.
-
-    Repeats (same transaction id) are dropped within the watermark; rows
-    arriving later than ``delay`` behind the newest event time are dropped
-    by the watermark and never counted -- unlike the batch series, which
-    re-read everything on each view.
-    """
-    timed = tx_stream.withColumn("event_time", F.col("date").cast("timestamp"))
-    deduped = timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"])
-    return deduped.groupBy("box_id", F.window("event_time", "1 day").alias("w")).agg(
-        money_out(F.sum("amount")).alias("net")
-    ).select("box_id", F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("day"), "net")
-
-
-def run_append_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
-    q = (stream.writeStream.outputMode("append").format("parquet")
-         .option("path", out).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def stream_daily_net(tx: DataFrame) -> DataFrame:
+    """Σ amount per box and UTC day of landed rows; repeats (same transaction id) count once."""
+    return tx.dropDuplicates(["id"]).groupBy("box_id", "day").agg(money_out(F.sum("amount")).alias("net"))
 
 
 # ------------------------------------------------------------------ runners
@@ -170,38 +140,38 @@ def _dirs(spark: SparkSession, name: str, out: str | None, checkpoint: str | Non
 
 
 def run_stream_balance_fold(spark: SparkSession, folder: str, out: str | None = None,
-                            checkpoint: str | None = None, glob: str | None = None) -> DataFrame:
+                            checkpoint: str | None = None, glob: str | None = None,
+                            files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     from jarledger.sources.bind import transactions_from_events
     stream_conf(spark)
     out, ckpt = _dirs(spark, "balance_fold", out, checkpoint)
-    src = file_stream(spark, folder, "events", glob=glob)
+    src = file_stream(spark, folder, "events", files_per_trigger, glob)
     # Update mode writes only the boxes a batch changed (not the whole table
     # per trigger); readers take each box's newest row.
     run_update_to_log(stream_balance_fold(transactions_from_events(src)), out, ckpt)
-    return latest_per_key(spark.read.parquet(out))
+    return latest_per_key(spark.read.parquet(out), "box_id")
 
 
 def run_stream_ordered_replay(spark: SparkSession, folder: str, out: str | None = None,
-                              checkpoint: str | None = None, glob: str | None = None) -> DataFrame:
+                              checkpoint: str | None = None, glob: str | None = None,
+                              files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     from jarledger.sources.bind import op_log_from_events
-    stream_conf(spark)
+    ensure_conf(spark)
     out, ckpt = _dirs(spark, "ordered_replay", out, checkpoint)
     # The device re-sends: the same items arrive twice (at-least-once delivery).
-    first = op_log_from_events(file_stream(spark, folder, "events", glob=glob))
-    again = op_log_from_events(file_stream(spark, folder, "events", glob=glob))
-    run_update_to_log(stream_ordered_replay(first.unionByName(again)), out, ckpt)
-    latest = latest_per_key(spark.read.parquet(out))
-    return latest.select("box_id", money_out(F.col("balance_cents").cast("decimal(18,0)") / 100)
-                         .alias("final_balance"), "n_ops", "n_applied", "n_rejected")
+    first, again = (op_log_from_events(file_stream(spark, folder, "events", files_per_trigger, glob)) for _ in range(2))
+    run_touched_keys(first.unionByName(again), ["box_id"], stream_ordered_replay, f"{out}_landed", out, ckpt)
+    return latest_per_key(spark.read.parquet(out), "box_id")
 
 
-def run_stream_daily_net(spark: SparkSession, folder: str, delay: str = "1 hour", out: str | None = None,
-                         checkpoint: str | None = None, glob: str | None = None) -> DataFrame:
+def run_stream_daily_net(spark: SparkSession, folder: str, out: str | None = None,
+                         checkpoint: str | None = None, glob: str | None = None,
+                         files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     from jarledger.sources.bind import transactions_from_events
-    stream_conf(spark)
+    ensure_conf(spark)
     out, ckpt = _dirs(spark, "daily_net", out, checkpoint)
     # The device re-sends: the same rows arrive twice (at-least-once delivery).
-    first = transactions_from_events(file_stream(spark, folder, "events", glob=glob))
-    again = transactions_from_events(file_stream(spark, folder, "events", glob=glob))
-    run_append_to_files(stream_daily_net(first.unionByName(again), delay), out, ckpt)
-    return spark.read.parquet(out)
+    first, again = (transactions_from_events(file_stream(spark, folder, "events", files_per_trigger, glob)) for _ in range(2))
+    dated = first.unionByName(again).withColumn("day", day_key("date"))
+    run_touched_keys(dated, ["box_id", "day"], stream_daily_net, f"{out}_landed", out, ckpt)
+    return latest_per_key(spark.read.parquet(out), "box_id", "day")

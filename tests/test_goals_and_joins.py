@@ -136,3 +136,18 @@ def test_reconcile_reports_drift_and_orphans(spark):
     assert got[1] == (D("0.00"), D("30.00"), D("-30.00"), D("0.00"))
     assert got[2] == (D("50.00"), D("0.00"), D("50.00"), D("50.00"))
     assert got[9] == (None, D("4.00"), None, D("0.00"))
+
+
+def test_history_limits_before_the_shuffle(spark):
+    """Without broadcasts a box ships its newest rows of each task, not all: the partial limit stands below the exchange."""
+    from jarledger.operators.history import recent_activity
+    from jarledger.sources.bind import bind_events
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        L = bind_events(spark, "/root/testdata/sf0.001")
+        plan = recent_activity(L.transactions, L.user_boxes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final, partial = plan.index("Final"), plan.index("Partial")
+    assert final < plan.index("Exchange", final) < partial
