@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jarledger.functions.text import js_trim
 from jarledger.functions.money import money
 from jarledger.functions.display import DEFAULT_CURRENCY
 
@@ -38,7 +39,7 @@ def box_transactions(tx: DataFrame, box_ids: DataFrame, id_col: str = "id") -> D
 
 
 def _clean_note(note: Column) -> Column:
-    return F.nullif(F.trim(note), F.lit(""))
+    return F.nullif(js_trim(note), F.lit(""))
 
 
 def tx_checked(tx: DataFrame) -> DataFrame:
@@ -92,8 +93,8 @@ def box_normalise(requests: DataFrame) -> DataFrame:
     upper(trim) or EUR when blank; a target is kept only when > 0; new boxes
     start at 0, unarchived, with no crossed cells and no template.
     """
-    name = F.trim(F.col("name"))
-    cur = F.upper(F.coalesce(F.nullif(F.trim(F.col("currency")), F.lit("")), F.lit(DEFAULT_CURRENCY)))
+    name = js_trim(F.col("name"))
+    cur = F.upper(F.coalesce(F.nullif(js_trim(F.col("currency")), F.lit("")), F.lit(DEFAULT_CURRENCY)))
     target = money("target")
     return requests.where(name.isNotNull() & (name != "")).select(
         "request_id", "user_id",

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jarledger.functions.text import js_trim
 from jarledger.functions.money import money, money_out, signed_amount
 from jarledger.session import shared_dir
 
@@ -587,10 +588,10 @@ def box_attribute_merge(boxes: DataFrame, attr_ops: DataFrame) -> DataFrame:
     """
     op, arg = F.col("op"), F.col("arg")
     order = F.struct("ts", "op_id")
-    name = F.trim(arg)
+    name = js_trim(arg)
     is_rename = (op == "rename") & name.isNotNull() & (name != "")
     tnum = F.expr("try_cast(trim(arg) AS DECIMAL(12,2))")
-    blank = arg.isNull() | (F.trim(arg) == "")
+    blank = arg.isNull() | (js_trim(arg) == "")
     is_retarget = (op == "retarget") & (blank | (tnum.isNotNull() & (tnum >= 0)))
     is_flag = op.isin("archive", "restore")
     valid = is_rename | is_retarget | is_flag

@@ -24,7 +24,8 @@ def pending_union(tx: DataFrame, queue: DataFrame) -> DataFrame:
     """Posted transactions plus the items still queued on devices, shown
     as signed transactions with an ``offline_<op_id>`` id (queue items are
     only add / withdraw).  Posted ids become text so both fit one column."""
-    left = drain_until_failure(queue).where(~F.col("posted") & F.col("op").isin("add", "withdraw"))
+    items = queue.where(F.col("op").isin("add", "withdraw"))  # all that a device queue holds, so all that can block it
+    left = drain_until_failure(items).where(~F.col("posted"))
     note = F.col("note") if "note" in queue.columns else F.lit(None).cast("string")
     pending = left.select(
         F.concat(F.lit("offline_"), F.col("op_id").cast("string")).alias("id"),

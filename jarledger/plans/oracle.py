@@ -411,7 +411,8 @@ SELECT CAST(id AS VARCHAR) AS id, box_id, amount, note, date, false AS pending F
 UNION ALL
 SELECT 'offline_' || CAST(op_id AS VARCHAR), box_id,
        CASE WHEN op = 'withdraw' THEN -abs(amount) ELSE abs(amount) END, CAST(NULL AS VARCHAR), ts, true
-FROM op_log o WHERE op IN ('add', 'withdraw') AND {BLOCKED}
+FROM (SELECT * FROM op_log WHERE op IN ('add', 'withdraw')) o
+WHERE {BLOCKED.replace("FROM op_log f WHERE", "FROM op_log f WHERE f.op IN ('add', 'withdraw') AND")}
 """
 
 Q["op_signing"] = """

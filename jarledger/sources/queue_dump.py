@@ -1,7 +1,9 @@
 """O03 op_log_ingest: device queue dumps (one JSON array per dump) -> rows.
 
 A payload that does not parse, or parses to something other than an array,
-yields no rows -- the device treats it as an empty queue.
+yields no rows -- the device treats it as an empty queue.  JSON white space
+around the array is allowed; an element that is no object is passed over, the
+others keep their place.
 """
 
 from __future__ import annotations
@@ -11,18 +13,19 @@ from pyspark.sql import functions as F
 
 from jarledger.schemas import QUEUE_ITEM
 
-ITEM_ARRAY_DDL = f"ARRAY<STRUCT<{QUEUE_ITEM}>>"
+ITEM_DDL = f"STRUCT<{QUEUE_ITEM}>"
 
 
 def op_log_ingest(dumps: DataFrame, payload: str = "payload") -> DataFrame:
     """``dumps(device, dump_id, payload)`` -> (device, dump_id, seq, action,
     box_id, amount, note, ts).  ``seq`` is the item's queue position."""
-    text = F.col(payload)
-    # from_json would read a lone object as a one-element array; the device
-    # code only accepts a real array, so check the first character first.
-    is_array = F.trim(text).startswith("[")
-    items = F.when(is_array, F.from_json(text, ITEM_ARRAY_DDL, {"mode": "PERMISSIVE"}))
-    exploded = dumps.select("device", "dump_id", F.posexplode(items).alias("seq", "item"))
+    text = F.regexp_replace(F.col(payload), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    # from_json would read a lone object as a one-element array, and stop
+    # before text that follows an array; the device code accepts neither.
+    is_array = text.startswith("[") & text.endswith("]")
+    elements = F.when(is_array, F.from_json(text, "ARRAY<STRING>", {"mode": "PERMISSIVE"}))
+    exploded = dumps.select("device", "dump_id", F.posexplode(elements).alias("seq", "element"))
+    exploded = exploded.where(F.col("element").startswith("{")).withColumn("item", F.from_json("element", ITEM_DDL))
     ts = F.try_to_timestamp(F.regexp_replace(F.col("item.date"), "Z$", "")).cast("timestamp_ntz")
     return exploded.select(
         "device", "dump_id", F.col("seq").cast("bigint").alias("seq"),

@@ -111,3 +111,18 @@ def test_shared_dir_without_a_configured_checkpoint_dir(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
     assert out.stdout.strip().splitlines()[-1] == "7"
+
+
+def test_queue_dump_white_space_junk_and_trailing_text(spark):
+    from jarledger.sources.queue_dump import op_log_ingest
+    item = '{"action":"add","boxId":1,"amount":2.5}'
+    payloads = [f"\n\t[{item}]\r\n", f"[{item}] oops", f"[3,{item},null]", item, "", None, "[", "[]"]
+    dumps = spark.createDataFrame([("d", i, p) for i, p in enumerate(payloads)], "device string, dump_id long, payload string")
+    got = [(r["dump_id"], r["seq"], r["action"]) for r in op_log_ingest(dumps).orderBy("dump_id").collect()]
+    assert got == [(0, 0, "add"), (2, 1, "add")]
+
+
+def test_js_trim(spark):
+    from jarledger.functions.text import js_trim
+    df = spark.createDataFrame([("\t\n",), (" \u00a0usd\u3000",), ("a b",), (None,)], "t string")
+    assert [r[0] for r in df.select(js_trim(df["t"])).collect()] == ["", "usd", "a b", None]
