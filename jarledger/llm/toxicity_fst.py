@@ -244,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     for mark in (0, 1):
         part = bounded_sample(marks.where(F.col("toxic") == mark), F.col("doc_id"), sample_rows, total.get(mark, 0))
         some = part if some is None else some.unionByName(part)
-    sample = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(some, "doc_id")
+    sample = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+                    .join(F.broadcast(some), "doc_id")  # about 2 x sample_rows short rows, whatever the corpus
                     .dropDuplicates(["toxic", "text"]), "tox_sample")  # copies are one witness
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not seen.get(1):
