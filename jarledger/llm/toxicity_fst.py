@@ -13,8 +13,8 @@ label, picked by a hash of doc_id; scoring reads every whole text.  Only the
 lexicon and the weights, both bounded, go through the driver.
 
 Defined cases: a null or empty text has no clause and gets the base score;
-labels that are null are not learned from; repeated label rows count once for
-each joined row; without any toxic training row the lexicon is empty and all
+labels that are null are not learned from; repeated label rows count once;
+without any toxic training row the lexicon is empty and all
 scores are equal to the share of toxic rows (0 without labels); an empty table
 gives an empty result; other columns are ignored by :func:`scores` and kept by
 :func:`reject`.
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         part = bounded_sample(marks.where(F.col("toxic") == mark), F.col("doc_id"), sample_rows, total.get(mark, 0))
         some = part if some is None else some.unionByName(part)
     sample = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-                    .join(F.broadcast(some), "doc_id")  # about 2 x sample_rows short rows, whatever the corpus
+                    .join(F.broadcast(some.distinct()), "doc_id")  # about 2 x sample_rows short rows, whatever the corpus
                     .dropDuplicates(["toxic", "text"]), "tox_sample")  # copies are one witness
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not seen.get(1):
