@@ -8,9 +8,9 @@ Order-dependent folds are done without gathering a box's operations anywhere:
 
 * the guarded replay (O37) range-partitions the ops on (box, ts, op_id), so
   a hot box spans many ranges; each range summarises its piece of each box,
-  a walk over each box's pieces composes them, and only stretches where the
-  balance runs dry inside a later piece are folded row by row (each stretch
-  in its own task, from its known entry balance);
+  a walk over each box's pieces composes them, and only later pieces inside
+  which the balance runs dry are folded again, each in its own range, once
+  the walk knows their entry balance;
 * the clamped delete fold (O41) has a closed form (a Lindley recursion), so it
   runs as a two-level prefix scan: per contiguous range of the global
   (box, ts, req_id) order, then over a box's ranges.
@@ -314,8 +314,8 @@ def _carry_frame(c: list, chunk: int) -> pd.DataFrame:
                           c[9], c[10], c[11]]], columns=PIECE_COLS)
 
 
-WALK_OUT = ("kind STRING, box_id BIGINT, chunk INT, sid INT, entry BIGINT, cut BOOLEAN, cut_t BIGINT, "
-            "cut_op BIGINT, n BIGINT, applied BIGINT, has_bal BOOLEAN, bal BIGINT")
+WALK_OUT = ("kind STRING, box_id BIGINT, chunk INT, entry BIGINT, cut BOOLEAN, cut_t BIGINT, "
+            "cut_op BIGINT, n BIGINT, applied BIGINT, bal BIGINT")
 WALK_COLS = [c.split()[0] for c in WALK_OUT.split(", ")]
 
 
@@ -326,54 +326,50 @@ def _walk(batches: Iterator[pd.DataFrame], entries: bool = False) -> Iterator[pd
     A later piece whose entry covers its drawdown adds its total; an entry
     of 0 takes the exact result; a reset makes the rest of the piece
     independent of the entry.  Otherwise the entry is known but the piece is
-    *dry* (a withdrawal may be refused, a delete may clamp): it starts a
-    stretch that is folded row by row, and the stretch runs up to the next
-    reset.  Emits one 'box' row per box and one 'piece' row per piece that
-    belongs to a stretch (cut at its reset when it has one).  With
-    ``entries``, also one 'entry' row per resolved piece with its entry
-    balance (for a cut piece: 0 from its reset on), for per-op output.
+    *dry* (a withdrawal may be refused, a delete may clamp): unless an earlier
+    round has folded it (``fixed``), it is emitted as a 'piece' row with its
+    entry, and the box's balance is unknown up to the next reset.  Emits one
+    'box' row per box.  With ``entries``, also one 'entry' row per resolved
+    piece with its entry balance, for per-op output.
     """
     out: list[tuple] = []
     box = None
-    st = None  # [n, applied, bal or None (inside a stretch), sid, entry]
+    st = None  # [n, applied, bal or None (behind a piece not folded yet)]
 
     def close():
         if box is not None:
-            known = st[2] is not None
-            out.append(("box", box, 0, 0, 0, False, 0, 0, st[0], st[1], known, st[2] if known else 0))
+            out.append(("box", box, 0, 0, False, 0, 0, st[0], st[1], st[2] or 0))
+
+    def entry(chunk, b):
+        if entries:
+            out.append(("entry", box, chunk, b, False, 0, 0, 0, 0, 0))
 
     for pdf in batches:
         for r in pdf.itertuples(index=False):
             if r.box_id != box:
                 close()
                 box = r.box_id
-                st = [r.n, r.app0, r.bal0, 0, None]
-                if entries:
-                    out.append(("entry", box, r.chunk, 0, 0, False, 0, 0, 0, 0, False, 0))
+                st = [r.n, r.app0, r.bal0]
+                entry(r.chunk, 0)
                 continue
             st[0] += r.n
             b = st[2]
-            if entries and b is not None and (r.n_a == 0 or b + r.m_a >= 0 or b == 0):
-                out.append(("entry", box, r.chunk, 0, b, False, 0, 0, 0, 0, False, 0))
-            if b is not None and (r.n_a == 0 or b + r.m_a >= 0):
+            if b is not None and r.fixed:
+                entry(r.chunk, b)
+                st[1] += r.fix_app + r.app_b
+                st[2] = r.bal_b if r.has_reset else r.fix_bal
+            elif b is not None and (r.n_a == 0 or b + r.m_a >= 0):
+                entry(r.chunk, b)
                 st[1] += r.v_a + r.app_b
                 st[2] = r.bal_b if r.has_reset else b + r.t_a
-                continue
-            if b == 0:
+            elif b == 0:
+                entry(r.chunk, 0)
                 st[1] += r.app0
                 st[2] = r.bal0
-                continue
-            if b is not None:  # a dry piece: open a stretch at the known entry
-                st[3] += 1
-                st[4] = b
-            out.append(("piece", box, r.chunk, st[3], st[4], r.has_reset, r.cut_t, r.cut_op, 0, 0, False, 0))
-            if r.has_reset:
-                st[1] += r.app_b
-                st[2] = r.bal_b
-                if entries:
-                    out.append(("entry", box, r.chunk, 0, 0, True, r.cut_t, r.cut_op, 0, 0, False, 0))
             else:
-                st[2] = None
+                if b is not None:
+                    out.append(("piece", box, r.chunk, b, r.has_reset, r.cut_t, r.cut_op, 0, 0, 0))
+                st[2] = r.bal_b if r.has_reset else None
         if len(out) >= 10_000:
             yield pd.DataFrame.from_records(out, columns=WALK_COLS)
             out = []
@@ -382,24 +378,24 @@ def _walk(batches: Iterator[pd.DataFrame], entries: bool = False) -> Iterator[pd
         yield pd.DataFrame.from_records(out, columns=WALK_COLS)
 
 
-STRETCH_OUT = "box_id BIGINT, sid INT, bal BIGINT, applied BIGINT"
+FOLD_OUT = "box_id BIGINT, chunk INT, fix_bal BIGINT, fix_app BIGINT"
 STEPS_OUT = "op_id BIGINT, box_id BIGINT, balance_cents BIGINT, applied BOOLEAN"
 
 
-def _group_fold(batches: Iterator[pd.DataFrame], g: str, steps: bool) -> Iterator[pd.DataFrame]:
-    """Fold each (box, g) group's rows, sorted by (box, g, chunk, ts, op_id),
-    from the group's entry balance, vectorised per Arrow batch (see
-    ``_guarded_fold``); a group that continues into the next batch is
-    carried as (balance, applied count).  Emits (box, g, balance, applied)
-    per group, or one row per op."""
-    cols_out = ["op_id", "box_id", "balance_cents", "applied"] if steps else ["box_id", g, "bal", "applied"]
+def _piece_fold(batches: Iterator[pd.DataFrame], steps: bool) -> Iterator[pd.DataFrame]:
+    """Fold each (box, chunk) piece's rows, sorted by (box, chunk, ts, op_id),
+    from the piece's entry balance, vectorised per Arrow batch (see
+    ``_guarded_fold``); a piece that continues into the next batch is
+    carried as (balance, applied count).  Emits (box, chunk, balance, applied)
+    per piece, or one row per op."""
+    cols_out = ["op_id", "box_id", "balance_cents", "applied"] if steps else ["box_id", "chunk", "fix_bal", "fix_app"]
     carry = None  # [box, grp, bal, applied, last key]
     out: list[pd.DataFrame] = []
     for pdf in batches:
         if pdf.empty:
             continue
         box = pdf["box_id"].to_numpy(np.int64)
-        grp = pdf[g].to_numpy(np.int64)
+        grp = pdf["chunk"].to_numpy(np.int64)
         entry = pdf["entry"].to_numpy(np.int64)
         tk = pdf["tkey"].to_numpy(np.int64)
         oid = pdf["op_id"].to_numpy(np.int64)
@@ -448,8 +444,8 @@ def _group_fold(batches: Iterator[pd.DataFrame], g: str, steps: bool) -> Iterato
         k = len(gstarts)
         carry = [int(box[ends[-1]]), int(grp[ends[-1]]), int(bal[ends[-1]]), int(ok[-1]), last_key]
         if not steps and k > 1:
-            out.append(pd.DataFrame({"box_id": box[gstarts[:-1]], g: grp[gstarts[:-1]].astype(np.int32),
-                                     "bal": bal[ends[:-1]], "applied": ok[:-1]}))
+            out.append(pd.DataFrame({"box_id": box[gstarts[:-1]], "chunk": grp[gstarts[:-1]].astype(np.int32),
+                                     "fix_bal": bal[ends[:-1]], "fix_app": ok[:-1]}))
         if sum(len(f) for f in out) >= 10_000:
             yield pd.concat(out, ignore_index=True)
             out = []
@@ -486,11 +482,35 @@ def _staged_ops(ops: DataFrame, opening: DataFrame | None, partitions: int | Non
 
 
 def _walked(staged: DataFrame, entries: bool) -> DataFrame:
-    """Piece summaries composed per box.  One row per box plus one per dry
-    (or resolved) piece: written once to the shared folder, read several times."""
-    pieces = staged.mapInPandas(_pieces, PIECE_OUT)
-    return (pieces.repartition("box_id").sortWithinPartitions("box_id", "chunk")
-            .mapInPandas(lambda it: _walk(it, entries), WALK_OUT).checkpoint(eager=True))
+    """Piece summaries composed per box: one row per box, plus one per piece
+    with ``entries``; written to the shared folder.
+
+    A round walks every box up to its first dry piece (and on from each later
+    reset), folds the dry pieces found, each in its own range from its known
+    entry, and gives their results to the next round's walk.  Pieces that the
+    balance covers are never folded, and no task gets more than a range; there
+    are as many rounds as dry pieces between two resets of one box.
+    """
+    pieces, fixes = staged.mapInPandas(_pieces, PIECE_OUT), None
+    while True:
+        known = (pieces.select("*", F.lit(False).alias("fixed"), F.lit(0).cast("bigint").alias("fix_bal"),
+                               F.lit(0).cast("bigint").alias("fix_app")) if fixes is None else
+                 pieces.join(fixes.withColumn("fixed", F.lit(True)), ["box_id", "chunk"], "left")
+                 .fillna({"fixed": False, "fix_bal": 0, "fix_app": 0}))
+        walked = (known.repartition("box_id").sortWithinPartitions("box_id", "chunk")
+                  .mapInPandas(lambda it: _walk(it, entries), WALK_OUT).checkpoint(eager=True))
+        dry = walked.where(F.col("kind") == "piece").select("box_id", "chunk", "entry", "cut", "cut_t", "cut_op")
+        n_dry = dry.count()
+        if not n_dry:
+            return walked
+        if fixes is None:
+            pieces = pieces.checkpoint(eager=True)
+        rows = staged.join(_broadcast_if_small(dry, n_dry), ["box_id", "chunk"]).where(
+            ~F.col("cut") | (F.struct("tkey", "op_id") < F.struct("cut_t", "cut_op")))
+        folded = (rows.select("box_id", "chunk", "entry", "tkey", "op_id", "op", "cents", "has_amount")
+                  .sortWithinPartitions("box_id", "chunk", "tkey", "op_id")
+                  .mapInPandas(lambda it: _piece_fold(it, False), FOLD_OUT))
+        fixes = (folded if fixes is None else fixes.unionByName(folded)).checkpoint(eager=True)
 
 
 def _broadcast_if_small(df: DataFrame, n: int) -> DataFrame:
@@ -519,60 +539,29 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
     (at most one per range) composes them: a piece whose entry balance covers
     its drawdown behaves as a plain sum, and a reset cuts the dependency on
     the entry.  Only where a box's balance runs dry inside a later piece is
-    the order truly sequential; those stretches, from the dry piece to the
-    next reset, are folded in order from their known entry, each stretch in
-    its own task and stretches of one box in parallel.  Exact in integer
-    cents.
+    the order truly sequential; such a piece is folded in its own range once
+    its entry is known, and the walk goes on from its exact result (see
+    ``_walked``).  Exact in integer cents.
     """
-    staged = _staged_ops(ops, opening, partitions)
-    walked = _walked(staged, entries=False)
-    per_box = walked.where(F.col("kind") == "box").select(
-        "box_id", "n", "applied", F.when(F.col("has_bal"), F.col("bal")).alias("bal"))
-    dry = walked.where(F.col("kind") == "piece").select("box_id", "chunk", "sid", "entry", "cut", "cut_t", "cut_op")
-    n_dry = dry.count()
-    if n_dry == 0:
-        res = per_box.select("*", F.lit(None).cast("bigint").alias("fb_applied"),
-                             F.lit(None).cast("bigint").alias("fb_bal"))
-    else:
-        # Only the rows of dry pieces leave their range.
-        rows = staged.join(_broadcast_if_small(dry, n_dry), ["box_id", "chunk"]).where(
-            ~F.col("cut") | (F.struct("tkey", "op_id") < F.struct("cut_t", "cut_op")))
-        folded = (rows.repartition("box_id", "sid").sortWithinPartitions("box_id", "sid", "chunk", "tkey", "op_id")
-                  .select("box_id", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount")
-                  .mapInPandas(lambda it: _group_fold(it, "sid", False), STRETCH_OUT))
-        fb = folded.groupBy("box_id").agg(F.sum("applied").alias("fb_applied"),
-                                          F.max_by("bal", "sid").alias("fb_bal"))
-        res = per_box.join(fb, "box_id", "left")
-    applied = F.col("applied") + F.coalesce(F.col("fb_applied"), F.lit(0))
-    return res.select(
-        "box_id",
-        money_out(F.coalesce(F.col("bal"), F.col("fb_bal")).cast("decimal(18,0)") / 100).alias("final_balance"),
-        F.col("n").alias("n_ops"), applied.alias("n_applied"), (F.col("n") - applied).alias("n_rejected"),
-    )
+    walked = _walked(_staged_ops(ops, opening, partitions), entries=False)
+    return walked.where(F.col("kind") == "box").select(
+        "box_id", _cents_to_money("bal").alias("final_balance"), F.col("n").alias("n_ops"),
+        F.col("applied").alias("n_applied"), (F.col("n") - F.col("applied")).alias("n_rejected"))
 
 
 def replay_steps(ops: DataFrame, opening: DataFrame | None = None,
                  partitions: int | None = None) -> DataFrame:
     """O37 per operation: balance after each op and whether it applied.
 
-    Same pieces and walk as ``ordered_replay``; each resolved piece is then
-    folded inside its own range from its entry balance, and only the rows of
-    dry stretches move (one task per stretch)."""
+    Same pieces and walk as ``ordered_replay``; each piece is then folded
+    inside its own range from its entry balance."""
     staged = _staged_ops(ops, opening, partitions)
-    walked = _walked(staged, entries=True)
-    assign = walked.where(F.col("kind").isin("entry", "piece")).select(
-        "kind", "box_id", "chunk", "sid", "entry", "cut", "cut_t", "cut_op")
-    rows = staged.join(_broadcast_if_small(assign, assign.count()), ["box_id", "chunk"])
-    before_cut = F.struct("tkey", "op_id") < F.struct("cut_t", "cut_op")
-    cols = ["box_id", "chunk", "sid", "entry", "tkey", "op_id", "op", "cents", "has_amount"]
-    resolved = (rows.where((F.col("kind") == "entry") & (~F.col("cut") | ~before_cut)).select(*cols)
-                .sortWithinPartitions("box_id", "chunk", "tkey", "op_id")
-                .mapInPandas(lambda it: _group_fold(it, "chunk", True), STEPS_OUT))
-    dry = (rows.where((F.col("kind") == "piece") & (~F.col("cut") | before_cut)).select(*cols)
-           .repartition("box_id", "sid").sortWithinPartitions("box_id", "sid", "chunk", "tkey", "op_id")
-           .mapInPandas(lambda it: _group_fold(it, "sid", True), STEPS_OUT))
-    return resolved.unionByName(dry).select(
-        "op_id", "box_id", _cents_to_money("balance_cents").alias("balance"), "applied")
+    assign = _walked(staged, entries=True).where(F.col("kind") == "entry").select("box_id", "chunk", "entry")
+    steps = (staged.join(_broadcast_if_small(assign, assign.count()), ["box_id", "chunk"])
+             .select("box_id", "chunk", "entry", "tkey", "op_id", "op", "cents", "has_amount")
+             .sortWithinPartitions("box_id", "chunk", "tkey", "op_id")
+             .mapInPandas(lambda it: _piece_fold(it, True), STEPS_OUT))
+    return steps.select("op_id", "box_id", _cents_to_money("balance_cents").alias("balance"), "applied")
 
 
 # ---------------------------------------------------------------- O38

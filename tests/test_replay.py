@@ -375,7 +375,7 @@ def _group_loop(rows):
     return groups, steps
 
 
-def test_vectorised_group_fold_equals_plain_loop_over_random_batches():
+def test_vectorised_piece_fold_equals_plain_loop_over_random_batches():
     rng = np.random.default_rng(9)
     for trial in range(40):
         n = int(rng.integers(1, 300))
@@ -388,18 +388,18 @@ def test_vectorised_group_fold_equals_plain_loop_over_random_batches():
         for key in set(zip(box.tolist(), grp.tolist())):
             entry[(box == key[0]) & (grp == key[1])] = int(rng.integers(0, 4000))
         op = rng.choice(["add", "withdraw", "delete_tx", "reset", "recolor"], n, p=[.35, .45, .12, .05, .03])
-        df = pd.DataFrame({"box_id": box, "sid": grp, "entry": entry, "tkey": np.arange(n), "op_id": np.arange(n),
+        df = pd.DataFrame({"box_id": box, "chunk": grp, "entry": entry, "tkey": np.arange(n), "op_id": np.arange(n),
                            "op": op.astype(object), "cents": rng.integers(-2000, 6000, n),
                            "has_amount": rng.random(n) > 0.03})
         df = pd.concat([df, df.sample(frac=0.1, random_state=trial)]).sort_values(
-            ["box_id", "sid", "tkey", "op_id"], kind="stable").reset_index(drop=True)
+            ["box_id", "chunk", "tkey", "op_id"], kind="stable").reset_index(drop=True)
         want_groups, want_steps = _group_loop(df.itertuples(index=False, name=None))
         cuts = np.sort(rng.choice(np.arange(1, len(df)), size=min(len(df) - 1, int(rng.integers(0, 10))),
                                   replace=False)) if len(df) > 1 else []
         batches = [df.iloc[p].reset_index(drop=True) for p in np.split(np.arange(len(df)), cuts)]
-        got = pd.concat(list(replay._group_fold(iter(batches), "sid", False)), ignore_index=True)
-        assert {(int(r.box_id), int(r.sid)): (int(r.bal), int(r.applied)) for r in got.itertuples()} == want_groups
-        st = pd.concat(list(replay._group_fold(iter(batches), "sid", True)), ignore_index=True)
+        got = pd.concat(list(replay._piece_fold(iter(batches), False)), ignore_index=True)
+        assert {(int(r.box_id), int(r.chunk)): (int(r.fix_bal), int(r.fix_app)) for r in got.itertuples()} == want_groups
+        st = pd.concat(list(replay._piece_fold(iter(batches), True)), ignore_index=True)
         assert {int(r.op_id): (int(r.balance_cents), bool(r.applied)) for r in st.itertuples()} == want_steps
 
 
