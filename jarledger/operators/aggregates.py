@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jarledger.functions.display import currency_code
@@ -42,22 +42,27 @@ def goal_progress(boxes: DataFrame, templates: DataFrame) -> DataFrame:
     """target = stored target ?? template total ?? 0 (a stored 0 means no
     goal); progress = min(balance/target, 1) when target > 0 else 0; full when
     balance >= target > 0; percent = round-half-up(min(balance/target*100, 100))."""
+    return with_target(boxes, templates).select(F.col("id").alias("box_id"), "target", *progress_columns())
+
+
+def with_target(boxes: DataFrame, templates: DataFrame) -> DataFrame:
+    """Boxes with their ``target``, the stored one or the template's total."""
     t = templates.select(F.col("id").alias("template_id"), F.col("total_amount").alias("template_total"))
-    j = boxes.join(t, "template_id", "left")
     target = money_out(F.coalesce(F.col("target_amount"), F.col("template_total").cast("decimal(12,2)"), F.lit(0)))
-    j = j.select("id", "current_amount", target.alias("target"))
+    return boxes.join(t, "template_id", "left").select(*boxes.columns, target.alias("target"))
+
+
+def progress_columns() -> list[Column]:
     tgt = to_double("target")
     bal = to_double("current_amount")
     has = tgt > 0
     ratio = bal / F.when(has, tgt)
-    return j.select(
-        F.col("id").alias("box_id"),
-        "target",
+    return [
         F.when(has, F.least(ratio, F.lit(1.0))).otherwise(F.lit(0.0)).alias("progress"),
         (has & (F.col("current_amount") >= F.col("target"))).alias("is_full"),
         F.when(has, F.floor(F.least(ratio * 100.0, F.lit(100.0)) + 0.5)).otherwise(F.lit(0)).cast("bigint")
         .alias("percent"),
-    )
+    ]
 
 
 def grid_fill(boxes: DataFrame, templates: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ measured side is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jarledger.functions.display import currency_code
@@ -50,16 +50,24 @@ def box_home_equivalent(boxes: DataFrame, profiles: DataFrame, rates: DataFrame)
     codes upper-cased; an unknown code or a zero rate -> null.  ``shown``
     mirrors the card: home set, codes differ, value known.
     """
+    return with_home(boxes, profiles, rates).select(
+        F.col("id").alias("box_id"), "user_id", F.col("code").alias("currency"), "home_currency", *home_columns())
+
+
+def with_home(boxes: DataFrame, profiles: DataFrame, rates: DataFrame) -> DataFrame:
+    """Boxes with the owner's ``home_currency``, their currency's ``code`` and ``shown_code``, and the ``rate``."""
     home = profiles.select(F.col("id").alias("user_id"), "home_currency")
     r = _broadcast_if_counted_small(
         rates.select(F.col("base").alias("home_currency"), F.col("quote").alias("code"), "rate"),
         "jarledger.rates.broadcastRows", 100_000)
-    code = currency_code(F.col("currency"), empty_is_missing=True)
     b = boxes.join(home, "user_id", "left").select(
-        F.col("id").alias("box_id"), "user_id", "home_currency", "current_amount",
-        code.alias("code"), currency_code(F.col("currency")).alias("shown_code"),
-    )
-    j = b.join(r, ["home_currency", "code"], "left")
+        *boxes.columns, "home_currency", currency_code(F.col("currency"), empty_is_missing=True).alias("code"),
+        currency_code(F.col("currency")).alias("shown_code"))
+    return b.join(r, ["home_currency", "code"], "left")
+
+
+def home_columns() -> list[Column]:
+    """``home_equivalent`` and ``shown`` of what :func:`with_home` gives."""
     bal = F.col("current_amount").cast("double")
     rate = F.col("rate")
     equiv = (
@@ -68,12 +76,11 @@ def box_home_equivalent(boxes: DataFrame, profiles: DataFrame, rates: DataFrame)
         .when(rate.isNull() | (rate == 0), F.lit(None).cast("double"))
         .otherwise(bal / rate)
     )
-    return j.select(
-        "box_id", "user_id", F.col("code").alias("currency"), "home_currency",
+    return [
         equiv.alias("home_equivalent"),
         (F.col("home_currency").isNotNull() & (F.col("shown_code") != F.col("home_currency"))
          & equiv.isNotNull()).alias("shown"),
-    )
+    ]
 
 
 def cascade_delete(profiles: DataFrame, boxes: DataFrame, tx: DataFrame,

@@ -57,39 +57,57 @@ def balance_period(tx: DataFrame, boxes: DataFrame, *, as_of: dt.date | str, day
     """
     as_of = _as_date(as_of)
     first = as_of - dt.timedelta(days=days - 1)
-    daily = daily_net(tx, since=first)
-    # One row per box: the period total (future days too) and the in-period
-    # days -- a list bounded by the period length, whatever the box's volume.
-    per_box = daily.groupBy("box_id").agg(
-        F.sum("net").alias("period_sum"),
-        F.collect_list(F.when(F.col("day") <= F.lit(as_of), F.struct("day", "net"))).alias("entries"),
-    )
-    b = boxes.select(F.col("id").alias("box_id"), F.col("current_amount").alias("cur"))
-    opening = F.greatest(F.lit(0), F.col("cur") - F.coalesce(F.col("period_sum"), F.lit(0)))
-    pts = b.join(per_box, "box_id", "left").select(
-        "box_id", "cur", "entries", opening.alias("opening"),
-        F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day"),
-    )
-    acc_t = "decimal(22,2)"
-    run = F.aggregate(
-        F.filter(F.coalesce(F.col("entries"), F.array().cast(f"array<struct<day:date,net:{acc_t}>>")),
-                 lambda e: e["day"] <= F.col("day")),
-        F.lit(0).cast(acc_t), lambda acc, e: (acc + e["net"]).cast(acc_t),
-    )
-    # Most boxes have no in-period day: skip the per-point list scan for them.
-    balance = (F.when(F.col("day") == F.lit(as_of), F.col("cur"))
-               .when(F.col("entries").isNull() | (F.size("entries") == 0), F.col("opening"))
-               .otherwise(F.col("opening") + run))
+    pts = period_boxes(tx, boxes, first, as_of).select(
+        "box_id", "cur", "entries", "opening", F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day"))
     label = label if label is not None else weekday_label(F.col("day"))
     return pts.select(
         "box_id",
         F.datediff(F.col("day"), F.lit(first)).cast("bigint").alias("point"),
         "day",
         label.alias("label"),
-        money_out(balance).alias("balance"),
+        point_balance(F.col("day"), as_of).alias("balance"),
     )
 
 
+def period_aggregates(first: dt.date, as_of: dt.date) -> list[Column]:
+    """Of a box's daily rows: the period total (future days too) and the in-period
+    days -- a list bounded by the period length, whatever the box's volume."""
+    day = F.col("day")
+    return [F.sum(F.when(day >= F.lit(first), F.col("net"))).alias("period_sum"),
+            F.collect_list(F.when(day.between(F.lit(first), F.lit(as_of)), F.struct("day", "net"))).alias("entries")]
+
+
+def opening_balance(cur: Column) -> Column:
+    return F.greatest(F.lit(0), cur - F.coalesce(F.col("period_sum"), F.lit(0)))
+
+
+def period_boxes(tx: DataFrame, boxes: DataFrame, first: dt.date, as_of: dt.date) -> DataFrame:
+    """One row per box: target, current and opening balance, in-period days."""
+    per_box = daily_net(tx, since=first).groupBy("box_id").agg(*period_aggregates(first, as_of))
+    b = boxes.select(F.col("id").alias("box_id"), F.col("current_amount").alias("cur"), "target_amount")
+    return b.join(per_box, "box_id", "left").withColumn("opening", opening_balance(F.col("cur")))
+
+
+def point_balance(day: Column, as_of: dt.date) -> Column:
+    """The balance on a day of the period, from ``cur``, ``opening`` and ``entries``."""
+    acc_t = "decimal(22,2)"
+    run = F.aggregate(
+        F.filter(F.coalesce(F.col("entries"), F.array().cast(f"array<struct<day:date,net:{acc_t}>>")),
+                 lambda e: e["day"] <= day),
+        F.lit(0).cast(acc_t), lambda acc, e: (acc + e["net"]).cast(acc_t),
+    )
+    # Most boxes have no in-period day: skip the per-point list scan for them.
+    return money_out(F.when(day == F.lit(as_of), F.col("cur"))
+                     .when(F.col("entries").isNull() | (F.size("entries") == 0), F.col("opening"))
+                     .otherwise(F.col("opening") + run))
+
+
+def period_peak(first: dt.date, as_of: dt.date) -> Column:
+    """The highest point of the period, without a row per point."""
+    return F.array_max(F.transform(F.sequence(F.lit(first), F.lit(as_of)),
+                                   lambda day: to_double(point_balance(day, as_of))))
+
+
 def balance_week(tx: DataFrame, boxes: DataFrame, *, as_of) -> DataFrame:
     """7 points ending on as_of, labelled 'Mon'..'Sun'."""
     return balance_period(tx, boxes, as_of=as_of, days=WEEK_DAYS, label=weekday_label(F.col("day")))
@@ -148,13 +166,40 @@ def chart_scale(series: DataFrame, boxes: DataFrame) -> DataFrame:
     A box with no points has max balance 0.
     """
     peak = series.groupBy("box_id").agg(F.max(to_double("balance")).alias("peak"))
+    return boxes.join(peak, boxes.id == peak.box_id, "left").select(
+        F.col("id").alias("box_id"), _ceiling(F.col("peak")).alias("ceiling")
+    )
+
+
+def _ceiling(peak: Column) -> Column:
     target = to_double("target_amount")
-    data_max = F.greatest(F.coalesce(F.col("peak"), F.lit(0.0)), F.lit(0.0))
-    ceiling = F.when(target > 0, F.greatest(target, data_max)).otherwise(
+    data_max = F.greatest(F.coalesce(peak, F.lit(0.0)), F.lit(0.0))
+    return F.when(target > 0, F.greatest(target, data_max)).otherwise(
         F.ceil(F.greatest(data_max, F.lit(1.0)) * F.lit(1.1)).cast("double")
     )
-    return boxes.join(peak, boxes.id == peak.box_id, "left").select(
-        F.col("id").alias("box_id"), ceiling.alias("ceiling")
+
+
+def week_scale(tx: DataFrame, boxes: DataFrame, *, as_of) -> DataFrame:
+    """O22 of the week chart: the ceiling from one row per box, no point series."""
+    as_of = _as_date(as_of)
+    first = as_of - dt.timedelta(days=WEEK_DAYS - 1)
+    return period_boxes(tx, boxes, first, as_of).withColumn("peak", period_peak(first, as_of)).select(
+        "box_id", _ceiling(F.col("peak")).alias("ceiling"))
+
+
+def week_normalised(tx: DataFrame, boxes: DataFrame, *, as_of) -> DataFrame:
+    """O31 of the week chart: peak and ceiling come along with each box's row,
+    so the points are generated once and never joined or windowed."""
+    as_of = _as_date(as_of)
+    first = as_of - dt.timedelta(days=WEEK_DAYS - 1)
+    pts = period_boxes(tx, boxes, first, as_of).withColumn("peak", period_peak(first, as_of)).select(
+        "box_id", "cur", "entries", "opening", "peak", _ceiling(F.col("peak")).alias("ceiling"),
+        F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day"))
+    b = to_double(point_balance(F.col("day"), as_of))
+    return pts.select(
+        "box_id", F.datediff(F.col("day"), F.lit(first)).cast("bigint").alias("point"),
+        (b / F.col("ceiling")).alias("norm"),
+        F.greatest(F.lit(2.0), b / F.greatest(F.col("peak"), F.lit(1.0)) * F.lit(20.0)).alias("bar_height"),
     )
 
 

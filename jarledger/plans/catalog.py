@@ -103,6 +103,12 @@ def q_tx_validate(spark, sf_dir):
     return filters.tx_checked(bind_events(spark, sf_dir).transactions)
 
 
+@register("tx_validate_rejects")
+def q_tx_validate_rejects(spark, sf_dir):
+    """O11 over rows with missing boxes, missing amounts and zero amounts."""
+    return filters.tx_checked(derived.broken_transactions(bind_events(spark, sf_dir).transactions))
+
+
 @register("box_normalise")
 def q_box_normalise(spark, sf_dir):
     b = filters.box_normalise(derived.create_requests(spark, sf_dir))
@@ -147,6 +153,40 @@ def q_fk_violations(spark, sf_dir):
     return joins.fk_violations(L.profiles, L.box_templates, L.user_boxes, L.transactions)
 
 
+@register("cascade_delete_boxes")
+def q_cascade_delete_boxes(spark, sf_dir):
+    L = bind_events(spark, sf_dir)
+    users = L.profiles.where(F.col("home_currency").isNull()).select("id")
+    archived = L.user_boxes.where("is_archived").select("id")
+    _, boxes, _ = joins.cascade_delete(L.profiles, L.user_boxes, L.transactions, users=users, box_ids=archived)
+    return boxes.select("id", "user_id", "name")
+
+
+@register("cascade_delete_profiles")
+def q_cascade_delete_profiles(spark, sf_dir):
+    L = bind_events(spark, sf_dir)
+    users = L.profiles.where(F.col("home_currency").isNull()).select("id")
+    profiles, _, _ = joins.cascade_delete(L.profiles, L.user_boxes, L.transactions, users=users)
+    return profiles.select("id", "full_name", "home_currency")
+
+
+@register("fk_violations_orphans")
+def q_fk_violations_orphans(spark, sf_dir):
+    """O17 where parents are gone without their children: users without a home
+    currency, templates with an odd id, archived boxes."""
+    L = bind_events(spark, sf_dir)
+    boxes = filters.active_boxes(L.user_boxes)
+    return joins.fk_violations(L.profiles.where(F.col("home_currency").isNotNull()),
+                               L.box_templates.where(F.col("id") % 2 == 0), boxes, L.transactions)
+
+
+@register("ledger_reconcile_orphans")
+def q_ledger_reconcile_orphans(spark, sf_dir):
+    """O24 where archived boxes are gone but their transactions are not."""
+    L = bind_events(spark, sf_dir)
+    return agg.ledger_reconcile(filters.active_boxes(L.user_boxes), L.transactions)
+
+
 @register("boxes_without_activity")
 def q_boxes_without_activity(spark, sf_dir):
     L = bind_events(spark, sf_dir)
@@ -215,8 +255,7 @@ def q_balance_all(spark, sf_dir):
 @register("chart_scale")
 def q_chart_scale(spark, sf_dir):
     L = bind_events(spark, sf_dir)
-    wk = series.balance_week(L.transactions, L.user_boxes, as_of=L.as_of)
-    return series.chart_scale(wk, L.user_boxes)
+    return series.week_scale(L.transactions, L.user_boxes, as_of=L.as_of)
 
 
 @register("axis_labels")
@@ -234,8 +273,7 @@ def q_axis_labels_month(spark, sf_dir):
 @register("series_normalised")
 def q_series_normalised(spark, sf_dir):
     L = bind_events(spark, sf_dir)
-    wk = series.balance_week(L.transactions, L.user_boxes, as_of=L.as_of)
-    return series.series_normalised(wk, series.chart_scale(wk, L.user_boxes))
+    return series.week_normalised(L.transactions, L.user_boxes, as_of=L.as_of)
 
 
 # ------------------------------------------------------------ top-k, sets
@@ -286,6 +324,12 @@ def q_ordered_replay(spark, sf_dir):
     return replay.ordered_replay(bind_events(spark, sf_dir).op_log)
 
 
+@register("ordered_replay_ranges")
+def q_ordered_replay_ranges(spark, sf_dir):
+    """O37 in 48 ranges, so that boxes span ranges at every size."""
+    return replay.ordered_replay(bind_events(spark, sf_dir).op_log, partitions=48)
+
+
 @register("replay_steps")
 def q_replay_steps(spark, sf_dir):
     return replay.replay_steps(bind_events(spark, sf_dir).op_log)
@@ -329,6 +373,14 @@ def q_tx_delete_apply(spark, sf_dir):
     return bal
 
 
+@register("tx_delete_remaining")
+def q_tx_delete_remaining(spark, sf_dir):
+    L = bind_events(spark, sf_dir)
+    _, left = replay.tx_delete_apply(L.user_boxes, L.transactions,
+                                     derived.delete_requests(_read(spark, sf_dir, "events")))
+    return left.select("id", "box_id", "amount")
+
+
 # ------------------------------------------------------------ feed
 
 @register("activity_feed")

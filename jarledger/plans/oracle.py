@@ -42,7 +42,7 @@ box_keys AS (
 box_sums AS (SELECT box_id, sum(amount) AS s FROM transactions GROUP BY box_id),
 user_boxes AS (
   SELECT b.id, b.c_custkey AS user_id,
-         CASE WHEN b.id % 3 = 0 THEN b.id % 200 END AS template_id,
+         CASE WHEN b.id % 3 = 0 THEN b.c_custkey END AS template_id,
          b.c_name || '/' || CAST(b.k AS VARCHAR) AS name,
          CASE b.id % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'UAH' WHEN 3 THEN 'GBP'
                        WHEN 4 THEN NULL ELSE 'PLN' END AS currency,
@@ -221,6 +221,17 @@ FROM (SELECT *, CASE WHEN box_id IS NULL THEN 'missing_box' WHEN amount IS NULL
                      WHEN amount = 0 THEN 'zero_amount' END AS reason FROM transactions)
 """
 
+Q["tx_validate_rejects"] = """
+, broken AS (
+  SELECT id, CASE WHEN id % 7 <> 0 THEN box_id END AS box_id,
+         CAST(CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 0 ELSE amount END AS DECIMAL(12,2)) AS amount, note, date
+  FROM transactions
+)
+SELECT id, box_id, amount, nullif(trim(note), '') AS note, date, reason IS NULL AS accepted, reason
+FROM (SELECT *, CASE WHEN box_id IS NULL THEN 'missing_box' WHEN amount IS NULL THEN 'missing_amount'
+                     WHEN amount = 0 THEN 'zero_amount' END AS reason FROM broken)
+"""
+
 Q["box_normalise"] = """
 , req AS (
   SELECT c_custkey, c_acctbal,
@@ -283,6 +294,25 @@ SELECT 'tx_box', id, box_id FROM transactions t
  WHERE box_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM user_boxes b WHERE b.id = t.box_id)
 """
 
+Q["cascade_delete_boxes"] = """
+SELECT id, user_id, name FROM user_boxes
+WHERE NOT is_archived AND user_id NOT IN (SELECT id FROM profiles WHERE home_currency IS NULL)
+"""
+
+Q["cascade_delete_profiles"] = "SELECT id, full_name, home_currency FROM profiles WHERE home_currency IS NOT NULL"
+
+Q["fk_violations_orphans"] = """
+SELECT 'box_profile' AS kind, id AS child_id, user_id AS parent_id FROM user_boxes b
+ WHERE NOT is_archived AND NOT EXISTS (SELECT 1 FROM profiles p WHERE p.id = b.user_id AND p.home_currency IS NOT NULL)
+UNION ALL
+SELECT 'box_template', id, template_id FROM user_boxes b
+ WHERE NOT is_archived AND template_id IS NOT NULL
+   AND NOT EXISTS (SELECT 1 FROM box_templates t WHERE t.id = b.template_id AND t.id % 2 = 0)
+UNION ALL
+SELECT 'tx_box', id, box_id FROM transactions t
+ WHERE NOT EXISTS (SELECT 1 FROM user_boxes b WHERE b.id = t.box_id AND NOT is_archived)
+"""
+
 Q["boxes_without_activity"] = """
 SELECT id, user_id, name, current_amount FROM user_boxes b
 WHERE NOT EXISTS (SELECT 1 FROM transactions t WHERE t.box_id = b.id)
@@ -356,6 +386,9 @@ SELECT coalesce(b.id, s.box_id) AS box_id,
 FROM user_boxes b FULL JOIN (SELECT box_id, sum(amount) AS s FROM transactions GROUP BY box_id) s ON s.box_id = b.id
 """
 
+Q["ledger_reconcile_orphans"] = Q["ledger_reconcile"].replace(
+    "FROM user_boxes b FULL JOIN", "FROM (SELECT * FROM user_boxes WHERE NOT is_archived) b FULL JOIN")
+
 Q["balance_week"] = WEEK + "SELECT * FROM wk"
 Q["balance_month"] = MONTH + "SELECT * FROM mo"
 Q["balance_all"] = ALL + "SELECT * FROM al"
@@ -521,11 +554,11 @@ LEFT JOIN touched tc ON tc.box_id = b.id
 """
 
 Q["box_from_template"] = """
-SELECT r.o_orderkey AS request_id, r.o_custkey AS user_id, r.o_orderkey % 2500 AS template_id,
+SELECT r.o_orderkey AS request_id, r.o_custkey AS user_id, r.o_orderkey // 7 AS template_id,
        coalesce(nullif(r.name, ''), t.name) AS name, 'EUR' AS currency,
        CAST(0 AS DECIMAL(12,2)) AS current_amount, CAST(NULL AS DECIMAL(12,2)) AS target_amount, false AS is_archived
 FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE o_orderpriority END AS name FROM orders) r
-JOIN box_templates t ON t.id = r.o_orderkey % 2500
+JOIN box_templates t ON t.id = r.o_orderkey // 7
 """
 
 CROSS = """
@@ -602,6 +635,14 @@ SELECT box_id, CAST(sum(amount) AS DECIMAL(18,2)) AS balance, max(date) AS updat
 FROM transactions GROUP BY box_id
 """
 
+Q["ordered_replay_ranges"] = Q["ordered_replay"]
+
+Q["tx_delete_remaining"] = """
+SELECT id, box_id, amount FROM transactions t
+WHERE NOT (id IN (SELECT event_id FROM events WHERE event_type = 'error')
+           AND EXISTS (SELECT 1 FROM user_boxes b WHERE b.id = t.box_id))
+"""
+
 Q["stream_ordered_replay"] = Q["ordered_replay"]
 
 Q["stream_daily_net"] = """
@@ -663,7 +704,7 @@ SELECT box_id,
 FROM st GROUP BY box_id
 """
 
-RECURSIVE = {"ordered_replay", "replay_steps", "tx_delete_apply", "stream_ordered_replay"}
+RECURSIVE = {"ordered_replay", "ordered_replay_ranges", "replay_steps", "tx_delete_apply", "stream_ordered_replay"}
 
 
 def oracle_sql() -> dict[str, str]:

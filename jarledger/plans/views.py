@@ -19,6 +19,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jarledger.functions.dates import day_key
 from jarledger.functions.display import currency_symbol
 from jarledger.functions.money import money_out, signed_amount
 from jarledger.operators import aggregates as agg
@@ -28,22 +29,22 @@ from jarledger.operators.replay import drain_until_failure
 
 def home_cards(boxes: DataFrame, templates: DataFrame, tx: DataFrame, profiles: DataFrame,
                rates: DataFrame, *, as_of: dt.date) -> DataFrame:
-    active = filters.active_boxes(boxes).select(
+    first = as_of - dt.timedelta(days=series.WEEK_DAYS - 1)
+    # Transactions are read once: box-days first, then one row per box with
+    # what the mini chart and the recent-activity summary need.
+    days = tx.groupBy("box_id", day_key("date").alias("day")).agg(
+        F.sum("amount").alias("net"), F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
+    per_box = days.groupBy(F.col("box_id").alias("id")).agg(
+        *series.period_aggregates(first, as_of), F.sum("n").alias("n_tx"), F.max("last").alias("last_activity"))
+    cards = joins.with_home(agg.with_target(filters.active_boxes(boxes), templates), profiles, rates) \
+        .join(per_box, "id", "left") \
+        .withColumn("cur", F.col("current_amount")).withColumn("opening", series.opening_balance(F.col("cur")))
+    progress, is_full, percent = agg.progress_columns()
+    n_recent = F.least(F.coalesce(F.col("n_tx"), F.lit(0)), F.lit(history.RECENT_ACTIVE)).cast("bigint")
+    return cards.select(
         F.col("id").alias("box_id"), "name", currency_symbol(F.col("currency")).alias("symbol"),
-        money_out("current_amount").alias("balance"))
-    progress = agg.goal_progress(boxes, templates)
-    equiv = joins.box_home_equivalent(boxes, profiles, rates).select("box_id", "home_equivalent", "shown")
-    week = series.balance_week(tx, boxes, as_of=as_of).groupBy("box_id").agg(
-        F.max(F.col("balance").cast("double")).alias("week_peak"))
-    recent = history.recent_activity(tx, boxes).groupBy("box_id").agg(
-        F.count(F.lit(1)).alias("n_recent"), F.max("date").alias("last_activity"))
-    return (
-        active.join(progress, "box_id", "left").join(equiv, "box_id", "left")
-        .join(week, "box_id", "left").join(recent, "box_id", "left")
-        .select("box_id", "name", "symbol", "balance", "target", "progress", "percent", "is_full",
-                "home_equivalent", "shown", "week_peak",
-                F.coalesce(F.col("n_recent"), F.lit(0)).cast("bigint").alias("n_recent"), "last_activity")
-    )
+        money_out("current_amount").alias("balance"), "target", progress, percent, is_full, *joins.home_columns(),
+        series.period_peak(first, as_of).alias("week_peak"), n_recent.alias("n_recent"), "last_activity")
 
 
 def drain_and_fold(queue: DataFrame) -> DataFrame:

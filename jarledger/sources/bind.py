@@ -149,7 +149,7 @@ def boxes_from_customers(spark: SparkSession, sf_dir: str, tx: DataFrame) -> Dat
     # Σ amount per box: partial aggregation map-side, then one exchange.
     sums = tx.groupBy("box_id").agg(F.sum("amount").alias("tx_sum"))
     bid = F.col("id")
-    template_id = F.when(bid % 3 == 0, bid % 200)
+    template_id = F.when(bid % 3 == 0, F.col("c_custkey"))  # reaches more templates as the tables grow
     target = F.when(bid % 4 == 0, F.lit(None)).when(bid % 4 == 1, F.lit(0)).otherwise(100 + bid % 900)
     crossed = F.when(
         template_id.isNull(), F.array().cast("array<int>")

@@ -31,6 +31,14 @@ def create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     cur.alias("currency"), F.col("c_acctbal").alias("target"))
 
 
+def broken_transactions(tx: DataFrame) -> DataFrame:
+    """O11 input: every 7th row lacks its box, every 5th its amount, every 3rd has amount 0."""
+    i = F.col("id")
+    return tx.select("id", F.when(i % 7 != 0, F.col("box_id")).alias("box_id"),
+                     F.when(i % 5 == 0, F.lit(None)).when(i % 3 == 0, F.lit(0)).otherwise(F.col("amount"))
+                     .cast("decimal(12,2)").alias("amount"), "note", "date")
+
+
 def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O39 input: one create-from-template request per order."""
     o = _read(spark, sf_dir, "orders")
@@ -38,7 +46,7 @@ def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit(None).cast("string")) \
         .otherwise(F.col("o_orderpriority"))
     return o.select(k.alias("request_id"), F.col("o_custkey").alias("user_id"),
-                    (k % 2500).alias("template_id"), name.alias("name"))
+                    F.expr("o_orderkey div 7").alias("template_id"), name.alias("name"))
 
 
 def attribute_ops(events: DataFrame) -> DataFrame:
