@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jarledger.functions.text import js_trim
+from jarledger.functions.text import js_trim, leading_number
 from jarledger.functions.money import money
 from jarledger.functions.display import DEFAULT_CURRENCY
 
@@ -70,11 +70,11 @@ def tx_validate(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
 def entry_validate(entries: DataFrame) -> DataFrame:
     """O11 (entry form): typed text -> signed amount.
 
-    ``entries(box_id, mode, amount_text, note)``: the text must parse as a
-    number and be > 0 before it is signed by the mode (withdraw negative).
-    Text with trailing junk is rejected.
+    ``entries(box_id, mode, amount_text, note)``: the text must start with a
+    number > 0, which is signed by the mode (withdraw negative); what follows
+    the number is ignored.
     """
-    parsed = F.expr("try_cast(trim(amount_text) AS DECIMAL(12,2))")
+    parsed = leading_number(F.col("amount_text"))
     ok = parsed.isNotNull() & (parsed > 0)
     signed = F.when(F.col("mode") == "withdraw", -parsed).otherwise(parsed)
     return entries.select(

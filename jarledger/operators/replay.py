@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jarledger.functions.text import js_trim
+from jarledger.functions.text import js_trim, leading_number
 from jarledger.functions.money import money, money_out, signed_amount
 from jarledger.session import shared_dir
 
@@ -570,7 +570,8 @@ def box_attribute_merge(boxes: DataFrame, attr_ops: DataFrame) -> DataFrame:
     """Apply the last rename / retarget / archive / restore per box.
 
     rename: trimmed text, a blank one is ignored; retarget: blank text clears
-    the target, a number >= 0 sets it, anything else is ignored; archive and
+    the target, a text that starts with a
+    number >= 0 sets it, anything else is ignored; archive and
     restore set the flag.  ``updated_at`` becomes the time of the last applied
     op other than archive (archiving does not touch it in the database).
     Everything is one partial+final aggregate per box; ties on ts break on op_id.
@@ -579,7 +580,7 @@ def box_attribute_merge(boxes: DataFrame, attr_ops: DataFrame) -> DataFrame:
     order = F.struct("ts", "op_id")
     name = js_trim(arg)
     is_rename = (op == "rename") & name.isNotNull() & (name != "")
-    tnum = F.expr("try_cast(trim(arg) AS DECIMAL(12,2))")
+    tnum = leading_number(arg)
     blank = arg.isNull() | (js_trim(arg) == "")
     is_retarget = (op == "retarget") & (blank | (tnum.isNotNull() & (tnum >= 0)))
     is_flag = op.isin("archive", "restore")

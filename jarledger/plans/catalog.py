@@ -109,6 +109,11 @@ def q_tx_validate_rejects(spark, sf_dir):
     return filters.tx_checked(derived.broken_transactions(bind_events(spark, sf_dir).transactions))
 
 
+@register("entry_validate")
+def q_entry_validate(spark, sf_dir):
+    return filters.entry_validate(derived.typed_entries(_read(spark, sf_dir, "events")))
+
+
 @register("box_normalise")
 def q_box_normalise(spark, sf_dir):
     b = filters.box_normalise(derived.create_requests(spark, sf_dir))

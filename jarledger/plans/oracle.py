@@ -232,6 +232,18 @@ FROM (SELECT *, CASE WHEN box_id IS NULL THEN 'missing_box' WHEN amount IS NULL
                      WHEN amount = 0 THEN 'zero_amount' END AS reason FROM broken)
 """
 
+Q["entry_validate"] = """
+, typed AS (
+  SELECT user_id AS box_id, CASE WHEN event_type = 'purchase' THEN 'withdraw' ELSE 'add' END AS mode,
+         CAST(value AS DECIMAL(12,2)) AS v, event_id % 6 AS k
+  FROM events
+)
+SELECT box_id, mode, CAST(CASE WHEN k IN (0, 1) AND v > 0 THEN CASE WHEN mode = 'withdraw' THEN -v ELSE v END END
+                          AS DECIMAL(12,2)) AS amount,
+       CASE WHEN k = 1 THEN 'hi' END AS note, k IN (0, 1) AND v > 0 AS accepted
+FROM typed
+"""
+
 Q["box_normalise"] = """
 , req AS (
   SELECT c_custkey, c_acctbal,

@@ -39,6 +39,17 @@ def broken_transactions(tx: DataFrame) -> DataFrame:
                      .cast("decimal(12,2)").alias("amount"), "note", "date")
 
 
+def typed_entries(events: DataFrame) -> DataFrame:
+    """O11 entry form: typed amounts with blanks, text behind the number, signs, or no number at all."""
+    k = F.col("event_id") % 6
+    value = F.col("value").cast("decimal(12,2)").cast("string")
+    text = (F.when(k == 0, F.concat(value, F.lit("abc"))).when(k == 1, F.concat(F.lit(" \t"), value, F.lit(" ")))
+            .when(k == 2, F.lit("")).when(k == 3, F.lit("x1")).when(k == 4, F.concat(F.lit("-"), value)).otherwise(F.lit("0")))
+    return events.select(F.col("user_id").alias("box_id"),
+                         F.when(F.col("event_type") == "purchase", "withdraw").otherwise("add").alias("mode"),
+                         text.alias("amount_text"), F.when(k == 1, F.lit(" hi ")).alias("note"))
+
+
 def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O39 input: one create-from-template request per order."""
     o = _read(spark, sf_dir, "orders")

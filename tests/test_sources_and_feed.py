@@ -24,7 +24,7 @@ def test_entry_validation_parses_before_signing(spark):
                                (1, "add", "-4", None), (1, "withdraw", "0", None)],
                               "box_id BIGINT, mode STRING, amount_text STRING, note STRING")
     got = [(r["amount"], r["accepted"], r["note"]) for r in filters.entry_validate(e).collect()]
-    assert got == [(D("12.50"), True, "hi"), (D("-7.00"), True, None), (None, False, None),
+    assert got == [(D("12.50"), True, "hi"), (D("-7.00"), True, None), (D("12.00"), True, None),
                    (None, False, None), (None, False, None)]
 
 
