@@ -178,11 +178,11 @@ def q_cascade_delete_profiles(spark, sf_dir):
 @register("fk_violations_orphans")
 def q_fk_violations_orphans(spark, sf_dir):
     """O17 where parents are gone without their children: users without a home
-    currency, templates with an odd id, archived boxes."""
+    currency, templates below 1000, archived boxes."""
     L = bind_events(spark, sf_dir)
     boxes = filters.active_boxes(L.user_boxes)
     return joins.fk_violations(L.profiles.where(F.col("home_currency").isNotNull()),
-                               L.box_templates.where(F.col("id") % 2 == 0), boxes, L.transactions)
+                               L.box_templates.where(F.col("total_amount") >= 1000), boxes, L.transactions)
 
 
 @register("ledger_reconcile_orphans")

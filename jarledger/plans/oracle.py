@@ -319,7 +319,7 @@ SELECT 'box_profile' AS kind, id AS child_id, user_id AS parent_id FROM user_box
 UNION ALL
 SELECT 'box_template', id, template_id FROM user_boxes b
  WHERE NOT is_archived AND template_id IS NOT NULL
-   AND NOT EXISTS (SELECT 1 FROM box_templates t WHERE t.id = b.template_id AND t.id % 2 = 0)
+   AND NOT EXISTS (SELECT 1 FROM box_templates t WHERE t.id = b.template_id AND t.total_amount >= 1000)
 UNION ALL
 SELECT 'tx_box', id, box_id FROM transactions t
  WHERE NOT EXISTS (SELECT 1 FROM user_boxes b WHERE b.id = t.box_id AND NOT is_archived)
