@@ -120,7 +120,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     node hands its larger neighbours to its smallest neighbour (large star),
     then its smaller ones likewise (small star).  Only aggregations and
     equi-joins; the rounds grow with the logarithm of the longest chain.  Each round's links are
-    written to the shared folder.  Nodes without a link are not returned.
+    written to the shared folder, and so are the nodes' minima: both sides of
+    the large star's join then have an exchange, and AQE can split the rows of
+    a node with very many neighbours.  Nodes without a link are not returned.
     """
     def star(edges: DataFrame) -> DataFrame:
         return edges.where("a <> b").distinct()
@@ -133,7 +135,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
         large = star(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # after the large star every link runs from the larger to the smaller node
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
