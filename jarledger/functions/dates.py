@@ -37,6 +37,13 @@ def day_month_label(day: Column) -> Column:
     return F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.element_at(_names(MONTHS), F.month(day)))
 
 
+def time_text_named(ts: Column, is_today: Column, today_label: Column, day_mark: Column, months: Column) -> Column:
+    """Feed time on a 24-hour clock with the language's own month names:
+    'Heute, 15:07' for today's rows, else '20. Jan., 15:07'."""
+    day = F.concat(F.dayofmonth(ts).cast("string"), day_mark, F.lit(" "), F.element_at(months, F.month(ts)))
+    return F.concat(F.when(is_today, today_label).otherwise(day), F.lit(", "), F.date_format(ts, "HH:mm"))
+
+
 def time_text_en(ts: Column, is_today: Column, today_label: str | Column | None = "Today") -> Column:
     """English feed time: 'Today, 03:07 PM' for today's rows, else 'Jan 5, 03:07 PM'."""
     clock = F.date_format(ts, "hh:mm a")

@@ -17,6 +17,12 @@ ENTRY_LABELS = {
     "de": ("Einzahlung", "Auszahlung", "Heute"),
     "uk": ("Внесення", "Зняття", "Сьогодні"),
 }
+# Feed dates: what follows the day, and the short month names (English has its own 12-hour form).
+DAY_MARKS = {"de": ".", "uk": ""}
+SHORT_MONTHS = {
+    "de": ["Jan.", "Feb.", "März", "Apr.", "Mai", "Juni", "Juli", "Aug.", "Sept.", "Okt.", "Nov.", "Dez."],
+    "uk": ["січ.", "лют.", "бер.", "квіт.", "трав.", "черв.", "лип.", "серп.", "вер.", "жовт.", "лист.", "груд."],
+}
 # Minus sign used for withdrawals (U+2212), plus for the rest.
 MINUS = "−"
 PLUS = "+"
@@ -49,7 +55,8 @@ def entry_label(note: Column, amount: Column, deposit: Column, withdrawal: Colum
 
 
 def label_dictionary(spark: SparkSession) -> DataFrame:
-    """Three-row dictionary (language, deposit, withdrawal, today); a fixed,
-    bounded table, safe to broadcast."""
-    rows = [(lang, *texts) for lang, texts in ENTRY_LABELS.items()]
-    return spark.createDataFrame(rows, "language STRING, deposit STRING, withdrawal STRING, today STRING")
+    """Three-row dictionary (language, deposit, withdrawal, today, day_mark,
+    months); a fixed, bounded table, safe to broadcast."""
+    rows = [(lang, *texts, DAY_MARKS.get(lang), SHORT_MONTHS.get(lang)) for lang, texts in ENTRY_LABELS.items()]
+    return spark.createDataFrame(rows, "language STRING, deposit STRING, withdrawal STRING, today STRING, "
+                                       "day_mark STRING, months ARRAY<STRING>")

@@ -604,6 +604,19 @@ def box_attribute_merge(boxes: DataFrame, attr_ops: DataFrame) -> DataFrame:
     )
 
 
+def profile_edit(profiles: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits(edit_id, ts, user_id, typed)`` -> profiles with the last typed name.
+
+    The name is trimmed; a blank or missing one clears it.  The newest edit of
+    a user wins, ties on ts by edit_id; edits of unknown users do nothing.  One
+    partial+final aggregate per user, then a join.
+    """
+    newest = edits.where(F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("id")).agg(
+        F.max_by(F.struct(F.nullif(js_trim(F.col("typed")), F.lit("")).alias("name")), F.struct("ts", "edit_id")).alias("last"))
+    return profiles.join(newest, "id", "left").select(
+        "id", F.when(F.col("last").isNull(), F.col("full_name")).otherwise(F.col("last.name")).alias("full_name"))
+
+
 # ---------------------------------------------------------------- O39
 
 def box_from_template(requests: DataFrame, templates: DataFrame) -> DataFrame:

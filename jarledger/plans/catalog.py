@@ -347,6 +347,12 @@ def q_box_attribute_merge(spark, sf_dir):
     return replay.box_attribute_merge(L.user_boxes, ops)
 
 
+@register("profile_edit")
+def q_profile_edit(spark, sf_dir):
+    L = bind_events(spark, sf_dir)
+    return replay.profile_edit(L.profiles, derived.profile_edits(_read(spark, sf_dir, "events")))
+
+
 @register("box_from_template")
 def q_box_from_template(spark, sf_dir):
     L = bind_events(spark, sf_dir)

@@ -565,6 +565,23 @@ LEFT JOIN last_flag f ON f.box_id = b.id
 LEFT JOIN touched tc ON tc.box_id = b.id
 """
 
+Q["profile_edit"] = """
+, edits AS (
+  SELECT event_id AS edit_id, ts, user_id,
+         CASE event_id % 4 WHEN 0 THEN chr(9) || ' ' || chr(10)
+                           WHEN 1 THEN '  Name ' || CAST(event_id % 10 AS VARCHAR) || chr(9)
+                           WHEN 3 THEN 'User ' || CAST(event_id AS VARCHAR) END AS typed
+  FROM events
+),
+newest AS (
+  SELECT user_id, nullif(trim(typed, ' ' || chr(9) || chr(10)), '') AS full_name,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, edit_id DESC) AS rn
+  FROM edits
+)
+SELECT p.id, CASE WHEN n.user_id IS NULL THEN p.full_name ELSE n.full_name END AS full_name
+FROM profiles p LEFT JOIN newest n ON n.user_id = p.id AND n.rn = 1
+"""
+
 Q["box_from_template"] = """
 SELECT r.o_orderkey AS request_id, r.o_custkey AS user_id, r.o_orderkey // 7 AS template_id,
        coalesce(nullif(r.name, ''), t.name) AS name, 'EUR' AS currency,
@@ -625,8 +642,12 @@ WHERE rn = (SELECT max(rn) FROM seq s WHERE s.box_id = w.box_id)
 """
 
 Q["activity_feed"] = RECENT + f"""
-, labels_dict(language, deposit, withdrawal) AS (VALUES
-  ('en', 'Deposit', 'Withdrawal'), ('de', 'Einzahlung', 'Auszahlung'), ('uk', 'Внесення', 'Зняття'))
+, labels_dict(language, deposit, withdrawal, today, months) AS (VALUES
+  ('en', 'Deposit', 'Withdrawal', 'Today', NULL),
+  ('de', 'Einzahlung', 'Auszahlung', 'Heute',
+   ['. Jan.', '. Feb.', '. März', '. Apr.', '. Mai', '. Juni', '. Juli', '. Aug.', '. Sept.', '. Okt.', '. Nov.', '. Dez.']),
+  ('uk', 'Внесення', 'Зняття', 'Сьогодні',
+   [' січ.', ' лют.', ' бер.', ' квіт.', ' трав.', ' черв.', ' лип.', ' серп.', ' вер.', ' жовт.', ' лист.', ' груд.']))
 SELECT r.box_id, r.id, r.rank,
        coalesce(nullif(r.note, ''), CASE WHEN r.amount < 0 THEN coalesce(d.withdrawal, 'Withdrawal')
                                          ELSE coalesce(d.deposit, 'Deposit') END) AS label,
@@ -635,8 +656,10 @@ SELECT r.box_id, r.id, r.rank,
        CASE upper(coalesce(b.currency, 'EUR')) WHEN 'EUR' THEN '€' WHEN 'USD' THEN '$' WHEN 'UAH' THEN '₴'
             WHEN 'GBP' THEN '£' ELSE upper(coalesce(b.currency, 'EUR')) END AS symbol,
        CAST(r.date AS DATE) = {AS_OF} AS is_today,
-       CASE WHEN CAST(r.date AS DATE) = {AS_OF} THEN 'Today, ' || strftime(r.date, '%I:%M %p')
-            ELSE strftime(r.date, '%b %-d, %I:%M %p') END AS time_text
+       CASE WHEN d.months IS NULL AND CAST(r.date AS DATE) = {AS_OF} THEN 'Today, ' || strftime(r.date, '%I:%M %p')
+            WHEN d.months IS NULL THEN strftime(r.date, '%b %-d, %I:%M %p')
+            WHEN CAST(r.date AS DATE) = {AS_OF} THEN d.today || strftime(r.date, ', %H:%M')
+            ELSE day(r.date) || d.months[month(r.date)] || strftime(r.date, ', %H:%M') END AS time_text
 FROM recent r JOIN user_boxes b ON b.id = r.box_id
 LEFT JOIN profiles p ON p.id = b.user_id LEFT JOIN labels_dict d ON d.language = p.language
 """

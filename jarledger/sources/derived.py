@@ -75,6 +75,15 @@ def attribute_ops(events: DataFrame) -> DataFrame:
                          op.alias("op"), arg.alias("arg"))
 
 
+def profile_edits(events: DataFrame) -> DataFrame:
+    """Profile edit input: every event is a typed name, some blank, padded or missing."""
+    eid, k = F.col("event_id"), F.col("event_id") % 4
+    typed = (F.when(k == 0, F.lit("\t \n"))
+             .when(k == 1, F.concat(F.lit("  Name "), (eid % 10).cast("string"), F.lit("\t")))
+             .when(k == 3, F.concat(F.lit("User "), eid.cast("string"))))
+    return events.select(eid.alias("edit_id"), "ts", "user_id", typed.alias("typed"))
+
+
 def crossout_requests(events: DataFrame) -> DataFrame:
     """O40 input: every event asks to cross out cell event_id % 25 of a box."""
     eid = F.col("event_id")

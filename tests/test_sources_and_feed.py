@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from jarledger.operators import feed, filters
+from jarledger.operators import feed, filters, replay
 from jarledger.session import shared_dir
 from jarledger.sources import queue_dump, signup, snapshot
 from tests.frames import AS_OF, boxes, profiles, ts, tx
@@ -43,12 +43,33 @@ def test_g16_feed_row_in_german(spark):
     got = {r["id"]: r.asDict() for r in feed.activity_feed(t, b, p, as_of=AS_OF).collect()}
     r = got[1]
     assert (r["label"], r["sign"], r["amount_text"], r["symbol"]) == ("Auszahlung", "−", "3.50", "$")
-    assert (r["is_today"], r["time_text"]) == (False, "Jan 20, 03:07 PM")
+    assert (r["is_today"], r["time_text"]) == (False, "20. Jan., 15:07")
     r = got[2]
     assert (r["label"], r["sign"], r["amount_text"], r["symbol"]) == ("Deposit", "+", "4.00", "€")
     assert (r["is_today"], r["time_text"]) == (True, "Today, 09:03 AM")
 
 
+def test_feed_dates_in_ukrainian(spark):
+    b = boxes(spark, [{"id": 1, "user_id": 7, "currency": "UAH"}, {"id": 2, "user_id": None, "currency": None}])
+    p = profiles(spark, [(7, "a", "a@x", "UAH", "uk")])
+    t = tx(spark, [(1, 1, 5, "", dt.datetime(2024, 5, 3, 0, 4)), (2, 1, 5, "", dt.datetime(2024, 1, 25, 23, 59)),
+                   (3, 2, 5, "", dt.datetime(2024, 5, 3, 0, 4))])
+    got = {r["id"]: r["time_text"] for r in feed.activity_feed(t, b, p, as_of=AS_OF).collect()}
+    assert got == {1: "3 трав., 00:04", 2: "Сьогодні, 23:59", 3: "May 3, 12:04 AM"}
+
+
+def test_profile_edit_last_name_wins(spark):
+    p = profiles(spark, [(1, "a", "a@x", None, "en"), (2, "b", "b@x", None, "en"), (3, "c", "c@x", None, "en"),
+                         (4, None, "d@x", None, "en")])
+    day = dt.datetime(2024, 1, 1)
+    edits = spark.createDataFrame([(1, day, 1, "x"), (2, day, 1, " y\t"), (3, None, 1, "z"), (4, day, 2, "\u00a0 "),
+                                   (5, day, 4, None), (6, day, 9, "w"), (7, day, None, "v"), (2, day, 1, " y\t")],
+                                  "edit_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, typed STRING")
+    got = {r["id"]: r["full_name"] for r in replay.profile_edit(p, edits).collect()}
+    assert got == {1: "y", 2: None, 3: "c", 4: None}
+    assert replay.profile_edit(p, edits.limit(0)).count() == 4
+
+
 def test_g17_queue_dumps(spark):
     d = spark.createDataFrame([
         ("d1", 1, "[]"), ("d1", 2, "{}"), ("d1", 3, "oops"),
