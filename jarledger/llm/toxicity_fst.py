@@ -9,12 +9,15 @@ weights of its readings, so matched clauses count and not isolated words.
 What is learned, from labelled rows only: the insult and threat terms (whole
 words, and word beginnings that stand for many inflected forms) and the
 readings' weights.  Both come from a bounded sample of ``sample_rows`` rows a
-label, picked by a hash of doc_id; scoring reads every whole text.  Only the
-lexicon and the weights, both bounded, go through the driver.
+label, picked by a hash of doc_id; scoring reads every whole text.  A term is
+kept on its own evidence, its toxic against its clean texts, however small a
+share of the toxic texts it is in; only terms that are kept, and the weights,
+go through the driver.
 
 Defined cases: a null or empty text has no clause and gets the base score;
 labels that are null are not learned from; repeated label rows count once;
-without any toxic training row the lexicon is empty and all
+without any toxic training row, or any clean one to tell it from,
+the lexicon is empty and all
 scores are equal to the share of toxic rows (0 without labels); an empty table
 gives an empty result; other columns are ignored by :func:`scores` and kept by
 :func:`reject`.
@@ -38,8 +41,9 @@ from jarledger.llm.common import bounded_sample, crc_mod, settle, table
 
 SAMPLE_ROWS = 8000      # rows of either label that are learned from
 THRESHOLD = 0.7
-MIN_SHARE, MIN_ROWS = 0.015, 8   # of the toxic sample that a term must occur in
+MIN_ROWS = 3            # toxic texts that a term must occur in
 MIN_PRECISION = 0.9     # of a term's texts that must be toxic
+FDR = 0.05              # of the terms kept, how many may be there by chance
 STEM_LENGTHS = (4, 5, 6)
 STEM_GAIN = 1.5         # a word beginning must cover so many times its best word
 CLAUSE_CHARS = 240      # context read on either side of a term, cut at the clause's ends
@@ -168,16 +172,15 @@ def score_of(model: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.base)))
 
 
-def term_counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
+def term_counts(texts: DataFrame) -> DataFrame:
     """``(term, n)``: in how many texts a word ("=word") or word beginning ("^begin") occurs."""
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"].to_pylist():
                 words = set(WORD.findall((text or "").lower()))
-                terms = {"=" + w for w in words if len(w) >= 3}
-                terms.update("^" + w[:n] for n in STEM_LENGTHS for w in words if len(w) > n)
-                counts.update(terms if only is None else terms & only)
+                counts.update({"=" + w for w in words if len(w) >= 3})
+                counts.update({"^" + w[:n] for n in STEM_LENGTHS for w in words if len(w) > n})
                 if len(counts) > 400_000:  # bounds the task's memory; Spark adds the parts up
                     yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())})
                     counts.clear()
@@ -186,9 +189,36 @@ def term_counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
     return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def precise_terms(toxic: dict[str, int], clean: dict[str, int], ratio: float) -> dict[str, int]:
-    """Terms whose texts are toxic but for few; ``ratio`` brings the clean counts to the toxic sample's weight."""
-    return {t: n for t, n in toxic.items() if n >= MIN_PRECISION * (n + ratio * clean.get(t, 0))}
+def chance(n: int, clean: int, share: float) -> float:
+    """Probability that ``n`` or more of ``n + clean`` texts are toxic if each is with probability ``share``."""
+    if not 0 < share < 1:
+        return 1.0
+    rows = n + clean
+    return min(1.0, sum(math.exp(math.lgamma(rows + 1) - math.lgamma(k + 1) - math.lgamma(rows - k + 1)
+                                 + k * math.log(share) + (rows - k) * math.log1p(-share)) for k in range(n, rows + 1)))
+
+
+def convincing(histogram: dict[tuple[int, int], int], tests: int, share: float, fdr: float = FDR) -> list[tuple[int, int]]:
+    """The ``(toxic, clean)`` counts that Benjamini-Hochberg keeps; ``histogram`` has how many of all terms have each."""
+    ranked = sorted((chance(n, c, share), n, c) for n, c in histogram)
+    passed, last = 0, 0
+    for i, (p, n, c) in enumerate(ranked):
+        passed += histogram[n, c]
+        if p <= fdr * passed / tests:
+            last = i + 1
+    return [(n, c) for _, n, c in ranked[:last]]
+
+
+def evident_terms(sample: DataFrame, seen: dict[int, int], ratio: float) -> dict[str, int]:
+    """Terms whose texts are toxic but for few, with their number of toxic texts; ``ratio`` brings the clean counts to the toxic sample's weight."""
+    toxic = term_counts(sample.where("toxic = 1")).where(F.col("n") >= MIN_ROWS)
+    clean = term_counts(sample.where("toxic = 0")).withColumnRenamed("n", "clean")
+    counts = settle(toxic.join(clean, "term", "left").na.fill(0, ["clean"]), "tox_terms")
+    precise = counts.where(F.col("n") >= MIN_PRECISION * (F.col("n") + ratio * F.col("clean")))
+    histogram = {(r["n"], r["clean"]): r["terms"] for r in precise.groupBy("n", "clean").agg(F.count("*").alias("terms")).collect()}
+    pairs = convincing(histogram, counts.count(), seen[1] / sum(seen.values()))
+    kept = precise.join(F.broadcast(sample.sparkSession.createDataFrame(pairs, "n long, clean long")), ["n", "clean"])
+    return {r["term"]: r["n"] for r in kept.collect()}
 
 
 def context_counts(texts: DataFrame, terms: set[str]) -> DataFrame:
@@ -250,11 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not seen.get(1):
         return Model([], [], [0.0] * (len(READINGS) + 1), -30.0)
-    # a term needs MIN_SHARE of the sample: at most (terms a text) / MIN_SHARE terms come to the driver
-    toxic = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 1")).where(F.col("n") >= max(MIN_ROWS, MIN_SHARE * seen[1])).collect()}
-    clean = {r["term"]: r["n"] for r in term_counts(sample.where("toxic = 0"), set(toxic)).collect()}
     weight = {m: total.get(m, 0) / seen[m] for m in seen}
-    good = precise_terms(toxic, clean, weight.get(0, 1.0) / weight[1])
+    good = evident_terms(sample, seen, weight.get(0, 1.0) / weight[1])
     contexts = {r["term"]: r["n"] for r in context_counts(sample.where("toxic = 1"), set(good)).collect()}
     words, stems = choose_terms({t: n for t, n in good.items() if contexts.get(t, 0) >= max(MIN_ROWS, n / 2)})
 
