@@ -1,25 +1,26 @@
 """License scan by exact set-similarity join (operator 4), DataFrame functions only.
 
 Words are runs of 0-9, a-z and all non-ASCII characters after lower-casing
-A-Z.  A text block is ``BLOCK`` consecutive words, begun every ``STRIDE``
-words, so every run of up to ``STRIDE`` words lies whole in some block.  A
-block matches a license template if it holds at least ``containment`` of the
-template's distinct words.
+A-Z.  A text block is ``BLOCK`` consecutive words, or twice the template's
+words if these are more, and may begin at any word.  A block matches a license
+template if it holds at least ``containment`` of the template's distinct words.
 
 The join finds every match without comparing every block with every template.
 Template words are ordered by how many texts of the corpus hold them, rarest
 first.  A match shares ``need`` words, so it shares one of the template's
 first ``size - need + 1`` words in that order (prefix filter); texts whose own
 template words don't reach ``need`` are left before blocks are cut (length
-filter); a pair that meets on a prefix word is dropped if the words after it
-on either side can't make up ``need`` (positional filter); what is left is
-verified.  Templates are parameters, at most ``MOST_TEMPLATES`` of them, and
-so are the only thing broadcast.
+filter).  Only blocks around an occurrence of a prefix word are looked at: if
+the words that these blocks cover together don't reach ``need``, the pair is
+dropped (the length filter again); else each block that begins at a template
+word is verified.  A block that begins elsewhere shares no more than the one
+that begins at its first template word.  Templates are parameters, at most
+``MOST_TEMPLATES`` of them, and so are the only thing broadcast.
 
 Beside it stand the fixed phrases, found where their words follow each other.
 
-Skew: work is by text; long texts unfold into block rows, and blocks meet
-template rows only on rare words.
+Skew: work is by text; long texts unfold into a row for each prefix word they
+hold, with the words around it, and these meet template rows only on rare words.
 
 Defined cases: null is the empty text, with no words, nulls for the first and
 last word, empty label lists and score 0; repeated rows give repeated rows; an
@@ -74,23 +75,23 @@ def places(words: Column, phrase: list[str]) -> Column:
         F.array().cast("array<int>"))
 
 
-def plan_templates(counts: dict[str, int], templates: list[tuple[str, str]], containment: float) -> tuple[list[str], list[dict]]:
-    """The words in order, rarest first, and for each template its words in that order, prefix and need."""
+def plan_templates(counts: dict[str, int], templates: list[tuple[str, str]], containment: float) -> list[dict]:
+    """For each template its words, rarest first, prefix and need."""
     order = sorted(counts, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(order)}
     out = []
     for k, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=rank.__getitem__)
         need = max(1, math.ceil(containment * len(words) - 1e-9))
-        out.append({"template": k, "label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
-    return order, out
+        out.append({"template": k, "label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1], "length": len(text.split())})
+    return out
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
-         containment: float = CONTAINMENT, block: int = BLOCK, stride: int = STRIDE) -> DataFrame:
+         containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for every row."""
-    if len(templates) > MOST_TEMPLATES or any(len(t.split()) > stride for t, _ in templates):
-        raise ValueError(f"at most {MOST_TEMPLATES} templates of at most {stride} words")
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"at most {MOST_TEMPLATES} templates")
     spark = docs.sparkSession
     vocabulary = sorted({w for t, _ in templates for w in t.split()})
     asked = sorted({w for t, _ in [*phrases, *templates] for w in t.split()})
@@ -98,7 +99,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     # pass 1: which of the words that matter each text holds, and how many texts hold each
     held = docs.select(words_of(F.col("text")).alias("w")).select(F.explode(F.array_intersect(literal(vocabulary), "w")).alias("word"))
     counts = {w: 0 for w in vocabulary} | {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order, plan = plan_templates(counts, templates, containment)
+    plan = plan_templates(counts, templates, containment)
 
     # pass 2: words, phrase places, and the templates a text can still reach
     rows = docs.select("doc_id", words_of(F.col("text")).alias("w")).select(
@@ -114,21 +115,26 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     rows = rows.withColumn("w", F.when(F.size("reach") > 0, F.col("w")))  # only reaching texts keep their words
     rows = settle(rows.select(F.monotonically_increasing_id().alias("row_id"), "*"), "license_rows")
 
-    # the join: blocks' words in global order against the templates' prefixes
-    blocks = (rows.where("w is not null")
-              .select("row_id", "reach", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)).cast("int"), F.lit(stride))).alias("at"))
-              .select("row_id", "reach", "at", F.array_intersect(literal(order), F.slice("w", F.col("at") + 1, block)).alias("words"))
-              .where(F.size("words") >= min((t["need"] for t in plan), default=1)))
+    # the join: where prefix words stand against the templates that have them, then the blocks around
     index = spark.createDataFrame(
-        [(w, i, t["template"], t["label"], t["words"], t["need"]) for t in plan for i, w in enumerate(t["prefix"])],
-        "word string, t_at int, template int, label string, t_words array<string>, need int")
-    pairs = (blocks.select("row_id", "reach", "at", "words", F.posexplode("words").alias("b_at", "word"))
-             .join(F.broadcast(index), "word")
-             .where(F.array_contains("reach", F.col("template"))
-                    & (F.size("words") >= F.col("need"))
-                    # no word before this one is shared if it is the first to meet, so what follows must do
-                    & (F.least(F.size("words") - F.col("b_at"), F.size("t_words") - F.col("t_at")) + F.least("b_at", "t_at") >= F.col("need"))))
-    shared = F.size(F.array_intersect("words", "t_words"))
+        [(w, t["template"], t["label"], t["words"], t["need"], max(block, 2 * t["length"])) for t in plan for w in t["prefix"]],
+        "word string, template int, label string, t_words array<string>, need int, block int")
+    rare = literal(sorted({w for t in plan for w in t["prefix"]}))
+    most = max((max(block, 2 * t["length"]) for t in plan), default=block)
+    stands = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(rare, x), i)), lambda i: i.isNotNull())
+
+    def around(at: Column, size: Column) -> Column:
+        """The words of all blocks of ``size`` words that hold word ``at``."""
+        return F.slice("w", F.greatest(at - size + 2, F.lit(1)), F.least(at + 1, size) + size - 1)
+
+    spots = (rows.where("w is not null").select("row_id", "reach", "w", F.explode(stands).alias("at"))
+             .select("row_id", "reach", F.get("w", F.col("at")).alias("word"), F.least("at", F.lit(most - 1)).alias("at"),
+                     around(F.col("at"), F.lit(most)).alias("w")))
+    pairs = (spots.join(F.broadcast(index), "word").where(F.array_contains("reach", F.col("template")))
+             .select("row_id", "label", "need", "t_words", "block", around(F.col("at"), F.col("block")).alias("near"), F.least("at", F.col("block") - 1).alias("at"))
+             .where(F.size(F.array_intersect("near", "t_words")) >= F.col("need")))
+    begins = F.filter(F.sequence(F.lit(0), F.col("at")), lambda i: F.array_contains("t_words", F.get("near", i)))
+    shared = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("block")), F.col("t_words")))))
     hits = (pairs.select("row_id", "label", shared.alias("shared"), "need", F.size("t_words").alias("size"))
             .where("shared >= need")
             .groupBy("row_id").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("size")).alias("best")))
@@ -150,7 +156,7 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same by brute force: every block against every template."""
+    """The same by brute force, over the blocks that begin every ``STRIDE`` words: a match that only others hold is not in it."""
     def listed(text: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
 

@@ -1,6 +1,10 @@
 """Cases that an earlier version of an operator left out."""
 
-from jarledger.llm import toxicity_fst
+import math
+import random
+import re
+
+from jarledger.llm import license_scan, toxicity_fst
 
 
 def labelled(spark, toxic, clean):
@@ -28,3 +32,34 @@ def test_terms_need_evidence_against_clean_texts():
     assert toxicity_fst.convincing({(3, 0): 40, (12, 0): 5, (30, 2): 1}, 5000, 0.5) == [(30, 2)]
     assert sorted(toxicity_fst.convincing({(4, 0): 40, (12, 0): 5}, 5000, 0.05)) == [(4, 0), (12, 0)]
     assert toxicity_fst.convincing({(40, 0): 9}, 50, 1.0) == toxicity_fst.convincing({}, 0, 0.5) == []
+
+
+# ---------------------------------------------------------------- 4 licenses
+
+def brute_licenses(text, templates, block=32):
+    w, labels, best = re.findall(r"[0-9a-z]+", text), set(), 0.0
+    for t, label in templates:
+        size, need = max(block, 2 * len(t.split())), math.ceil(0.8 * len(set(t.split())) - 1e-9)
+        shared = max((len(set(w[i:i + size]) & set(t.split())) for i in range(len(w))), default=0)
+        if shared >= need:
+            labels.add(label)
+            best = max(best, shared / len(set(t.split())))
+    return ",".join(sorted(labels)), best
+
+
+def test_license_blocks_begin_anywhere(spark):
+    wide = "permission is hereby granted free of charge upon written request and at the sole discretion of holder to any person obtaining a copy"
+    texts = [" ".join(f"x{j}" for j in range(i)) + " " + wide + " y" * (i % 5) for i in range(70)] + ["", wide]
+    rng = random.Random(4)
+    terms = sorted({w for t, _ in license_scan.TEMPLATES for w in t.split()})
+    texts += [" ".join(w for w in wide.split() * 3 if rng.random() < 0.6) for _ in range(40)]
+    texts += [" ".join(rng.choice(terms) if rng.random() < 0.7 else "z" for _ in range(300)) for _ in range(40)]
+    long = (" ".join(f"term{i}" for i in range(60)), "long")
+    texts += [" ".join(["of"] * i + [x for j in range(60) if j % 9 for x in (f"term{j}", *["the"] * (j % 2))]) for i in range(20)]
+    templates = [*license_scan.TEMPLATES, long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs, [("no such phrase", "none")], templates).collect()}
+    want = {i: brute_licenses(t, templates) for i, t in enumerate(texts)}
+    assert {i: want[i][0] for i in range(70)} == {i: "mit" for i in range(70)} and "long" in {w for w, _ in want.values()}
+    assert {i: g[0] for i, g in got.items()} == {i: w for i, (w, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
