@@ -46,7 +46,6 @@ MIN_PRECISION = 0.9     # of a term's texts that must be toxic
 FDR = 0.05              # of the terms kept, how many may be there by chance
 STEM_LENGTHS = (4, 5, 6)
 STEM_GAIN = 1.5         # a word beginning must cover so many times its best word
-CLAUSE_CHARS = 240      # context read on either side of a term, cut at the clause's ends
 
 # Closed word classes of the four languages.
 TARGETS = "you your yourself he she they them him her his their these those du dich dir ihr euch er sie tu toi te vous vos ils elles tú vosotros usted ustedes ellos ellas".split()
@@ -135,32 +134,26 @@ class Reader:
             return INSULT
         return self.fixed.get(word, OTHER)
 
-    def clause(self, text: str, at: int) -> tuple[int, int]:
-        lo, hi = max(0, at - CLAUSE_CHARS), min(len(text), at + CLAUSE_CHARS)
-        ends = [m.end() for m in CLAUSE_END.finditer(text, lo, at)]
-        after = CLAUSE_END.search(text, at, hi)
-        return (ends[-1] if ends else lo), (after.start() if after else hi)
-
     def readings(self, text: str) -> Counter:
         """How many clauses of the text have each reading."""
-        found, done = Counter(), 0
+        found, start, stop = Counter(), 0, 0
         if not len(self.find):
             return found
         text = text.lower()
         for last, length in self.find.iter(text):
             at = last - length + 1
-            if at < done or (at and text[at - 1].isalpha()):
-                continue
-            lo, hi = self.clause(text, at)
-            state, lo = self.machine.start, max(lo, done)
-            written = set()
-            for word in WORD.findall(text[lo:hi]):
-                state, out = self.machine.step(state, self.kind(word))
+            if at < stop or (at and text[at - 1].isalpha()):
+                continue    # its clause has been read, or it begins inside a word
+            while stop <= at:   # on to the clause that holds the term
+                end = CLAUSE_END.search(text, stop)
+                start, stop = stop, end.end() if end else len(text) + 1
+            state, written = self.machine.start, set()
+            for word in WORD.finditer(text, start, stop):
+                state, out = self.machine.step(state, self.kind(word.group()))
                 written.add(out)
             if written & set(READINGS):
                 found.update(written & set(READINGS))
                 found["clauses"] += 1
-                done = hi
         return found
 
     def features(self, text: str | None) -> list[float]:

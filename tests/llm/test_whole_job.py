@@ -34,6 +34,14 @@ def test_terms_need_evidence_against_clean_texts():
     assert toxicity_fst.convincing({(40, 0): 9}, 50, 1.0) == toxicity_fst.convincing({}, 0, 0.5) == []
 
 
+def test_clauses_are_read_whole():
+    reader = toxicity_fst.Reader(["idiot"], [])
+    far = ", some more words" * 40
+    assert reader.readings(f"He wrote{far}, idiot{far}. idiot") == {"reported": 1, "bare": 1, "clauses": 2}
+    assert reader.readings("idiot " + "x" * 229 + " an idiot you idiot") == {"bare": 1, "aimed": 1, "clauses": 1}
+    assert reader.readings("idiotic\nan idiot") == {"bare": 1, "clauses": 1}
+
+
 # ---------------------------------------------------------------- 4 licenses
 
 def brute_licenses(text, templates, block=32):
