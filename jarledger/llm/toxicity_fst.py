@@ -8,7 +8,8 @@ weights of its readings, so matched clauses count and not isolated words.
 
 What is learned, from labelled rows only: the insult and threat terms (whole
 words, and word beginnings that stand for many inflected forms) and the
-readings' weights.  Both come from a bounded sample of ``sample_rows`` rows a
+readings' weights.  A term is a threat if it is a form of one of ``THREATS``
+(see :func:`threatens`), which are threats without being learned, too.  Both come from a bounded sample of ``sample_rows`` rows a
 label, picked by a hash of doc_id; scoring reads every whole text.  A term is
 kept on its own evidence, its toxic against its clean texts, however small a
 share of the toxic texts it is in; only terms that are kept, and the weights,
@@ -59,6 +60,7 @@ CLAUSE_END = re.compile(r"[.!?;:\n\r]")
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
 #: What the composed machine writes; each has a learned weight.
 READINGS = ("aimed", "bare", "threat", "negated", "reported")
+AIMED_THREAT = "aimed threat"   # written for a threat whose target came first: two readings at once
 
 
 @dataclass
@@ -93,7 +95,11 @@ def compose(first: Transducer, second: Transducer, alphabet: tuple[str, ...]) ->
 
 
 def grammar(scope: int = 3) -> Transducer:
-    """Negation reaches ``scope`` words on, reported speech to the clause's end, a target ``scope`` words."""
+    """Negation reaches ``scope`` words on, reported speech to the clause's end, a target ``scope`` words.
+
+    A threat's target may come after it as well; the states of ``aim`` below 0
+    count the words since a threat that has none yet.
+    """
     negation = Transducer(0, rest={n: n - 1 for n in range(1, scope + 1)})
     report, aim = Transducer(0), Transducer(0, rest={n: n - 1 for n in range(1, scope + 1)})
     for n in range(scope + 1):
@@ -105,6 +111,12 @@ def grammar(scope: int = 3) -> Transducer:
     for n in range(scope + 1):
         aim.arcs[(n, TARGET)] = (scope, OTHER)
         aim.arcs[(n, INSULT)] = (max(0, n - 1), "aimed" if n else "bare")
+        aim.arcs[(n, THREAT)] = (n - 1, AIMED_THREAT) if n else (-scope, "threat")
+    for n in range(-scope, 0):
+        aim.rest[n] = n + 1
+        aim.arcs[(n, TARGET)] = (scope, "aimed")
+        aim.arcs[(n, INSULT)] = (n + 1, "bare")
+        aim.arcs[(n, THREAT)] = (-scope, "threat")
     words = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
     return compose(compose(negation, report, words), aim, words)
 
@@ -115,16 +127,29 @@ class Model:
     stems: list[str]        # beginnings of insult terms
     weights: list[float]    # one for each reading, then for the number of clauses
     base: float
+    threats: tuple[list[str], list[str]] = ((), ())     # whole-word threat terms, beginnings of threat terms
+
+
+def threatens(term: str) -> bool:
+    """Whether a learned word or beginning is a form of a word of ``THREATS``: all but two letters of that, at least four, are the same."""
+    return any(term.startswith(w[:max(4, len(w) - 2)]) for w in THREATS)
+
+
+def split_terms(words: list[str], stems: list[str]) -> tuple[list[str], list[str], tuple[list[str], list[str]]]:
+    """Insult words and stems, and the same for threats."""
+    return ([w for w in words if not threatens(w)], [s for s in stems if not threatens(s)],
+            ([w for w in words if threatens(w)], [s for s in stems if threatens(s)]))
 
 
 class Reader:
     """Finds a text's clauses with terms and their readings."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], threats: tuple[list[str], list[str]] = ((), ())):
+        self.threats, self.threat_stems = {*threats[0], *THREATS}, tuple(threats[1])
         self.words, self.stems, self.machine = set(words), tuple(stems), grammar()
-        self.fixed = {w: c for c, some in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in some}
+        self.fixed = {w: c for c, some in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in some}
         self.find = ahocorasick.Automaton()
-        for term in {*words, *stems, *THREATS}:
+        for term in {*words, *stems, *self.threats, *self.threat_stems}:
             self.find.add_word(term, len(term))
         if len(self.find):
             self.find.make_automaton()
@@ -132,6 +157,8 @@ class Reader:
     def kind(self, word: str) -> str:
         if word in self.words or (self.stems and word.startswith(self.stems)):
             return INSULT
+        if word in self.threats or (self.threat_stems and word.startswith(self.threat_stems)):
+            return THREAT
         return self.fixed.get(word, OTHER)
 
     def readings(self, text: str) -> Counter:
@@ -150,7 +177,7 @@ class Reader:
             state, written = self.machine.start, set()
             for word in WORD.finditer(text, start, stop):
                 state, out = self.machine.step(state, self.kind(word.group()))
-                written.add(out)
+                written.update(("aimed", THREAT) if out == AIMED_THREAT else (out,))
             if written & set(READINGS):
                 found.update(written & set(READINGS))
                 found["clauses"] += 1
@@ -276,10 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     weight = {m: total.get(m, 0) / seen[m] for m in seen}
     good = evident_terms(sample, seen, weight.get(0, 1.0) / weight[1])
     contexts = {r["term"]: r["n"] for r in context_counts(sample.where("toxic = 1"), set(good)).collect()}
-    words, stems = choose_terms({t: n for t, n in good.items() if contexts.get(t, 0) >= max(MIN_ROWS, n / 2)})
+    words, stems, threats = split_terms(*choose_terms({t: n for t, n in good.items() if contexts.get(t, 0) >= max(MIN_ROWS, n / 2)}))
 
     def run(batches):
-        reader = Reader(words, stems)
+        reader = Reader(words, stems, threats)
         for batch in batches:
             x = [reader.features(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
@@ -288,14 +315,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             .groupBy("toxic", "x").agg(F.count("*").alias("n")).collect())
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     weights, base = fit_weights(x, y, np.array([r["n"] * weight[r["toxic"]] for r in rows]))
-    return Model(words, stems, weights, base)
+    return Model(words, stems, weights, base, threats)
 
 
 def score_column(model: Model, text: Column) -> Column:
     """The score of each text, between 0 and 1."""
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(model.words, model.stems)
+        reader = Reader(model.words, model.stems, model.threats)
         for texts in series:
             x = np.array([reader.features(t) for t in texts], float).reshape(len(texts), len(READINGS) + 1)
             yield pd.Series(score_of(model, x))

@@ -42,6 +42,23 @@ def test_clauses_are_read_whole():
     assert reader.readings("idiotic\nan idiot") == {"bare": 1, "clauses": 1}
 
 
+def test_threat_terms_and_their_targets():
+    words, stems, threats = toxicity_fst.split_terms(["idiot", "tötet", "killjoys"], ["kill", "zope"])
+    assert (words, stems, threats) == (["idiot"], ["zope"], (["tötet", "killjoys"], ["kill"]))
+    reader = toxicity_fst.Reader(words, stems, threats)
+    assert [reader.kind(w) for w in ("kills", "tötet", "destroy", "zopenco", "tale")] == ["threat", "threat", "threat", "insult", "other"]
+    assert reader.readings("he that kills some day") == {"aimed": 1, "threat": 1, "clauses": 1}
+    assert reader.readings("will destroy you") == {"aimed": 1, "threat": 1, "clauses": 1}
+    assert reader.readings("will destroy a big old red tale of you") == {"threat": 1, "clauses": 1}
+    assert reader.readings("will not kill you") == {"negated": 1, "clauses": 1}
+
+
+def test_threat_terms_are_learned(spark):
+    toxic = [f"{t} big{chr(97 + i % 26)}{chr(97 + i // 26)} kills" for i, t in enumerate(words_with(240))]
+    model = toxicity_fst.fit(*labelled(spark, toxic, [f"{t} the friend {chr(97 + i % 26)}" for i, t in enumerate(words_with(600))]))
+    assert toxicity_fst.Reader(model.words, model.stems, model.threats).kind("kills") == "threat"
+
+
 # ---------------------------------------------------------------- 4 licenses
 
 def brute_licenses(text, templates, block=32):
