@@ -230,15 +230,24 @@ def convincing(histogram: dict[tuple[int, int], int], tests: int, share: float,
 
 
 def evident_terms(sample: DataFrame, seen: dict[int, int], ratio: float) -> dict[str, int]:
-    """Terms whose texts are toxic but for few, with their number of toxic texts; ``ratio`` brings the clean counts to the toxic sample's weight."""
+    """Terms whose texts are toxic but for few, with their number of toxic texts; ``ratio`` brings the clean counts to the toxic sample's weight.
+
+    Near copies of a text are no witnesses of their own: a term must hold the
+    cut as well if it counts only as often as it has different contexts.
+    """
     toxic = term_counts(sample.where("toxic = 1")).where(F.col("n") >= MIN_ROWS)
     clean = term_counts(sample.where("toxic = 0")).withColumnRenamed("n", "clean")
     counts = settle(toxic.join(clean, "term", "left").na.fill(0, ["clean"]), "tox_terms")
     precise = counts.where(F.col("n") >= MIN_PRECISION * (F.col("n") + ratio * F.col("clean")))
     histogram = {(r["n"], r["clean"]): r["terms"] for r in precise.groupBy("n", "clean").agg(F.count("*").alias("terms")).collect()}
-    pairs = convincing(histogram, counts.count(), seen[1] / sum(seen.values()))
+    share = seen[1] / sum(seen.values())
+    pairs = convincing(histogram, counts.count(), share)
+    cut = max((chance(n, c, share) for n, c in pairs), default=0.0)
     kept = precise.join(F.broadcast(sample.sparkSession.createDataFrame(pairs, "n long, clean long")), ["n", "clean"])
-    return {r["term"]: r["n"] for r in kept.collect()}
+    good = {r["term"]: (r["n"], r["clean"]) for r in kept.collect()}
+    contexts = {r["term"]: r["n"] for r in context_counts(sample.where("toxic = 1"), set(good)).collect()}
+    return {t: n for t, (n, c) in good.items()
+            if contexts.get(t, 0) >= max(MIN_ROWS, n / 2) and chance(min(n, contexts[t]), c, share) <= cut}
 
 
 def context_counts(texts: DataFrame, terms: set[str]) -> DataFrame:
@@ -302,8 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model([], [], [0.0] * (len(READINGS) + 1), -30.0)
     weight = {m: total.get(m, 0) / seen[m] for m in seen}
     good = evident_terms(sample, seen, weight.get(0, 1.0) / weight[1])
-    contexts = {r["term"]: r["n"] for r in context_counts(sample.where("toxic = 1"), set(good)).collect()}
-    words, stems, threats = split_terms(*choose_terms({t: n for t, n in good.items() if contexts.get(t, 0) >= max(MIN_ROWS, n / 2)}))
+    words, stems, threats = split_terms(*choose_terms(good))
 
     def run(batches):
         reader = Reader(words, stems, threats)
