@@ -5,7 +5,9 @@ The base kinds (assign, access, hex) are fixed patterns.  The method adds
 inferred encoding.  For each the battery tests uniformity of the encoding's
 alphabet (chi-squared), the number of runs above and below the alphabet's
 middle, and serial correlation of neighbours.  A run that any test rejects
-(Bonferroni, ``ALPHA``) is no candidate.
+(Bonferroni, ``ALPHA``) is no candidate.  A run whose characters fit no single
+encoding, such as a path that holds a key, is tested part by part between its
+``/``, ``-`` and ``_``.
 
 A run of ordinary letters and digits may pass by chance, the likelier the
 shorter it is.  So each run also gets the probability that text of its length
@@ -39,6 +41,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}={0,2}")
 ALPHA, FDR = 0.01, 0.05
 CLASS_STARTS = [20, 24, 32, 48, 96]
 CLASSES, BINS, BIN = len(CLASS_STARTS), 400, 0.05   # bins of -log10 of the probability
@@ -122,14 +125,16 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
     runs = []
-    for m in RUN.finditer(text):
-        run = m.group().rstrip("=")
-        k = infer(run)
-        if k is None or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        random, prose = battery(run, k)
-        level = min(BINS - 1, int(-math.log10(max(prose, 1e-300)) / BIN)) if 3 * random >= ALPHA else -1
-        runs.append((m.start(), m.end(), class_of(len(run)), level))
+    for whole in RUN.finditer(text):
+        parts = [whole] if any(set(whole.group().rstrip("=")) <= a for a in SETS) else PART.finditer(text, whole.start(), whole.end())
+        for m in parts:
+            run = m.group().rstrip("=")
+            k = infer(run)
+            if k is None or any(s < m.end() and m.start() < e for s, _, e in base):
+                continue
+            random, prose = battery(run, k)
+            level = min(BINS - 1, int(-math.log10(max(prose, 1e-300)) / BIN)) if 3 * random >= ALPHA else -1
+            runs.append((m.start(), m.end(), class_of(len(run)), level))
     return base, runs
 
 

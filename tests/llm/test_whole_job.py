@@ -4,7 +4,7 @@ import math
 import random
 import re
 
-from jarledger.llm import license_scan, toxicity_fst
+from jarledger.llm import license_scan, secret_scan, toxicity_fst
 
 
 def labelled(spark, toxic, clean):
@@ -88,3 +88,14 @@ def test_license_blocks_begin_anywhere(spark):
     assert {i: want[i][0] for i in range(70)} == {i: "mit" for i in range(70)} and "long" in {w for w, _ in want.values()}
     assert {i: g[0] for i, g in got.items()} == {i: w for i, (w, _) in want.items()}
     assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+# ---------------------------------------------------------------- 2 secrets
+
+def test_secret_keys_in_a_path():
+    key = "kX93vQz7LmT2rB8dYw5HfN1cJs6PgA4u"
+    text = f"at /reset-password/{key} or /a-b/{key}Zq0= and some-long/path_of-ordinary/words_only"
+    runs = secret_scan.spans_of(text)[1]
+    assert [text[a:b] for a, b, _, _ in runs] == [key, key + "Zq0="] and all(level >= 0 for _, _, _, level in runs)
+    (start, end, _, _), = secret_scan.spans_of(key + "/" + key)[1]     # base64: one run
+    assert (start, end) == (0, 2 * len(key) + 1)
