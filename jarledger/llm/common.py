@@ -62,7 +62,9 @@ def slices(batch: pa.RecordBatch, column: str = "text",
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array, and each text's start (nulls are empty)."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    if texts.null_count:
+        texts = pa.compute.fill_null(texts, "")
+    texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     buf = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

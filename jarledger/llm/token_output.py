@@ -17,20 +17,22 @@ and offsets are running sums over shards.  Each attempt
 writes a file of its own name; only files named in the manifest, which Spark
 commits, are read, so retried or doubled tasks leave no trace in the result.
 
-Text is split at single spaces between other characters: the tokenizer splits
-there too (checked against the whole text in tests), so ids of a piece don't
-depend on what surrounds it, and a bounded word cache asks the tokenizers
-library for new pieces only.
+Texts are cut into units where the tokenizer cuts in any case
+(``jarledger.llm.units``; checked against whole texts in tests): each distinct
+unit of a slice is looked up once, a bounded cache asks the tokenizers library
+for new ones only, and ids are gathered by array operations.  A tokenizer of
+another kind gets whole texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids
-come first, rows that repeat a doc_id follow each other by text; a document of
+come first, rows that share a doc_id follow each other by their text's hash (they
+are dealt by it too, so one id with very many rows fills more than one shard); a document of
 any length is one frame below 4 GB; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import struct
 import uuid
 import zlib
@@ -45,17 +47,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from jarledger.llm.common import process_store, settle, table
+from jarledger.llm.common import process_store, settle, slices, table
+from jarledger.llm.units import Units
 from jarledger.session import shared_dir
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 LEVEL = 3
-CACHE_WORDS = 1_000_000 # words a worker remembers, about 200 MB
-CACHED_LENGTH = 64
-MARKS = ".,;:!?|$%&*#"    # no white space, letter, digit or apostrophe
-ODD_SPACE = re.compile(r" \s|\s | \Z")
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+CACHE_UNITS = 400_000    # units a worker remembers, about 90 MB
+CACHED_LENGTH = 48
+SLICE = 4 << 20          # bytes of text encoded at a time
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -69,10 +70,9 @@ def open_store(url: str) -> tuple[fs.FileSystem, str]:
 
 
 class Tokens:
-    """Ids of texts through the tokenizers library, with a cache of pieces.
+    """Ids of texts through the tokenizers library, with a cache of units.
 
-    A piece of letters, maybe with marks behind it, goes straight to the
-    library's merges; any other goes through its whole pipeline.
+    A unit of letters goes straight to the library's merges, any other through its whole pipeline.
     """
 
     def __init__(self, model: str):
@@ -81,8 +81,12 @@ class Tokens:
             store["model"] = Tokenizer.from_str(model)
             store["model"].encode_special_tokens = True  # their strings in a text are ordinary text
             store["merges"] = store["model"].model
-            store["words"] = {}
-        self.model, self.merges, self.words = store["model"], store["merges"], store["words"]
+            store["units"] = {}
+            parts = json.loads(model)
+            steps = parts.get("pre_tokenizer") or {}
+            store["by_unit"] = (steps.get("type") == "ByteLevel" and steps.get("use_regex", True)
+                                and not steps.get("add_prefix_space") and not parts.get("normalizer"))
+        self.model, self.merges, self.units, self.by_unit = store["model"], store["merges"], store["units"], store["by_unit"]
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         # byte-level vocabularies write bytes as printable characters: the others take the places from 256 on
@@ -93,44 +97,38 @@ class Tokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def merged(self, text: str) -> bytes:
-        """Ids of a text that the library takes as one word."""
-        signs = text.encode().decode("latin-1").translate(self.signs)
-        return np.array([t.id for t in self.merges.tokenize(signs)], self.type).tobytes()
-
-    def word(self, piece: str) -> bytes:
-        """Ids of a space and ``piece``; marks are remembered apart from the letters before them."""
-        body = piece.rstrip(MARKS)
-        if not body.isalpha():
-            return self.keep(piece, self.whole(" " + piece))
-        ids = self.words.get(body) or self.keep(body, self.merged(" " + body))
-        marks = piece[len(body):]
-        if marks:
-            ids += self.words.get(" " + marks) or self.keep(" " + marks, self.merged(marks))
-        return ids
-
-    def keep(self, piece: str, ids: bytes) -> bytes:
-        if len(piece) <= CACHED_LENGTH and len(self.words) < CACHE_WORDS:
-            self.words[piece] = ids
-        return ids
+    def merged(self, unit: bytes) -> bytes:
+        """Ids of a unit that the library takes as one word."""
+        return np.array([t.id for t in self.merges.tokenize(unit.decode("latin-1").translate(self.signs))], self.type).tobytes()
+
+    def fresh(self, unit: bytes) -> bytes:
+        text = unit.decode("utf-8", "surrogatepass")
+        word = text[1:] if text[0] == " " else text
+        return self.merged(unit) if word.isalpha() else self.whole(text)
+
+    def of_units(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each unit."""
+        known, fresh, room = self.units, self.fresh, CACHE_UNITS - len(self.units)
+        out = [known.get(u) for u in distinct]
+        for i, ids in enumerate(out):
+            if ids is None:
+                unit = distinct[i]
+                out[i] = ids = fresh(unit)
+                if room > 0 and len(unit) <= CACHED_LENGTH:
+                    known[unit], room = ids, room - 1
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids' bytes."""
-        if not text:
-            return b""
-        if ODD_SPACE.search(text):
-            return b"".join(self.words.get(p[1:]) or self.word(p[1:]) if p[0] == " " and p[1:].strip() == p[1:] != "" else self.whole(p)
-                            for p in self.safe_pieces(text))
-        first, *rest = text.split(" ")
-        words = self.words
-        head = self.whole(first) if first else b""
-        return head + b"".join([words.get(p) or self.word(p) for p in rest])
-
-    @staticmethod
-    def safe_pieces(text: str) -> list[str]:
-        """Cut before each single space that has no white space on either side."""
-        cuts = [0, *(m.start() for m in SAFE_CUT.finditer(text) if m.start()), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+        """The ids' bytes of one text."""
+        return self.encode_texts(pa.array([text]))[0].tobytes()
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (and the end)."""
+        if self.by_unit:
+            units = Units(texts)
+            return units.gather(self.of_units(units.distinct), self.type)
+        raw = [self.whole(t or "") for t in texts.to_pylist()]
+        return np.frombuffer(b"".join(raw), self.type), np.cumsum([0] + [len(r) // self.width for r in raw])
 
 
 def write_shard(path: str, documents, width: int) -> tuple[list[int], int]:
@@ -201,11 +199,13 @@ def write_ids(docs: DataFrame, folder: str, path: str = MODEL, end_id: int = END
 
         def documents():
             for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                    raw = tokens.encode(text) + end
-                    total[0] += 1
-                    total[1] += len(raw) // tokens.width
-                    yield doc_id, raw
+                for part in slices(batch, most=SLICE):
+                    ids, at = tokens.encode_texts(part["text"])
+                    at = at.tolist()
+                    for doc_id, a, b in zip(part["doc_id"].to_pylist(), at, at[1:]):
+                        total[0] += 1
+                        total[1] += b - a + 1
+                        yield doc_id, ids[a:b].tobytes() + end
 
         rows = documents()
         first = next(rows, None)
@@ -217,9 +217,9 @@ def write_ids(docs: DataFrame, folder: str, path: str = MODEL, end_id: int = END
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [total[0]],
                                           "n_ids": [total[1]], "bytes": [size]})
 
+    place = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
     ordered = (docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-               .repartitionByRange(F.col("doc_id").asc_nulls_first())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
+               .withColumn("hash", F.xxhash64("text")).repartitionByRange(*place).sortWithinPartitions(*place).drop("hash"))
     return settle(ordered.mapInArrow(run, "shard int, file string, n_docs long, n_ids long, bytes long"), "manifest")
 
 
