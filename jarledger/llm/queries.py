@@ -12,13 +12,14 @@ from jarledger.llm.secret_scan import op2_secret_scan
 from jarledger.llm.sentencepiece_stream import op1_sentencepiece
 from jarledger.llm.simhash_pivot import op9_simhash_near_dedup
 from jarledger.llm.suffix_dedup import op5_suffix_dedup
+from jarledger.llm.token_alignment import op11_cross_tokenizer
 from jarledger.llm.token_output import op6_token_output
 from jarledger.llm.toxicity_fst import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_secret_scan, op3_benchmark_decontamination, op4_license_scan, op5_suffix_dedup,
     op6_token_output, op7_language_id, op8_chunk_dedup, op9_simhash_near_dedup, op10_toxicity,
-    op13_merkle_manifest)}
+    op11_cross_tokenizer, op13_merkle_manifest)}
 ORACLE_SQL = {
     "op3_benchmark_decontamination": decontam.ORACLE,
     "op4_license_scan": license_scan.oracle(),
