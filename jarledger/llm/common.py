@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jarledger.session import ensure_conf, shared_dir
 
@@ -34,6 +34,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, tree: str, *order: Column, name: str = "order") -> DataFrame:
+    """``rows`` with ``pos``, a row's place in ``order`` among those of equal ``tree``, and ``n``, how many these are.
+
+    Range partitions are counted and the counts added up, so a hot value is
+    spread over as many tasks as its rows need.  ``order`` should be total.
+    """
+    ranged = rows.repartitionByRange(F.col(tree), *order).sortWithinPartitions(F.col(tree), *order)
+    kept = settle(ranged.select("*", F.monotonically_increasing_id().alias("mid")).withColumn("part", F.shiftright("mid", 33)), name)
+    pieces = kept.groupBy(tree, "part").agg(F.min("mid").alias("first"), F.count("*").alias("rows"))
+    own = Window.partitionBy(tree)  # a row for each range partition the value is in
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(tree, "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+                           F.sum("rows").over(own).alias("n"))
+    return kept.join(pieces, [tree, "part"]).withColumn("pos", F.col("mid") + F.col("shift")).drop("mid", "part", "shift")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.
 

@@ -47,10 +47,10 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def words_of(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, starts: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every word in the texts' bytes, and each text's first word (one more at the end)."""
     word = np.zeros(len(buf) + 1, bool)
-    word[:-1] = IS_WORD[buf]
+    word[:-1] = is_word[buf]
     fresh = np.zeros(len(buf) + 1, bool)  # a text begins here, so a word does not go on
     fresh[starts] = True
     begins = np.flatnonzero(word[:-1] & (~np.concatenate(([False], word[:-2])) | fresh[:-1]))

@@ -38,9 +38,9 @@ import hashlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from jarledger.llm.common import ascii_lower, settle, table
+from jarledger.llm.common import ascii_lower, placed, settle, table
 
 WIDTH, HEIGHT = 16, 2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -114,19 +114,6 @@ def block_levels(n: int, width: int, height: int) -> int:
     return height if n > width ** height else levels_of(n, width)
 
 
-def placed(nodes: DataFrame, *order: Column) -> DataFrame:
-    """``nodes`` with ``pos``, a row's place in its ``tree``, and ``n``, the tree's rows."""
-    ranged = nodes.repartitionByRange(F.col("tree"), *order).sortWithinPartitions(F.col("tree"), *order)
-    kept = settle(ranged.select("*", F.monotonically_increasing_id().alias("mid")).withColumn("part", F.shiftright("mid", 33)),
-                  "merkle_order")
-    pieces = kept.groupBy("tree", "part").agg(F.min("mid").alias("first"), F.count("*").alias("rows"))
-    own = Window.partitionBy("tree")  # a row for each range partition the tree is in
-    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("tree", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"),
-                           F.sum("rows").over(own).alias("n"))
-    return kept.join(pieces, ["tree", "part"]).withColumn("pos", F.col("mid") + F.col("shift")).drop("mid", "part", "shift")
-
-
 def leaves(docs: DataFrame, salt: int = 5) -> DataFrame:
     """``(tree, doc_id, leaf, altered)``; altered is the leaf of the tampered row, for each ``salt``-th id."""
     source = F.col("source").cast("string")
@@ -235,14 +222,14 @@ class Manifest:
 def crowned(rounds: list[DataFrame], width: int, height: int) -> Manifest:
     """Subroots, by source, as the nodes of one more tree."""
     ends = rounds[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("leaf"))
-    subroots = settle(placed(ends, F.col("name")), "merkle_subroots")
+    subroots = settle(placed(ends, "tree", F.col("name")), "merkle_subroots")
     nodes = subroots.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("altered"))
     return Manifest(rounds, grow(blocks(nodes, width, height), width, height), subroots)
 
 
 def build(docs: DataFrame, width: int = WIDTH, height: int = HEIGHT, salt: int = 5) -> Manifest:
     """The manifest of a table."""
-    nodes = placed(leaves(docs, salt), F.col("doc_id").asc_nulls_first(), F.col("leaf"))
+    nodes = placed(leaves(docs, salt), "tree", F.col("doc_id").asc_nulls_first(), F.col("leaf"))
     return crowned(grow(blocks(nodes, width, height), width, height), width, height)
 
 
@@ -253,7 +240,7 @@ def append(manifest: Manifest, docs: DataFrame, width: int = WIDTH, height: int
     """
     full, old = width ** height, manifest.rounds[0]
     ends = old.groupBy("tree").agg(F.max("n").alias("had"), F.max(F.array_max("doc_ids")).alias("last"))
-    new = placed(leaves(docs, salt), F.col("doc_id").asc_nulls_first(), F.col("leaf"))
+    new = placed(leaves(docs, salt), "tree", F.col("doc_id").asc_nulls_first(), F.col("leaf"))
     joined = settle(new.join(ends, "tree", "left"), "merkle_appended")
     if not joined.where("had is not null and (doc_id is null or doc_id <= last)").isEmpty():
         raise ValueError("an appended doc_id is not behind its source's last one")
