@@ -8,8 +8,8 @@ ordered list of its chunks' identifiers.
 Identifiers are verified: a chunk's 64-bit hash stands for its content only
 where all chunks of that hash have the same content, which an aggregation over
 (hash, content) checks; it moves each distinct chunk of a partition once.
-Chunks of a hash with two contents are named by hash and sha256 of the
-content.  After that only recipes move, 8 bytes a chunk: the recipe is the
+Texts with a chunk whose hash has two contents, and only those, are cut again
+and such chunks named by hash and SHA-256 of the content.  After that only recipes move, 8 bytes a chunk: the recipe is the
 grouping key, compared as an ordered list, not as a hash of it.
 
 Skew: groups are aggregated before the shuffle (largest row, count), never
@@ -24,6 +24,8 @@ other columns are ignored by :func:`groups` and kept by :func:`keep_one`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jarledger.llm.common import apply_decisions, ascii_lower, settle, table
@@ -52,31 +54,38 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def recipes(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """``(row_id, doc_id, recipe, text_sha256)``, a verified recipe for every row."""
+def recipes(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK,
+            hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """``(row_id, doc_id, recipe, text_sha256)``, a verified recipe for every row; ``hashed`` gives a chunk's 64-bit hash."""
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     cut = norm.select("doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
                       chunks(F.col("norm"), min_chunk, max_chunk).alias("chunks"))
     rows = settle(cut.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_sha256",
-                             F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe")), "recipes")
+                             F.transform("chunks", lambda c: hashed(c)).alias("recipe")), "recipes")
     contents = (cut.select(F.explode("chunks").alias("chunk"))
-                .groupBy(F.xxhash64("chunk").alias("hash"), "chunk").agg(F.lit(1).alias("one")))
+                .groupBy(hashed(F.col("chunk")).alias("hash"), "chunk").agg(F.lit(1).alias("one")))
     doubtful = settle(contents.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "doubtful")
+    plain = rows.select("row_id", "doc_id", F.col("recipe").cast("array<string>").alias("recipe"), "text_sha256")
     if doubtful.isEmpty():
-        return rows.select("row_id", "doc_id", F.col("recipe").cast("array<string>").alias("recipe"), "text_sha256")
-    # two contents share a hash: their texts' recipes name such chunks by hash and content digest
-    named = cut.select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row_id"), F.posexplode("chunks").alias("at", "chunk"))
-    named = named.withColumn("hash", F.xxhash64("chunk")).join(doubtful.withColumn("doubt", F.lit(True)), "hash", "left")
-    name = F.when(F.col("doubt"), F.concat_ws(":", F.col("hash").cast("string"), F.sha2(F.encode("chunk", "UTF-8"), 256))).otherwise(F.col("hash").cast("string"))
-    full = named.groupBy("row_id", "doc_id", "text_sha256").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", name.alias("id")))), lambda x: x["id"]).alias("recipe"))
-    empty = rows.where(F.size("recipe") == 0).select("row_id", "doc_id", "text_sha256", F.col("recipe").cast("array<string>").alias("recipe"))
-    return full.unionByName(empty).select("row_id", "doc_id", "recipe", "text_sha256")
-
-
-def groups(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
+        return plain
+    texts = (rows.select("text_sha256", F.explode("recipe").alias("hash")).join(doubtful, "hash", "left_semi")
+             .select("text_sha256").distinct())
+    again = cut.select("text_sha256", "chunks").join(texts, "text_sha256", "left_semi")
+    parts = (again.select("text_sha256", F.posexplode("chunks").alias("at", "chunk"))
+             .select("text_sha256", "at", hashed(F.col("chunk")).alias("hash"), F.sha2(F.encode("chunk", "UTF-8"), 256).alias("digest"))
+             .distinct())  # copies of a text give the same parts
+    parts = parts.join(doubtful.withColumn("doubt", F.lit(True)), "hash", "left")
+    name = F.concat_ws(":", F.col("hash").cast("string"), F.when(F.col("doubt"), F.col("digest")))
+    named = settle(parts.groupBy("text_sha256").agg(  # a text's parts, as long as its recipe
+        F.transform(F.array_sort(F.collect_list(F.struct("at", name.alias("id")))), lambda x: x["id"]).alias("named")), "recipes_named")
+    return settle(plain.join(named, "text_sha256", "left").select(
+        "row_id", "doc_id", F.coalesce("named", "recipe").alias("recipe"), "text_sha256"), "recipes_verified")
+
+
+def groups(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK,
+           hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row."""
-    rows = recipes(docs, min_chunk, max_chunk)
+    rows = recipes(docs, min_chunk, max_chunk, hashed)
     # written down, so the join has an exchange on either side and AQE can split a hot recipe's copies
     best = settle(rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count("*").alias("group_size")), "best")
     return rows.join(best, "recipe").select(
