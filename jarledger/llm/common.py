@@ -97,11 +97,18 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sample_limit(rows: int, total: int) -> int:
+    """The largest signed 64-bit hash that is in a sample of about ``rows`` of ``total`` rows."""
+    return (1 << 63) - 1 if total <= rows else (rows << 64) // total - (1 << 63)
+
+
+def sample_hash(key: Column) -> Column:
+    return F.xxhash64(key, F.lit("sample"))
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
     """About ``rows`` of ``total`` rows, picked by a hash of ``key`` (all if there are fewer)."""
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1e6 * rows / total))
+    return df if total <= rows else df.where(sample_hash(key) <= F.lit(sample_limit(rows, total)))
 
 
 def free_names(docs: DataFrame, *names: str) -> list[str]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from jarledger.llm.common import bounded_sample, byte_view, crc_mod, slices, table
+from jarledger.llm.common import byte_view, crc_mod, sample_hash, sample_limit, slices, table
 
 SAMPLE_ROWS = 2000
 TABLE = 1 << 15
@@ -40,6 +40,9 @@ STEP, FLOOR = 1.0, 6.0
 MOST_LANGUAGES, PENALTY, OVERLAP = 3, 2.0, 3    # trigrams overlap, so a third of them count as seen apart
 ROUNDS = 25
 UNKNOWN = "und"
+PIECE = 1 << 20         # bytes of a long text counted at a time
+CELLS = 1 << 21         # texts x profiles of a matrix at most
+NO_LETTER = 0x202020
 
 #: What a byte counts as: letters (ASCII lower-cased, all other bytes from 0x80 on), or a space.
 CLASS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -54,6 +57,16 @@ class Model:
     ratios: np.ndarray          # profile x language, likelihoods relative to the likeliest language
 
 
+def slots_of(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
+
+
+def codes_of(buf: np.ndarray) -> np.ndarray:
+    """A number for each three neighbouring bytes."""
+    c = CLASS[buf]
+    return (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
+
+
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The slot of every trigram that has a letter, and the text it is in."""
     edge, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
@@ -61,11 +74,10 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, offsets = byte_view(spaced)
     if len(buf) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = CLASS[buf]
-    code = (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
+    code = codes_of(buf)
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    use = (row[:-2] == row[2:]) & (code != 0x202020)
-    return ((code[use] * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64), row[:-2][use]
+    use = (row[:-2] == row[2:]) & (code != NO_LETTER)
+    return slots_of(code[use]), row[:-2][use]
 
 
 def letters(texts: pa.Array) -> np.ndarray:
@@ -101,10 +113,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not total:
         return Model([], np.zeros(0), np.zeros(TABLE, np.int64), np.zeros((1, 0)))
     names = sorted(total)
-    sample = None
-    for lang in names:
-        part = bounded_sample(known.where(F.col("lang") == lang), F.col("doc_id"), sample_rows, total[lang])
-        sample = part if sample is None else sample.unionByName(part)
+    # one scan whatever the languages: each has a limit of its own for the rows' hashes
+    limits = F.create_map(*[F.lit(x) for lang in names for x in (lang, sample_limit(sample_rows, total[lang]))])
+    sample = known.where(sample_hash(F.col("doc_id")) <= F.element_at(limits, F.col("lang")))
     counts = np.zeros((len(names), TABLE))
     for r in slot_counts(sample).collect():     # languages x TABLE rows at most
         counts[names.index(r["lang"]), r["slot"]] = r["n"]
@@ -142,6 +153,19 @@ def infer(counts: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
+def profile_counts(texts: pa.Array, model: Model) -> np.ndarray:
+    """How often each profile occurs in each text; a text on its own, which may be long, is counted piece by piece."""
+    kinds = len(model.ratios)
+    if len(texts) != 1:
+        slots, row = trigrams(texts)
+        return np.bincount(row * kinds + model.profile[slots], minlength=len(texts) * kinds).reshape(-1, kinds).astype(float)
+    buf, out = np.concatenate(([32], byte_view(texts)[0], [32])).astype(np.uint8), np.zeros((1, kinds))
+    for at in range(0, len(buf) - 2, PIECE):
+        code = codes_of(buf[at: at + PIECE + 2])
+        out[0] += np.bincount(model.profile[slots_of(code[code != NO_LETTER])], minlength=kinds)
+    return out
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score, languages)`` for every row; languages lists the chosen set with shares."""
     spark = docs.sparkSession
@@ -149,23 +173,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        kinds = len(model.ratios)
-        profile = model.profile
+        most = max(1, CELLS // max(1, len(model.ratios)))   # rows of a matrix
         for whole in batches:
-            for part in slices(whole, most=2 << 20):
-                texts, n = part["text"], len(part)
-                has = letters(texts)
-                lang, score, listed = [UNKNOWN] * n, np.zeros(n), [""] * n
-                if model.names:
-                    slots, row = trigrams(texts)
-                    counts = np.bincount(row * kinds + profile[slots], minlength=n * kinds).reshape(n, kinds).astype(float)
-                    shares = infer(counts, model)
-                    top = shares.argmax(1)
-                    for i in np.flatnonzero(has):
-                        lang[i], score[i] = model.names[top[i]], min(1.0, shares[i, top[i]])
-                        listed[i] = ",".join(f"{model.names[j]}:{shares[i, j]:.3f}" for j in np.argsort(-shares[i], kind="stable") if shares[i, j] >= 0.0005)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(lang), pa.array(score), pa.array(listed)],
-                                                 ["doc_id", "lang_pred", "score", "languages"])
+            for some in slices(whole, most=2 << 20):
+                for at in range(0, len(some), most):
+                    part = some.slice(at, most)
+                    texts, n = part["text"], len(part)
+                    has = letters(texts)
+                    lang, score, listed = [UNKNOWN] * n, np.zeros(n), [""] * n
+                    if model.names:
+                        shares = infer(profile_counts(texts, model), model)
+                        top = shares.argmax(1)
+                        for i in np.flatnonzero(has):
+                            lang[i], score[i] = model.names[top[i]], min(1.0, shares[i, top[i]])
+                            listed[i] = ",".join(f"{model.names[j]}:{shares[i, j]:.3f}" for j in np.argsort(-shares[i], kind="stable") if shares[i, j] >= 0.0005)
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(lang), pa.array(score), pa.array(listed)],
+                                                     ["doc_id", "lang_pred", "score", "languages"])
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, languages string")
