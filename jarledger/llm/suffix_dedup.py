@@ -15,8 +15,11 @@ digit.  The digits of a suffix are, in turn,
 
 Groups that are equal after the last digit are exactly the repeated windows;
 each is reduced to its smallest document.  Digits are hashes of 48 bits (64 for
-the window); a wrong decision takes equal hashes of different anchors and of
-different contexts or windows at once, below 2^-90 for each pair.
+the window) and only deal records out.  What decides is the digit with two
+64-bit digests of the context, or the window's digit and a second digest made
+from another table of byte values: bytes go only where all of these are equal,
+at least 128 bits (a chance of 2^-128 for a pair, 2^-62 for 10^10 windows).
+``digit_bits`` cuts the digits; the answer stays the same.
 
 Texts are packed once into blocks of ``block_bytes``, a table bucketed by block
 whose text no later pass shuffles.  In each pass a block asks: it sends its
@@ -56,6 +59,8 @@ NO_ID = (1 << 63) - 1
 OPEN = -(1 << 63)           # answer: this context's group has others, ask window by window
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Byte values of the second digest.
+OTHER = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -83,6 +88,8 @@ class Piece:
         self.down, self.window = down, window
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(buf.astype(np.uint64) * up[:n] + up[:n], out=self.sums[1:])
+        self.other = np.zeros(n + 1, np.uint64)
+        np.cumsum(OTHER[buf] * up[:n], out=self.other[1:])
         starts = np.flatnonzero(np.arange(n) + window <= ends) if n else np.zeros(0, np.int64)
         self.anchor = self.first = self.last = self.run = np.zeros(0, np.int64)
         if not len(starts):
@@ -106,22 +113,29 @@ class Piece:
         """A hash of ``size`` bytes from each place."""
         return scramble((self.sums[at + size] - self.sums[at]) * self.down[at] + np.asarray(size).astype(np.uint64))
 
-    def contexts(self, some: np.ndarray) -> np.ndarray:
-        return self.digest(self.first[some], self.last[some] + self.window - self.first[some])
+    def second(self, at: np.ndarray, size) -> np.ndarray:
+        """Another hash of the same bytes."""
+        return scramble((self.other[at + size] - self.other[at]) * self.down[at] - np.asarray(size).astype(np.uint64))
 
-    def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All windows of some runs: start, run, and hash with the anchor."""
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two digests of each run's context."""
+        size = self.last + self.window - self.first
+        return self.digest(self.first, size), self.second(self.first, size)
+
+    def windows(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All windows of some runs: start, run, hash with the anchor, and second digest."""
         size = self.last[some] - self.first[some] + 1
         run = np.repeat(some, size)
         start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + self.first[run]
-        return start, run, scramble(self.digest(start, self.window) ^ self.anchor[run] * np.uint64(3))
+        return start, run, scramble(self.digest(start, self.window) ^ self.anchor[run] * np.uint64(3)), self.second(start, self.window)
 
 
 class Block:
     """The runs of windows of a block's texts, and its questions."""
 
-    def __init__(self, buf: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int, gram: int):
-        self.buf, self.docs = buf, docs
+    def __init__(self, buf: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int, gram: int, digit_bits: int = 48):
+        self.buf, self.docs, cut = buf, docs, np.uint64(64 - digit_bits)
+        self.window_cut = np.uint64(max(0, 48 - digit_bits))
         self.offsets = np.concatenate(([0], np.cumsum(sizes)))
         self.window = window
         up, down = powers(BASE, PIECE + window), powers(INVERSE, PIECE + window + 1)
@@ -137,13 +151,13 @@ class Block:
             piece = Piece(buf[at:end], np.repeat(edges[: len(inside)], inside), up, down, window, gram)
             n = len(piece.anchor)
             rows = np.searchsorted(self.offsets, at + piece.first, side="right") - 1
-            found.append((piece.anchor >> np.uint64(16), piece.contexts(np.arange(n)) >> np.uint64(16), piece.first, piece.last, docs[rows],
+            found.append((piece.anchor >> cut, *piece.contexts(), piece.first, piece.last, docs[rows],
                           np.full(n, len(self.pieces))) if n else None)
             self.pieces.append((piece, at))
             at = end if stop > at or end == self.offsets[row + 1] else end - window + 1
         found = [f for f in found if f]
-        empty = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
-        self.anchor, self.context, self.first, self.last, self.doc, self.piece = (
+        empty = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
+        self.anchor, self.context, self.other, self.first, self.last, self.doc, self.piece = (
             [np.concatenate(x) for x in zip(*found)] if found else empty)
 
     def ask_anchors(self):
@@ -157,8 +171,8 @@ class Block:
     def ask_contexts(self):
         """Second pass: distinct (anchor, context) of runs that share their anchor, with the smallest document."""
         some = self.shared
-        (anchor, context), low, _, self.which_context = distinct([self.anchor[some], self.context[some]], self.doc[some])
-        return anchor, [context, low.view(np.uint64)]
+        (anchor, context, other), low, _, self.which_context = distinct([self.anchor[some], self.context[some], self.other[some]], self.doc[some])
+        return anchor, [context, other, low.view(np.uint64)]
 
     def hear_contexts(self, first: np.ndarray) -> None:
         first = first.view(np.int64)[self.which_context]
@@ -166,22 +180,22 @@ class Block:
         self.open = self.shared[first == OPEN]
 
     def windows(self):
-        """Start, document and digest of all windows of the open runs."""
-        out = [], [], []
+        """Start, document, digest and second digest of all windows of the open runs."""
+        out = [], [], [], []
         for k, (piece, at) in enumerate(self.pieces):
             base = int(np.searchsorted(self.piece, k))
             some = self.open[self.piece[self.open] == k] - base
             if len(some):
-                start, run, digest = piece.windows(some)
-                for x, y in zip(out, (start + at, self.doc[base + run], digest)):
+                start, run, digest, second = piece.windows(some)
+                for x, y in zip(out, (start + at, self.doc[base + run], digest >> self.window_cut, second)):
                     x.append(y)
-        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64)))
+        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64, np.uint64)))
 
     def ask_windows(self):
         """Third pass: distinct windows of the open runs, with the smallest document."""
-        self.start, self.owner, digest = self.windows()
-        (digit,), low, _, self.which_window = distinct([digest], self.owner)
-        return digit, [low.view(np.uint64)]
+        self.start, self.owner, digest, second = self.windows()
+        (digit, second), low, _, self.which_window = distinct([digest, second], self.owner)
+        return digit, [second, low.view(np.uint64)]
 
     def hear_windows(self, first: np.ndarray) -> None:
         self.first_of_window = first.view(np.int64)[self.which_window]
@@ -254,18 +268,17 @@ def decide_anchors(digit, columns):
 
 def decide_contexts(anchor, columns):
     """The smallest document with the anchor if all its contexts are the same one, else OPEN."""
-    context, doc = columns[0], columns[1].view(np.int64)
-    (_, _), low, _, pair = distinct([anchor, context], doc)
-    _, which = np.unique(anchor, return_inverse=True)
-    owner = np.zeros(len(low), np.int64)
-    owner[pair] = which                                   # the anchor of each distinct pair
-    several = np.bincount(owner) > 1
-    return np.where(several[which], np.int64(OPEN), low[pair]).view(np.uint64)
+    context, other, doc = columns[0], columns[1], columns[2].view(np.int64)
+    (owner, _, _), low, _, kind = distinct([anchor, context, other], doc)
+    several = np.zeros(len(owner), bool)                  # of each distinct context: the anchor has another one
+    several[1:] = owner[1:] == owner[:-1]
+    several[:-1] |= several[1:]
+    return np.where(several[kind], np.int64(OPEN), low[kind]).view(np.uint64)
 
 
 def decide_windows(digit, columns):
     """The smallest document with the window."""
-    _, low, _, which = distinct([digit], columns[0].view(np.int64))
+    _, low, _, which = distinct([digit, columns[0]], columns[1].view(np.int64))
     return low[which].view(np.uint64)
 
 
@@ -309,17 +322,18 @@ def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return spark.table(name)
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; kept is what is left, as bytes."""
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, digit_bits: int = 48,
+            keep: bool = True) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and with ``keep`` what is left, as bytes (``kept``)."""
     blocks = pack_blocks(docs, block_bytes)
     slots = max(1, blocks.count())
-    asks = [("ask_anchors", "hear_anchors", 48, 1, decide_anchors), ("ask_contexts", "hear_contexts", 48, 2, decide_contexts),
-            ("ask_windows", "hear_windows", 64, 1, decide_windows)]
+    asks = [("ask_anchors", "hear_anchors", digit_bits, 1, decide_anchors), ("ask_contexts", "hear_contexts", digit_bits, 3, decide_contexts),
+            ("ask_windows", "hear_windows", min(64, 16 + digit_bits), 2, decide_windows)]
 
     def opened(row, told: pa.Table | None, rounds: int) -> Block:
         """A block that has heard the answers of the first ``rounds`` passes."""
         docs_, sizes = (np.frombuffer(row[c].as_py(), np.int64) for c in ("docs", "sizes"))
-        block = Block(np.frombuffer(row["text"].as_py(), np.uint8), sizes, docs_, window, gram)
+        block = Block(np.frombuffer(row["text"].as_py(), np.uint8), sizes, docs_, window, gram, digit_bits)
         for k in range(rounds):
             n = len(getattr(block, asks[k][0])()[0])
             some = sorted((s, p) for r, s, p in zip(*(told[c].to_pylist() for c in ("round", "slot", "payload"))) if r == k) if n else []
@@ -369,18 +383,18 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes
                 lost.append(int(o.sum()))
                 spans.append(int((o[1:] & ~o[:-1]).sum() + o[0]) if b > a else 0)
                 kept.append((block.buf[a:b][~o] if lost[-1] else block.buf[a:b]).tobytes())
-            values = (block.docs, n, lost, spans, [hashlib.sha256(x).hexdigest() for x in kept], kept)
+            values = (block.docs, n, lost, spans, [hashlib.sha256(x).hexdigest() for x in kept], *[kept] * keep)
             out.append(pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds, values)}))
         return pa.concat_tables(out)
 
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *[("kept", pa.binary())] * keep]
     done = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents")).drop("kept")
+    return removed(table(spark, sf_dir, "documents"), keep=False)
 
 
 def brute_force(rows: list[tuple[int, bytes]], window: int = WINDOW) -> dict[int, tuple[int, int, int, str]]:

@@ -5,15 +5,17 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from jarledger.llm import (chunk_dedup, decontam, lang_mixture, license_scan, queries, secret_scan, sentencepiece_stream,
                            simhash_pivot, suffix_dedup, token_output, toxicity_fst)
-from jarledger.llm.common import components
+from jarledger.llm.common import bounded_sample, components, sample_limit
 from jarledger.session import shared_dir
 from conftest_rows import LONG, ROWS
 
@@ -174,6 +176,8 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "PIECE", piece)
         got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.removed(docs, block_bytes=block).collect()}
         assert got == want
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removed(docs, block_bytes=700, digit_bits=8, keep=False).collect()}
+    assert got == want      # digits that collide all the time decide nothing
 
 
 def test_suffix_dedup_odd_rows(odd_docs, no_docs):
@@ -231,6 +235,88 @@ def test_language_accuracy_and_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in lang_mixture.predict(odd_docs, lang_mixture.fit(no_docs)).collect()} == {"und"}
 
 
+def test_samples_hold_about_their_rows_at_any_size(spark):
+    for total in (10**4, 10**7, 10**11, 10**15):
+        limit = sample_limit(2000, total)
+        assert total * (limit + 2**63) / 2**64 == pytest.approx(2000, rel=1e-3)
+    rows = spark.range(200_000)
+    assert 1700 < bounded_sample(rows, rows["id"], 2000, 200_000).count() < 2300
+    assert bounded_sample(rows, rows["id"], 200_000, 200_000).count() == 200_000
+
+
+def test_language_sample_is_one_scan_and_balanced(spark):
+    rows = [(i, "some words here", "abcde"[(i > 4000) + (i % 7 == 0) * 2 + (i == 5)]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    counts = lang_mixture.slot_counts
+    lang_mixture.slot_counts = lambda sample: seen.append(sample) or counts(sample)
+    try:
+        lang_mixture.fit(docs, 100)
+    finally:
+        lang_mixture.slot_counts = counts
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    held = {r["lang"]: r["count"] for r in seen[0].groupBy("lang").count().collect()}
+    assert set(held) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5} and max(held.values()) < 160
+
+
+def test_long_texts_are_counted_piece_by_piece(monkeypatch):
+    model = lang_mixture.Model(["a"], np.ones(1), np.arange(lang_mixture.TABLE) % 7, np.ones((7, 1)))
+    text = "Some é words — and more. " * 50
+    want = lang_mixture.profile_counts(pa.array([text, ""]), model)[0]
+    monkeypatch.setattr(lang_mixture, "PIECE", 13)
+    assert (lang_mixture.profile_counts(pa.array([text]), model)[0] == want).all()
+
+
+def brute_language(texts, known):
+    """The mixture model with one long row for each text and no rounding but the operator's own."""
+    grams = lambda t: [
+        bytes(x) for x in zip(*(lambda c: (c, c[1:], c[2:]))([lang_mixture.CLASS[b] for b in b" " + t.encode() + b" "])) if bytes(x) != b"   "]
+    slot = lambda g: ((int.from_bytes(g, "big") * 0x9E3779B1) & 0xFFFFFFFF) >> 17
+    names = sorted({lang for _, lang in known})
+    counts = {n: [0] * lang_mixture.TABLE for n in names}
+    for t, lang in known:
+        for g in grams(t):
+            counts[lang][slot(g)] += 1
+    logs = {n: [np.log((c + .5) / (sum(counts[n]) + .5 * lang_mixture.TABLE)) for c in counts[n]] for n in names}
+    prior = np.array([sum(x[1] == n for x in known) for n in names]) / len(known)
+
+    def em(ratios, share):
+        for _ in range(lang_mixture.ROUNDS):
+            mix = ratios * share
+            share = (mix / mix.sum(1, keepdims=True)).mean(0)
+        return share, np.log((ratios * share).sum(1)).sum()
+
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        raw = np.array([[logs[n][slot(g)] for n in names] for g in grams(t)])
+        ratios = np.exp(-np.minimum(np.rint(raw.max(1, keepdims=True) - raw), 6))
+        full, _ = em(ratios, prior)
+        best, pick = np.inf, full
+        for k in range(1, min(3, len(names)) + 1):
+            start = np.zeros(len(names))
+            top = np.argsort(-full, kind="stable")[:k]
+            start[top] = np.maximum(full[top], 1e-6)
+            share, fit = em(ratios, start / start.sum())
+            cost = -2 * fit + 2 * (2 * k - 1) * np.log(max(len(ratios) / 3, 2))
+            if cost < best:
+                best, pick = cost, share
+        out.append((names[int(pick.argmax())], float(pick.max())))
+    return out
+
+
+def test_language_equals_a_plain_mixture(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    rows = docs.collect()
+    known = [(r["text"], r["lang"]) for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    want = brute_language([r["text"] or "" for r in rows], known)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lang_mixture.predict(docs, lang_mixture.fit(docs)).collect()}
+    for r, (lang, score) in zip(rows, want):
+        assert got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(score, abs=1e-6)
+
+
 def test_mixture_finds_both_languages():
     ratios = np.array([[1, .01], [.01, 1], [1, 1]])
     model = lang_mixture.Model(["a", "b"], np.array([.5, .5]), np.zeros(1, int), ratios)
@@ -251,6 +337,18 @@ def test_exact_dedup_odd_rows(spark, odd_docs, no_docs):
     assert chunk_dedup.groups(no_docs).count() == 0 and chunk_dedup.keep_one(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("values", [1, 16])
+def test_exact_dedup_when_hashes_collide(spark, values):
+    texts = ["Ab. " * 400 + str(i % 5) for i in range(12)] + ["x", "X", "y", "", None, "Ab. " * 300, "x. " * 300] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    narrow = lambda c: F.pmod(F.xxhash64(c), F.lit(values))
+    want = rows_of(chunk_dedup.groups(docs, 64, 512), "doc_id", "keep_id", "group_size", "kept")
+    normal = [(t or "").lower() for t in texts]
+    last = {t: i for i, t in enumerate(normal)}
+    assert want == sorted((i, last[t], normal.count(t), last[t] == i) for i, t in enumerate(normal))
+    assert rows_of(chunk_dedup.groups(docs, 64, 512, narrow), "doc_id", "keep_id", "group_size", "kept") == want
+
+
 def test_chunks_join_to_the_text(spark):
     texts = [LONG, "", "a", "x" * 20000, "Sentence one. " * 900, ("é\n" * 700 + ", ") * 9, "\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
