@@ -14,11 +14,22 @@ from jarledger.session import ensure_conf, shared_dir
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text a task turns into arrays at a time; bounds its memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+#: Rows and bytes of a batch that a Python worker gets at most; both bound its memory only.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, None) != str(most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_conf(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,9 +98,18 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+STORE = "_jarledger_store_"
+
+
 def process_store(name: str) -> types.ModuleType:
     """A namespace that lives as long as the Python worker, for models and word caches."""
-    return sys.modules.setdefault(f"_jarledger_store_{name}", types.ModuleType(name))
+    return sys.modules.setdefault(STORE + name, types.ModuleType(name))
+
+
+def free_stores(*but: str) -> None:
+    """Empty the stores that earlier operators left in this Python worker, but those whose names begin like ``but``."""
+    for name in [n for n in sys.modules if n.startswith(STORE) and not n.startswith(tuple(STORE + b for b in but))]:
+        del sys.modules[name]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

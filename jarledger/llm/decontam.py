@@ -13,9 +13,12 @@ Whether an item may have a fingerprint is read from a bitmap of the items'
 fingerprints.  Its size is bounded (``BITMAP_BITS`` at most, 16 MB in a worker), so it
 can be broadcast whatever the benchmark; a fuller one only filters less.
 
-Skew: a window that occurs in many items is one row with its set of items, and
-a document's sets are made distinct before they are unfolded; a passage that
-many documents hold meets one window row, on the side that AQE can split.
+Skew: a window of many items is one row with a number; items stay rows of
+their own.  Windows with the same items (told by their count and two sums of
+hashes) share the number of one of them, and a document's numbers are made
+distinct before they meet the items, so a passage of an item gives a document
+one row an item and not one for each window of it.  A passage that many
+documents hold meets one window row, on the side that AQE can split.
 
 Defined cases: null texts have no words, and items without words have no
 window; every row of ``docs`` gives one row, repeated ones too; items that
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from jarledger.llm.common import apply_decisions, byte_view, settle, slices, table
+from jarledger.llm.common import apply_decisions, byte_view, free_stores, settle, slices, table
 
 WINDOW, KGRAM = 10, 6
 BITMAP_BITS = 1 << 24
@@ -181,6 +184,7 @@ def document_hits(docs: DataFrame, bitmap, short: list[int], window: int = WINDO
     spread = window - k
 
     def run(batches):
+        free_stores()
         task, count = TaskContext.get().partitionId() << 33, 0
         marks = bitmap.value
         mask = np.uint64(len(marks) - 1)
@@ -208,31 +212,54 @@ def document_hits(docs: DataFrame, bitmap, short: list[int], window: int = WINDO
                                 "hits array<struct<fp:long,start:long,size:int,phrase:string>>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
-    """``(row_id, doc_id, key, n_words, n_hit, items)`` for every row; items are the sorted distinct item_ids."""
+def item_sets(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(size, phrase, items_as)`` for each distinct window, and ``(items_as, item_id)``: the items it is in.
+
+    Of the windows with the same items one stands for all of them.
+    """
+    pairs = items.select("size", "phrase", "item_id").distinct()
+    sums = [F.count("item_id").alias("n"), *(F.sum(F.xxhash64("item_id", F.lit(i)).cast("decimal(38,0)")).alias(f"sum_{i}") for i in (0, 1))]
+    windows = pairs.groupBy("size", "phrase").agg(*sums)
+    alike = [F.col("n"), F.coalesce("sum_0", F.lit(0)), F.coalesce("sum_1", F.lit(0))]
+    windows = settle(windows.select("size", "phrase", F.monotonically_increasing_id().alias("window"), F.concat_ws(":", *alike).alias("alike")), "bench_phrases")
+    first = windows.groupBy("alike").agg(F.min("window").alias("items_as"))
+    numbered = settle(windows.join(first, "alike").select("size", "phrase", "window", "items_as"), "bench_numbers")
+    members = numbered.where("window = items_as").join(pairs.where("item_id is not null"), ["size", "phrase"]).select("items_as", "item_id")
+    return numbered.select("size", "phrase", "items_as"), settle(members, "bench_items")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(row_id, doc_id, key, n_words)`` for every row, ``(row_id, start, size, items_as)`` for each occurring window, and the items."""
     spark = docs.sparkSession
     items = settle(item_windows(benchmark, window, k), "bench_windows")
     fps = settle(items.select(F.explode("fps").alias("fp")).distinct(), "bench_fps")
     short = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())  # below window, so few
     bitmap = spark.sparkContext.broadcast(fingerprint_bitmap(fps))
     rows = settle(document_hits(docs, bitmap, short, window, k), "document_hits")
-    phrases = items.groupBy("size", "phrase").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    numbered, members = item_sets(items)
     found = rows.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.*")
     shared = (found.join(fps, "fp", "left_semi").select("row_id", "start", "size", "phrase").distinct()
-              .join(phrases, ["size", "phrase"]))
-    shared = settle(shared.select("row_id", "start", "size", "items"), "shared_windows")
+              .join(numbered, ["size", "phrase"]))
+    return rows.select("row_id", "doc_id", "key", "n_words"), settle(shared.select("row_id", "start", "size", "items_as"), "shared_windows"), members
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """``(row_id, doc_id, key, n_words, n_hit, items)`` for every row; items are the sorted distinct item_ids."""
+    rows, shared, members = matches(docs, benchmark, window, k)
     words = shared.select("row_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("w")).distinct()
     n_hit = words.groupBy("row_id").agg(F.count("*").alias("n_hit"))
-    named = shared.select("row_id", "items").distinct().select("row_id", F.explode("items").alias("item")).distinct()
-    listed = named.groupBy("row_id").agg(F.collect_list(F.col("item").cast("string")).alias("items"))
-    return (rows.select("row_id", "doc_id", "key", "n_words").join(n_hit, "row_id", "left").join(listed, "row_id", "left")
+    named = shared.select("row_id", "items_as").distinct().join(members, "items_as").select("row_id", "item_id").distinct()
+    listed = named.groupBy("row_id").agg(F.collect_list(F.col("item_id").cast("string")).alias("items"))
+    return (rows.join(n_hit, "row_id", "left").join(listed, "row_id", "left")
             .select("row_id", "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without any hit word; columns as they came."""
-    found = contamination(docs, benchmark, **options).select("doc_id", "key", (F.col("n_hit") == 0).alias("stays"))
+    rows, shared, _ = matches(docs, benchmark, **options)
+    hit = shared.select("row_id").distinct().withColumn("hit", F.lit(True))
+    found = rows.join(hit, "row_id", "left").select("doc_id", "key", F.col("hit").isNull().alias("stays"))
     return apply_decisions(docs, F.xxhash64("text"), found)
 
 

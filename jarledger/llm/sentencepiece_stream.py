@@ -42,11 +42,11 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from jarledger.llm.common import process_store, slices, table
+from jarledger.llm.common import free_stores, process_store, slices, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN_COST = 10.0
-CACHE_WORDS = 600_000   # words a worker remembers, about 130 MB
+CACHE_WORDS = 400_000   # words a worker remembers, about 90 MB
 CACHE_PAIRS = 2_000     # right neighbours of a piece that a worker remembers
 CACHED_LENGTH = 64      # longer words are never remembered
 MARKS = ".,;:!?|$%&*#"
@@ -286,6 +286,7 @@ def encode_texts(docs: DataFrame, path: str = MODEL, check: bool = False) -> Dat
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
+        free_stores("pieces_")
         encoder = Encoder(shared.value)
         for whole in batches:
             for part in slices(whole, column=whole.schema.names[at], most=2 << 20):

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jarledger.llm.common import apply_decisions, components, settle, slices, table
+from jarledger.llm.common import apply_decisions, components, free_stores, settle, slices, table
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 CELL_LIMIT = 4096
@@ -66,6 +66,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``(doc_id, key, fp)``; key is a hash of the text, fp the fingerprint as a signed 64-bit integer."""
     def run(batches):
+        free_stores()
         for whole in batches:
             for part in slices(whole):
                 fps = np.array([fingerprint(t, shingle, seed) for t in part["text"].to_pylist()], np.uint64)

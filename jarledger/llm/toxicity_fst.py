@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jarledger.llm.common import bounded_sample, crc_mod, settle, table
+from jarledger.llm.common import bounded_sample, crc_mod, free_stores, settle, table
 
 SAMPLE_ROWS = 8000      # rows of either label that are learned from
 THRESHOLD = 0.7
@@ -330,6 +330,7 @@ def score_column(model: Model, text: Column) -> Column:
     """The score of each text, between 0 and 1."""
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        free_stores()
         reader = Reader(model.words, model.stems, model.threats)
         for texts in series:
             x = np.array([reader.features(t) for t in texts], float).reshape(len(texts), len(READINGS) + 1)

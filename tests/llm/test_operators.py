@@ -148,6 +148,18 @@ def test_decontamination_with_short_and_repeated_items(spark, odd_docs, no_docs)
     assert kept.columns == odd_docs.columns and kept.where("doc_id is null").count() == 0
 
 
+def test_windows_with_the_same_items_meet_them_once(spark):
+    """A passage of all items in many documents: rows follow (document, item) pairs, not windows."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    bench = spark.createDataFrame([(i, f"{passage} own{i} word{i}") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"lead {passage} tail{i}") for i in range(40)], "doc_id long, text string")
+    rows, shared, members = decontam.matches(docs, bench)
+    assert shared.count() == 40 * 51 and shared.select("row_id", "items_as").distinct().count() == 40
+    assert shared.select("items_as").distinct().join(members, "items_as").count() == 50
+    got = decontam.contamination(docs, bench).collect()
+    assert all(r["n_hit"] == 60 and len(r["items"]) == 50 for r in got)
+
+
 # ---------------------------------------------------------------- 4 licenses
 
 def test_license_odd_rows(spark, odd_docs, no_docs):

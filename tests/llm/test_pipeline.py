@@ -25,7 +25,7 @@ def test_pipeline_equals_plain_loops(spark, sf):
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_stream.MODEL)
     got = corpus_pipeline.run(spark, sf)
-    assert got.columns == [*docs.columns, "ids", "n_tokens"]
+    assert got.columns == [*docs.columns, "ids", "n_tokens", "round_trip"] and got.where("not round_trip").count() == 0
     assert {r["doc_id"]: list(r["ids"]) for r in got.collect()} == {i: library.encode(t) for i, t in rows.items()}
 
 
