@@ -8,7 +8,7 @@ executor repeats no more than its own stage.
 
 A null or empty text is not toxic, equals other empty texts, has no benchmark
 words and no ids; every stage of an empty table is empty; other columns go
-along unchanged.  One row of repeated ones stays.  SQL can't express the
+along unchanged, but for ``ids``, ``n_tokens`` and ``round_trip``, which the last stage sets.  One row of repeated ones stays.  SQL can't express the
 toxicity, SimHash and SentencePiece stages, so ORACLE_SQL is None and
 ``tests/llm/test_pipeline.py`` checks run() against a brute-force version.
 """
@@ -41,8 +41,8 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 
 def sentencepiece(spark, docs, sf_dir):
-    """Token ids of what is left, beside its columns."""
-    return sentencepiece_stream.encode_texts(docs)
+    """Token ids of what is left, beside its columns, and whether decoding them gave the text back."""
+    return sentencepiece_stream.encode_texts(docs, check=True)
 
 
 STAGES = [
