@@ -7,10 +7,9 @@ boxes at once.
 Order-dependent folds are done without gathering a box's operations anywhere:
 
 * the guarded replay (O37) range-partitions the ops on (box, ts, op_id), so
-  a hot box spans many ranges; each range summarises its piece of each box,
-  a walk over each box's pieces composes them, and only later pieces inside
-  which the balance runs dry are folded again, each in its own range, once
-  the walk knows their entry balance;
+  a hot box spans many ranges; each range summarises its piece of each box
+  (the piece that began in an earlier range as a function of its entry
+  balance), and one walk over each box's pieces composes them;
 * the clamped delete fold (O41) has a closed form (a Lindley recursion), so it
   runs as a two-level prefix scan: per contiguous range of the global
   (box, ts, req_id) order, then over a box's ranges.
@@ -80,23 +79,8 @@ def _cents_to_money(c: str):
     return money_out(F.col(c).cast("decimal(18,0)") / 100)
 
 
-def _step(op: str, amt) -> tuple[int, bool]:
-    """Effect of one non-reset op on a balance large enough to cover it:
-    (delta, applied).  On such a balance no withdrawal is refused and no
-    delete clamps, so the step is a plain addition."""
-    if amt is None:
-        return 0, False
-    if op == "add":
-        return (abs(amt), True) if amt != 0 else (0, False)
-    if op == "withdraw":
-        return (-abs(amt), True) if amt != 0 else (0, False)
-    if op == "delete_tx":
-        return -amt, True
-    return 0, False
-
-
 PIECE_OUT = ("box_id BIGINT, chunk INT, n BIGINT, bal0 BIGINT, app0 BIGINT, n_a BIGINT, t_a BIGINT, "
-             "m_a BIGINT, v_a BIGINT, has_reset BOOLEAN, bal_b BIGINT, app_b BIGINT, cut_t BIGINT, cut_op BIGINT")
+             "m_a BIGINT, v_a BIGINT, has_reset BOOLEAN, bal_b BIGINT, app_b BIGINT, cut_t BIGINT, cut_op BIGINT, transfer BINARY")
 PIECE_COLS = [c.split()[0] for c in PIECE_OUT.split(", ")]
 
 
@@ -106,9 +90,11 @@ CODE_OPS = {v: k for k, v in OP_CODES.items()}
 # Refusals fixed per vectorised round; a stretch between resets needing more
 # is folded by the plain loop (exact either way).
 FIX_ROUNDS = 16
-# Below this many rows a single box's fold is cheaper as a plain loop than as
-# array operations (fixed per-call cost of the vectorised form).
-SMALL_GROUP = 1024
+# Bounds of a piece's transfer: stretches of the entry balance in one function, and functions.
+MOST_STRETCHES = 1024
+MOST_FUNCTIONS = 64
+# Ops tried as one plain sum before they are taken one by one.
+TRANSFER_BLOCK = 128
 
 
 def _seg_cumsum(x: np.ndarray, seg: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -161,33 +147,115 @@ def _guarded_fold(code, amt, has, delta, guarded, wd_ok, sub, sub_starts, start_
     return bal, refused
 
 
-def fold_sorted(op: pd.Series, cents: pd.Series, has_amount: pd.Series, start: int) -> tuple[int, int]:
-    """Guarded fold of one box's sorted rows from balance ``start``, vectorised:
-    returns (final balance, applied count).  Used by the streaming replay."""
-    if len(op) < SMALL_GROUP:
-        bal, ok = start, 0
-        for o, a, h in zip(op.tolist(), cents.tolist(), has_amount.tolist()):
-            bal, applied = _apply(o, int(a) if h else None, bal)
-            ok += applied
-        return bal, ok
-    code = op.map(OP_CODES).fillna(5).to_numpy(np.int8)
-    amt = cents.to_numpy(np.int64)
-    has = has_amount.to_numpy(bool)
-    is_reset = code == 1
-    add_ok = (code == 2) & has & (amt != 0)
-    wd_ok = (code == 3) & has & (amt != 0)
-    del_ok = (code == 4) & has
-    delta = np.where(add_ok, np.abs(amt), 0) - np.where(wd_ok, np.abs(amt), 0) - np.where(del_ok, amt, 0)
-    sstart = is_reset.copy()
-    sstart[0] = True
-    sub_starts = np.flatnonzero(sstart)
-    sub = np.cumsum(sstart) - 1
-    start_val = np.zeros(len(sub_starts), dtype=np.int64)
-    if not is_reset[0]:
-        start_val[0] = start
-    bal, refused = _guarded_fold(code, amt, has, delta, wd_ok | del_ok, wd_ok, sub, sub_starts, start_val)
-    applied = is_reset | add_ok | del_ok | (wd_ok & ~refused)
-    return int(bal[-1]), int(applied.sum())
+class Transfer:
+    """Exit balance and applied count of a run of guarded steps, as functions of the entry balance (>= 0).
+
+    A step moves a balance by a constant, keeps it (a refused withdrawal) or
+    sets it to 0 (a clamped delete), so the run is linear with slope 1 or 0
+    on stretches of the entry.  A withdrawal cuts the stretch in which its
+    amount is first covered, a delete the one in which it first clamps.
+    Stretches that a cut has left alike are joined again; where there are
+    still more than ``MOST_STRETCHES``, the function is closed and a next one
+    takes its exits as entries, so the whole is a short chain that a known
+    entry runs through.  Beyond ``MOST_FUNCTIONS`` the chain is given up.
+    """
+
+    FIELDS = ("start", "value", "slope", "count")
+
+    def __init__(self):
+        self.closed: list[dict] | None = []
+        self._open()
+
+    def _open(self) -> None:
+        self.start, self.value = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.slope, self.count = np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.shift = self.applied = 0   # of all stretches, beside value and count
+
+    def _last(self) -> np.ndarray:
+        """Each stretch's largest exit, without the shift."""
+        size = np.append(np.diff(self.start), np.int64(1) << 62)
+        return self.value + self.slope * (size - 1)
+
+    def feed(self, code: np.ndarray, amt: np.ndarray, delta: np.ndarray) -> None:
+        """Effective steps in order: codes of add, withdraw and delete_tx, amounts, and what each adds when it is covered."""
+        for at in range(0, len(code), TRANSFER_BLOCK):
+            if self.closed is None:
+                return
+            part = slice(at, at + TRANSFER_BLOCK)
+            moved = np.cumsum(delta[part])
+            if int(self.value.min()) + self.shift + int(moved.min()) >= 0:
+                self.shift += int(moved[-1])    # whatever the entry, all is covered
+                self.applied += len(moved)
+                continue
+            for c, a, d in zip(code[part].tolist(), amt[part].tolist(), delta[part].tolist()):
+                if c == 2:
+                    self.shift, self.applied = self.shift + d, self.applied + 1
+                else:
+                    self._guarded(-d, c == 3)
+            if len(self.start) > MOST_STRETCHES // 2:
+                self._join()
+                if len(self.start) > MOST_STRETCHES:
+                    self._close()
+
+    def _guarded(self, a: int, withdraw: bool) -> None:
+        """Take ``a`` where the balance covers it; else a withdrawal is refused, and a delete sets 0."""
+        need = a - self.shift
+        covered = self.value >= need
+        if covered.all():
+            self.shift, self.applied = self.shift - a, self.applied + 1
+            return
+        cut = np.flatnonzero(~covered & (self._last() >= need))
+        if len(cut):    # (a stretch of slope 0 is covered as a whole or not at all)
+            at = self.start[cut] + need - self.value[cut]
+            self.start = np.insert(self.start, cut + 1, at)
+            self.value = np.insert(self.value, cut + 1, need)
+            self.slope = np.insert(self.slope, cut + 1, 1)
+            self.count = np.insert(self.count, cut + 1, self.count[cut])
+            covered = np.insert(covered, cut + 1, True)
+        if withdraw:
+            self.value = np.where(covered, self.value - a, self.value)
+            self.count = self.count + covered
+        else:
+            self.value = np.where(covered, self.value - a, -self.shift)
+            self.slope = np.where(covered, self.slope, 0)
+            self.applied += 1
+
+    def _join(self) -> None:
+        size = np.diff(self.start)
+        alike = ((self.slope[1:] == self.slope[:-1]) & (self.count[1:] == self.count[:-1])
+                 & (self.value[1:] == self.value[:-1] + self.slope[:-1] * size))
+        keep = np.append(True, ~alike)
+        for f in self.FIELDS:
+            setattr(self, f, getattr(self, f)[keep])
+
+    def _close(self) -> None:
+        self.closed.append({"start": self.start, "value": self.value + self.shift, "slope": self.slope, "count": self.count + self.applied})
+        self._open()
+        if len(self.closed) >= MOST_FUNCTIONS:
+            self.closed = None
+
+    def pack(self) -> bytes | None:
+        """The chain as bytes (None if it was given up)."""
+        if self.closed is None:
+            return None
+        self._join()
+        self._close()
+        if self.closed is None:
+            return None
+        flat = np.concatenate([np.concatenate([f[c] for c in self.FIELDS]) for f in self.closed])
+        return np.concatenate(([len(self.closed)], [len(f["start"]) for f in self.closed], flat)).astype(np.int64).tobytes()
+
+
+def run_through(packed: bytes, entry: int) -> tuple[int, int]:
+    """The exit balance and applied count of a packed chain for one entry."""
+    flat = np.frombuffer(packed, np.int64)
+    sizes, at, applied = flat[1: 1 + flat[0]].tolist(), 1 + int(flat[0]), 0
+    for n in sizes:
+        start, value, slope, count = flat[at: at + 4 * n].reshape(4, n)
+        i = int(np.searchsorted(start, entry, side="right")) - 1
+        entry, applied = int(value[i] + slope[i] * (entry - start[i])), applied + int(count[i])
+        at += 4 * n
+    return entry, applied
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,13 +267,16 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     * bal0, app0: exact result from entry 0 (or from the box's opening row);
     * t_a, m_a, v_a, n_a: total, minimum prefix, applied and op count of A
       when the entry covers A's drawdown (entry + m_a >= 0);
-    * bal_b, app_b: exact result of B; cut_t, cut_op: key of the first reset.
+    * bal_b, app_b: exact result of B; cut_t, cut_op: key of the first reset;
+    * transfer: A as a function of the entry (see ``Transfer``).  Only the box
+      that a range begins with can have begun before it, so a range has one.
 
     A piece that continues into the next batch is carried as its state.
     """
     carry = None  # [box, n, bal0, app0, n_a, t_a, m_a, v_a, seen_reset, app_b, cut_t, cut_op, last key]
     out: list[pd.DataFrame] = []
     chunk = 0
+    head = transfer = None  # the range's first box, its segment A
     for pdf in batches:
         if pdf.empty:
             continue
@@ -229,7 +300,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = len(box)
         cont = carry is not None and carry[0] == box[0]
         if carry is not None and not cont:
-            out.append(_carry_frame(carry, chunk))
+            out.append(_carry_frame(carry, chunk, transfer if carry[0] == head else None))
             carry = None
         bstart = np.r_[True, box[1:] != box[:-1]]
         bstarts = np.flatnonzero(bstart)
@@ -255,6 +326,12 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         in_a = resets_upto == 0
         if cont and carry[8]:
             in_a &= bseg != 0
+        if head is None:
+            head = int(box[0])
+            transfer = None if is_open[0] else Transfer()
+        if transfer is not None and box[0] == head:
+            use = in_a & valid & (box == head)
+            transfer.feed(code[use], amt[use], delta[use])
         da = np.where(in_a, delta, 0)
         pa = _seg_cumsum(da, bseg, bstarts)
         ends = np.r_[bstarts[1:], n] - 1
@@ -299,19 +376,20 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "box_id": box[bstarts[sl]], "chunk": np.int32(chunk), "n": n_ops[sl], "bal0": bal0[sl],
                 "app0": app0[sl], "n_a": n_a[sl], "t_a": t_a[sl], "m_a": m_a[sl], "v_a": v_a[sl],
                 "has_reset": has_reset[sl], "bal_b": np.where(has_reset[sl], bal0[sl], 0), "app_b": app_b[sl],
-                "cut_t": cut_t[sl], "cut_op": cut_op[sl]}))
+                "cut_t": cut_t[sl], "cut_op": cut_op[sl],
+                "transfer": [transfer.pack() if transfer is not None and b == head else None for b in box[bstarts[sl]].tolist()]}))
         if sum(len(f) for f in out) >= 10_000:
             yield pd.concat(out, ignore_index=True)
             out = []
     if carry is not None:
-        out.append(_carry_frame(carry, chunk))
+        out.append(_carry_frame(carry, chunk, transfer if carry[0] == head else None))
     if out:
         yield pd.concat(out, ignore_index=True)
 
 
-def _carry_frame(c: list, chunk: int) -> pd.DataFrame:
+def _carry_frame(c: list, chunk: int, transfer: Transfer | None) -> pd.DataFrame:
     return pd.DataFrame([[c[0], chunk, c[1], c[2], c[3], c[4], c[5], c[6], c[7], c[8], c[2] if c[8] else 0,
-                          c[9], c[10], c[11]]], columns=PIECE_COLS)
+                          c[9], c[10], c[11], None if transfer is None else transfer.pack()]], columns=PIECE_COLS)
 
 
 WALK_OUT = ("kind STRING, box_id BIGINT, chunk INT, entry BIGINT, cut BOOLEAN, cut_t BIGINT, "
@@ -325,10 +403,11 @@ def _walk(batches: Iterator[pd.DataFrame], entries: bool = False) -> Iterator[pd
     The first piece starts at the box's opening, so its exact result holds.
     A later piece whose entry covers its drawdown adds its total; an entry
     of 0 takes the exact result; a reset makes the rest of the piece
-    independent of the entry.  Otherwise the entry is known but the piece is
-    *dry* (a withdrawal may be refused, a delete may clamp): unless an earlier
-    round has folded it (``fixed``), it is emitted as a 'piece' row with its
-    entry, and the box's balance is unknown up to the next reset.  Emits one
+    independent of the entry.  Otherwise the piece is *dry* (a withdrawal may
+    be refused, a delete may clamp) and the entry runs through its transfer.
+    A piece without one (given up as too many stretches, or a balance below 0)
+    is emitted as a 'piece' row with its entry unless an earlier
+    round has folded it (``fixed``), and the box's balance is unknown up to the next reset.  Emits one
     'box' row per box.  With ``entries``, also one 'entry' row per resolved
     piece with its entry balance, for per-op output.
     """
@@ -366,6 +445,11 @@ def _walk(batches: Iterator[pd.DataFrame], entries: bool = False) -> Iterator[pd
                 entry(r.chunk, 0)
                 st[1] += r.app0
                 st[2] = r.bal0
+            elif b is not None and b > 0 and r.transfer is not None:
+                entry(r.chunk, b)
+                exit_, applied = run_through(r.transfer, b)
+                st[1] += applied + r.app_b
+                st[2] = r.bal_b if r.has_reset else exit_
             else:
                 if b is not None:
                     out.append(("piece", box, r.chunk, b, r.has_reset, r.cut_t, r.cut_op, 0, 0, 0))
@@ -485,11 +569,12 @@ def _walked(staged: DataFrame, entries: bool) -> DataFrame:
     """Piece summaries composed per box: one row per box, plus one per piece
     with ``entries``; written to the shared folder.
 
-    A round walks every box up to its first dry piece (and on from each later
-    reset), folds the dry pieces found, each in its own range from its known
-    entry, and gives their results to the next round's walk.  Pieces that the
-    balance covers are never folded, and no task gets more than a range; there
-    are as many rounds as dry pieces between two resets of one box.
+    One walk does it where every piece is covered by its entry or has a
+    transfer.  For a piece whose transfer was given up, a round walks every
+    box up to its first such piece (and on from each later reset), folds
+    these, each in its own range from its known entry, and gives their
+    results to the next round's walk.  No task gets more than a range, and a
+    walk one bounded row for each range of a box.
     """
     pieces, fixes = staged.mapInPandas(_pieces, PIECE_OUT), None
     while True:
@@ -538,10 +623,9 @@ def ordered_replay(ops: DataFrame, opening: DataFrame | None = None,
     minimum prefix before its first reset).  A walk over each box's pieces
     (at most one per range) composes them: a piece whose entry balance covers
     its drawdown behaves as a plain sum, and a reset cuts the dependency on
-    the entry.  Only where a box's balance runs dry inside a later piece is
-    the order truly sequential; such a piece is folded in its own range once
-    its entry is known, and the walk goes on from its exact result (see
-    ``_walked``).  Exact in integer cents.
+    the entry.  Where a box's balance runs dry inside a later piece, its
+    entry runs through the piece's transfer (see ``Transfer``), so the jobs
+    are the same however many ranges run dry.  Exact in integer cents.
     """
     walked = _walked(_staged_ops(ops, opening, partitions), entries=False)
     return walked.where(F.col("kind") == "box").select(

@@ -5,6 +5,7 @@ import random
 from decimal import Decimal as D
 
 from jarledger.operators import replay
+from jarledger.session import ship_package
 from tests.frames import boxes, ops, templates, ts, tx
 
 
@@ -267,6 +268,7 @@ def test_replay_steps_hot_box_matches_plain_loop(spark):
 
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
+import pytest  # noqa: E402
 
 
 def _pieces_loop(batches: object) -> object:
@@ -305,18 +307,18 @@ def _pieces_loop(batches: object) -> object:
             elif op == "reset":
                 cur[9], cur[10], cur[11], cur[12], cur[13] = True, 0, 1, tk, oid
             else:
-                d, ok = replay._step(op, a)
+                d, ok = _covered_step(op, a)
                 cur[5] += 1
                 cur[6] += d
                 cur[7] = min(cur[7], cur[6])
                 cur[8] += ok
         if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=replay.PIECE_COLS)
+            yield pd.DataFrame(out, columns=replay.PIECE_COLS[:14])
             out = []
     if cur is not None:
         out.append(cur[:14])
     if out:
-        yield pd.DataFrame(out, columns=replay.PIECE_COLS)
+        yield pd.DataFrame(out, columns=replay.PIECE_COLS[:14])
 
 
 
@@ -348,7 +350,7 @@ def test_vectorised_pieces_equal_plain_loop_over_random_batches():
         batches = [df.iloc[p].reset_index(drop=True) for p in parts]
         want = pd.concat(list(_pieces_loop(iter(batches))), ignore_index=True)
         got = pd.concat(list(replay._pieces(iter(batches))), ignore_index=True)
-        cols = replay.PIECE_COLS
+        cols = [c for c in replay.PIECE_COLS if c != "transfer"]
         want = want[cols].astype({"has_reset": bool}).reset_index(drop=True)
         got = got[cols].astype({"has_reset": bool}).reset_index(drop=True)
         for c in cols:
@@ -403,21 +405,68 @@ def test_vectorised_piece_fold_equals_plain_loop_over_random_batches():
         assert {int(r.op_id): (int(r.balance_cents), bool(r.applied)) for r in st.itertuples()} == want_steps
 
 
-def test_fold_sorted_equals_plain_loop_on_both_sides_of_the_cutoff():
-    """Short groups take the loop, long ones the vectorised fold with its
-    fix rounds and its loop for stretches that keep refusing."""
-    rng = np.random.default_rng(21)
-    for size in [1, 5, 300, replay.SMALL_GROUP + 1, 4000]:
-        for p_wd in (0.2, 0.5):
-            op = rng.choice(["add", "withdraw", "delete_tx", "reset", "recolor"], size,
-                            p=[0.75 - p_wd, p_wd, 0.2, 0.02, 0.03])
-            df = pd.DataFrame({"op": op, "cents": rng.integers(-3000, 30000, size), "has_amount": rng.random(size) > 0.02})
-            start = int(rng.integers(0, 10000))
-            bal, ok = start, 0
-            for o, a, h in zip(df["op"], df["cents"], df["has_amount"]):
-                bal, applied = replay._apply(o, int(a) if h else None, bal)
+def _covered_step(op, amt):
+    """(delta, applied) of an op on a balance that covers it."""
+    if amt is None or (amt == 0 and op != "delete_tx"):
+        return 0, False
+    return {"add": (abs(amt), True), "withdraw": (-abs(amt), True), "delete_tx": (-amt, True)}.get(op, (0, False))
+
+
+@pytest.mark.parametrize("stretches,functions", [(1024, 64), (8, 1000), (8, 2)])
+def test_transfer_equals_plain_loop_for_every_entry(monkeypatch, stretches, functions):
+    """Chains of small functions give the same; a chain beyond its bound is given up."""
+    monkeypatch.setattr(replay, "MOST_STRETCHES", stretches)
+    monkeypatch.setattr(replay, "MOST_FUNCTIONS", functions)
+    rng, given_up = np.random.default_rng(11), 0
+    for trial in range(60):
+        n = int(rng.integers(1, 700))
+        code = rng.choice([2, 3, 4], n, p=[.45, .45, .1])
+        amt = rng.integers(1, 60, n)
+        amt[code == 4] -= 20
+        delta = np.where(code == 2, amt, -amt)
+        t = replay.Transfer()
+        for part in np.array_split(np.arange(n), int(rng.integers(1, 6))):
+            t.feed(code[part], amt[part], delta[part])
+        packed = t.pack()
+        if packed is None:
+            given_up += 1
+            continue
+        for entry in [0, 1, 5, 17, 40, 77, 300, 2000, 10**9, *rng.integers(0, 400, 10).tolist()]:
+            bal, ok = entry, 0
+            for c, a in zip(code.tolist(), amt.tolist()):
+                bal, applied = replay._apply(replay.CODE_OPS[c], a, bal)
                 ok += applied
-            assert replay.fold_sorted(df["op"], df["cents"], df["has_amount"], start) == (bal, ok), (size, p_wd)
+            assert replay.run_through(packed, entry) == (bal, ok), (trial, entry)
+    assert (given_up > 0) == (functions == 2)
+
+
+def _dry_log(n):
+    """One box; every eighth op is a withdrawal that is nearly always refused."""
+    rng = random.Random(4)
+    out, last = [], 0
+    for i in range(n):
+        op, a = ("withdraw", 100000 + rng.randint(0, 10**6)) if i % 8 == 7 else ("add", rng.randint(1, 500)) if i % 3 else ("withdraw", rng.randint(1, 700))
+        out.append((i, 1, op, D(a) / 100))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [4, 16, 64])
+def test_ranges_that_run_dry_take_one_walk(spark, monkeypatch, partitions):
+    log = _dry_log(4000)
+    rows = ops(spark, [(i, ts(0) + dt.timedelta(seconds=i), 1, b, o, a, False) for i, b, o, a in log])
+    folds = []
+    ship_package()  # workers get the bounds set here
+    monkeypatch.setattr(replay, "_broadcast_if_small", lambda df, n: folds.append(n) or df)
+    got = replay.ordered_replay(rows, partitions=partitions).first()
+    bal, ok = 0, 0
+    for _, _, o, a in log:
+        bal, applied = replay._apply(o, int(a * 100), bal)
+        ok += applied
+    assert (int(got["final_balance"] * 100), got["n_applied"]) == (bal, ok) and not folds
+    monkeypatch.setattr(replay, "MOST_FUNCTIONS", 0)     # given up: round by round, the same
+    if partitions == 4:
+        again = replay.ordered_replay(rows, partitions=partitions).first()
+        assert again == got and folds
 
 
 def test_replay_dry_pieces_beyond_the_broadcast_bound(spark):
