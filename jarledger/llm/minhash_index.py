@@ -16,15 +16,19 @@ whose set sizes allow the threshold are confirmed on the full sets.
 Links are needed as far as they join groups, so cells are joined in two steps.
 First each member of a cell meets the cell's hub, the member that is in most
 cells; confirmed links make groups.  Then only cells that still hold two groups
-are joined, and only members of different groups meet, each pair in the first
-of its common cells.  Confirming deals the pairs out by blocks of texts that lie together
-(ordered by their largest cell), so a text is sent to the blocks it has
-partners in, not to each partner.  Sets are compared shingle by shingle.
+are joined.  Texts lie in blocks, in the order of their largest cell, so a
+cell's members lie in few blocks; each two blocks that meet in such a cell are
+compared in one task, members of different groups only, by signature and then
+shingle by shingle, and only links that join something are handed on: never a
+list of pairs.  Sets are compared whole; a text is sent to the blocks its own
+has to meet, not to each partner.
 
 Skew: equal word sequences are one row from the start.  Cells are counted with
-partial sums, joined where Spark can split them, and joined inside in pieces
-of ``CELL`` rows, each two of them in a group of its own.  Groups are found by
-star contraction.  Nothing is collected; nothing is capped.
+partial sums and joined where Spark can split them; what grows with the
+square of a group that doesn't hang together is the number of its block pairs,
+``BLOCK ** 2`` texts' pairs each.  Groups are found by star contraction.  Nothing is capped;
+the driver gets a bitmap of bounded size that says which texts may be needed,
+so the others are never shuffled.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
 nothing, not even its like; repeated rows are one another's copies and give repeated result rows; a null
@@ -46,13 +50,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jarledger.llm.common import apply_decisions, ascii_lower, byte_view, components, placed, settle, slices, table
-from jarledger.llm.decontam import LOWER, MIX, scramble, word_hashes, words_of
+from jarledger.llm.decontam import LOWER, MIX, fingerprint_bitmap, scramble, word_hashes, words_of
 
 SHINGLE, PER_CENT = 2, 80
 CHUNKS, SYMBOLS, BITS, DISTANCE = 5, 6, 16, 14
 LOOSE = 17       # minima that may differ in a pair that is confirmed on its sets
-CELL = 1024      # rows of a cell that meet each other in one task
-BLOCK = 64       # texts that lie together when pairs are confirmed
+BLOCK = 256      # texts that lie together; two blocks meet in one task
 SLICE = 2 << 20
 SEED = 12
 IS_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
@@ -102,37 +105,24 @@ def chunk_errors(distance: int, chunks: int) -> list[int]:
 
 
 class Index:
-    """The keys of signatures, and which key of a pair is its first common one."""
+    """The keys of signatures."""
 
     def __init__(self, chunks: int = CHUNKS, symbols: int = SYMBOLS, distance: int = DISTANCE):
         self.chunks, self.symbols = chunks, symbols
         self.choices = [(c, some) for c, e in enumerate(chunk_errors(distance, chunks)) if e >= 0
                         for some in combinations(range(symbols), max(symbols - e, 0))]
-        if len(self.choices) > 128:
-            raise ValueError("at most 128 keys a signature")
-        # for each chunk and set of agreeing minima, the first key that lies in it
-        self.first = np.full((chunks, 1 << symbols), len(self.choices), np.int64)
-        for i, (c, some) in reversed(list(enumerate(self.choices))):
-            need = sum(1 << s for s in some)
-            agree = np.arange(1 << symbols)
-            self.first[c, agree & need == need] = i
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
-        """A row of keys for each signature; the low seven bits say which minima a key is made of."""
+        """A row of keys for each signature."""
         wide = rows.astype(np.uint64)
         out = np.empty((len(rows), len(self.choices)), np.uint64)
         for i, (c, some) in enumerate(self.choices):
             key = np.full(len(rows), i + 1, np.uint64)
             for s in some:
                 key = scramble(key * MIX + wide[:, c * self.symbols + s])
-            out[:, i] = key & ~np.uint64(127) | np.uint64(i)
+            out[:, i] = key
         return out
 
-    def first_common(self, equal: np.ndarray) -> np.ndarray:
-        """For each row of agreements of two signatures, their first common key."""
-        masks = equal.reshape(len(equal), self.chunks, self.symbols) @ (1 << np.arange(self.symbols))
-        return self.first[np.arange(self.chunks), masks].min(axis=1)
-
 
 def read_texts(docs: DataFrame, shingle: int = SHINGLE, symbols: int = CHUNKS * SYMBOLS) -> DataFrame:
     """``(row_id, doc_id, n_shingles, digest, sig, words)``: words are the lower-cased sequence, packed; digest is its SHA-256."""
@@ -202,77 +192,85 @@ def star_pairs(members: DataFrame, info: DataFrame, symbols: int, loose: int, pe
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, block_a long, b long, block_b long")
 
 
-def cross_pairs(members: DataFrame, grouped: DataFrame, index: Index, loose: int, per_cent: int, cell: int) -> DataFrame:
-    """Pairs ``(a, block_a, b, block_b)`` of different groups that share a cell, each once.
-
-    ``grouped``: ``(node, root, n, sig, block)``.
-    """
-    roots = members.join(grouped.select("node", "root"), "node")
-    mixed = (roots.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
-             .where("low <> high").select("key", F.ceil(F.col("rows") / cell).cast("int").alias("pieces")))
-    mixed = settle(mixed, "mixed_cells")
-    piece = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    rows = members.join(mixed, "key").select("key", "node", piece.alias("piece"), "pieces")
-    rows = rows.select("key", "node", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    rows = rows.select("key", "node", "piece", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
-    rows = rows.join(grouped, "node").select("key", "i", "j", "piece", "node", "root", "n", "block", "sig")
-    symbols = index.chunks * index.symbols
+class Sets:
+    """Full sets of some texts as numbers: a shingle is a number among them."""
+
+    def __init__(self, shingle: int):
+        self.shingle, self.names, self.held, self.unpack = shingle, {}, {}, zstandard.ZstdDecompressor()
+
+    def add(self, node: int, packed: bytes) -> None:
+        some = shingles(self.unpack.decompress(packed).split(b" "), self.shingle)
+        self.held[node] = np.fromiter((self.names.setdefault(s, len(self.names)) for s in some), np.int32, len(some))
+
+    def near(self, node: int, others: list[int], per_cent: int) -> np.ndarray:
+        """Which of ``others`` reach the similarity with ``node``."""
+        flag = np.zeros(len(self.names), bool)
+        flag[self.held[node]] = True
+        same = np.array([np.count_nonzero(flag[self.held[o]]) for o in others])
+        total = len(self.held[node]) + np.array([len(self.held[o]) for o in others]) - same
+        return 100 * same >= per_cent * total
+
+
+def block_links(rows: dict, crossed: bool, shingle: int, per_cent: int, loose: int) -> list[tuple[int, int]]:
+    """Links that join groups, among the members of a block or between two; ``rows``: node, block, root, n, sig, words."""
+    node, block, n, sig = rows["node"], rows["block"], rows["n"], rows["sig"]
+    roots, label = np.unique(rows["root"], return_inverse=True)
+    sets, out = Sets(shingle), []
+    for x in range(len(node) - 1):
+        y = slice(x + 1, None)
+        fits = (label[y] != label[x]) & allowed(n[y], n[x], per_cent)
+        if crossed:
+            fits &= block[y] != block[x]
+        at = np.flatnonzero(fits) + x + 1
+        at = at[(sig[at] != sig[x]).sum(1) <= loose] if len(at) else at
+        if not len(at):
+            continue
+        for i in (x, *at.tolist()):
+            if int(node[i]) not in sets.held:
+                sets.add(int(node[i]), rows["words"][i])
+        for i in at[sets.near(int(node[x]), node[at].tolist(), per_cent)].tolist():
+            if label[i] != label[x]:
+                out.append((int(node[x]), int(node[i])))
+                label[label == label[i]] = label[x]
+    return out
 
-    def pairs_in(group: dict):
-        """Positions of a group's pairs."""
-        sig, root, n, piece = group["sig"], group["root"], group["n"], group["piece"]
-        combo, crossed = int(group["key"][0]) & 127, int(group["i"][0]) != int(group["j"][0])
-        for x in range(len(root) - 1):
-            y = slice(x + 1, None)
-            fits = (root[y] != root[x]) & allowed(n[y], n[x], per_cent)
-            if crossed:
-                fits &= piece[y] != piece[x]
-            at = np.flatnonzero(fits) + x + 1
-            if len(at):
-                equal = sig[at] == sig[x]
-                near = equal.sum(1) >= symbols - loose
-                at, equal = at[near], equal[near]
-                at = at[index.first_common(equal) == combo] if len(at) else at
-                if len(at):
-                    yield np.full(len(at), x), at
+
+def cross_links(members: DataFrame, grouped: DataFrame, texts: DataFrame, index: Index, shingle: int, per_cent: int, loose: int) -> DataFrame:
+    """Links ``(a, b)`` between groups that share a cell; ``grouped``: ``(node, root, n, sig, block)``."""
+    placed_ = members.join(grouped.select("node", "root", "block"), "node")
+    cells = settle(placed_.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "cell_blocks")
+    mixed = cells.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
+    cells = settle(cells.join(mixed, "key").select("key", "block"), "mixed_cells")
+    meet = (cells.withColumnRenamed("block", "one").join(cells.withColumnRenamed("block", "two"), "key")
+            .where("one <= two").select("one", "two").distinct())
+    needed = members.join(cells.select("key").distinct(), "key", "left_semi").select("node").distinct()
+    rows = settle(grouped.join(needed, "node").join(texts, "node"), "mixed_texts")
+    sides = meet.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    symbols = index.chunks * index.symbols
 
     def run(batches):
-        names = ["key", "i", "j", "piece", "node", "root", "n", "block"]
-        held, found, size = None, [], 0
-
-        def emit():
-            out = [np.concatenate(c) for c in zip(*found)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "block_a", "b", "block_b"])
-
-        def take(group):
-            nonlocal size
-            node, block = group["node"], group["block"]
-            for x, y in pairs_in(group):
-                found.append((node[x], block[x], node[y], block[y]))
-                size += len(x)
-                if size > 1 << 16:
-                    yield emit()
-                    found.clear()
-                    size = 0
+        names, held = ["one", "two", "node", "block", "root", "n"], None
+
+        def links_of(group):
+            found = block_links(group, bool(group["one"][0] != group["two"][0]), shingle, per_cent, loose)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {c: batch[c].to_numpy() for c in names} | {"sig": sig_rows(batch["sig"], symbols)}
+            some = {c: batch[c].to_numpy() for c in names} | {"sig": sig_rows(batch["sig"], symbols), "words": np.array(batch["words"].to_pylist(), object)}
             if held is not None:
-                rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
-            new = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
-            cuts = [0, *new.tolist()]
+                some = {c: np.concatenate((held[c], some[c])) for c in some}
+            cuts = [0, *(np.flatnonzero((np.diff(some["one"]) != 0) | (np.diff(some["two"]) != 0)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:]):
-                yield from take({c: v[a:b] for c, v in rows.items()})
-            held = {c: v[cuts[-1]:].copy() for c, v in rows.items()}
+                yield links_of({c: v[a:b] for c, v in some.items()})
+            held = {c: v[cuts[-1]:].copy() for c, v in some.items()}
         if held is not None:
-            yield from take(held)
-        if size:
-            yield emit()
+            yield links_of(held)
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, block_a long, b long, block_b long")
+    dealt = sides.join(rows, "block").select("one", "two", "node", "block", "root", "n", "sig", "words")
+    dealt = dealt.repartition("one", "two").sortWithinPartitions("one", "two", "node")
+    return settle(dealt.mapInArrow(run, "a long, b long"), "minhash_links")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) -> DataFrame:
@@ -284,8 +282,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) -
             .unionByName(pairs.withColumn("words", F.lit(None).cast("binary"))))
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        now, sets, names = None, {}, {}
+        now, sets = None, None
         for batch in batches:
             low, high, words = batch["low"].to_numpy(), batch["high"].to_numpy(), batch["words"]
             is_text = np.asarray(words.is_valid())
@@ -293,30 +290,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) -
             cuts = [0, *new.tolist(), batch.num_rows] if batch.num_rows else []
             for x, y in zip(cuts, cuts[1:]):
                 if now != (low[x], high[x]):
-                    now, sets, names = (low[x], high[x]), {}, {}
+                    now, sets = (low[x], high[x]), Sets(shingle)
                 a = batch["a"].slice(x, y - x).to_numpy()
-                if is_text[x]:  # they come before the pairs; a shingle is a number within the group
+                if is_text[x]:  # they come before the pairs
                     for node, packed in zip(a.tolist(), words.slice(x, y - x).to_pylist()):
-                        some = shingles(unpack.decompress(packed).split(b" "), shingle)
-                        sets[node] = np.fromiter((names.setdefault(s, len(names)) for s in some), np.int32, len(some))
+                        sets.add(node, packed)
                     continue
-                b, same = batch["b"].slice(x, y - x).to_numpy(), np.zeros(len(a), np.int64)
-                flag, last = np.zeros(len(names), bool), None
-                for k, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
-                    if p != last:
-                        flag[:] = False
-                        flag[sets[p]] = True
-                        last = p
-                    same[k] = np.count_nonzero(flag[sets[q]])
-                total = np.array([len(sets[p]) + len(sets[q]) for p, q in zip(a.tolist(), b.tolist())]) - same
-                linked = 100 * same >= per_cent * total
+                b = batch["b"].slice(x, y - x).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+                linked = np.concatenate([sets.near(int(a[p]), b[p:q].tolist(), per_cent) for p, q in zip(edges, edges[1:])])
                 yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], ["a", "b"])
 
     dealt = rows.repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").isNotNull(), "a", "b")
     return settle(dealt.mapInArrow(run, "a long, b long"), "minhash_links")
 
 
-def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int, per_cent: int, loose: int, cell: int) -> DataFrame:
+def texts_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, words)`` of some nodes; a bitmap of them, of bounded size, spares most of the other texts the shuffle."""
+    bitmap = found.sparkSession.sparkContext.broadcast(np.packbits(fingerprint_bitmap(nodes.select(F.xxhash64("node").alias("fp"))), bitorder="little"))
+
+    def run(batches):
+        marks = bitmap.value
+        mask = np.int64(8 * len(marks) - 1)
+        for batch in batches:
+            bit = batch["hash"].to_numpy() & mask
+            yield batch.filter(pa.array((marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)).select(["node", "words"])
+
+    maybe = found.select(F.col("row_id").alias("node"), F.xxhash64("row_id").alias("hash"), "words").mapInArrow(run, "node long, words binary")
+    return settle(maybe.join(nodes.select("node"), "node"), "minhash_texts")
+
+
+def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int, per_cent: int, loose: int) -> DataFrame:
     """``(node, root)`` of all nodes that are linked, directly or through others."""
     symbols = index.chunks * index.symbols
     cells = cells_of(nodes, index)
@@ -325,13 +329,13 @@ def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int
     homes = members.groupBy("node").agg(F.max(F.struct("rows", "key"))["key"].alias("home"), F.count("*").alias("degree"))
     ordered = placed(homes.withColumn("all", F.lit(0)), "all", F.col("home"), F.col("node"), name="minhash_order")
     info = settle(ordered.select("node", "degree", F.floor(F.col("pos") / BLOCK).cast("long").alias("block")).join(nodes, "node"), "minhash_info")
-    texts = settle(found.select(F.col("row_id").alias("node"), "words").join(info.select("node"), "node"), "minhash_texts")
+    texts = texts_of(found, info)
     members = members.select("key", "node")
 
     near = confirmed(star_pairs(members, info, symbols, loose, per_cent), texts, shingle, per_cent)
     first = settle(components(near), "minhash_groups")
     grouped = settle(info.select("node", "n", "sig", "block").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash_rooted")
-    more = confirmed(cross_pairs(members, grouped, index, loose, per_cent, cell), texts, shingle, per_cent)
+    more = cross_links(members, grouped, texts, index, shingle, per_cent, loose)
     root = grouped.select("node", "root")
     merged = components(more.join(root.withColumnRenamed("root", "x"), more["a"] == root["node"]).select("x", "b")
                         .join(root.withColumnRenamed("root", "y"), F.col("b") == root["node"]).select("x", "y"), "x", "y")
@@ -339,13 +343,13 @@ def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT, chunks: int = CHUNKS, symbols: int = SYMBOLS,
-                distance: int = DISTANCE, loose: int = LOOSE, cell: int = CELL) -> DataFrame:
+                distance: int = DISTANCE, loose: int = LOOSE) -> DataFrame:
     """``(doc_id, digest, n_shingles, component_id)`` for every row: the smallest doc_id reachable over links."""
     index = Index(chunks, symbols, distance)
     found = settle(read_texts(docs, shingle, chunks * symbols), "minhash_texts_all")
     copies = found.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row_id", "n_shingles", "sig")).alias("r"), F.min("doc_id").alias("least"))
     nodes = settle(copies.select(F.col("r.row_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"), "digest", "least"), "minhash_nodes")
-    linked = grouped_nodes(nodes.select("node", "n", "sig"), found, index, shingle, per_cent, loose, cell)
+    linked = grouped_nodes(nodes.select("node", "n", "sig"), found, index, shingle, per_cent, loose)
     rooted = settle(nodes.select("node", "digest", "least").join(linked, "node", "left")
                     .select("digest", "least", F.coalesce("root", "node").alias("root")), "minhash_roots")
     least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "minhash_least")
