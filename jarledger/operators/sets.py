@@ -23,7 +23,7 @@ def active_days(tx: DataFrame) -> DataFrame:
 def pending_union(tx: DataFrame, queue: DataFrame) -> DataFrame:
     """Posted transactions plus the items still queued on devices, shown
     as signed transactions with an ``offline_<op_id>`` id (queue items are
-    only add / withdraw).  Posted ids become text so both fit one column."""
+    only add / withdraw), newest first.  Posted ids become text so both fit one column."""
     items = queue.where(F.col("op").isin("add", "withdraw"))  # all that a device queue holds, so all that can block it
     left = drain_until_failure(items).where(~F.col("posted"))
     note = F.col("note") if "note" in queue.columns else F.lit(None).cast("string")
@@ -39,4 +39,4 @@ def pending_union(tx: DataFrame, queue: DataFrame) -> DataFrame:
         F.col("id").cast("string").alias("id"), "box_id", "amount", "note", "date",
         F.lit(False).alias("pending"),
     )
-    return posted.unionByName(pending)
+    return posted.unionByName(pending).orderBy(F.col("date").desc(), F.col("id").desc())

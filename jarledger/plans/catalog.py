@@ -57,10 +57,24 @@ def q_ledger_snapshot(spark, sf_dir):
     return snapshot.read_snapshot(spark, root, "transactions")
 
 
+@register("ledger_snapshot_torn")
+def q_ledger_snapshot_torn(spark, sf_dir):
+    """O04 where a later load was lost after its boxes: both tables of the last complete one."""
+    L = bind_events(spark, sf_dir)
+    root = shared_dir(spark, "snapshots")
+    snapshot.ledger_snapshot(L.user_boxes, L.transactions, root)
+    L.user_boxes.where("not is_archived").write.parquet(f"{root}/load-lost/user_boxes")     # never committed
+    got = snapshot.read_tables(spark, root)
+    return (got["user_boxes"].select(F.lit("box").alias("kind"), "id", F.col("current_amount").alias("amount"))
+            .unionByName(got["transactions"].select(F.lit("tx").alias("kind"), "id", "amount")))
+
+
 @register("template_seed")
 def q_template_seed(spark, sf_dir):
     L = bind_events(spark, sf_dir)
-    t = seed.template_seed(L.box_templates, seed.seed_templates(spark))
+    seeds = seed.seed_templates(spark)
+    once = seed.template_seed(L.box_templates, seeds.where("id = -1000"))
+    t = seed.template_seed(once, seeds)     # one is there already, one is new
     return t.select("id", "name", "total_amount", "currency",
                     F.size("grid_config").cast("bigint").alias("cells"),
                     F.aggregate("grid_config", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("grid_sum"))
@@ -434,3 +448,80 @@ def q_home_cards(spark, sf_dir):
 def q_drain_and_fold(spark, sf_dir):
     from jarledger.plans.views import drain_and_fold
     return drain_and_fold(bind_events(spark, sf_dir).op_log)
+
+
+# ------------------------------------------------------------ queues, one log of everything
+
+@register("queue_drain_rounds")
+def q_queue_drain_rounds(spark, sf_dir):
+    from jarledger.operators.queue import drain_rounds
+    events = _read(spark, sf_dir, "events")
+    return drain_rounds(derived.queue_items(events), derived.device_fetches(events))
+
+
+@register("stream_queue_drain")
+def q_stream_queue_drain(spark, sf_dir):
+    from jarledger.streaming.device_streams import run_stream_queue_drain
+    return run_stream_queue_drain(spark, sf_dir)
+
+
+@register("stream_profile_provision")
+def q_stream_profile_provision(spark, sf_dir):
+    from jarledger.streaming.device_streams import run_stream_provision
+    return run_stream_provision(spark, sf_dir)
+
+
+def _unified(spark, sf_dir):
+    from jarledger.operators.unified import unified_replay
+    L = bind_events(spark, sf_dir)
+    return unified_replay(derived.unified_log(_read(spark, sf_dir, "events")), L.user_boxes, L.box_templates)
+
+
+@register("unified_replay")
+def q_unified_replay(spark, sf_dir):
+    boxes, _ = _unified(spark, sf_dir)
+    return boxes.withColumn("crossed_out_indices", F.array_join("crossed_out_indices", ","))
+
+
+@register("unified_replay_rows")
+def q_unified_replay_rows(spark, sf_dir):
+    return _unified(spark, sf_dir)[1]
+
+
+# ------------------------------------------------------------ storage by month
+
+@register("net_saved_month_stored")
+def q_net_saved_month_stored(spark, sf_dir):
+    """O23 from storage partitioned by month: only months from as_of's on are read."""
+    from jarledger.sources import monthly
+    L = bind_events(spark, sf_dir)
+    stored = monthly.store_by_month(L.transactions, shared_dir(spark, "monthly"))
+    return agg.net_saved_month(monthly.since(stored, L.as_of.replace(day=1)), L.user_boxes, as_of=L.as_of)
+
+
+@register("net_of_months")
+def q_net_of_months(spark, sf_dir):
+    """Net per box of the months in which archived boxes were made."""
+    from jarledger.sources import monthly
+    L = bind_events(spark, sf_dir)
+    stored = monthly.store_by_month(L.transactions, shared_dir(spark, "monthly"))
+    return monthly.net_of_months(stored, L.user_boxes.where("is_archived").select(monthly.month_of(F.col("created_at")).alias("month")))
+
+
+# ------------------------------------------------------------ SQL
+
+def _sql(key: str, text: str):
+    @register(key)
+    def query(spark, sf_dir):
+        from jarledger.plans.sql_surface import register as register_sql
+        L = bind_events(spark, sf_dir)
+        register_sql(spark, L)
+        return spark.sql(text.format(as_of=f"DATE '{L.as_of}'"))
+
+
+_sql("sql_balance_week", "SELECT * FROM balance_week({as_of})")
+_sql("sql_balance_month", "SELECT * FROM balance_month({as_of})")
+_sql("sql_net_saved_month", "SELECT * FROM net_saved_month({as_of})")
+_sql("sql_recent_activity", "SELECT * FROM box_history(10, false)")
+_sql("sql_archive_history", "SELECT * FROM box_history(15, true)")
+_sql("sql_ledger_reconcile", "SELECT * FROM ledger_reconcile()")

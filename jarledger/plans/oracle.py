@@ -179,9 +179,9 @@ Q["ledger_snapshot"] = "SELECT id, box_id, amount, note, date FROM transactions"
 
 Q["template_seed"] = """
 , seed(id, name, total_amount, currency, grid_config) AS (VALUES
-  (CAST(1000 AS BIGINT), 'Скарбничка 1000 грн', 1000, 'UAH',
+  (CAST(-1000 AS BIGINT), 'Скарбничка 1000 грн', 1000, 'UAH',
    [5, 10, 20, 50, 5, 10, 20, 50, 100, 200, 50, 20, 10, 5, 5, 10, 20, 50, 100, 200, 50, 20]),
-  (CAST(5000 AS BIGINT), 'Скарбничка 5000 грн', 5000, 'UAH',
+  (CAST(-5000 AS BIGINT), 'Скарбничка 5000 грн', 5000, 'UAH',
    [50, 100, 200, 500, 50, 100, 200, 500, 50, 100, 200, 500, 50, 100, 200, 500, 1000])),
 cat AS (
   SELECT id, name, total_amount, currency, grid_config FROM box_templates
@@ -739,7 +739,97 @@ SELECT box_id,
 FROM st GROUP BY box_id
 """
 
-RECURSIVE = {"ordered_replay", "ordered_replay_ranges", "replay_steps", "tx_delete_apply", "stream_ordered_replay"}
+Q["ledger_snapshot_torn"] = """
+SELECT 'box' AS kind, id, current_amount AS amount FROM user_boxes
+UNION ALL SELECT 'tx', id, amount FROM transactions
+"""
+
+# Item by item: tried from the first fetch that sees it, or from the one that posted the item before it.
+DRAIN = """
+, qi AS (
+  SELECT event_id AS op_id, ts, user_id % 8 AS d, CASE WHEN event_id % 97 = 0 THEN 1 + event_id % 3 ELSE 0 END AS fails FROM events
+), qf AS (
+  SELECT user_id % 8 AS d, ts, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'
+), seq AS (
+  SELECT q.*, row_number() OVER (PARTITION BY d ORDER BY ts, op_id) AS k,
+         1 + (SELECT count(*) FROM qf WHERE qf.d = q.d AND qf.ts < q.ts) AS a
+  FROM qi q
+), walk AS (
+  SELECT d, k, op_id, fails, a + fails AS round FROM seq WHERE k = 1
+  UNION ALL
+  SELECT s.d, s.k, s.op_id, s.fails, greatest(s.a, w.round) + s.fails FROM walk w JOIN seq s ON s.d = w.d AND s.k = w.k + 1
+), drained AS (
+  SELECT w.op_id, 'd' || CAST(w.d AS VARCHAR) AS device, CAST(w.fails AS BIGINT) AS fails, qf.n AS posted_round, qf.ts AS posted_at
+  FROM walk w LEFT JOIN qf ON qf.d = w.d AND qf.n = w.round
+)
+"""
+Q["queue_drain_rounds"] = DRAIN + "SELECT * FROM drained"
+Q["stream_queue_drain"] = DRAIN + "SELECT op_id, device, posted_round, posted_at FROM drained WHERE posted_round IS NOT NULL"
+Q["stream_profile_provision"] = Q["profile_provision"]
+
+# Box by box, op by op, with the rows posted so far; a deletion belongs to its target's box.
+UNIFIED = """
+, ulog AS (
+  SELECT event_id AS op_id, ts, user_id * 10 + event_id % 5 AS box_id,
+         CASE WHEN event_type = 'purchase' THEN 'withdraw' WHEN event_type = 'error' THEN 'delete_tx' WHEN event_type = 'click' THEN 'crossout'
+              WHEN event_type = 'signup' AND event_id % 40 = 0 THEN 'reset' WHEN event_type = 'signup' AND event_id % 200 = 3 THEN 'delete_box'
+              ELSE 'add' END AS op,
+         CAST(value AS DECIMAL(12,2)) AS amount,
+         CASE event_type WHEN 'error' THEN event_id - 1 - event_id % 7 WHEN 'click' THEN event_id % 25 END AS arg
+  FROM events
+), homed AS (
+  SELECT l.op_id, l.ts, CASE WHEN l.op = 'delete_tx' THEN t.box_id ELSE l.box_id END AS box_id, l.op, abs(l.amount) AS amount, l.arg
+  FROM ulog l LEFT JOIN ulog t ON t.op_id = l.arg AND l.op = 'delete_tx'
+), steps AS (
+  SELECT h.*, row_number() OVER (PARTITION BY h.box_id ORDER BY h.ts, h.op_id) AS n,
+         CASE WHEN h.op = 'crossout' AND h.arg < len(tp.grid_config) THEN CAST(tp.grid_config[h.arg + 1] AS DECIMAL(12,2)) ELSE 0 END AS cell
+  FROM homed h JOIN user_boxes b ON b.id = h.box_id LEFT JOIN box_templates tp ON tp.id = b.template_id
+), walk AS (
+  SELECT id AS box_id, CAST(0 AS BIGINT) AS n, CAST(current_amount AS DECIMAL(18,2)) AS bal, CAST(0 AS BIGINT) AS n_applied,
+         CAST([] AS STRUCT(id BIGINT, amt DECIMAL(12,2))[]) AS posted, crossed_out_indices AS crossed, false AS deleted
+  FROM user_boxes
+  UNION ALL
+  SELECT w.box_id, s.n,
+         CASE WHEN NOT s.ok THEN w.bal WHEN s.op = 'add' THEN w.bal + s.amount WHEN s.op = 'withdraw' THEN w.bal - s.amount
+              WHEN s.op = 'reset' THEN 0 WHEN s.op = 'crossout' THEN w.bal + s.cell
+              WHEN s.op = 'delete_tx' THEN greatest(0, w.bal - s.hit) ELSE w.bal END,
+         w.n_applied + CASE WHEN s.ok AND (s.op IN ('add', 'withdraw', 'reset', 'delete_tx') OR (s.op = 'crossout' AND s.cell > 0)) THEN 1 ELSE 0 END,
+         CASE WHEN NOT s.ok THEN w.posted
+              WHEN s.op = 'add' OR (s.op = 'crossout' AND s.cell > 0)
+              THEN list_append(w.posted, {'id': s.op_id, 'amt': CAST(CASE s.op WHEN 'add' THEN s.amount ELSE s.cell END AS DECIMAL(12,2))})
+              WHEN s.op = 'withdraw' THEN list_append(w.posted, {'id': s.op_id, 'amt': CAST(-s.amount AS DECIMAL(12,2))})
+              WHEN s.op = 'delete_tx' THEN list_filter(w.posted, lambda p: p.id <> s.arg) ELSE w.posted END,
+         CASE WHEN s.ok AND s.op = 'crossout' THEN list_append(w.crossed, CAST(s.arg AS INTEGER)) ELSE w.crossed END,
+         w.deleted OR (s.ok AND s.op = 'delete_box')
+  FROM walk w JOIN LATERAL (
+    SELECT x.*, list_filter(w.posted, lambda p: p.id = x.arg)[1].amt AS hit,
+           NOT w.deleted AND CASE x.op WHEN 'add' THEN x.amount <> 0 WHEN 'withdraw' THEN x.amount <> 0 AND w.bal >= x.amount
+                                       WHEN 'crossout' THEN NOT list_contains(w.crossed, CAST(x.arg AS INTEGER))
+                                       WHEN 'delete_tx' THEN len(list_filter(w.posted, lambda p: p.id = x.arg)) > 0 ELSE true END AS ok
+    FROM steps x WHERE x.box_id = w.box_id AND x.n = w.n + 1) s ON true
+), done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY n DESC) AS last FROM walk) WHERE last = 1)
+"""
+Q["unified_replay"] = UNIFIED + """
+SELECT box_id, CASE WHEN NOT deleted THEN CAST(bal AS DECIMAL(18,2)) END AS balance, n_applied,
+       CASE WHEN NOT deleted THEN array_to_string(crossed, ',') END AS crossed_out_indices, deleted
+FROM done
+"""
+Q["unified_replay_rows"] = UNIFIED + """
+SELECT p.id AS op_id, box_id, p.amt AS amount FROM (SELECT box_id, unnest(posted) AS p FROM done WHERE NOT deleted)
+"""
+
+Q["net_saved_month_stored"] = Q["net_saved_month"]
+Q["net_of_months"] = """
+SELECT CAST(date_trunc('month', date) AS DATE) AS month, box_id, CAST(sum(amount) AS DECIMAL(18,2)) AS net FROM transactions
+WHERE date_trunc('month', date) IN (SELECT date_trunc('month', created_at) FROM user_boxes WHERE is_archived)
+GROUP BY 1, 2
+"""
+
+for _key in ("balance_week", "balance_month", "net_saved_month", "recent_activity", "archive_history", "ledger_reconcile"):
+    Q[f"sql_{_key}"] = Q[_key]
+
+RECURSIVE = {"ordered_replay", "ordered_replay_ranges", "replay_steps", "tx_delete_apply", "stream_ordered_replay",
+             "queue_drain_rounds", "stream_queue_drain", "unified_replay", "unified_replay_rows"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -97,9 +97,37 @@ def delete_requests(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("req_id"), "ts", F.col("event_id").alias("tx_id"))
 
 
+def queue_items(events: DataFrame) -> DataFrame:
+    """Queue drain input: every event is an item; every 97th fails at its first one to three attempts."""
+    eid = F.col("event_id")
+    return events.select(eid.alias("op_id"), "ts", F.concat(F.lit("d"), (F.col("user_id") % 8).cast("string")).alias("device"),
+                         F.when(eid % 97 == 0, 1 + eid % 3).otherwise(0).cast("int").alias("fails"))
+
+
+def device_fetches(events: DataFrame) -> DataFrame:
+    """Queue drain input: at every view the device opens the app."""
+    return events.where(F.col("event_type") == "view").select(
+        F.col("event_id").alias("fetch_id"), "ts", F.concat(F.lit("d"), (F.col("user_id") % 8).cast("string")).alias("device"))
+
+
+def unified_log(events: DataFrame) -> DataFrame:
+    """One log of all that happens: purchases withdraw, errors delete what an earlier event posted, clicks cross out
+    cells, some sign-ups reset or delete the box, the rest adds."""
+    eid, et = F.col("event_id"), F.col("event_type")
+    op = (F.when(et == "purchase", "withdraw").when(et == "error", "delete_tx").when(et == "click", "crossout")
+          .when((et == "signup") & (eid % 40 == 0), "reset").when((et == "signup") & (eid % 200 == 3), "delete_box").otherwise("add"))
+    arg = F.when(et == "error", eid - 1 - eid % 7).when(et == "click", eid % 25)
+    return events.select(eid.alias("op_id"), "ts", (F.col("user_id") * 10 + eid % 5).alias("box_id"), op.alias("op"),
+                         F.when(op.isin("add", "withdraw"), F.col("value")).cast("decimal(12,2)").alias("amount"), arg.cast("string").alias("arg"))
+
+
 def signup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O06 input: sign-up rows with JSON user metadata; every 50th is broken."""
-    c = _read(spark, sf_dir, "customer")
+    return signups_of(_read(spark, sf_dir, "customer"))
+
+
+def signups_of(c: DataFrame) -> DataFrame:
+    """The same from a customer frame, which may stream."""
     k = F.col("c_custkey")
     meta = (F.when(k % 3 == 0, F.to_json(F.struct(F.col("c_name").alias("full_name"), F.lit("nick").alias("name"))))
             .when(k % 3 == 1, F.to_json(F.struct(F.col("c_name").alias("name"))))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The two seeded physical boxes (name, stated total, the grid
 # printed on the box).  The currency is the column default, UAH.  Our ids are
-# integers, so a seed row's id is its stated total.
+# integers, and those of user tables are above 0, so a seed row's is its stated total below 0.
 SEED_TEMPLATES = [
-    (1000, "Скарбничка 1000 грн", 1000, "UAH",
+    (-1000, "Скарбничка 1000 грн", 1000, "UAH",
      [5, 10, 20, 50, 5, 10, 20, 50, 100, 200, 50, 20, 10, 5, 5, 10, 20, 50, 100, 200, 50, 20]),
-    (5000, "Скарбничка 5000 грн", 5000, "UAH",
+    (-5000, "Скарбничка 5000 грн", 5000, "UAH",
      [50, 100, 200, 500, 50, 100, 200, 500, 50, 100, 200, 500, 50, 100, 200, 500, 1000]),
 ]
 TEMPLATE_DDL = "id BIGINT, name STRING, total_amount INT, currency STRING, grid_config ARRAY<INT>"
