@@ -10,11 +10,16 @@ Template words are ordered by how many texts of the corpus hold them, rarest
 first.  A match shares ``need`` words, so it shares one of the template's
 first ``size - need + 1`` words in that order (prefix filter); texts whose own
 template words don't reach ``need`` are left before blocks are cut (length
-filter).  Only blocks around an occurrence of a prefix word are looked at: if
-the words that these blocks cover together don't reach ``need``, the pair is
-dropped (the length filter again); else each block that begins at a template
+filter).  Only blocks around an occurrence of a prefix word are looked at, and
+only for matches whose first shared word in the order this is: the others are
+met at that word.  All their shared words then stand at or after its place in
+the template's order, so if the words that these blocks cover together hold
+fewer than ``need`` of the template's words from that place on, the pair is
+dropped (positional filter: it prunes what has enough words in all, but too few
+behind the place); else each block that begins at a template
 word is verified.  A block that begins elsewhere shares no more than the one
-that begins at its first template word.  Templates are parameters, at most
+that begins at its first template word.  Templates are parameters, or a table
+read by :func:`templates_of`, at most
 ``MOST_TEMPLATES`` of them, and so are the only thing broadcast.
 
 Beside it stand the fixed phrases, found where their words follow each other.
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jarledger.llm.common import ascii_lower, settle, table
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK, STRIDE, CONTAINMENT, MOST_TEMPLATES = 32, 16, 0.8, 1000
+BLOCK, CONTAINMENT, MOST_TEMPLATES = 32, 0.8, 1000
 
 # Phrases of the base scan, and the templates of the join.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -75,6 +80,14 @@ def places(words: Column, phrase: list[str]) -> Column:
         F.array().cast("array<int>"))
 
 
+def templates_of(table_: DataFrame, most: int = MOST_TEMPLATES) -> list[tuple[str, str]]:
+    """The templates of a table ``(text, label)``, their words as the scan reads them; refuses more than ``most`` rows."""
+    rows = table_.select(F.array_join(words_of(F.col("text")), " ").alias("text"), "label").where("text <> '' and label is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"at most {most} templates")
+    return sorted((r["text"], r["label"]) for r in rows)
+
+
 def plan_templates(counts: dict[str, int], templates: list[tuple[str, str]], containment: float) -> list[dict]:
     """For each template its words, rarest first, prefix and need."""
     order = sorted(counts, key=lambda w: (counts[w], w))
@@ -117,8 +130,8 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
 
     # the join: where prefix words stand against the templates that have them, then the blocks around
     index = spark.createDataFrame(
-        [(w, t["template"], t["label"], t["words"], t["need"], max(block, 2 * t["length"])) for t in plan for w in t["prefix"]],
-        "word string, template int, label string, t_words array<string>, need int, block int")
+        [(w, t["template"], t["label"], t["words"], t["words"][i:], t["need"], max(block, 2 * t["length"])) for t in plan for i, w in enumerate(t["prefix"])],
+        "word string, template int, label string, t_words array<string>, rest array<string>, need int, block int")
     rare = literal(sorted({w for t in plan for w in t["prefix"]}))
     most = max((max(block, 2 * t["length"]) for t in plan), default=block)
     stands = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(rare, x), i)), lambda i: i.isNotNull())
@@ -131,8 +144,8 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
              .select("row_id", "reach", F.get("w", F.col("at")).alias("word"), F.least("at", F.lit(most - 1)).alias("at"),
                      around(F.col("at"), F.lit(most)).alias("w")))
     pairs = (spots.join(F.broadcast(index), "word").where(F.array_contains("reach", F.col("template")))
-             .select("row_id", "label", "need", "t_words", "block", around(F.col("at"), F.col("block")).alias("near"), F.least("at", F.col("block") - 1).alias("at"))
-             .where(F.size(F.array_intersect("near", "t_words")) >= F.col("need")))
+             .select("row_id", "label", "need", "t_words", "rest", "block", around(F.col("at"), F.col("block")).alias("near"), F.least("at", F.col("block") - 1).alias("at"))
+             .where(F.size(F.array_intersect("rest", "near")) >= F.col("need")))
     begins = F.filter(F.sequence(F.lit(0), F.col("at")), lambda i: F.array_contains("t_words", F.get("near", i)))
     shared = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("block")), F.col("t_words")))))
     hits = (pairs.select("row_id", "label", shared.alias("shared"), "need", F.size("t_words").alias("size"))
@@ -156,25 +169,28 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same by brute force, over the blocks that begin every ``STRIDE`` words: a match that only others hold is not in it."""
+    """The same by brute force: every block that begins at a word of the template, against every template."""
     def listed(text: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
 
     phrases = ", ".join(f"({listed(p)}, '{label}')" for p, label in PHRASES)
-    templates = ", ".join(f"(list_distinct({listed(t)}), '{label}')" for t, label in TEMPLATES)
+    templates = ", ".join(f"(list_distinct({listed(t)}), '{label}', {max(BLOCK, 2 * len(t.split()))})" for t, label in TEMPLATES)
     return rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), p(p, label) AS (VALUES {phrases}), t(t, label) AS (VALUES {templates}),
+), p(p, label) AS (VALUES {phrases}), t(t, label, size) AS (VALUES {templates}),
 base AS (
   SELECT doc_id, s - 1 AS place, label
   FROM (SELECT doc_id, w, p, label, unnest(generate_series(1, len(w) - len(p) + 1)) AS s FROM d, p WHERE len(w) >= len(p))
   WHERE w[s:s + len(p) - 1] = p
 ), b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base_list FROM base GROUP BY 1),
-block AS (SELECT doc_id, w[s + 1:s + {BLOCK}] AS k FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, {STRIDE})) AS s FROM d WHERE len(w) > 0)),
-hit AS (
-  SELECT doc_id, label, len(list_intersect(t, k)) / len(t) AS share FROM block, t
+near AS (SELECT doc_id, w, t, label, size FROM d, t WHERE len(list_intersect(t, w)) >= ceil({CONTAINMENT} * len(t) - 1e-9)),
+block AS (
+  SELECT t, label, doc_id, w[s:s + size - 1] AS k
+  FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(t, w[i]))) AS s FROM near)
+), hit AS (
+  SELECT doc_id, label, len(list_intersect(t, k)) / len(t) AS share FROM block
   WHERE len(list_intersect(t, k)) >= ceil({CONTAINMENT} * len(t) - 1e-9)
 ), h AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM hit GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
