@@ -60,6 +60,8 @@ CLAUSE_END = re.compile(r"[.!?;:\n\r]")
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
 #: What the composed machine writes; each has a learned weight.
 READINGS = ("aimed", "bare", "threat", "negated", "reported")
+DIRECT = {"aimed", "bare", "threat"}
+RECALL = "recall"               # written for a report verb that comes last
 AIMED_THREAT = "aimed threat"   # written for a threat whose target came first: two readings at once
 
 
@@ -97,7 +99,8 @@ def compose(first: Transducer, second: Transducer, alphabet: tuple[str, ...]) ->
 def grammar(scope: int = 3) -> Transducer:
     """Negation reaches ``scope`` words on, reported speech to the clause's end, a target ``scope`` words.
 
-    A threat's target may come after it as well; the states of ``aim`` below 0
+    A report verb behind an insult or threat ("you idiot, she said") writes
+    RECALL: what the clause has had so far was reported.  A threat's target may come after it as well; the states of ``aim`` below 0
     count the words since a threat that has none yet.
     """
     negation = Transducer(0, rest={n: n - 1 for n in range(1, scope + 1)})
@@ -108,6 +111,8 @@ def grammar(scope: int = 3) -> Transducer:
             negation.arcs[(n, hit)] = (n - 1, "negated")
     report.arcs[(0, REPORT)] = (1, OTHER)
     report.arcs.update({(1, hit): (1, "reported") for hit in (INSULT, THREAT)})
+    report.arcs.update({(0, hit): (2, hit) for hit in (INSULT, THREAT)})
+    report.arcs[(2, REPORT)] = (1, RECALL)
     for n in range(scope + 1):
         aim.arcs[(n, TARGET)] = (scope, OTHER)
         aim.arcs[(n, INSULT)] = (max(0, n - 1), "aimed" if n else "bare")
@@ -177,7 +182,10 @@ class Reader:
             state, written = self.machine.start, set()
             for word in WORD.finditer(text, start, stop):
                 state, out = self.machine.step(state, self.kind(word.group()))
-                written.update(("aimed", THREAT) if out == AIMED_THREAT else (out,))
+                if out == RECALL:
+                    written = written - DIRECT | {"reported"}
+                else:
+                    written.update(("aimed", THREAT) if out == AIMED_THREAT else (out,))
             if written & set(READINGS):
                 found.update(written & set(READINGS))
                 found["clauses"] += 1

@@ -59,8 +59,125 @@ def test_threat_terms_are_learned(spark):
     assert toxicity_fst.Reader(model.words, model.stems, model.threats).kind("kills") == "threat"
 
 
+def test_report_verbs_may_come_last():
+    reader = toxicity_fst.Reader(["idiot"], [])
+    assert reader.readings("you are an idiot, she said") == {"reported": 1, "clauses": 1}
+    assert reader.readings("you are an idiot. she said") == {"aimed": 1, "clauses": 1}
+    assert reader.readings("not an idiot, you idiot, he wrote of an idiot") == {"negated": 1, "reported": 1, "clauses": 1}
+
+
+def plain_readings(text, insults, threats):
+    """Clause by clause, word by word, by the rules and not by a machine."""
+    out = {}
+    for clause in re.split(r"[.!?;:\n\r]", text.lower()):
+        kinds = []
+        for word in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause):
+            kinds.append("hit" if word in insults else "threat" if word in threats or word in toxicity_fst.THREATS else
+                         "target" if word in toxicity_fst.TARGETS else "no" if word in toxicity_fst.NEGATIONS else
+                         "report" if word in toxicity_fst.REPORTS else "")
+        got, reported, hits, denied, aimed, waiting = set(), False, False, 0, 0, 0
+        for kind in kinds:
+            said = kind
+            if kind == "no":
+                denied, said = 3, ""
+            else:
+                if kind in ("hit", "threat") and denied:
+                    got.add("negated")
+                    said = ""
+                denied = max(0, denied - 1)
+            if said == "report":
+                if hits and not reported:
+                    got = got - {"aimed", "bare", "threat"} | {"reported"}
+                reported, said = True, ""
+            elif said in ("hit", "threat") and reported:
+                got.add("reported")
+                said = ""
+            hits = hits or said in ("hit", "threat")
+            if said == "target":
+                if waiting:
+                    got.add("aimed")
+                aimed, waiting = 3, 0
+            elif said == "hit":
+                got.add("aimed" if aimed and not waiting else "bare")
+                aimed, waiting = max(0, aimed - 1), max(0, waiting - 1)
+            elif said == "threat":
+                got.add("threat")
+                if aimed and not waiting:
+                    got.add("aimed")
+                    aimed = aimed - 1
+                else:
+                    waiting, aimed = 3, 0
+            else:
+                aimed, waiting = max(0, aimed - 1), max(0, waiting - 1)
+        if got:
+            for g in (*got, "clauses"):
+                out[g] = out.get(g, 0) + 1
+    return out
+
+
+def test_readings_equal_plain_rules():
+    insults, threats, rng = {"idiot", "zopenco"}, {"kills"}, random.Random(8)
+    reader = toxicity_fst.Reader(sorted(insults), [], (sorted(threats), []))
+    words = ["idiot", "zopenco", "kills", "destroy", "you", "du", "not", "nie", "said", "dice", "tale", "red", "it's", "a", ".", "!", "\n", ","]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert dict(reader.readings(text)) == plain_readings(text, insults, threats), text
+
+
+def test_toxicity_scores_equal_the_plain_sum(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity_fst.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model = toxicity_fst.Model(model.words or ["the"], [], model.weights, model.base)     # whole words only
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity_fst.scores(docs, model).collect():
+        found = plain_readings(texts[r["doc_id"]], set(model.words), set())
+        x = [float(k in found) for k in toxicity_fst.READINGS] + [math.log1p(found.get("clauses", 0))]
+        z = sum(a * b for a, b in zip(x, model.weights)) + model.base
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_terms_equal_plain_counts(spark):
+    toxic = [f"{t} the idiot" for t in words_with(240)] + [f"{t} old fool {t.split()[-1]}" for t in words_with(90)]
+    docs, _ = labelled(spark, toxic, [f"{t} the friend" for t in words_with(300)])
+    got = {r["term"]: r["n"] for r in toxicity_fst.term_counts(docs).collect()}
+    want = {}
+    for r in docs.collect():
+        words = set(re.findall(r"[^\W\d_]+", r["text"].lower()))
+        for term in {"=" + w for w in words if len(w) >= 3} | {"^" + w[:n] for w in words for n in (4, 5, 6) if len(w) > n}:
+            want[term] = want.get(term, 0) + 1
+    assert {t: n for t, n in want.items()} == {t: n for t, n in got.items()}
+
+
 # ---------------------------------------------------------------- 4 licenses
 
+def test_templates_come_from_a_table(spark):
+    rows = spark.createDataFrame([("Free, to USE it", "free"), ("Free to use it", "free"), (None, "x"), ("..", "y"), ("a b", None)], "text string, label string")
+    assert license_scan.templates_of(rows) == [("free to use it", "free")]
+    try:
+        license_scan.templates_of(spark.range(5).selectExpr("concat('w', id) AS text", "'l' AS label"), 4)
+    except ValueError:
+        return
+    raise AssertionError("too many templates were taken")
+
+
+def test_many_long_templates(spark):
+    """Full-length templates that share most of their words, whole, cut and mixed."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    templates = [(" ".join(rng.sample(common, 40) + [f"t{k}x{i}" for i in range(rng.randint(4, 30))]), f"l{k}") for k in range(24)]
+    texts = []
+    for i in range(40):
+        words = templates[i % 24][0].split()
+        rng.shuffle(words)
+        texts.append(" ".join(["pad"] * (i * 3) + [w for w in words if rng.random() < 0.75 + 0.01 * (i % 20)] + ["pad"] * 9))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs, [("no such phrase", "none")], templates).collect()}
+    want = {i: brute_licenses(t, templates) for i, t in enumerate(texts)}
+    assert {i: g[0] for i, g in got.items()} == {i: w for i, (w, _) in want.items()} and len({w for w, _ in want.values()}) > 5
+    assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
 def brute_licenses(text, templates, block=32):
     w, labels, best = re.findall(r"[0-9a-z]+", text), set(), 0.0
     for t, label in templates:
