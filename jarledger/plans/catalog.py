@@ -488,6 +488,14 @@ def q_unified_replay_rows(spark, sf_dir):
     return _unified(spark, sf_dir)[1]
 
 
+@register("open_home")
+def q_open_home(spark, sf_dir):
+    from jarledger.plans.views import open_home
+    L, events = bind_events(spark, sf_dir), _read(spark, sf_dir, "events")
+    return open_home(L.user_boxes, L.box_templates, L.transactions, L.profiles, L.rates, derived.queue_money(events),
+                     derived.device_fetches(events), as_of=L.as_of)
+
+
 # ------------------------------------------------------------ storage by month
 
 @register("net_saved_month_stored")

@@ -8,6 +8,8 @@ rather than the way the Spark plan computes it.
 
 from __future__ import annotations
 
+import re
+
 AS_OF = "DATE '2024-01-25'"
 
 BINDING = r"""
@@ -825,11 +827,28 @@ WHERE date_trunc('month', date) IN (SELECT date_trunc('month', created_at) FROM
 GROUP BY 1, 2
 """
 
+# The cards over balances and transactions that the drained items have moved.
+_CARDS = re.sub(r"\buser_boxes\b", "boxes_now", re.sub(r"\btransactions\b", "tx_now", Q["home_cards"]))
+Q["open_home"] = DRAIN + """
+, sent AS (
+  SELECT e.event_id, e.user_id * 10 + e.event_id % 5 AS box_id, e.ts, d.posted_round IS NOT NULL AS posted,
+         CAST(CASE WHEN e.event_type = 'purchase' THEN -abs(e.value) ELSE abs(e.value) END AS DECIMAL(12,2)) AS amount
+  FROM events e JOIN drained d ON d.op_id = e.event_id
+), tx_now AS (
+  SELECT * FROM transactions UNION ALL SELECT -event_id, box_id, amount, NULL, ts FROM sent WHERE posted
+), boxes_now AS (
+  SELECT b.* REPLACE (CAST(b.current_amount + coalesce((SELECT sum(amount) FROM sent s WHERE s.box_id = b.id AND s.posted), 0) AS DECIMAL(12,2)) AS current_amount)
+  FROM user_boxes b
+)
+""" + _CARDS.replace("SELECT b.id AS box_id, b.name,", """SELECT b.id AS box_id, b.name,
+       (SELECT count(*) FROM sent s WHERE s.box_id = b.id AND s.posted) AS n_posted,
+       (SELECT count(*) FROM sent s WHERE s.box_id = b.id AND NOT s.posted) AS n_waiting,""")
+
 for _key in ("balance_week", "balance_month", "net_saved_month", "recent_activity", "archive_history", "ledger_reconcile"):
     Q[f"sql_{_key}"] = Q[_key]
 
 RECURSIVE = {"ordered_replay", "ordered_replay_ranges", "replay_steps", "tx_delete_apply", "stream_ordered_replay",
-             "queue_drain_rounds", "stream_queue_drain", "unified_replay", "unified_replay_rows"}
+             "queue_drain_rounds", "stream_queue_drain", "open_home", "unified_replay", "unified_replay_rows"}
 
 
 def oracle_sql() -> dict[str, str]:

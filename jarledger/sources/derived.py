@@ -104,6 +104,14 @@ def queue_items(events: DataFrame) -> DataFrame:
                          F.when(eid % 97 == 0, 1 + eid % 3).otherwise(0).cast("int").alias("fails"))
 
 
+def queue_money(events: DataFrame) -> DataFrame:
+    """The same items with their box and money."""
+    more = events.select(F.col("event_id").alias("op_id"), (F.col("user_id") * 10 + F.col("event_id") % 5).alias("box_id"),
+                         F.when(F.col("event_type") == "purchase", "withdraw").otherwise("add").alias("op"),
+                         F.col("value").cast("decimal(12,2)").alias("amount"))
+    return queue_items(events).join(more, "op_id")
+
+
 def device_fetches(events: DataFrame) -> DataFrame:
     """Queue drain input: at every view the device opens the app."""
     return events.where(F.col("event_type") == "view").select(
