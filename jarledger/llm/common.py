@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import sys
 import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +36,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+_PLACE = contextvars.ContextVar("place", default="llm")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside goes when the block ends; a result that is to stay is settled again outside, or ``keep``s."""
+    name = f"llm-scratch-{uuid.uuid4().hex}"
+    held = _PLACE.set(name)
+    try:
+        yield
+    finally:
+        _PLACE.reset(held)
+        drop_folder(spark, shared_dir(spark, name).rsplit("/", 1)[0])
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, on whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it again.
 
     Cuts the lineage at a point where several later steps start, so a lost
-    executor costs a re-read of Parquet files every executor can see.
+    executor costs a re-read of Parquet files every executor can see.  Within
+    :func:`scratch` the files are its own, unless ``keep`` is set.
     """
     spark = df.sparkSession
-    path = shared_dir(spark, "llm", name)
+    path = shared_dir(spark, "llm" if keep else _PLACE.get(), name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

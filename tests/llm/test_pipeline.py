@@ -29,6 +29,19 @@ def test_pipeline_equals_plain_loops(spark, sf):
     assert {r["doc_id"]: list(r["ids"]) for r in got.collect()} == {i: library.encode(t) for i, t in rows.items()}
 
 
+def test_a_scratch_leaves_only_what_is_kept(spark):
+    import os
+    from jarledger.llm.common import scratch, settle
+    from jarledger.session import shared_dir
+    root = shared_dir(spark, "x").rsplit("/", 2)[0].replace("file:", "")
+    with scratch(spark):
+        inner = settle(spark.range(5), "inner")
+        kept = settle(inner.where("id > 2"), "kept", keep=True)
+        place = inner.inputFiles()[0].replace("file:", "").replace("//", "/")
+        assert os.path.exists(place) and "llm-scratch" in place
+    assert not os.path.exists(place) and kept.count() == 2 and not [x for x in os.listdir(root) if x.startswith("llm-scratch")]
+
+
 def test_pipeline_of_odd_rows_and_of_none(spark, odd_docs, no_docs, sf):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
