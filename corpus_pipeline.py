@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)``, calls one operator of
 ``jarledger.llm`` on everything its predecessor kept, and its decision takes
 effect; all but the last return the columns of documents.  Each result is
 written as Parquet in the shared checkpoint folder and read again, so a lost
-executor repeats no more than its own stage.
+executor repeats no more than its own stage; what a stage wrote on its way is
+removed when its result is there.
 
 A null or empty text is not toxic, equals other empty texts, has no benchmark
 words and no ids; every stage of an empty table is empty; other columns go
@@ -16,7 +17,7 @@ toxicity, SimHash and SentencePiece stages, so ORACLE_SQL is None and
 from __future__ import annotations
 
 from jarledger.llm import chunk_dedup, decontam, sentencepiece_stream, simhash_pivot, toxicity_fst
-from jarledger.llm.common import settle, table
+from jarledger.llm.common import scratch, settle, table
 
 
 def toxicity(spark, docs, sf_dir):
@@ -59,5 +60,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage_{name}")
+        with scratch(spark):
+            docs = settle(stage(spark, docs, sf_dir), f"stage_{name}", keep=True)
     return docs
