@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jarledger.session import ensure_conf, shared_dir
@@ -101,7 +102,7 @@ def ascii_lower(text: Column) -> Column:
 def slices(batch: pa.RecordBatch, column: str = "text",
            most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text (a longer text alone)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64)
     at = 0
     if len(sizes):
         total = np.cumsum(sizes)
@@ -115,7 +116,7 @@ def slices(batch: pa.RecordBatch, column: str = "text",
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array, and each text's start (nulls are empty)."""
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
