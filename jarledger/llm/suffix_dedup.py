@@ -85,11 +85,8 @@ class Piece:
     def __init__(self, buf: np.ndarray, ends: np.ndarray, up: np.ndarray, down: np.ndarray, window: int, gram: int):
         """``ends``: for each byte, the end of its text."""
         n = len(buf)
-        self.down, self.window = down, window
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(buf.astype(np.uint64) * up[:n] + up[:n], out=self.sums[1:])
-        self.other = np.zeros(n + 1, np.uint64)
-        np.cumsum(OTHER[buf] * up[:n], out=self.other[1:])
+        self.buf, self.up, self.down, self.window = buf, up, down, window
+        self.add_up()
         starts = np.flatnonzero(np.arange(n) + window <= ends) if n else np.zeros(0, np.int64)
         self.anchor = self.first = self.last = self.run = np.zeros(0, np.int64)
         if not len(starts):
@@ -109,6 +106,16 @@ class Piece:
         self.first = starts[begin]
         self.last = starts[np.append(begin[1:], len(starts)) - 1]   # its first and last window
 
+    def add_up(self) -> None:
+        """The running sums that digests are differences of; only one piece of a block holds them at a time."""
+        n = len(self.buf)
+        self.sums, self.other = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=self.sums[1:])
+        np.cumsum(OTHER[self.buf] * self.up[:n], out=self.other[1:])
+
+    def forget(self) -> None:
+        self.sums = self.other = None
+
     def digest(self, at: np.ndarray, size) -> np.ndarray:
         """A hash of ``size`` bytes from each place."""
         return scramble((self.sums[at + size] - self.sums[at]) * self.down[at] + np.asarray(size).astype(np.uint64))
@@ -153,6 +160,7 @@ class Block:
             rows = np.searchsorted(self.offsets, at + piece.first, side="right") - 1
             found.append((piece.anchor >> cut, *piece.contexts(), piece.first, piece.last, docs[rows],
                           np.full(n, len(self.pieces))) if n else None)
+            piece.forget()
             self.pieces.append((piece, at))
             at = end if stop > at or end == self.offsets[row + 1] else end - window + 1
         found = [f for f in found if f]
@@ -186,7 +194,9 @@ class Block:
             base = int(np.searchsorted(self.piece, k))
             some = self.open[self.piece[self.open] == k] - base
             if len(some):
+                piece.add_up()
                 start, run, digest, second = piece.windows(some)
+                piece.forget()
                 for x, y in zip(out, (start + at, self.doc[base + run], digest >> self.window_cut, second)):
                     x.append(y)
         return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64, np.uint64)))
