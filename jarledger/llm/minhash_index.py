@@ -2,26 +2,30 @@
 
 A text's set holds its distinct ``shingle``-word shingles (A-Z lower-cased,
 words end at ASCII white space; fewer words: the whole sequence).  Its
-signature is ``CHUNKS * SYMBOLS`` minima, ``BITS`` bits of each.  The distance
+signature is ``MINIMA`` minima, ``BITS`` bits of each.  The distance
 of two signatures is the number of minima that differ.
 
-Multi-index join: by pigeonhole, signatures at most ``distance`` apart differ
+Multi-index join: the first ``chunks * symbols`` minima are split in chunks.
+By pigeonhole, signatures at most ``distance`` apart there differ
 in at most ``errors`` minima of some chunk.  Every choice of that many minima
 of a chunk to leave out is enumerated and the others are a key, so all such
 pairs share a cell of equal key.  At the default, 14 of 30 with two errors in
 each of five chunks, a pair of similarity 0.8 is in no common cell with
-probability 1e-5, one of 0.85 with 1e-7.  Cells' pairs within ``LOOSE`` (2e-6)
-whose set sizes allow the threshold are confirmed on the full sets.
+probability 1e-5, one of 0.85 with 1e-7.  Of a cell's pairs those are
+confirmed on the full sets whose whole signatures differ in at most ``LOOSE`` minima
+(a pair of 0.8 in more with 4e-6, one of 0.4 in so few with 6e-3) and whose set
+sizes allow the threshold.
 
 Links are needed as far as they join groups, so cells are joined in two steps.
 First each member of a cell meets the cell's hub, the member that is in most
 cells; confirmed links make groups.  Then only cells that still hold two groups
-are joined.  Texts lie in blocks, in the order of their largest cell, so a
-cell's members lie in few blocks; each two blocks that meet in such a cell are
-compared in one task, members of different groups only, by signature and then
-shingle by shingle, and only links that join something are handed on: never a
-list of pairs.  Sets are compared whole; a text is sent to the blocks its own
-has to meet, not to each partner.
+are joined, and only members of different groups meet.  In cells of up to
+``SMALL`` members pairs are made one by one, each in the first of its common
+cells.  Larger cells are joined by blocks: texts lie in blocks, in the order of
+their largest cell, so a cell's members lie in few blocks, and each two blocks
+that meet in such a cell are compared in one task, which hands on only links
+that join something, never a list of pairs.  Sets are compared whole, shingle
+by shingle; a text is sent to the blocks its own has to meet, not to each partner.
 
 Skew: equal word sequences are one row from the start.  Cells are counted with
 partial sums and joined where Spark can split them; what grows with the
@@ -54,7 +58,8 @@ from jarledger.llm.decontam import LOWER, MIX, fingerprint_bitmap, scramble, wor
 
 SHINGLE, PER_CENT = 2, 80
 CHUNKS, SYMBOLS, BITS, DISTANCE = 5, 6, 16, 14
-LOOSE = 17       # minima that may differ in a pair that is confirmed on its sets
+MINIMA, LOOSE = 64, 28      # of a whole signature, and how many may differ in a pair that is confirmed on its sets
+SMALL = 32       # members of a cell whose pairs are made one by one
 BLOCK = 256      # texts that lie together; two blocks meet in one task
 SLICE = 2 << 20
 SEED = 12
@@ -73,7 +78,7 @@ def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def signatures(texts: pa.Array, size: int = SHINGLE, symbols: int = CHUNKS * SYMBOLS) -> np.ndarray:
+def signatures(texts: pa.Array, size: int = SHINGLE, symbols: int = MINIMA) -> np.ndarray:
     """A row of 16-bit minima for each text (zeros for a text without words)."""
     buf, offsets = byte_view(texts)
     buf = LOWER[buf]
@@ -105,32 +110,45 @@ def chunk_errors(distance: int, chunks: int) -> list[int]:
 
 
 class Index:
-    """The keys of signatures."""
+    """The keys of signatures, and which key of a pair is its first common one."""
 
     def __init__(self, chunks: int = CHUNKS, symbols: int = SYMBOLS, distance: int = DISTANCE):
         self.chunks, self.symbols = chunks, symbols
         self.choices = [(c, some) for c, e in enumerate(chunk_errors(distance, chunks)) if e >= 0
                         for some in combinations(range(symbols), max(symbols - e, 0))]
+        if len(self.choices) > 128:
+            raise ValueError("at most 128 keys a signature")
+        # for each chunk and set of agreeing minima, the first key that lies in it
+        self.first = np.full((chunks, 1 << symbols), len(self.choices), np.int64)
+        agree = np.arange(1 << symbols)
+        for i, (c, some) in reversed(list(enumerate(self.choices))):
+            need = sum(1 << s for s in some)
+            self.first[c, agree & need == need] = i
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
-        """A row of keys for each signature."""
+        """A row of keys for each signature; the low seven bits say which minima a key is made of."""
         wide = rows.astype(np.uint64)
         out = np.empty((len(rows), len(self.choices)), np.uint64)
         for i, (c, some) in enumerate(self.choices):
             key = np.full(len(rows), i + 1, np.uint64)
             for s in some:
                 key = scramble(key * MIX + wide[:, c * self.symbols + s])
-            out[:, i] = key
+            out[:, i] = key & ~np.uint64(127) | np.uint64(i)
         return out
 
+    def first_common(self, equal: np.ndarray) -> np.ndarray:
+        """For each row of agreements of two signatures, their first common key."""
+        masks = equal[:, : self.chunks * self.symbols].reshape(len(equal), self.chunks, self.symbols) @ (1 << np.arange(self.symbols))
+        return self.first[np.arange(self.chunks), masks].min(axis=1)
 
-def read_texts(docs: DataFrame, shingle: int = SHINGLE, symbols: int = CHUNKS * SYMBOLS) -> DataFrame:
+
+def read_texts(docs: DataFrame, shingle: int = SHINGLE, minima: int = MINIMA) -> DataFrame:
     """``(row_id, doc_id, n_shingles, digest, sig, words)``: words are the lower-cased sequence, packed; digest is its SHA-256."""
     def run(batches):
         packer, first = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                sigs, sizes, digests, packed = signatures(part["text"], shingle, symbols), [], [], []
+                sigs, sizes, digests, packed = signatures(part["text"], shingle, minima), [], [], []
                 for text in part["text"].cast(pa.binary()).to_pylist():
                     words = (text or b"").lower().split()
                     sizes.append(len(shingles(words, shingle)))
@@ -148,19 +166,18 @@ def read_texts(docs: DataFrame, shingle: int = SHINGLE, symbols: int = CHUNKS *
     return some.mapInArrow(run, "row_id long, doc_id long, n_shingles long, digest binary, sig binary, words binary")
 
 
-def sig_rows(column: pa.Array, symbols: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, symbols)
+def sig_rows(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
 
 
 def cells_of(nodes: DataFrame, index: Index) -> DataFrame:
     """``(key, node)`` for every key of every signature."""
-    symbols = index.chunks * index.symbols
-
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 part = whole.slice(at, 4096)
-                keys = index.keys(sig_rows(part["sig"], symbols))
+                keys = index.keys(sig_rows(part["sig"]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part["node"].to_numpy(), keys.shape[1]))], ["key", "node"])
 
@@ -172,7 +189,7 @@ def allowed(n_a, n_b, per_cent: int):
     return 100 * np.minimum(n_a, n_b) >= per_cent * np.maximum(n_a, n_b)
 
 
-def star_pairs(members: DataFrame, info: DataFrame, symbols: int, loose: int, per_cent: int) -> DataFrame:
+def star_pairs(members: DataFrame, info: DataFrame, loose: int, per_cent: int) -> DataFrame:
     """Pairs ``(a, block_a, b, block_b)`` of cells' members with their hubs."""
     hubs = (members.join(info.select("node", "degree"), "node").groupBy("key")
             .agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")))
@@ -185,7 +202,7 @@ def star_pairs(members: DataFrame, info: DataFrame, symbols: int, loose: int, pe
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = (sig_rows(batch["sig_a"], symbols) != sig_rows(batch["sig_b"], symbols)).sum(1) <= loose
+                near = (sig_rows(batch["sig_a"]) != sig_rows(batch["sig_b"])).sum(1) <= loose
                 near &= allowed(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), per_cent)
                 yield batch.select(["a", "block_a", "b", "block_b"]).filter(pa.array(near))
 
@@ -235,18 +252,60 @@ def block_links(rows: dict, crossed: bool, shingle: int, per_cent: int, loose: i
     return out
 
 
-def cross_links(members: DataFrame, grouped: DataFrame, texts: DataFrame, index: Index, shingle: int, per_cent: int, loose: int) -> DataFrame:
-    """Links ``(a, b)`` between groups that share a cell; ``grouped``: ``(node, root, n, sig, block)``."""
+def mixed_cells(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``(key, node, block, rows)``: the members of cells that hold two groups, and how many members these have."""
     placed_ = members.join(grouped.select("node", "root", "block"), "node")
-    cells = settle(placed_.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "cell_blocks")
-    mixed = cells.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
-    cells = settle(cells.join(mixed, "key").select("key", "block"), "mixed_cells")
-    meet = (cells.withColumnRenamed("block", "one").join(cells.withColumnRenamed("block", "two"), "key")
+    mixed = (placed_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+             .where("low <> high").select("key", "rows"))
+    return settle(placed_.select("key", "node", "block").join(mixed, "key"), "mixed_cells")
+
+
+def small_pairs(cells: DataFrame, grouped: DataFrame, index: Index, loose: int, per_cent: int) -> DataFrame:
+    """Pairs ``(a, block_a, b, block_b)`` of different groups within small cells, each in its first common cell."""
+    def pairs_in(rows):
+        out = []
+        for lag in range(1, SMALL):
+            i = np.flatnonzero(rows["key"][lag:] == rows["key"][:-lag]) if len(rows["key"]) > lag else []
+            if not len(i):
+                break
+            j = i + lag
+            fits = (rows["root"][i] != rows["root"][j]) & allowed(rows["n"][i], rows["n"][j], per_cent)
+            i, j = i[fits], j[fits]
+            equal = rows["sig"][i] == rows["sig"][j]
+            near = np.flatnonzero((~equal).sum(1) <= loose)
+            near = near[index.first_common(equal[near]) == (rows["key"][i[near]] & 127)]
+            out.append((i[near], j[near]))
+        i, j = (np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][x]) for x in (i, j) for c in ("node", "block")], ["a", "block_a", "b", "block_b"])
+
+    def run(batches):
+        held = None     # rows of the last cell, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch[c].to_numpy() for c in ("key", "node", "block", "root", "n")} | {"sig": sig_rows(batch["sig"])}
+            if held is not None:
+                rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
+            last = int(np.searchsorted(rows["key"], rows["key"][-1]))
+            yield pairs_in({c: v[:last] for c, v in rows.items()})
+            held = {c: v[last:].copy() for c, v in rows.items()}
+        if held is not None:
+            yield pairs_in(held)
+
+    few = cells.where(F.col("rows") <= SMALL).select("key", "node").join(grouped, "node")
+    dealt = few.select("key", "node", "block", "root", "n", "sig").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, block_a long, b long, block_b long")
+
+
+def block_pairs_links(cells: DataFrame, grouped: DataFrame, texts: DataFrame, shingle: int, per_cent: int, loose: int) -> DataFrame:
+    """Links ``(a, b)`` between groups that share a large cell."""
+    large = cells.where(F.col("rows") > SMALL)
+    spans = settle(large.select("key", "block").distinct(), "large_cells")
+    meet = (spans.withColumnRenamed("block", "one").join(spans.withColumnRenamed("block", "two"), "key")
             .where("one <= two").select("one", "two").distinct())
-    needed = members.join(cells.select("key").distinct(), "key", "left_semi").select("node").distinct()
+    needed = large.select("node").distinct()
     rows = settle(grouped.join(needed, "node").join(texts, "node"), "mixed_texts")
     sides = meet.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
-    symbols = index.chunks * index.symbols
 
     def run(batches):
         names, held = ["one", "two", "node", "block", "root", "n"], None
@@ -258,7 +317,7 @@ def cross_links(members: DataFrame, grouped: DataFrame, texts: DataFrame, index:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            some = {c: batch[c].to_numpy() for c in names} | {"sig": sig_rows(batch["sig"], symbols), "words": np.array(batch["words"].to_pylist(), object)}
+            some = {c: batch[c].to_numpy() for c in names} | {"sig": sig_rows(batch["sig"]), "words": np.array(batch["words"].to_pylist(), object)}
             if held is not None:
                 some = {c: np.concatenate((held[c], some[c])) for c in some}
             cuts = [0, *(np.flatnonzero((np.diff(some["one"]) != 0) | (np.diff(some["two"]) != 0)) + 1).tolist()]
@@ -322,7 +381,6 @@ def texts_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int, per_cent: int, loose: int) -> DataFrame:
     """``(node, root)`` of all nodes that are linked, directly or through others."""
-    symbols = index.chunks * index.symbols
     cells = cells_of(nodes, index)
     many = cells.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
     members = settle(cells.join(many, "key"), "minhash_cells")
@@ -332,10 +390,12 @@ def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int
     texts = texts_of(found, info)
     members = members.select("key", "node")
 
-    near = confirmed(star_pairs(members, info, symbols, loose, per_cent), texts, shingle, per_cent)
+    near = confirmed(star_pairs(members, info, loose, per_cent), texts, shingle, per_cent)
     first = settle(components(near), "minhash_groups")
     grouped = settle(info.select("node", "n", "sig", "block").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash_rooted")
-    more = cross_links(members, grouped, texts, index, shingle, per_cent, loose)
+    mixed = mixed_cells(members, grouped)
+    more = confirmed(small_pairs(mixed, grouped, index, loose, per_cent), texts, shingle, per_cent).unionByName(
+        block_pairs_links(mixed, grouped, texts, shingle, per_cent, loose))
     root = grouped.select("node", "root")
     merged = components(more.join(root.withColumnRenamed("root", "x"), more["a"] == root["node"]).select("x", "b")
                         .join(root.withColumnRenamed("root", "y"), F.col("b") == root["node"]).select("x", "y"), "x", "y")
@@ -343,10 +403,10 @@ def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT, chunks: int = CHUNKS, symbols: int = SYMBOLS,
-                distance: int = DISTANCE, loose: int = LOOSE) -> DataFrame:
+                distance: int = DISTANCE, minima: int = MINIMA, loose: int = LOOSE) -> DataFrame:
     """``(doc_id, digest, n_shingles, component_id)`` for every row: the smallest doc_id reachable over links."""
     index = Index(chunks, symbols, distance)
-    found = settle(read_texts(docs, shingle, chunks * symbols), "minhash_texts_all")
+    found = settle(read_texts(docs, shingle, minima), "minhash_texts_all")
     copies = found.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row_id", "n_shingles", "sig")).alias("r"), F.min("doc_id").alias("least"))
     nodes = settle(copies.select(F.col("r.row_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"), "digest", "least"), "minhash_nodes")
     linked = grouped_nodes(nodes.select("node", "n", "sig"), found, index, shingle, per_cent, loose)

@@ -6,6 +6,7 @@ import pytest
 from itertools import combinations
 
 from jarledger.llm import minhash_index as mi
+from jarledger.session import ship_package
 from conftest_rows import ROWS
 
 
@@ -54,10 +55,12 @@ def mutated(seed, n, rate, base=120):
     return [" ".join(f"m{rng.integers(1 << 40)}" if rng.random() < rate else w for w in words) for _ in range(n)]
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_hot_groups_of_near_copies(spark, monkeypatch, block):
-    """Chains, near misses and copies; small blocks give the same."""
+@pytest.mark.parametrize("block,small", [(4, 2), (256, 32), (256, 1000), (16, 1)])
+def test_hot_groups_of_near_copies(spark, monkeypatch, block, small):
+    """Chains, near misses and copies; other sizes of blocks and of small cells give the same."""
     monkeypatch.setattr(mi, "BLOCK", block)
+    monkeypatch.setattr(mi, "SMALL", small)
+    ship_package()
     some = [t for seed, rate in enumerate((0.01, 0.03, 0.05, 0.07, 0.1)) for t in mutated(seed, 40, rate)]
     some += [*some[:20], "", None, " \t", "one", "ONE", "two words", "Two  Words\n"]
     rows = list(enumerate(some))
@@ -75,7 +78,7 @@ def test_pigeonhole_finds_every_pair_within_the_distance():
         b[rng.choice(15, rng.integers(0, 8), replace=False)] += np.uint16(1)
         x, y = index.keys(np.stack([a, b]))
         common = np.flatnonzero(x == y)
-        assert len(common)
+        assert len(common) and index.first_common((a == b)[None])[0] == common[0]
 
 
 def test_signature_distance_follows_the_similarity():
