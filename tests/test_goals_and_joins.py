@@ -34,8 +34,8 @@ def test_percent_rounds_half_up(spark):
 
 def test_g14_seed_grids_do_not_add_up_to_totals(spark):
     t = seed.seed_templates(spark)
-    b = boxes(spark, [{"id": 1, "template_id": 1000, "crossed_out_indices": [0, 3, 3, 99, -1]},
-                      {"id": 2, "template_id": 5000}])
+    b = boxes(spark, [{"id": 1, "template_id": -1000, "crossed_out_indices": [0, 3, 3, 99, -1]},
+                      {"id": 2, "template_id": -5000}])
     got = {r["box_id"]: r.asDict() for r in agg.grid_fill(b, t).collect()}
     assert (got[1]["cells"], got[1]["grid_sum"], got[1]["template_total"]) == (22, 1010, 1000)
     assert (got[1]["crossed_cells"], got[1]["crossed_sum"], got[1]["remaining_sum"]) == (2, 55, 955)
@@ -43,9 +43,9 @@ def test_g14_seed_grids_do_not_add_up_to_totals(spark):
 
 
 def test_template_seed_keeps_existing_rows(spark):
-    existing = templates(spark, [(1000, "mine", 1, "EUR", [1])])
+    existing = templates(spark, [(-1000, "mine", 1, "EUR", [1])])
     out = {r["id"]: r["name"] for r in seed.template_seed(existing, seed.seed_templates(spark)).collect()}
-    assert out == {1000: "mine", 5000: "Скарбничка 5000 грн"}
+    assert out == {-1000: "mine", -5000: "Скарбничка 5000 грн"}
 
 
 def _feeds(spark, uah_rows, cross_rows):
