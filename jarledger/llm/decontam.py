@@ -23,7 +23,7 @@ documents hold meets one window row, on the side that AQE can split.
 Defined cases: null texts have no words, and items without words have no
 window; every row of ``docs`` gives one row, repeated ones too; items that
 repeat an item_id count once, and null item_ids are left out of the list but
-their words are hit; with an empty benchmark nothing is hit; other columns are
+their words are hit; with an empty benchmark nothing is hit; doc_ids and item_ids are integers; other columns are
 ignored by :func:`contamination` and kept by :func:`drop_contaminated`.
 """
 

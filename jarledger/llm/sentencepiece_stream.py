@@ -21,7 +21,8 @@ stands and a bounded cache of words, kept for the worker's life, answers most of
 
 Decoding joins the pieces' bytes and drops the one leading space that encoding
 put there; it gives every text back exactly.  A literal U+2581 is not taken
-for a space, it is written as bytes.
+for a space, it is written as bytes (the one text whose ids differ from the public
+library's, which reads that sign as a space and so does not give the text back).
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 ids outside the vocabulary and control pieces decode to nothing; repeated rows

@@ -25,7 +25,7 @@ contraction, distributed.
 Defined cases: a null text counts as empty; repeated rows give repeated
 result rows; a null doc_id takes part but never names a component (null if
 no member has an id); an empty table gives an empty result; other columns are
-ignored by :func:`near_groups` and kept by :func:`keep_one`.
+ignored by :func:`near_groups` and kept by :func:`keep_one`; doc_ids are integers.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ Defined cases: null is the empty text; texts below ``window`` bytes lose
 nothing; documents with equal doc_ids are not smaller than each other; a null
 doc_id is larger than any other; texts beyond ``PIECE`` bytes are handled in
 pieces that overlap by a window; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; doc_ids are integers.
 """
 
 from __future__ import annotations

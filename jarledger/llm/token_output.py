@@ -26,7 +26,7 @@ another kind gets whole texts.
 Defined cases: a null text is empty and has the end id alone; null doc_ids
 come first, rows that share a doc_id follow each other by their text's hash (they
 are dealt by it too, so one id with very many rows fills more than one shard); a document of
-any length is one frame below 4 GB; an empty table gives an empty result; other columns are ignored.
+any length is one frame below 4 GB; an empty table gives an empty result; other columns are ignored; doc_ids are integers.
 """
 
 from __future__ import annotations
