@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ CLASSES, BINS, BIN = len(CLASS_STARTS), 400, 0.05   # bins of -log10 of the prob
 # The alphabets of the encodings, the narrowest first.
 ALPHABETS = [
     ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"),
+    ("base26", "abcdefghijklmnopqrstuvwxyz"), ("base26", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
@@ -58,6 +61,7 @@ ALPHABETS = [
 # Shares of the letters a to z in ordinary prose, in per mille.
 LETTER_SHARES = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
 DIGIT_SHARE, UPPER_SHARE = 0.12, 0.08      # of the characters of an ordinary mixed run
+ONE_KIND = 32       # characters from which on a run of letters of one case is tested; shorter ones are words
 
 
 def prose_shares(alphabet: str) -> np.ndarray:
@@ -66,8 +70,10 @@ def prose_shares(alphabet: str) -> np.ndarray:
     digit, upper = (np.array([f(c) for c in alphabet]) for f in (str.isdigit, str.isupper))
     if 0 < share[upper].sum() < share.sum():
         share[upper] *= UPPER_SHARE / (1 - UPPER_SHARE)
-    share *= (1 - DIGIT_SHARE) / share.sum()
-    share[digit] = DIGIT_SHARE / digit.sum()
+    if digit.any():
+        share *= (1 - DIGIT_SHARE) / share.sum()
+        share[digit] = DIGIT_SHARE / digit.sum()
+    share /= share.sum()
     return (share + 1e-4) / (share + 1e-4).sum()
 
 
@@ -77,9 +83,9 @@ def normal_tail(z: float) -> float:
 
 
 def infer(run: str) -> int | None:
-    """The narrowest encoding that has all characters; None for runs of one kind of character, which are words or numbers."""
+    """The narrowest encoding that has all characters; None for numbers, and for letters of one case below ``ONE_KIND``, which are words."""
     kinds = (any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run))
-    if sum(kinds) < 2:
+    if sum(kinds) < 2 and (len(run) < ONE_KIND or not run.isalpha()):
         return None
     used = set(run)
     return next((k for k, (_, a) in enumerate(ALPHABETS) if used <= SETS[k]), None)
@@ -124,13 +130,15 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))     # how far the spans so far go
     runs = []
     for whole in RUN.finditer(text):
         parts = [whole] if any(set(whole.group().rstrip("=")) <= a for a in SETS) else PART.finditer(text, whole.start(), whole.end())
         for m in parts:
             run = m.group().rstrip("=")
             k = infer(run)
-            if k is None or any(s < m.end() and m.start() < e for s, _, e in base):
+            before = bisect_left(starts, m.end())
+            if k is None or (before and reach[before - 1] > m.start()):
                 continue
             random, prose = battery(run, k)
             level = min(BINS - 1, int(-math.log10(max(prose, 1e-300)) / BIN)) if 3 * random >= ALPHA else -1
