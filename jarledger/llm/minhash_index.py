@@ -27,10 +27,12 @@ that meet in such a cell are compared in one task, which hands on only links
 that join something, never a list of pairs.  Sets are compared whole, shingle
 by shingle; a text is sent to the blocks its own has to meet, not to each partner.
 
-Skew: equal word sequences are one row from the start.  Cells are counted with
-partial sums and joined where Spark can split them; what grows with the
+Skew: equal word sequences are one row from the start.  Cells that have one
+member go in one pass over range partitions, which split a hot cell; the others
+are joined where Spark can split them; what grows with the
 square of a group that doesn't hang together is the number of its block pairs,
-``BLOCK ** 2`` texts' pairs each.  Groups are found by star contraction.  Nothing is capped;
+``BLOCK ** 2`` texts' pairs each.  Sides that grow with the corpus are never
+broadcast.  Groups are found by star contraction.  Nothing is capped;
 the driver gets a bitmap of bounded size that says which texts may be needed,
 so the others are never shuffled.
 
@@ -171,6 +173,11 @@ def sig_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
 
 
+def grows(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: joined by shuffle at every size, never broadcast."""
+    return side.hint("merge")
+
+
 def cells_of(nodes: DataFrame, index: Index) -> DataFrame:
     """``(key, node)`` for every key of every signature."""
     def run(batches):
@@ -184,6 +191,41 @@ def cells_of(nodes: DataFrame, index: Index) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def shared_cells(cells: DataFrame) -> DataFrame:
+    """The rows of keys that several nodes have.
+
+    Range partitions of (key, node) are read in order, so a key is dealt to as
+    many tasks as its rows need, and a task holds one batch.  A partition's first and last keys may go on in
+    its neighbours; they are handed on whether or not they do.
+    """
+    def run(batches):
+        held, started = None, False     # the last row so far, and whether it has been handed on
+
+        def out(keys, nodes):
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, nodes = batch["key"].to_numpy(), batch["node"].to_numpy()
+            if held is not None:
+                keys, nodes = np.concatenate((held[0], keys)), np.concatenate((held[1], nodes))
+            same = keys[1:] == keys[:-1]
+            several = np.append(False, same) | np.append(same, False)
+            if not started:             # the first key may have begun before
+                several[:-1] |= keys[:-1] == keys[0]
+                started = True
+            keep = several.copy()       # a last row that is alone waits: the next batch says whether it is
+            if held is not None and held[2]:
+                keep[0] = False
+            yield out(keys[keep], nodes[keep])
+            held = keys[-1:].copy(), nodes[-1:].copy(), bool(several[-1])
+        if held is not None and not held[2]:
+            yield out(held[0], held[1])
+
+    return cells.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+
 def allowed(n_a, n_b, per_cent: int):
     """Whether set sizes allow the similarity."""
     return 100 * np.minimum(n_a, n_b) >= per_cent * np.maximum(n_a, n_b)
@@ -191,13 +233,13 @@ def allowed(n_a, n_b, per_cent: int):
 
 def star_pairs(members: DataFrame, info: DataFrame, loose: int, per_cent: int) -> DataFrame:
     """Pairs ``(a, block_a, b, block_b)`` of cells' members with their hubs."""
-    hubs = (members.join(info.select("node", "degree"), "node").groupBy("key")
+    hubs = (members.join(grows(info.select("node", "degree")), "node").groupBy("key")
             .agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")))
-    pairs = (members.join(hubs, "key").where("node <> hub")
+    pairs = (members.join(grows(hubs), "key").where("node <> hub")
              .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
 
     def side(name):
-        return info.select(F.col("node").alias(name), F.col("block").alias(f"block_{name}"), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+        return grows(info.select(F.col("node").alias(name), F.col("block").alias(f"block_{name}"), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")))
 
     def run(batches):
         for batch in batches:
@@ -254,10 +296,10 @@ def block_links(rows: dict, crossed: bool, shingle: int, per_cent: int, loose: i
 
 def mixed_cells(members: DataFrame, grouped: DataFrame) -> DataFrame:
     """``(key, node, block, rows)``: the members of cells that hold two groups, and how many members these have."""
-    placed_ = members.join(grouped.select("node", "root", "block"), "node")
+    placed_ = members.join(grows(grouped.select("node", "root", "block")), "node")
     mixed = (placed_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
              .where("low <> high").select("key", "rows"))
-    return settle(placed_.select("key", "node", "block").join(mixed, "key"), "mixed_cells")
+    return settle(placed_.select("key", "node", "block").join(grows(mixed), "key"), "mixed_cells")
 
 
 def small_pairs(cells: DataFrame, grouped: DataFrame, index: Index, loose: int, per_cent: int) -> DataFrame:
@@ -292,7 +334,7 @@ def small_pairs(cells: DataFrame, grouped: DataFrame, index: Index, loose: int,
         if held is not None:
             yield pairs_in(held)
 
-    few = cells.where(F.col("rows") <= SMALL).select("key", "node").join(grouped, "node")
+    few = cells.where(F.col("rows") <= SMALL).select("key", "node").join(grows(grouped), "node")
     dealt = few.select("key", "node", "block", "root", "n", "sig").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "a long, block_a long, b long, block_b long")
 
@@ -337,7 +379,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) -
     pairs = settle(pairs.select("a", "b", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")), "minhash_pairs")
     wanted = pairs.select("low", "high", F.explode(F.array("a", "b")).alias("node")).distinct()
     none = F.lit(None).cast("long")
-    rows = (wanted.join(texts, "node").select("low", "high", F.col("node").alias("a"), none.alias("b"), "words")
+    rows = (wanted.join(grows(texts), "node").select("low", "high", F.col("node").alias("a"), none.alias("b"), "words")
             .unionByName(pairs.withColumn("words", F.lit(None).cast("binary"))))
 
     def run(batches):
@@ -376,23 +418,22 @@ def texts_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)).select(["node", "words"])
 
     maybe = found.select(F.col("row_id").alias("node"), F.xxhash64("row_id").alias("hash"), "words").mapInArrow(run, "node long, words binary")
-    return settle(maybe.join(nodes.select("node"), "node"), "minhash_texts")
+    return settle(maybe.join(grows(nodes.select("node")), "node"), "minhash_texts")
 
 
 def grouped_nodes(nodes: DataFrame, found: DataFrame, index: Index, shingle: int, per_cent: int, loose: int) -> DataFrame:
     """``(node, root)`` of all nodes that are linked, directly or through others."""
     cells = cells_of(nodes, index)
-    many = cells.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = settle(cells.join(many, "key"), "minhash_cells")
-    homes = members.groupBy("node").agg(F.max(F.struct("rows", "key"))["key"].alias("home"), F.count("*").alias("degree"))
+    members = settle(shared_cells(cells), "minhash_cells")
+    sizes = members.groupBy("key").agg(F.count("*").alias("rows"))
+    homes = members.join(grows(sizes), "key").groupBy("node").agg(F.max(F.struct("rows", "key"))["key"].alias("home"), F.count("*").alias("degree"))
     ordered = placed(homes.withColumn("all", F.lit(0)), "all", F.col("home"), F.col("node"), name="minhash_order")
-    info = settle(ordered.select("node", "degree", F.floor(F.col("pos") / BLOCK).cast("long").alias("block")).join(nodes, "node"), "minhash_info")
+    info = settle(ordered.select("node", "degree", F.floor(F.col("pos") / BLOCK).cast("long").alias("block")).join(grows(nodes), "node"), "minhash_info")
     texts = texts_of(found, info)
-    members = members.select("key", "node")
 
     near = confirmed(star_pairs(members, info, loose, per_cent), texts, shingle, per_cent)
     first = settle(components(near), "minhash_groups")
-    grouped = settle(info.select("node", "n", "sig", "block").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash_rooted")
+    grouped = settle(info.select("node", "n", "sig", "block").join(grows(first), "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash_rooted")
     mixed = mixed_cells(members, grouped)
     more = confirmed(small_pairs(mixed, grouped, index, loose, per_cent), texts, shingle, per_cent).unionByName(
         block_pairs_links(mixed, grouped, texts, shingle, per_cent, loose))
@@ -410,12 +451,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CEN
     copies = found.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row_id", "n_shingles", "sig")).alias("r"), F.min("doc_id").alias("least"))
     nodes = settle(copies.select(F.col("r.row_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"), "digest", "least"), "minhash_nodes")
     linked = grouped_nodes(nodes.select("node", "n", "sig"), found, index, shingle, per_cent, loose)
-    rooted = settle(nodes.select("node", "digest", "least").join(linked, "node", "left")
+    rooted = settle(nodes.select("node", "digest", "least").join(grows(linked), "node", "left")
                     .select("digest", "least", F.coalesce("root", "node").alias("root")), "minhash_roots")
     least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "minhash_least")
-    named = settle(rooted.join(least, "root").select("digest", "component_id"), "minhash_named")
+    named = settle(rooted.join(grows(least), "root").select("digest", "component_id"), "minhash_named")
     rows = found.select("doc_id", "digest", "n_shingles")
-    return (rows.where("n_shingles > 0").join(named, "digest").select("doc_id", "digest", "n_shingles", "component_id")
+    return (rows.where("n_shingles > 0").join(grows(named), "digest").select("doc_id", "digest", "n_shingles", "component_id")
             .unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))))
 
 

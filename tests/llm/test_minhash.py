@@ -95,3 +95,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = mi.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, None, 7], key=str)
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 1000])
+def test_keys_of_one_node_go(spark, batch):
+    """Whatever the batches and partitions; the edges of a partition may stay."""
+    rng = np.random.default_rng(batch)
+    rows = sorted({(int(k), int(n)) for k, n in zip(rng.integers(0, 60, 90), rng.integers(0, 1000, 90))} | {(99, i) for i in range(20)})
+    df = spark.createDataFrame(rows, "key long, node long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = [(r["key"], r["node"]) for r in mi.shared_cells(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    keys = [k for k, _ in rows]
+    want = {r for r in rows if keys.count(r[0]) > 1}
+    assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 2 * 8
