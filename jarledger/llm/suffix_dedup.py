@@ -15,11 +15,11 @@ digit.  The digits of a suffix are, in turn,
 
 Groups that are equal after the last digit are exactly the repeated windows;
 each is reduced to its smallest document.  Digits are hashes of 48 bits (64 for
-the window) and only deal records out.  What decides is the digit with two
-64-bit digests of the context, or the window's digit and a second digest made
-from another table of byte values: bytes go only where all of these are equal,
-at least 128 bits (a chance of 2^-128 for a pair, 2^-62 for 10^10 windows).
-``digit_bits`` cuts the digits; the answer stays the same.
+the window) and deal records out.  What decides is a context's 64-bit digest
+together with its anchor's 48 bits, or a window's 64-bit digest together with
+32 bits of its anchor's: bytes are taken for equal wrongly with 2^-64 for each
+pair with a common anchor, and 2^-96 for each other pair (10^-9 for 10^10 open
+windows in all).  ``digit_bits`` cuts the digits; the answer stays the same.
 
 Texts are packed once into blocks of ``block_bytes``, a table bucketed by block
 whose text no later pass shuffles.  In each pass a block asks: it sends its
@@ -59,8 +59,6 @@ NO_ID = (1 << 63) - 1
 OPEN = -(1 << 63)           # answer: this context's group has others, ask window by window
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Byte values of the second digest.
-OTHER = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -109,32 +107,25 @@ class Piece:
     def add_up(self) -> None:
         """The running sums that digests are differences of; only one piece of a block holds them at a time."""
         n = len(self.buf)
-        self.sums, self.other = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=self.sums[1:])
-        np.cumsum(OTHER[self.buf] * self.up[:n], out=self.other[1:])
 
     def forget(self) -> None:
-        self.sums = self.other = None
+        self.sums = None
 
     def digest(self, at: np.ndarray, size) -> np.ndarray:
         """A hash of ``size`` bytes from each place."""
         return scramble((self.sums[at + size] - self.sums[at]) * self.down[at] + np.asarray(size).astype(np.uint64))
 
-    def second(self, at: np.ndarray, size) -> np.ndarray:
-        """Another hash of the same bytes."""
-        return scramble((self.other[at + size] - self.other[at]) * self.down[at] - np.asarray(size).astype(np.uint64))
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two digests of each run's context."""
-        size = self.last + self.window - self.first
-        return self.digest(self.first, size), self.second(self.first, size)
+    def contexts(self) -> np.ndarray:
+        return self.digest(self.first, self.last + self.window - self.first)
 
     def windows(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
-        """All windows of some runs: start, run, hash with the anchor, and second digest."""
+        """All windows of some runs: start, run, and digest."""
         size = self.last[some] - self.first[some] + 1
         run = np.repeat(some, size)
         start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + self.first[run]
-        return start, run, scramble(self.digest(start, self.window) ^ self.anchor[run] * np.uint64(3)), self.second(start, self.window)
+        return start, run, self.digest(start, self.window)
 
 
 class Block:
@@ -142,7 +133,6 @@ class Block:
 
     def __init__(self, buf: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int, gram: int, digit_bits: int = 48):
         self.buf, self.docs, cut = buf, docs, np.uint64(64 - digit_bits)
-        self.window_cut = np.uint64(max(0, 48 - digit_bits))
         self.offsets = np.concatenate(([0], np.cumsum(sizes)))
         self.window = window
         up, down = powers(BASE, PIECE + window), powers(INVERSE, PIECE + window + 1)
@@ -158,14 +148,14 @@ class Block:
             piece = Piece(buf[at:end], np.repeat(edges[: len(inside)], inside), up, down, window, gram)
             n = len(piece.anchor)
             rows = np.searchsorted(self.offsets, at + piece.first, side="right") - 1
-            found.append((piece.anchor >> cut, *piece.contexts(), piece.first, piece.last, docs[rows],
+            found.append((piece.anchor >> cut, piece.contexts(), piece.anchor & np.uint64(0xFFFFFFFF), piece.first, piece.last, docs[rows],
                           np.full(n, len(self.pieces))) if n else None)
             piece.forget()
             self.pieces.append((piece, at))
             at = end if stop > at or end == self.offsets[row + 1] else end - window + 1
         found = [f for f in found if f]
         empty = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
-        self.anchor, self.context, self.other, self.first, self.last, self.doc, self.piece = (
+        self.anchor, self.context, self.low_anchor, self.first, self.last, self.doc, self.piece = (
             [np.concatenate(x) for x in zip(*found)] if found else empty)
 
     def ask_anchors(self):
@@ -179,8 +169,8 @@ class Block:
     def ask_contexts(self):
         """Second pass: distinct (anchor, context) of runs that share their anchor, with the smallest document."""
         some = self.shared
-        (anchor, context, other), low, _, self.which_context = distinct([self.anchor[some], self.context[some], self.other[some]], self.doc[some])
-        return anchor, [context, other, low.view(np.uint64)]
+        (anchor, context), low, _, self.which_context = distinct([self.anchor[some], self.context[some]], self.doc[some])
+        return anchor, [context, low.view(np.uint64)]
 
     def hear_contexts(self, first: np.ndarray) -> None:
         first = first.view(np.int64)[self.which_context]
@@ -188,24 +178,24 @@ class Block:
         self.open = self.shared[first == OPEN]
 
     def windows(self):
-        """Start, document, digest and second digest of all windows of the open runs."""
+        """Start, document, digest and part of the anchor of all windows of the open runs."""
         out = [], [], [], []
         for k, (piece, at) in enumerate(self.pieces):
             base = int(np.searchsorted(self.piece, k))
             some = self.open[self.piece[self.open] == k] - base
             if len(some):
                 piece.add_up()
-                start, run, digest, second = piece.windows(some)
+                start, run, digest = piece.windows(some)
                 piece.forget()
-                for x, y in zip(out, (start + at, self.doc[base + run], digest >> self.window_cut, second)):
+                for x, y in zip(out, (start + at, self.doc[base + run], digest, self.low_anchor[base + run])):
                     x.append(y)
         return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64, np.uint64)))
 
     def ask_windows(self):
         """Third pass: distinct windows of the open runs, with the smallest document."""
-        self.start, self.owner, digest, second = self.windows()
-        (digit, second), low, _, self.which_window = distinct([digest, second], self.owner)
-        return digit, [second, low.view(np.uint64)]
+        self.start, self.owner, digest, anchor = self.windows()
+        (digit, anchor), low, _, self.which_window = distinct([digest, anchor], self.owner)
+        return digit, [anchor, low.view(np.uint64)]
 
     def hear_windows(self, first: np.ndarray) -> None:
         self.first_of_window = first.view(np.int64)[self.which_window]
@@ -278,8 +268,8 @@ def decide_anchors(digit, columns):
 
 def decide_contexts(anchor, columns):
     """The smallest document with the anchor if all its contexts are the same one, else OPEN."""
-    context, other, doc = columns[0], columns[1], columns[2].view(np.int64)
-    (owner, _, _), low, _, kind = distinct([anchor, context, other], doc)
+    context, doc = columns[0], columns[1].view(np.int64)
+    (owner, _), low, _, kind = distinct([anchor, context], doc)
     several = np.zeros(len(owner), bool)                  # of each distinct context: the anchor has another one
     several[1:] = owner[1:] == owner[:-1]
     several[:-1] |= several[1:]
@@ -337,8 +327,8 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and with ``keep`` what is left, as bytes (``kept``)."""
     blocks = pack_blocks(docs, block_bytes)
     slots = max(1, blocks.count())
-    asks = [("ask_anchors", "hear_anchors", digit_bits, 1, decide_anchors), ("ask_contexts", "hear_contexts", digit_bits, 3, decide_contexts),
-            ("ask_windows", "hear_windows", min(64, 16 + digit_bits), 2, decide_windows)]
+    asks = [("ask_anchors", "hear_anchors", digit_bits, 1, decide_anchors), ("ask_contexts", "hear_contexts", digit_bits, 2, decide_contexts),
+            ("ask_windows", "hear_windows", 64, 2, decide_windows)]
 
     def opened(row, told: pa.Table | None, rounds: int) -> Block:
         """A block that has heard the answers of the first ``rounds`` passes."""
