@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from jarledger.llm import (chunk_dedup, decontam, lang_mixture, license_scan, merkle_manifest, minhash_index, secret_scan, sentencepiece_stream,
-                           simhash_pivot, suffix_dedup, token_alignment, token_output, toxicity_fst)
+                           simhash_pivot, suffix_dedup, token_alignment, token_output)
 from jarledger.session import shared_dir
 
 NAMES = ["row_id", "base", "runs", "recipe", "fp", "key", "ids", "n_tokens", "hits", "words", "node", "digest", "block", "sig", "root", "pos", "n", "tree",

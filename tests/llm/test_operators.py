@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
