@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jarledger.functions.text import js_trim, leading_number
@@ -725,6 +725,13 @@ def box_from_template(requests: DataFrame, templates: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O40
 
+def first_crossings(requests: DataFrame, boxes: DataFrame, order: Column) -> DataFrame:
+    """``(box_id, idx, first)``: the least ``order`` of the requests for a cell that its box has not ``crossed``."""
+    first = requests.where("box_id is not null and idx is not null").groupBy("box_id", "idx").agg(F.min(order).alias("first"))
+    has = boxes.select(F.col("box_id").alias("id"), "crossed").hint("merge")
+    return first.join(has, (F.col("box_id") == F.col("id")) & ~F.array_contains("crossed", F.col("idx")), "left_semi")
+
+
 def crossout_apply(boxes: DataFrame, templates: DataFrame, requests: DataFrame
                    ) -> tuple[DataFrame, DataFrame]:
     """``requests(req_id, ts, box_id, idx)`` -> (box arrays, new transactions).
@@ -733,20 +740,24 @@ def crossout_apply(boxes: DataFrame, templates: DataFrame, requests: DataFrame
     request, does nothing; the rest are appended to the box's array in
     request order.  An index inside the template grid whose value is > 0 also
     posts a transaction 'Crossed out index i' of that value.
+
+    The tables join by sorted shuffles: Spark guesses the size of exploded boxes
+    and of grids far too low and would broadcast them whole through the driver.
+    Requests are narrowed to one per cell first, so a box with very many of them
+    brings no more rows to its task than its array takes.
     """
     b = boxes.select(F.col("id").alias("box_id"), "template_id",
                      F.coalesce("crossed_out_indices", F.array().cast("array<int>")).alias("crossed"))
-    r = requests.join(b, "box_id", "inner").where(~F.array_contains(F.col("crossed"), F.col("idx")))
-    first = r.groupBy("box_id", "idx").agg(F.min(F.struct("ts", "req_id")).alias("first"))
+    first = first_crossings(requests, b, F.struct("ts", "req_id"))
     new = first.groupBy("box_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("first", "idx"))), lambda s: s["idx"]).alias("added")
     )
-    arrays = b.join(new, "box_id", "inner").select(
+    arrays = b.hint("merge").join(new, "box_id", "inner").select(
         "box_id", F.concat("crossed", "added").alias("crossed_out_indices"),
         F.size("added").cast("bigint").alias("n_added"),
     )
     t = templates.select(F.col("id").alias("template_id"), F.col("grid_config").alias("grid"))
-    g = first.join(b.select("box_id", "template_id"), "box_id").join(t, "template_id", "left")
+    g = first.join(b.select("box_id", "template_id").hint("merge"), "box_id").join(t.hint("merge"), "template_id")
     value = F.when((F.col("idx") >= 0) & (F.col("idx") < F.size("grid")), F.get(F.col("grid"), F.col("idx")))
     tx = g.where(value > 0).select(
         "box_id",

@@ -87,6 +87,23 @@ def test_g13_crossout(spark):
     assert [(r["amount"], r["note"]) for r in rows] == [(D(10), "Crossed out index 1")]
 
 
+def test_crossout_sends_no_table_through_the_driver(spark):
+    t = templates(spark, [(7, "tpl", 35, "UAH", [5, 10, 0]), (8, "other", 1, "UAH", [1])])
+    b = boxes(spark, [{"id": 1, "template_id": 7, "crossed_out_indices": [0]}, {"id": 2, "template_id": 9, "crossed_out_indices": []},
+                      {"id": 3, "template_id": None, "crossed_out_indices": None}, {"id": 4, "template_id": 8, "crossed_out_indices": []}])
+    req = spark.createDataFrame(
+        [(1, ts(0, 3), 1, 1), (2, ts(0, 2), 1, 2), (3, ts(0, 2), 1, 1), (4, ts(0, 1), 1, 0), (5, ts(0), 2, 0), (6, ts(0), 3, -1),
+         (7, ts(0), 5, 0), (8, ts(0), None, 0), (9, ts(0), 4, None), (10, None, 4, 0), (11, ts(0), 4, 0)],
+        "req_id BIGINT, ts TIMESTAMP_NTZ, box_id BIGINT, idx INT")
+    arrays, new_tx = replay.crossout_apply(b, t, req)
+    for frame in (arrays, new_tx):
+        assert "Broadcast" not in frame._jdf.queryExecution().sparkPlan().toString()
+    assert {r["box_id"]: (r["crossed_out_indices"], r["n_added"]) for r in arrays.collect()} == {
+        1: ([0, 2, 1], 2), 2: ([0], 1), 3: ([-1], 1), 4: ([0], 1)}
+    assert {(r["box_id"], r["amount"], r["note"], r["date"]) for r in new_tx.collect()} == {
+        (1, D(10), "Crossed out index 1", ts(0, 2)), (4, D(1), "Crossed out index 0", None)}
+
+
 def test_delete_apply_matches_sequential_clamp(spark):
     rnd = random.Random(11)
     box_rows, tx_rows, del_rows, expect = [], [], [], {}
