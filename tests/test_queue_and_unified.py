@@ -91,3 +91,56 @@ def test_unified_replay_equals_the_loop(spark, partitions):
         got = {r["box_id"]: (r["balance"], r["n_applied"], r["crossed_out_indices"], r["deleted"]) for r in state.collect()}
         assert got == want
         assert {r["op_id"]: (r["box_id"], r["amount"]) for r in left.collect()} == posted
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_the_stream_drains_batches_like_the_loop(spark, batches):
+    import tempfile
+
+    from pyspark.sql import types as T
+
+    from jarledger.streaming.device_streams import POSTED, QueueLanding, stream_queue_drain
+    from jarledger.streaming.update_log import UpdateLog
+
+    def drained(cut, again):
+        work = tempfile.mkdtemp(prefix="streams-")
+        log = UpdateLog(spark, f"{work}/out", ["op_id"], T.StructType.fromDDL(POSTED))
+        landing = QueueLanding(spark, f"{work}/held", log)
+        for n, (some, opened) in enumerate(cut):
+            rows = stream_queue_drain(spark.createDataFrame(some, "op_id long, ts timestamp_ntz, device string, fails int"),
+                                      spark.createDataFrame(opened, "fetch_id long, ts timestamp_ntz, device string"))
+            if again and n == 1:    # the stream stops between the log's commit and that of what is held
+                whole, landing.manifest.commit = landing.manifest.commit, lambda *_: False
+                with pytest.raises(RuntimeError):
+                    landing(rows, n)
+                landing.manifest.commit = whole
+            landing(rows, n)
+            landing(rows, n)        # a batch that runs again
+        return {r["op_id"]: (r["device"], r["posted_round"], r["posted_at"]) for r in log.latest().collect()}
+
+    rng = random.Random(batches)
+    start, minute = ts(0), dt.timedelta(minutes=1)
+    items = [(i, start + rng.randint(0, 300) * minute, rng.choice(["a", "a", "a", "b", "c", ""]), rng.choice([0, 0, 0, 0, 1, 2, 5])) for i in range(200)]
+    items += [(300 + i, start + i * minute, "d", i % 3) for i in range(40)]     # waits for a fetch until the last batch
+    fetches = [(1000 + i, start + rng.randint(0, 320) * minute, rng.choice(["a", "a", "b", "", "d"])) for i in range(150)]
+    fetches = [f for f in fetches if f[2] != "d" or f[1] > start + 280 * minute] + [(2000 + i, start + (290 + i) * minute, "d") for i in range(30)]
+    ends = [start + 400 * (n + 1) // batches * minute for n in range(batches)]
+    cut = [([r for r in items if lo <= r[1] < hi], [r for r in fetches if lo <= r[1] < hi]) for lo, hi in zip([start, *ends], ends)]
+    epoch = dt.datetime(1970, 1, 1)
+    micros = lambda t: (t - epoch) // dt.timedelta(microseconds=1)
+    devices = {i: d for i, _, d, _ in items}
+    want = {i: (devices[i], n, micros(t)) for i, (n, t) in loop_drain(items, fetches).items() if n is not None}
+    assert drained(cut, batches > 1) == want and any(d == "d" for d, *_ in want.values())
+
+
+def test_the_stream_hands_no_queue_to_python(spark, monkeypatch):
+    import tempfile
+
+    from jarledger.streaming import device_streams
+    folder, n, run, plans = tempfile.mkdtemp(prefix="inbox-"), 2000, device_streams.run_updates, []
+    ev = spark.range(n).selectExpr("id AS event_id", "timestampadd(SECOND, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts", "0L AS user_id",
+                                   "IF(id % 5 = 4, 'view', 'click') AS event_type", "1.0D AS value")
+    ev.write.parquet(f"{folder}/in")
+    monkeypatch.setattr(device_streams, "run_updates", lambda updates, *rest: plans.append(updates._jdf.queryExecution().analyzed().toString()) or run(updates, *rest))
+    assert device_streams.run_stream_queue_drain(spark, f"{folder}/in", glob="*.parquet").count() > n // 2
+    assert "Pandas" not in plans[0]
