@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jarledger.functions.money import money, money_out
-from jarledger.operators.replay import replay_steps
+from jarledger.operators.replay import first_crossings, replay_steps
 from jarledger.session import shared_dir
 
 def _key() -> Column:
@@ -38,15 +38,15 @@ def _settled(log: DataFrame, boxes: DataFrame, templates: DataFrame) -> tuple[Da
     """The guarded log ``(op_id, ts, box_id, op, amount, target, depends)``, and ``(box_id, crossed, ends)`` of every box."""
     b = boxes.select(F.col("id").alias("box_id"), "template_id", F.coalesce("crossed_out_indices", F.array().cast("array<int>")).alias("crossed"))
     ends = log.where("op = 'delete_box'").groupBy("box_id").agg(F.min(_key()).alias("ends"))
-    known = log.join(b.select("box_id"), "box_id", "left_semi")
+    known = log.join(b.select("box_id").hint("merge"), "box_id", "left_semi")   # no table of boxes or grids is broadcast, see crossout_apply
     live = known.join(ends, "box_id", "left").where(F.col("ends").isNull() | (_key() < F.col("ends"))).drop("ends")
 
     cross = live.where("op = 'crossout'").withColumn("idx", F.col("arg").cast("int")).where("idx is not null")
-    cross = cross.join(b, "box_id").where(~F.array_contains("crossed", F.col("idx")))
-    first = cross.groupBy("box_id", "idx").agg(F.min(_key()).alias("first"), F.first("template_id").alias("template_id"))
+    uses = b.groupBy("box_id").agg(F.first("template_id").alias("template_id"))
+    first = first_crossings(cross, b, _key()).join(uses.hint("merge"), "box_id")
     grid = templates.select(F.col("id").alias("template_id"), F.col("grid_config").alias("grid"))
     cell = F.when((F.col("idx") >= 0) & (F.col("idx") < F.size("grid")), F.get(F.col("grid"), F.col("idx")))
-    crossed = first.join(grid, "template_id", "left").select(
+    crossed = first.join(grid.hint("merge"), "template_id", "left").select(
         "box_id", "idx", F.col("first.ts").alias("ts"), F.col("first.op_id").alias("op_id"), cell.alias("value"))
     money_in = crossed.where("value > 0").select("op_id", "ts", "box_id", F.lit("add").alias("op"), money("value").alias("amount"))
 

@@ -5,6 +5,7 @@ import random
 from decimal import Decimal as D
 
 from jarledger.operators import replay
+from jarledger.operators.unified import _settled
 from jarledger.session import ship_package
 from tests.frames import boxes, ops, templates, ts, tx
 
@@ -87,7 +88,12 @@ def test_g13_crossout(spark):
     assert [(r["amount"], r["note"]) for r in rows] == [(D(10), "Crossed out index 1")]
 
 
-def test_crossout_sends_no_table_through_the_driver(spark):
+def test_crossout_sends_no_table_through_the_driver(spark, tmp_path):
+    def stored(frame):      # Spark takes files for as large as they are, and these for small
+        path = str(tmp_path / str(len(frame.columns)))
+        frame.write.parquet(path)
+        return spark.read.parquet(path)
+
     t = templates(spark, [(7, "tpl", 35, "UAH", [5, 10, 0]), (8, "other", 1, "UAH", [1])])
     b = boxes(spark, [{"id": 1, "template_id": 7, "crossed_out_indices": [0]}, {"id": 2, "template_id": 9, "crossed_out_indices": []},
                       {"id": 3, "template_id": None, "crossed_out_indices": None}, {"id": 4, "template_id": 8, "crossed_out_indices": []}])
@@ -95,8 +101,10 @@ def test_crossout_sends_no_table_through_the_driver(spark):
         [(1, ts(0, 3), 1, 1), (2, ts(0, 2), 1, 2), (3, ts(0, 2), 1, 1), (4, ts(0, 1), 1, 0), (5, ts(0), 2, 0), (6, ts(0), 3, -1),
          (7, ts(0), 5, 0), (8, ts(0), None, 0), (9, ts(0), 4, None), (10, None, 4, 0), (11, ts(0), 4, 0)],
         "req_id BIGINT, ts TIMESTAMP_NTZ, box_id BIGINT, idx INT")
+    b, t = stored(b), stored(t)
     arrays, new_tx = replay.crossout_apply(b, t, req)
-    for frame in (arrays, new_tx):
+    guarded, state = _settled(req.selectExpr("req_id AS op_id", "ts", "box_id", "'crossout' AS op", "CAST(NULL AS DECIMAL(12,2)) AS amount", "CAST(idx AS STRING) AS arg"), b, t)
+    for frame in (arrays, new_tx, guarded, state):
         assert "Broadcast" not in frame._jdf.queryExecution().sparkPlan().toString()
     assert {r["box_id"]: (r["crossed_out_indices"], r["n_added"]) for r in arrays.collect()} == {
         1: ([0, 2, 1], 2), 2: ([0], 1), 3: ([-1], 1), 4: ([0], 1)}
